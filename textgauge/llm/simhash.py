@@ -8,7 +8,7 @@ Exact copies share a fingerprint and are folded before anything is joined. A key
 more than `hot` different fingerprints are filed is not joined with itself: there each
 fingerprint is sent to the patterns one flipped bit away (flipping bits outside the key only);
 two fingerprints are at distance two or less exactly if they meet at such a pattern. That takes
-a fixed number of rows a fingerprint, and as at most 64 fingerprints can meet at one pattern,
+a fixed number of rows a fingerprint, and as at most 65 fingerprints can meet at one pattern,
 no group grows with the data.
 """
 
@@ -50,7 +50,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
-@arrow_udf("bigint")
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         values = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
@@ -59,7 +58,7 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
     """`docs` with the fingerprint of `text` as a signed long in column `to`; null and empty texts get 0."""
-    return docs.withColumn(to, _fingerprints(F.col(text)))
+    return docs.withColumn(to, arrow_udf(_fingerprints, "bigint")(F.col(text)))
 
 
 def hex16(fp: Column) -> Column:
@@ -139,6 +138,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **ho
     """
     columns = docs.columns
     groups = near_duplicates(docs, id_col, text, **how)
-    heads = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__head")).distinct()
-    kept = docs.join(heads, docs[id_col] == F.col("__head"), "left_semi")
-    return kept.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull())).select(*columns)
+    heads = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__head")).agg(F.count("*").alias("__rows"))
+    heads = written(heads, "heads")
+    kept = docs.join(heads.where("__rows = 1"), docs[id_col] == F.col("__head"), "left_semi")
+    if not heads.where("__rows > 1").isEmpty():
+        again = docs.join(heads.where("__rows > 1"), docs[id_col] == F.col("__head"), "left_semi")
+        kept = kept.union(again.dropDuplicates([id_col]))
+    return kept.union(docs.where(F.col(id_col).isNull())).select(*columns)
