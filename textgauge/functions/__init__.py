@@ -1 +1 @@
-
+"""Text functions: normalization, spelled numbers, tokenization."""
