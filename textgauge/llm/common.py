@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def sliced(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in smaller slices, so that what a function builds for one does not follow the size of Spark's batches."""
+    for batch in batches:
+        many = isinstance(batch, tuple)
+        n = len(batch[0]) if many else len(batch)
+        for at in range(0, n, rows):
+            yield tuple(x.slice(at, rows) for x in batch) if many else batch.slice(at, rows)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
