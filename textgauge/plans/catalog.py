@@ -1,14 +1,430 @@
-"""Registered queries of the core engine and their SQL twins."""
+"""Registered queries of the core engine and their SQL twins.
+
+The driver's tables stand in for transcriptions: adjacent turns of `conversations` for references
+and hypotheses, `documents` for cells (source as the engine), `events` for latencies and parameters,
+`embeddings` for waveforms.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from textgauge.functions import native
+from textgauge.functions.normalize import normalized, tokenized
+from textgauge.operators import aggregates as A
+from textgauge.operators import audio, checks, stats
+from textgauge.operators.align import char_errors, edit_split, word_errors_any
+from textgauge.plans import score
+from textgauge.plans.session import materialized
+from textgauge.plans.goldens import ALIGNMENTS, GOLDENS, RULES
+from textgauge.sources.raw import canonical_json, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _text(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def _values(rows) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows)
+
+
+# --- scans and counts
+
+
+@query("SELECT lang, count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
+def scan_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.count_distinct("source").alias("n_sources"))
+
+
+@query("SELECT source AS engine, lang, count(*) AS n_utterances FROM documents GROUP BY ALL")
+def cell_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("engine"), "lang").agg(F.count("*").alias("n_utterances"))
+
+
+@query("SELECT DISTINCT source AS engine FROM documents")
+def engine_list(spark, sf):
+    return table(spark, sf, "documents").select(F.col("source").alias("engine")).distinct()
+
+
+@query(r"SELECT role, count(*) AS n_utterances, count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '[^\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x{0B}\x{1C}-\x{1F}]')) AS empty_transcripts FROM conversations GROUP BY role")
+def empty_count(spark, sf):
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n_utterances"), F.count_if(A.is_empty(F.col("text"))).alias("empty_transcripts"))
+
+
+# --- projections
+
+
+@query("SELECT event_type AS engine, round(quantile_cont(value / (user_id % 10), 0.5), 6) AS rtf_p50, round(quantile_cont(value / (user_id % 10), 0.9), 6) AS rtf_p90, count(*) AS n FROM events WHERE value IS NOT NULL AND user_id % 10 <> 0 GROUP BY 1")
+def rtf_percentiles(spark, sf):
+    rows = table(spark, sf, "events").where(F.col("value").isNotNull())
+    rows = rows.select(F.col("event_type").alias("engine"), A.real_time_factor(F.col("value"), (F.col("user_id") % 10).cast("double")).alias("rtf")).where("rtf is not null")
+    out = rows.groupBy("engine").agg(A.percentiles(F.col("rtf"), 0.5, 0.9).alias("p"), F.count("*").alias("n"))
+    return out.select("engine", F.round(F.col("p")[0], 6).alias("rtf_p50"), F.round(F.col("p")[1], 6).alias("rtf_p90"), "n")
+
+
+@query("SELECT event_type AS engine, array_to_string(list_sort(list(DISTINCT strftime(ts, '%Y-%m-%d'))), ';') AS run_dates FROM events GROUP BY 1")
+def run_dates(spark, sf):
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("engine")).agg(F.array_join(A.sorted_set(A.run_date(stamp)), ";").alias("run_dates"))
+
+
+_PARAMS_SQL = "SELECT event_type, json_object('model', CASE WHEN event_id % 3 = 0 THEN event_type END, 'model_id', CASE WHEN event_id % 3 = 1 THEN 'm' || (event_id % 7) ELSE '' END, 'grammarFileNames', CASE WHEN event_id % 3 = 2 THEN '-a-general' END) AS params FROM events"
+
+
+def _params(spark, sf):
+    pick = lambda n, x: F.when(F.col("event_id") % 3 == n, x)
+    params = F.struct(pick(0, F.col("event_type")).alias("model"), F.coalesce(pick(1, F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string"))), F.lit("")).alias("model_id"), pick(2, F.lit("-a-general")).alias("grammarFileNames"))
+    return table(spark, sf, "events").select("event_type", F.to_json(params).alias("params"))
+
+
+@query(f"SELECT event_type AS engine, array_to_string(list_sort(list(DISTINCT m)), ';') AS model_ids FROM (SELECT event_type, unnest([json_extract_string(params, '$.model'), json_extract_string(params, '$.model_id'), json_extract_string(params, '$.grammarFileNames')]) AS m FROM ({_PARAMS_SQL})) WHERE m <> '' GROUP BY 1")
+def model_ids(spark, sf):
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set(A.model_ids(F.col("params"))))))
+    return _params(spark, sf).groupBy(F.col("event_type").alias("engine")).agg(F.array_join(ids, ";").alias("model_ids"))
+
+
+@query(f"SELECT model_id, count(*) AS n FROM (SELECT coalesce(nullif(json_extract_string(params, '$.model_id'), ''), nullif(json_extract_string(params, '$.model'), ''), nullif(json_extract_string(params, '$.grammarFileNames'), ''), '') AS model_id FROM ({_PARAMS_SQL})) GROUP BY 1")
+def model_id_coalesce(spark, sf):
+    return _params(spark, sf).groupBy(A.model_id(F.col("params")).alias("model_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, props AS props_json FROM events")
+def canonical_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", canonical_json(F.col("props")).alias("props_json"))
+
+
+@query("SELECT lang, CASE WHEN lang IN ('ja', 'zh', 'th') THEN 'cer' ELSE 'wer' END AS headline_metric, count(*) AS n FROM documents GROUP BY ALL")
+def headline_metric(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang", A.headline(F.col("lang"), F.lit("cer"), F.lit("wer")).alias("headline_metric")).agg(F.count("*").alias("n"))
+
+
+_NAMES = [("src0", "openai"), ("src1", "whisper1"), ("src2", "deepgram"), ("src3", "amivoice")]
+
+
+@query(f"SELECT d.source, e.engine, p.price::DOUBLE AS price_per_audio_hour_usd, count(*) AS n FROM documents d JOIN ({_values(_NAMES)}) e(source, engine) ON e.source = d.source LEFT JOIN ({_values([(k, float(v)) for k, v in score.PRICES.items()])}) p(engine, price) ON p.engine = e.engine GROUP BY ALL")
+def price_lookup(spark, sf):
+    names = spark.createDataFrame(_NAMES, "source string, engine string")
+    rows = table(spark, sf, "documents").join(F.broadcast(names), "source").join(F.broadcast(score.prices(spark)), "engine", "left")
+    return rows.groupBy("source", "engine", "price_per_audio_hour_usd").agg(F.count("*").alias("n"))
+
+
+# --- text rules over whole texts
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[\pP\pS]', ' ', 'g')) AS digest, length(text) AS n_chars FROM documents")
+def strip_marks(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(native.blank_marks(F.col("text")).cast("binary")).alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{A0}\x{0B}\x{85}\x{2028}\x{2029}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}]+', ' ', 'g'))) AS digest FROM documents")
+def collapse_spaces(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(native.one_space(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_words, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS n_distinct FROM documents")
+def tokenize_words(spark, sf):
+    words = native.simple_words(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_words"), F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"))
+
+
+@query("SELECT doc_id, length(text) AS n_tokens FROM documents")
+def char_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(native.characters(F.col("text"))).cast("bigint").alias("n_tokens"))
+
+
+_RULES = {
+    "comma_groups": native.join_comma_groups, "point_groups": native.join_point_groups, "decimal_comma": native.comma_to_point, "ordinals_en": partial(native.bare_ordinals, endings="st|nd|rd|th"),
+    "ordinals_es": partial(native.bare_ordinals, endings="[oa]s?"), "thai_digits": native.thai_digits, "yo": native.fold_yo, "one_space": native.one_space, "blank_marks": native.blank_marks,
+}
+
+
+@query(f"SELECT * FROM ({_values(RULES)}) v(rule, input, output)")
+def text_rules(spark, sf):
+    rows = spark.createDataFrame([r[:2] for r in RULES], "rule string, input string")
+    out = F.lit(None).cast("string")
+    for name, rule in _RULES.items():
+        out = F.when(F.col("rule") == name, rule(F.col("input"))).otherwise(out)
+    return rows.withColumn("output", out)
+
+
+def _normalize(lang, spark, sf):
+    rows = spark.createDataFrame([(s, a) for s, a, _ in GOLDENS[lang]], "strip_ws boolean, input string")
+    return rows.withColumn("output", normalized(F.lit(lang), F.col("input"), F.col("strip_ws")))
+
+
+for _lang in GOLDENS:
+    query(f"SELECT * FROM ({_values(GOLDENS[_lang])}) v(strip_ws, input, output)", f"normalize_{_lang}")(partial(_normalize, _lang))
+
+
+@query()
+def normalize_documents(spark, sf):
+    made = normalized(F.col("lang"), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", "lang", made.alias("normal")).select("doc_id", "lang", F.md5(F.col("normal").cast("binary")).alias("digest"), F.length("normal").alias("n_chars"))
+
+
+@query()
+def tokenize_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tokenized(F.col("lang"), F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_words"))
+
+
+# --- alignment
+
+_PAIRS_SQL = "SELECT a.conv_id, a.turn, a.text AS ref_raw, b.text AS hyp_raw FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"
+_CLEAN_SQL = f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(ref_raw), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS ref, trim(regexp_replace(regexp_replace(lower(coalesce(hyp_raw, '')), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS hyp FROM ({_PAIRS_SQL}) WHERE ref_raw IS NOT NULL"
+
+
+def pairs(spark, sf) -> DataFrame:
+    """Adjacent turns, user then assistant: conv_id, turn, ref_raw, hyp_raw."""
+    turns = table(spark, sf, "conversations")
+    ref = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref_raw"))
+    hyp = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp_raw"))
+    return ref.join(hyp, ["conv_id", "turn"])
+
+
+def _clean(c):
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z ]", ""), " +", " "))
+
+
+def clean_pairs(spark, sf) -> DataFrame:
+    rows = pairs(spark, sf).where("ref_raw is not null")
+    return rows.select("conv_id", "turn", _clean(F.col("ref_raw")).alias("ref"), _clean(F.coalesce("hyp_raw", F.lit(""))).alias("hyp"))
+
+
+@query(f"SELECT conv_id, turn, levenshtein(ref, hyp)::INTEGER AS errors, length(ref)::INTEGER AS ref_len FROM ({_CLEAN_SQL})")
+def cer_total(spark, sf):
+    return clean_pairs(spark, sf).select("conv_id", "turn", char_errors(F.col("ref"), F.col("hyp")).alias("errors"), F.length("ref").alias("ref_len"))
+
+
+def _word_pairs(spark, sf):
+    return clean_pairs(spark, sf).select("conv_id", "turn", native.words(F.col("ref")).alias("ref"), native.words(F.col("hyp")).alias("hyp"))
+
+
+@query()
+def wer_total(spark, sf):
+    return _word_pairs(spark, sf).select("conv_id", "turn", word_errors_any(F.col("ref"), F.col("hyp")).alias("errors"), F.size("ref").alias("ref_len"))
+
+
+@query()
+def wer_split(spark, sf):
+    rows = _word_pairs(spark, sf).select("conv_id", "turn", edit_split(F.col("ref"), F.col("hyp")).alias("o"))
+    return rows.select("conv_id", "turn", F.col("o.sub").alias("n_sub"), F.col("o.del").alias("n_del"), F.col("o.ins").alias("n_ins"), "o.ref_len")
+
+
+@query(f"SELECT * FROM ({_values(ALIGNMENTS)}) v(ref, hyp, n_sub, n_del, n_ins, ref_len)")
+def edit_split_cases(spark, sf):
+    rows = spark.createDataFrame([r[:2] for r in ALIGNMENTS], "ref string, hyp string")
+    made = rows.withColumn("o", edit_split(native.words(F.col("ref")), native.words(F.col("hyp"))))
+    return made.select("ref", "hyp", F.col("o.sub").alias("n_sub"), F.col("o.del").alias("n_del"), F.col("o.ins").alias("n_ins"), "o.ref_len")
+
+
+_ERRORS_SQL = f"SELECT conv_id, turn, levenshtein(ref, hyp) AS errors, length(ref) AS ref_len FROM ({_CLEAN_SQL})"
+
+
+@query(f"SELECT turn, sum(errors)::BIGINT AS errors, sum(ref_len)::BIGINT AS ref_len, round(CASE WHEN sum(ref_len) <> 0 THEN sum(errors)::DOUBLE / sum(ref_len) WHEN sum(errors) > 0 THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS corpus_rate FROM ({_ERRORS_SQL}) GROUP BY turn")
+def corpus_rates(spark, sf):
+    rows = cer_total(spark, sf).groupBy("turn").agg(F.sum("errors").alias("errors"), F.sum("ref_len").alias("ref_len"), F.round(A.corpus_rate(F.col("errors"), F.col("ref_len")), 6).alias("corpus_rate"))
+    return rows
+
+
+@query(f"SELECT turn, round(avg(CASE WHEN ref_len <> 0 THEN errors::DOUBLE / ref_len WHEN errors > 0 THEN 1.0 ELSE 0.0 END), 6) AS utterance_mean FROM ({_ERRORS_SQL}) GROUP BY turn")
+def utterance_means(spark, sf):
+    return cer_total(spark, sf).groupBy("turn").agg(F.round(A.utterance_mean(F.col("errors"), F.col("ref_len")), 6).alias("utterance_mean"))
+
+
+# --- cells of documents: a document's marks are its errors, its characters its length
+
+_CELLS_SQL = r"SELECT source AS engine, 'a' AS track, lang, doc_id AS utt_id, length(text) - length(regexp_replace(text, '[|%&$#*!]', '', 'g')) AS errors, length(text) AS ref_len FROM documents"
+_RATES_SQL = f"SELECT engine, track, lang, CASE WHEN sum(ref_len) <> 0 THEN sum(errors)::DOUBLE / sum(ref_len)::DOUBLE ELSE 0.0 END AS rate FROM ({_CELLS_SQL}) GROUP BY ALL"
+
+
+def document_cells(spark, sf) -> DataFrame:
+    n = F.length("text")
+    errors = n - F.length(F.regexp_replace("text", "[|%&$#*!]", ""))
+    return table(spark, sf, "documents").select(F.col("source").alias("engine"), F.lit("a").alias("track"), "lang", F.col("doc_id").alias("utt_id"), errors.alias("errors"), n.alias("ref_len"))
+
+
+def _cell_rates(spark, sf):
+    return document_cells(spark, sf).groupBy(*A.CELL).agg(A.corpus_rate(F.col("errors"), F.col("ref_len")).alias("rate"))
+
+
+@query(f"SELECT engine, track, lang, round(rate, 9) AS rate, row_number() OVER (PARTITION BY track, lang ORDER BY rate, engine)::INTEGER AS rank_no FROM ({_RATES_SQL})")
+def rank_engines(spark, sf):
+    return A.ranked(_cell_rates(spark, sf), "rate").select(*A.CELL, F.round("rate", 9).alias("rate"), "rank_no")
+
+
+_TIER_SQL = f"SELECT engine, lang, dense_rank() OVER (PARTITION BY lang ORDER BY round(rate, 2))::INTEGER AS tie_group FROM ({_RATES_SQL})"
+
+
+def _tier_groups(spark, sf):
+    """Tiers by equal rounded rates, as arrays of arrays."""
+    rows = _cell_rates(spark, sf).withColumn("r", F.round("rate", 2))
+    tiers = rows.groupBy("track", "lang", "r").agg(F.array_sort(F.collect_list("engine")).alias("g"))
+    return tiers.groupBy("track", "lang").agg(F.array_sort(F.collect_list(F.struct("r", "g"))).alias("x")).select("track", "lang", F.col("x.g").alias("tie_groups"))
+
+
+@query(f"SELECT t.engine, t.lang, t.tie_group, m.members AS tie_group_members, m.first_engine = t.engine AS first_in_tier, m.n::INTEGER AS rowspan FROM ({_TIER_SQL}) t JOIN (SELECT lang, tie_group, string_agg(engine, ';' ORDER BY engine) AS members, min(engine) AS first_engine, count(*) AS n FROM ({_TIER_SQL}) GROUP BY ALL) m USING (lang, tie_group)")
+def tier_rows(spark, sf):
+    return A.tiers(_tier_groups(spark, sf)).drop("track")
+
+
+@query(f"SELECT engine, count(*) FILTER (tie_group = 1) AS t1_count, coalesce(max(CASE WHEN lang = 'de' THEN tie_group END)::VARCHAR, 'n/a') AS de, coalesce(max(CASE WHEN lang = 'en' THEN tie_group END)::VARCHAR, 'n/a') AS en, coalesce(max(CASE WHEN lang = 'es' THEN tie_group END)::VARCHAR, 'n/a') AS es, coalesce(max(CASE WHEN lang = 'fr' THEN tie_group END)::VARCHAR, 'n/a') AS fr, coalesce(max(CASE WHEN lang = 'th' THEN tie_group END)::VARCHAR, 'n/a') AS th FROM ({_TIER_SQL}) GROUP BY engine")
+def tier_matrix(spark, sf):
+    return A.tier_matrix(A.tiers(_tier_groups(spark, sf)), ["de", "en", "es", "fr", "th"])
+
+
+@query(f"SELECT lang, string_agg('T' || tie_group || '[' || members || ']', ' ' ORDER BY tie_group) AS summary FROM (SELECT lang, tie_group, string_agg(engine, ',' ORDER BY engine) AS members FROM ({_TIER_SQL}) GROUP BY ALL) GROUP BY lang")
+def tier_summary(spark, sf):
+    from textgauge.sources.sinks import summary_column
+
+    return _tier_groups(spark, sf).select("lang", summary_column().alias("summary"))
+
+
+@query(f"SELECT lang, engine, format('{{:.2f}}', rate * 100) || ' (' || format('{{:.2f}}', rate * 50) || '–' || format('{{:.2f}}', rate * 150) || ')' AS cell FROM ({_RATES_SQL})")
+def percent_cells(spark, sf):
+    return _cell_rates(spark, sf).select("lang", "engine", native.percent_interval(F.col("rate"), F.col("rate") / 2, F.col("rate") * 1.5).alias("cell"))
+
+
+@query("SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest FROM conversations")
+def html_escaped(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(native.html_escape(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(f"SELECT track, lang, engine, round(rate, 9) AS rate FROM ({_RATES_SQL})")
+def nest_unnest(spark, sf):
+    return score.unnest(score.nest(_cell_rates(spark, sf))).withColumn("rate", F.round("rate", 9))
+
+
+@query("SELECT engine, lang, utt_id FROM (SELECT source AS engine, lang, doc_id AS utt_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 200")
+def first_200(spark, sf):
+    return A.first_utterances(document_cells(spark, sf)).select("engine", "lang", "utt_id")
+
+
+# --- completeness
+
+
+@query("SELECT lang, doc_id AS utt_id, 1::BIGINT AS n_engines, 2::BIGINT AS n_expected FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pairing_check(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    labelled = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id")
+    rows = docs.withColumn("engine", F.lit("all")).union(labelled.withColumn("engine", F.lit("labelled"))).withColumnRenamed("doc_id", "utt_id")
+    return checks.unpaired(rows, ("lang",)).select("lang", "utt_id", "n_engines", "n_expected")
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def cell_diff(spark, sf):
+    return checks.same_keys(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"])
+
+
+@query("SELECT lang, doc_id AS utt_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def drop_failed(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("utt_id"))
+    failed = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("utt_id"))
+    return checks.without_failed(docs, failed, ())
+
+
+@query("SELECT d.lang, count(*) AS n_utterances, count(l.doc_id) AS n_failed, count(l.doc_id)::DOUBLE / count(*) AS share, count(l.doc_id)::DOUBLE / count(*) > 0.02 AS flagged FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l USING (doc_id) GROUP BY d.lang")
+def failed_share(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("utt_id"))
+    failed = docs.join(table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("utt_id")), "utt_id", "left_semi")
+    return checks.failed_share(docs, failed, ("lang",))
+
+
+# --- statistics
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    return stats.cell_intervals(document_cells(spark, sf), list(A.CELL))
+
+
+def _common_cells(spark, sf):
+    """All sources over utterances numbered alike, as far as every source has them."""
+    rows = document_cells(spark, sf).withColumn("utt", F.row_number().over(Window.partitionBy("engine").orderBy("utt_id")))
+    rows = rows.select("engine", "track", F.lit("all").alias("lang"), F.col("utt").alias("utt_id"), "errors", "ref_len")
+    return checks.paired(rows, "intersect")
+
+
+@query()
+def paired_diff(spark, sf):
+    return stats.paired_intervals(materialized(_common_cells(spark, sf)), ["track", "lang"])
+
+
+@query()
+def tie_groups(spark, sf):
+    return stats.tie_group_table(materialized(_common_cells(spark, sf)), ["track", "lang"])
+
+
+# --- extras of the specification
+
+_TERMS = ["thing", "the", "ion", "zzz"]
+_FILLERS = ["of", "the", "a"]
+
+
+@query(f"SELECT t.term, avg(CASE WHEN contains(lower(d.text), t.term) THEN 1.0 ELSE 0.0 END)::DOUBLE AS recall FROM documents d, ({_values([(t,) for t in _TERMS])}) t(term) GROUP BY t.term")
+def term_recall(spark, sf):
+    rows = table(spark, sf, "documents").select("text", F.explode(F.array(*map(F.lit, _TERMS))).alias("term"))
+    return rows.groupBy("term").agg(F.avg(F.when(F.lower("text").contains(F.col("term")), 1.0).otherwise(0.0)).alias("recall"))
+
+
+@query(f"SELECT conv_id, turn, len(list_filter(string_split(ref, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(map(_text, _FILLERS))})))::INTEGER AS n_kept FROM ({_CLEAN_SQL})")
+def filler_tolerant(spark, sf):
+    kept = A.without_fillers(F.col("ref"), F.array(*map(F.lit, _FILLERS)))
+    return _word_pairs(spark, sf).select("conv_id", "turn", F.size(kept).alias("n_kept"))
+
+
+@query("SELECT user_id, round(median(value), 6) AS vote FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def judge_median(spark, sf):
+    return table(spark, sf, "events").where("value is not null").groupBy("user_id").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("vote"))
+
+
+@query("SELECT vec_id, round(peak, 6) AS peak, round(CASE WHEN peak > 0 THEN 0.5 / peak ELSE 1.0 END, 6) AS scale, CASE WHEN peak > 0 THEN true ELSE false END AS passes FROM (SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE AS peak FROM embeddings)")
+def peak_normalize(spark, sf):
+    x = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", F.round(audio.peak(x), 6).alias("peak"), F.round(audio.scale(x), 6).alias("scale"), audio.passes(F.lit("PCM_16"), audio.peak(audio.peak_normalized(x))).alias("passes"))
+
+
+# --- the whole evaluation
+
+
+def records(spark, sf) -> DataFrame:
+    """Adjacent turns as records of two engines: "next" answers with the next turn, "echo" with the reference less its last tenth."""
+    rows = pairs(spark, sf).where("ref_raw is not null")
+    common = [F.lit("a").alias("track"), F.lit("en").alias("lang_key"), F.concat_ws("_", F.lit("en"), "conv_id", "turn").alias("file_utt_id"), F.col("ref_raw").alias("ref_text_raw")]
+    rest = [F.length("ref_raw").cast("double").alias("duration_sec"), (F.col("turn") + 1).cast("double").alias("latency_sec"), F.lit("2026-07-05T00:00:00Z").alias("timestamp_utc")]
+    engine = lambda name, text: rows.select(F.lit(name).alias("engine_key"), *common, text.alias("text"), *rest, F.lit(f'{{"model": "{name}"}}').alias("params"))
+    clipped = F.expr("substring(ref_raw, 1, cast(length(ref_raw) * 0.9 as int))")
+    return engine("next", F.col("hyp_raw")).union(engine("echo", clipped))
+
+
+@query()
+def cell_scores(spark, sf):
+    rows = materialized(score.score_utterances(records(spark, sf)).drop("cer_ops", "wer_ops"))
+    return score.cell_scores(score.cell_table(rows))
+
+
+@query()
+def utterance_scores(spark, sf):
+    rows = score.score_utterances(records(spark, sf))
+    return rows.select("engine", "track", "lang", "utt_id", "cer_errors", "cer_len", "wer_errors", "wer_len", "empty", "rtf")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Scores of every cell: rates, intervals and tiers."""
+    return cell_scores(spark, sf_dir)
