@@ -104,12 +104,12 @@ def _intervals(rows: DataFrame, keys: list[str], values: list[str], order: str,
         lo, hi = np.percentile(stat, INTERVAL)
         return float(lo), float(hi)
 
-    def small(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def small(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort")
         lo, hi = interval(_index_sums([pdf[v].to_numpy(np.float64) for v in values], n, seed))
         return pd.DataFrame([[*key, lo, hi]], columns=[*keys, "lo", "hi"])
 
-    def large(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def large(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(values)
         lo, hi = interval(_count_sums([pdf[v].to_numpy(np.float64) for v in values], pdf["__n"].to_numpy(np.float64), n, seed))
         return pd.DataFrame([[*key, lo, hi]], columns=[*keys, "lo", "hi"])
