@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from textgauge.llm.common import written
+from textgauge.llm.common import sliced, written
 from textgauge.llm.components import connected_components
 
 SEED = 42
@@ -32,6 +32,19 @@ SEED = 42
 STEP = 1 << 16
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set; sums of 255 rows fit in a byte, which adds up fastest."""
+    out = np.zeros(64, np.int64)
+    bits = _bits(hashes)
+    for at in range(0, len(bits), 255):
+        out += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return out
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The SimHash of a text as an unsigned 64-bit number; 0 where there are no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
@@ -45,13 +58,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     ends = ends[width - 1 :].tolist()
     ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), STEP):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + STEP], ends[at : at + STEP], strict=True)], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + STEP], ends[at : at + STEP], strict=True)], np.uint64))
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
+    for texts in sliced(batches):
         values = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
         yield pa.array(values.view(np.int64))
 
@@ -131,17 +143,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """`docs` without near-duplicates: the smallest id of each component stays, columns unchanged.
+#: What `similar_documents` does: words a shingle, bits of the long fingerprint, those that may differ,
+#: sections compared, and how many documents of one key are compared with each other or with leaders.
+WIDTH, PARTS, MOST_BITS, SECTIONS, HOT, LEADERS = 5, 16, 168, 12, 64, 4
+
+
+def _mixed(x: np.ndarray, turn: int) -> np.ndarray:
+    """Further 64-bit hashes from one (the finaliser of splitmix64)."""
+    x = x + np.uint64((0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(text: str | None) -> tuple[list[int], list[int]]:
+    """A SimHash of 1,024 bits over a text's set of five-word shingles, and the keys of its sections.
+
+    Shingles are dealt by hash over as many sections as leave two to eight in each, at two
+    granularities, so that texts whose numbers of shingles differ by up to a quarter share one. The
+    key of a section is the SimHash of its shingles: two texts of similarity 0.8 agree on a section
+    with a chance of a third or more, and so on one of `SECTIONS` with 99 in 100.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * PARTS, [0]
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= WIDTH:
+        shingles = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - WIDTH + 1].tolist()
+        shingles = np.unique(np.fromiter((digest(joined[a:z], SEED) for a, z in zip(starts, ends[WIDTH - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+    fp = []
+    for turn in range(PARTS):
+        ones = sum((_ones(_mixed(shingles[at : at + STEP], turn)) for at in range(0, len(shingles), STEP)), np.zeros(64, np.int64))
+        fp.append(int(np.packbits(2 * ones > len(shingles)).view(">i8")[0]))
+    keys, place, fine = [], _mixed(shingles, PARTS), max(0, int(np.log2(len(shingles) / 4)) if len(shingles) > 4 else 0)
+    for level in (fine, fine + 1):
+        section = place & np.uint64((1 << level) - 1)
+        chosen = np.flatnonzero(section < SECTIONS)
+        chosen = chosen[np.argsort(section[chosen], kind="stable")]
+        if len(chosen):
+            of = section[chosen]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            n = np.diff(np.append(first, len(chosen)))
+            ones = np.add.reduceat(_bits(shingles[chosen]), first, axis=0, dtype=np.int64)
+            sims = np.packbits(2 * ones > n[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+            keys.append(_mixed(sims ^ (of[first] << np.uint64(8) | np.uint64(level)), PARTS + 1).view(np.int64))
+    return fp, np.concatenate(keys).tolist() if keys else []
+
+
+_LONG = "struct<fp:array<bigint>,keys:array<bigint>>"
+
+
+def _long_fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in sliced(batches):
+        with np.errstate(over="ignore"):
+            rows = [long_fingerprint(t.as_py()) for t in texts]
+        fps, keys = zip(*rows) if rows else ((), ())
+        kind = pa.list_(pa.int64())
+        yield pa.StructArray.from_arrays([pa.array(fps, kind), pa.array(keys, kind)], names=["fp", "keys"])
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, hot: int = HOT) -> DataFrame:
+    """One row per row with an id: id_col and component_id, over texts whose five-word shingles are similar by 0.8 or more.
+
+    Of the 1,024 bits of the fingerprint some 155 differ where the similarity is 0.8, give or take 11,
+    and 197 where it is 0.7; `most_bits` lies between. It is cut into sections by shingles, not by
+    bits, as every bit depends on the whole text and texts of that similarity have no run of
+    selective length in common: texts meet where a section's key is the same and are linked if their
+    fingerprints differ in `most_bits` bits or fewer. Texts with one fingerprint are folded first.
+    Under a key of more than `hot` texts each is compared with `LEADERS` leaders only, others under
+    each key; members of a large group of copies meet several of them.
+    """
+    marked = written(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), arrow_udf(_long_fingerprints, _LONG)(F.col(text)).alias("f")).select("id", "f.fp", "f.keys"), "long-fps")
+    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")), "nodes")
+    filed = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = written(filed.join(shared, "key"), "sections")
+    few, many = rows.where(F.col("n") <= hot).select("key", "node"), rows.where(F.col("n") > hot).select("key", "node")
+    pairs = few.join(few.select("key", F.col("node").alias("other")), "key").where("node < other").select("node", "other")
+    for turn in range(LEADERS):
+        lead = many.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("other"))
+        pairs = pairs.union(many.join(lead, "key").where("node <> other").select("node", "other"))
+    one, two = nodes.select("node", "fp"), nodes.select(F.col("node").alias("other"), F.col("fp").alias("other_fp"))
+    apart = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("other_fp")[i])) for i in range(1, PARTS)), F.bit_count(F.col("fp")[0].bitwiseXOR(F.col("other_fp")[0])))
+    links = pairs.distinct().join(one, "node").join(two, "other").where(apart <= most_bits).select("node", "other")
+    tree = connected_components(links, "node", "other")
+    named = nodes.join(tree.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`docs` with the smallest id of each component of `groups` (id_col, component_id) only, columns unchanged.
 
     Of rows that repeat that id, one stays. Rows with a null id stay, as nothing names them.
     """
-    columns = docs.columns
-    groups = near_duplicates(docs, id_col, text, **how)
     heads = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__head")).agg(F.count("*").alias("__rows"))
     heads = written(heads, "heads")
     kept = docs.join(heads.where("__rows = 1"), docs[id_col] == F.col("__head"), "left_semi")
     if not heads.where("__rows > 1").isEmpty():
         again = docs.join(heads.where("__rows > 1"), docs[id_col] == F.col("__head"), "left_semi")
         kept = kept.union(again.dropDuplicates([id_col]))
-    return kept.union(docs.where(F.col(id_col).isNull())).select(*columns)
+    return kept.union(docs.where(F.col(id_col).isNull())).select(*docs.columns)
