@@ -44,6 +44,11 @@ def _plural(word: str) -> tuple[str, str] | None:
     return None
 
 
+_COUNTED = [*_UNITS, *_TENS, *_SCALES]
+#: Every word that can begin a spelled number, for a quick look before any rule runs.
+_STARTS = {*_COUNTED, *_IRREGULAR, *(w + "th" for w in _COUNTED), *(w[:-1] + "ieth" for w in _TENS), *(w + "s" for w in _COUNTED), *(w[:-1] + "ies" for w in _TENS)}
+
+
 class _Number:
     """A number that grows word by word while the next word can still belong to it."""
 
@@ -82,7 +87,13 @@ class _Number:
 def spelled_numbers(text: str) -> str:
     """Spelled cardinals and ordinals to digits; ordinals and plurals keep an ending ("20th", "1960s")."""
     out, tokens, at = [], text.split(" "), 0
+    if _STARTS.isdisjoint(tokens):
+        return text
     while at < len(tokens):
+        if tokens[at] not in _STARTS and not tokens[at][:1].isdigit():
+            out.append(tokens[at])
+            at += 1
+            continue
         number, end, suffix = _Number(), at, ""
         while end < len(tokens) and not suffix:
             word, nxt = tokens[end], tokens[end + 1] if end + 1 < len(tokens) else ""

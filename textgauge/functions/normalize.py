@@ -122,7 +122,6 @@ def normalize_th(text: str, strip: bool = False) -> str:
 NORMALIZERS: dict[str, Callable[..., str]] = {"de": normalize_de, "en": normalize_en, "es": normalize_es, "fr": normalize_fr, "id": normalize_id, "ja": normalize_ja, "ko": normalize_ko, "pt": normalize_pt, "ru": normalize_ru, "th": normalize_th, "vi": normalize_vi, "zh": normalize_zh}
 
 
-@functools.lru_cache(maxsize=50_000)
 def normalize(lang: str, text: str, strip: bool = False) -> str:
     """The normal form of a text; `strip` drops all white space before numbers are read (ja, th, zh only)."""
     rule = NORMALIZERS[lang]

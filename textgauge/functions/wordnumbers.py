@@ -8,6 +8,7 @@ match may be marked to stand as it is.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -329,12 +330,14 @@ def german_ordinal(word: str) -> int | None:
     return None
 
 
+@functools.lru_cache(maxsize=100_000)
+def _german_word(word: str) -> str:
+    if word in _DE_KEPT:
+        return word
+    n = german_cardinal(word)
+    n = german_ordinal(word) if n is None else n
+    return word if n is None else str(n)
+
+
 def german(text: str) -> str:
-    def one(word: str) -> str:
-        if word in _DE_KEPT:
-            return word
-        n = german_cardinal(word)
-        n = german_ordinal(word) if n is None else n
-        return word if n is None else str(n)
-
-    return " ".join(map(one, text.split(" ")))
+    return " ".join(map(_german_word, text.split(" ")))
