@@ -9,6 +9,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+#: Rows of an Arrow batch where texts go to Python.
+TEXT_ROWS = 512
 
 #: Words are runs of anything but ASCII white space; the same class in Java, RE2 and Python.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -41,6 +45,26 @@ def sliced(batches: Iterator, rows: int = 512) -> Iterator:
             yield tuple(x.slice(at, rows) for x in batch) if many else batch.slice(at, rows)
 
 
+def low_hash(c: Column, share: Column) -> Column:
+    """True for about `share` of the values, always the same ones: a small part to take the lowest hashes from,
+    so that no task sorts, and the driver never sees, a part that grows with the number of tasks."""
+    return F.pmod(F.xxhash64(c), F.lit(1 << 40)) < share * F.lit(float(1 << 40))
+
+
+def wide_share(wanted: int, total: int) -> float:
+    """The share that holds `wanted` rows of `total` with near certainty."""
+    return 1.0 if total <= 4 * wanted + 64 else (2 * wanted + 64) / total
+
+
+def text_udf(f, ddl: str):
+    """An Arrow function over texts. Spark's batches are held to TEXT_ROWS rows from here on: documents are
+    large, and both the JVM and the Python worker hold whole batches outside the heap."""
+    spark = SparkSession.active()
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return arrow_udf(f, ddl)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

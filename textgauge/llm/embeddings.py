@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import written
+from textgauge.llm.common import low_hash, wide_share, written
 from textgauge.llm.components import connected_components
 
 #: Vectors in a tile, about; 4,096 of 64 floats take some 2 MB.
@@ -138,7 +138,8 @@ def _links(folded: DataFrame, n: int, dim: int, threshold: float, tile: int) ->
     """(rep, links, root): for each pair of tiles that may hold links, counts and a root to hang on."""
     spark = folded.sparkSession
     n_pivots = max(1, min(MAX_PIVOTS, n // tile))
-    first = folded.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).select("v").collect()  # a bounded sample; it only steers the layout
+    few = low_hash(F.col("rep"), F.lit(wide_share(n_pivots, n)))
+    first = folded.where(few).orderBy(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)), "rep").limit(n_pivots).select("v").collect()  # a bounded sample; it only steers the layout
     pivots = unit(np.array([r.v for r in first]))
     kind = folded.schema["v"].dataType.elementType.simpleString()
     raw = np.float32 if kind == "float" else np.float64

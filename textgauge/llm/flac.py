@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+
+from textgauge.llm.common import sliced, text_udf
 
 BLOCK = 576
 RATE = 8000
@@ -461,7 +462,7 @@ def pad(text: str | None) -> tuple[int, bytes]:
 
 
 def _stored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
+    for texts in sliced(batches):
         sizes, payloads = zip(*(pad(t.as_py()) for t in texts)) if len(texts) else ((), ())
         yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(_by_size(encode, payloads), pa.binary())], names=["n_bytes", "media"])
 
@@ -479,7 +480,7 @@ def _by_size(work, items, room: int = 4 << 20) -> list[bytes]:
 
 
 def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for media in batches:
+    for media in sliced(batches):
         rows = []
         for payload in _by_size(decode_bytes, [m.as_py() for m in media]):
             s = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
@@ -493,7 +494,7 @@ def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def _blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
-    for media in batches:
+    for media in sliced(batches):
         rows = [None if m.as_py() is None else [{"sample_offset": at, "n_samples": len(p[at : at + BLOCK]), "pcm": p[at : at + BLOCK]} for p in decode_bytes([m.as_py()]) for at in range(0, len(p), BLOCK)] for m in media]
         yield pa.array(rows, kind)
 
@@ -503,7 +504,7 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text is stored like an empty one, as one block of padding; equal texts give equal streams.
     """
-    return docs.withColumn("__stored", arrow_udf(_stored, "struct<n_bytes:bigint,media:binary>")(F.col(text))).withColumns({"n_bytes": F.col("__stored.n_bytes"), "media": F.col("__stored.media")}).drop("__stored")
+    return docs.withColumn("__stored", text_udf(_stored, "struct<n_bytes:bigint,media:binary>")(F.col(text))).withColumns({"n_bytes": F.col("__stored.n_bytes"), "media": F.col("__stored.media")}).drop("__stored")
 
 
 def media_features(stored: DataFrame, media: str = "media") -> DataFrame:
@@ -511,7 +512,7 @@ def media_features(stored: DataFrame, media: str = "media") -> DataFrame:
 
     A stream that fails a checksum stops the job: it must not pass for sound data.
     """
-    made = stored.withColumn("__read", arrow_udf(_features, "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>")(F.col(media)))
+    made = stored.withColumn("__read", text_udf(_features, "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>")(F.col(media)))
     for name in ("payload_bytes", "payload_sha256", "tail_crc32", "feature"):
         made = made.withColumn(name, F.col(f"__read.{name}"))
     digest = {"media_bytes": F.octet_length(media).cast("bigint"), "media_sha256": F.sha2(media, 256)}
@@ -520,5 +521,5 @@ def media_features(stored: DataFrame, media: str = "media") -> DataFrame:
 
 def pcm_blocks(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per block: key, block_no, sample_offset, n_samples, pcm (unsigned 8-bit); null media give none."""
-    rows = stored.select(F.col(key).alias(key), F.posexplode(arrow_udf(_blocks, "array<struct<sample_offset:bigint,n_samples:int,pcm:binary>>")(F.col(media))).alias("block_no", "b"))
+    rows = stored.select(F.col(key).alias(key), F.posexplode(text_udf(_blocks, "array<struct<sample_offset:bigint,n_samples:int,pcm:binary>>")(F.col(media))).alias("block_no", "b"))
     return rows.select(key, F.col("block_no").cast("bigint").alias("block_no"), "b.sample_offset", "b.n_samples", "b.pcm")

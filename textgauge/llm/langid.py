@@ -15,7 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+
+from textgauge.llm.common import low_hash, sliced, text_udf, wide_share
 
 PROFILE = 400
 #: Documents of each language that a profile is fitted on, at most: those with the smallest hash of their id.
@@ -101,9 +102,15 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "te
     the profiles (languages times `size` numbers) come to the driver.
     """
     ranked_ids = docs.where(usable & F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang"))
-    first = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    chosen = ranked_ids.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= fit_docs).select("__id").distinct()
-    sample = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).join(chosen, F.col(id_col) == F.col("__id"), "left_semi")
+    sizes = ranked_ids.groupBy("__lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not sizes:
+        return Profiles({}, size)
+    share = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["__lang"], wide_share(fit_docs, r.n)))), F.col("__lang"))
+    first = Window.partitionBy("__lang").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)), "__id")
+    chosen = ranked_ids.where(low_hash(F.col("__id"), share)).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= fit_docs).select("__id").distinct()
+    sample = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi")  # fit_docs ids a language at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -118,8 +125,6 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "te
     profiles: dict[str, list[int]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.r)):
         profiles.setdefault(r.lang, []).append(r.code)
-    if len(profiles) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return Profiles(profiles, size)
 
 
@@ -127,9 +132,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", to: str =
     """`docs` with a struct column `to`: lang_pred and score, from the whole of each text."""
 
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in sliced(batches):
             rows = [profiles.predict(t.as_py()) for t in texts]
             names, scores = zip(*rows) if rows else ((), ())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    return docs.withColumn(to, arrow_udf(predicted, "struct<lang_pred:string,score:double>")(F.col(text)))
+    return docs.withColumn(to, text_udf(predicted, "struct<lang_pred:string,score:double>")(F.col(text)))

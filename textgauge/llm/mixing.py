@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from textgauge.llm.common import WORD, written
+from textgauge.llm.common import sliced, text_udf, WORD, written
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -30,7 +29,7 @@ SHARD_SLOTS = 4096
 MAX_SHARDS = 10_000
 #: Sources whose sums come to the driver, at most; more are refused, none is dropped.
 MAX_SOURCES = 100_000
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 SEED = 20_240_607
 
 
@@ -138,7 +137,7 @@ class Mix:
         each = F.explode(F.sequence(F.col("part"), F.least(F.col("part") + SHARD_SLOTS, F.col("n")) - 1)).alias("i")
         plan = plan.select("shard", "source_no", "blocks", "first", each).withColumn("slot", F.col("first") + F.col("i"))
         plan = plan.withColumns({"turn": F.expr("slot div blocks"), "at": F.expr("slot % blocks")})
-        self.slots = plan.select("shard", "source_no", "slot", "turn", arrow_udf(_permute, "bigint")("source_no", "turn", "at", "blocks").alias("block"))
+        self.slots = plan.select("shard", "source_no", "slot", "turn", text_udf(_permute, "bigint")("source_no", "turn", "at", "blocks").alias("block"))
         b = F.lit(block_words).cast("bigint")
         held = F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block")
         cut = self.docs.where("size > 0").select("source_no", "start", "size", held)
@@ -150,9 +149,9 @@ class Mix:
 def mix_report(mix: Mix, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id_col, size, source_size, target, taken (words taken, repeats counted)."""
     uses = mix.slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-    taken = mix.pieces.join(uses, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    taken = mix.pieces.join(uses.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     # a document without words shares its start with the next one, so it must not take part in the join
-    some = mix.docs.where("size > 0").join(taken, ["source_no", "start"], "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    some = mix.docs.where("size > 0").join(taken.hint("merge"), ["source_no", "start"], "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
     none = mix.docs.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
     both = some.union(none)
     return both.select(F.col("id").alias(id_col), *both.columns[1:])
@@ -162,7 +161,7 @@ def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     import re
 
     word = re.compile(WORD)
-    for texts, spans in batches:
+    for texts, spans in sliced(batches):
         out = []
         for text, span in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
             places = [m.span() for m in word.finditer(text)]
@@ -188,15 +187,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     a column n_chars, if there is one. Repeated rows are documents of their own.
     """
     mix = Mix(docs, id_col, text, source, **how)
-    met = mix.slots.select("source_no", "turn", "block").join(mix.pieces, ["source_no", "block"])
+    met = mix.slots.select("source_no", "turn", "block").join(mix.pieces.hint("merge"), ["source_no", "block"])
     passes = met.groupBy("source_no", "start", "turn").agg(F.collect_list(F.struct("first", "words")).alias("__spans"))
-    passes = passes.join(mix.docs.where("size > 0"), ["source_no", "start"]).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), "__spans")
+    passes = passes.join(mix.docs.where("size > 0").hint("merge"), ["source_no", "start"]).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), "__spans")
     keyed = docs.withColumn("__text_tie", F.xxhash64(F.col(text)))
     repeats = mix.docs.where("size > 0").groupBy("id", "source", "tie").agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():  # the rows of a repeated document share its passes
         keyed = keyed.dropDuplicates([id_col, source, "__text_tie"])
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__text_tie") == F.col("__tie"))
-    out = keyed.join(passes, same).withColumn(text, arrow_udf(_cut, "string")(F.col(text), F.col("__spans")))
+    out = keyed.join(passes.hint("merge"), same).withColumn(text, text_udf(_cut, "string")(F.col(text), F.col("__spans")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -19,7 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+
+from textgauge.llm.common import low_hash, sliced, text_udf, wide_share
 
 PASSAGE = 400
 #: Labelled documents a model is fitted on, at most (those with the smallest hash of their id), and passages of them.
@@ -154,8 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     with several labels counts with their greatest, null labels do not count, and a label without a
     document, or a document with a null text, is not used. With no labels at all every score is 0.5.
     """
-    known = labels.where(usable & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__label"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(fit_docs)
+    usable_labels = labels.where(usable & F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    few = low_hash(F.col(id_col), F.lit(wide_share(fit_docs, usable_labels.count())))
+    known = usable_labels.where(few).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__label"))
+    chosen = known.orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)), "__id").limit(fit_docs)
     sample = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # fit_docs rows at most
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,7 +182,7 @@ def score(docs: DataFrame, model: Attention, text: str = "text", to: str = "scor
     """`docs` with the probability of label 1 in column `to`, from the whole of each text; a null text scores as an empty one."""
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in sliced(batches):
             yield pa.array(model.scores([(t.as_py() or "").encode("utf-8", "replace") for t in texts]), pa.float64())
 
-    return docs.withColumn(to, arrow_udf(scored, "double")(F.col(text)))
+    return docs.withColumn(to, text_udf(scored, "double")(F.col(text)))

@@ -22,9 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from textgauge.llm.common import sliced, written
+from textgauge.llm.common import sliced, text_udf, written
 from textgauge.llm.components import connected_components
 
 SEED = 42
@@ -70,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
     """`docs` with the fingerprint of `text` as a signed long in column `to`; null and empty texts get 0."""
-    return docs.withColumn(to, arrow_udf(_fingerprints, "bigint")(F.col(text)))
+    return docs.withColumn(to, text_udf(_fingerprints, "bigint")(F.col(text)))
 
 
 def hex16(fp: Column) -> Column:
@@ -216,7 +215,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     Under a key of more than `hot` texts each is compared with `LEADERS` leaders only, others under
     each key; members of a large group of copies meet several of them.
     """
-    marked = written(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), arrow_udf(_long_fingerprints, _LONG)(F.col(text)).alias("f")).select("id", "f.fp", "f.keys"), "long-fps")
+    marked = written(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_udf(_long_fingerprints, _LONG)(F.col(text)).alias("f")).select("id", "f.fp", "f.keys"), "long-fps")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")), "nodes")
     filed = nodes.select("node", F.explode("keys").alias("key")).distinct()
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -241,8 +240,8 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Da
     """
     heads = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__head")).agg(F.count("*").alias("__rows"))
     heads = written(heads, "heads")
-    kept = docs.join(heads.where("__rows = 1"), docs[id_col] == F.col("__head"), "left_semi")
+    kept = docs.join(heads.where("__rows = 1").hint("merge"), docs[id_col] == F.col("__head"), "left_semi")
     if not heads.where("__rows > 1").isEmpty():
-        again = docs.join(heads.where("__rows > 1"), docs[id_col] == F.col("__head"), "left_semi")
+        again = docs.join(heads.where("__rows > 1").hint("merge"), docs[id_col] == F.col("__head"), "left_semi")
         kept = kept.union(again.dropDuplicates([id_col]))
     return kept.union(docs.where(F.col(id_col).isNull())).select(*docs.columns)

@@ -4,7 +4,7 @@ A gear hash rolls over the bytes (h = 2 h + gear[byte], of which the last `WINDO
 here); a word begins a new chunk where the hash of the bytes before it is the lowest among the
 `REACH` words on either side, for about one word in seven. Cuts depend on nothing but those words,
 so an insertion moves no cut further on, two copies of a passage are cut alike from some words on,
-and no chunk has fewer than `REACH` + 1 words but the last. Chunks are grouped by a 96-bit digest;
+and no chunk has fewer than `REACH` + 1 words but a text's first and last. Chunks are grouped by a 96-bit digest;
 one that stands in several documents belongs to the smallest id among them, and in the others runs
 of such chunks with `min_words` words or more are repeated passages.
 
@@ -22,9 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from textgauge.llm.common import discard, sliced, written
+from textgauge.llm.common import discard, sliced, text_udf, written
 
 WINDOW = 8
 REACH = 3
@@ -99,12 +98,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     without an id never owns a chunk; rows that share an id are one document. Exact copies are
     passages as long as the text.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), _text_key(text).alias("key"), arrow_udf(_chunked, _CHUNK)(F.col(text)).alias("c"))
+    keyed = docs.select(F.col(id_col).alias("id"), _text_key(text).alias("key"), text_udf(_chunked, _CHUNK)(F.col(text)).alias("c"))
     rows = keyed.select("id", "key", F.explode("c").alias("c")).select("id", "key", "c.*")
     table = written(rows, "chunks")
     shared = table.groupBy("h", "g").agg(F.min("id").alias("owner"), F.max("id").alias("other"), F.max(F.col("id").isNull()).alias("unnamed"))
     shared = shared.where((F.col("owner") < F.col("other")) | (F.col("unnamed") & F.col("owner").isNotNull()))
-    met = table.join(shared.select("h", "g", "owner"), ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("owner")))
+    met = table.join(shared.select("h", "g", "owner").hint("merge"), ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("owner")))
     by_text = Window.partitionBy("id", "key").orderBy("no")
     # rows that repeat a text and its id give every chunk as often; ranks and counts see it once
     runs = met.select("id", "key", "no", "a", "size", "n", "owner").withColumn("run", F.col("no") - F.dense_rank().over(by_text))
@@ -142,8 +141,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     spans = repeated_spans(docs, id_col, text, min_words)
     per = spans.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("first_byte", "last_byte")).alias("__cut"))
     keyed = docs.withColumn("__text_key", _text_key(text))
-    joined = keyed.join(per, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text_key").eqNullSafe(F.col("__key")), "left")
-    made = joined.withColumn("__new", F.when(F.col("__cut").isNull(), F.col(text)).otherwise(arrow_udf(_without, "string")(F.col(text), F.col("__cut"))))
+    joined = keyed.join(per.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text_key").eqNullSafe(F.col("__key")), "left")
+    made = joined.withColumn("__new", F.when(F.col("__cut").isNull(), F.col(text)).otherwise(text_udf(_without, "string")(F.col(text), F.col("__cut"))))
     made = made.where(F.col("__cut").isNull() | (F.col("__new") != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
