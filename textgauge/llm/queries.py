@@ -13,6 +13,8 @@ from textgauge.llm.common import crc_mod, table
 #: Where the tokenizer files lie; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
 TOKEN_LIMIT = 1024
+#: Words and pieces that a worker of the two token queries keeps: some 300 MB.
+REMEMBERED = 400_000
 QUALITY_FROM = 0.3
 
 
@@ -45,7 +47,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, cut_1024 (characters of the longest prefix within the limit)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = tokens.count_tokens(spark, docs, f"{TOKENIZERS}/byte_bpe_50k.json", (TOKEN_LIMIT,))
+    made = tokens.count_tokens(spark, docs, f"{TOKENIZERS}/byte_bpe_50k.json", (TOKEN_LIMIT,), remembered=REMEMBERED)
     return made.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > TOKEN_LIMIT).alias("over_limit"), f"tokens.cut_{TOKEN_LIMIT}")
 
 

@@ -14,6 +14,7 @@ prefix.
 
 from __future__ import annotations
 
+import gc
 import json
 import zlib
 from collections.abc import Iterator
@@ -23,12 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+
+from textgauge.llm.common import sliced, text_udf
 
 #: The pattern by which byte-level BPE of this kind cuts a text into pieces. A fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered by a worker, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,7 +62,7 @@ class PrefixCounter:
         self.old: dict[str, bytes | np.ndarray] = {}
         self.chunks: dict[str, bytes | np.ndarray] = {}
         self.old_chunks: dict[str, bytes | np.ndarray] = {}
-        self.state: dict[bytes, tuple[bytes, int]] = {}
+        self.state: dict[bytes, tuple[bytes, bytes]] = {}  # last token and counts of beginnings of pieces
         self.remembered = remembered
 
     def merge(self, piece: bytes) -> list[bytes]:
@@ -90,33 +92,48 @@ class PrefixCounter:
             known = self.beside[a, b] = self.merge(a + b) == [a, b]
         return known
 
-    def bytes_counts(self, piece: bytes) -> list[int]:
+    def bytes_counts(self, piece: bytes) -> bytes | list[int]:
         """The number of tokens of piece[:1], piece[:2], ... as the merges give them for each prefix alone."""
-        counts: list[int] = []
+        if len(piece) > 64:
+            return self._long_counts(piece)
         ids, endings, beside, state = self.ids, self.endings, self.beside, self.state
-        if len(state) > 4 * self.remembered:
+        if len(state) > 2 * self.remembered:
             state.clear()
-        done = [("", 0)]  # last token and count for each prefix; words that start alike share them
-        for end in range(1, len(piece) + 1):
-            known = state.get(head := piece[:end]) if end <= 64 else None
-            if known is None:
-                start, t = end - 1, piece[end - 1 : end]
-                while t in endings:
-                    if t in ids and (not start or (self._stand(done[start][0], t) if (ok := beside.get((done[start][0], t))) is None else ok)):
-                        known = (t, done[start][1] + 1)  # exactly one token fits
-                        break
-                    if not start:
-                        break
-                    start -= 1
-                    t = piece[start:end]
-                if known is None:
+        state[b""] = (b"", b"")
+        known = len(piece)
+        while piece[:known] not in state:  # words that start alike share what is known of their beginnings
+            known -= 1
+        counts = state[piece[:known]][1]
+        for end in range(known + 1, len(piece) + 1):
+            start, t = end - 1, piece[end - 1 : end]
+            while t in endings:
+                if t in ids:
+                    last = state[piece[:start]][0]
+                    if not start or (self._stand(last, t) if (ok := beside.get((last, t))) is None else ok):
+                        break  # exactly one token fits
+                start -= 1
+                if start < 0:
                     raise ValueError("a byte is missing from the vocabulary")
-                if end <= 64:
-                    state[head] = known
-            done.append(known)
-            counts.append(known[1])
+                t = piece[start:end]
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
+            counts += bytes((counts[start - 1] + 1 if start else 1,))
+            state[piece[:end]] = (t, counts)
         return counts
 
+    def _long_counts(self, piece: bytes) -> list[int]:
+        """As bytes_counts, for a piece that is not worth remembering."""
+        last, counts = [b""], [0]
+        for end in range(1, len(piece) + 1):
+            start = end - 1
+            while (t := piece[start:end]) not in self.ids or (start and not self._stand(last[start], t)):
+                start -= 1
+                if start < 0 or piece[start:end] not in self.endings:
+                    raise ValueError("a byte is missing from the vocabulary")
+            last.append(t)
+            counts.append(counts[start] + 1)
+        return counts[1:]
+
     def piece_counts(self, piece: str) -> bytes | np.ndarray:
         """As bytes_counts, at the ends of characters only; bytes where all counts fit in one."""
         raw = piece.encode("utf-8", "replace")
@@ -125,7 +142,7 @@ class PrefixCounter:
             ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in piece]) - 1
             counts = [counts[i] for i in ends]
         if len(piece) == 3 and piece in ("'re", "'ve", "'ll"):
-            counts[1] = counts[0] + self.bytes_counts(raw[1:2])[0]  # cut short it is no contraction
+            counts = [counts[0], counts[0] + self.bytes_counts(raw[1:2])[0], counts[2]]  # cut short it is no contraction
         return bytes(counts) if counts[-1] < 256 else np.array(counts, np.int32)
 
     def _recall(self, piece: str) -> bytes | np.ndarray:
@@ -160,7 +177,7 @@ class PrefixCounter:
                 known = self.new.get(piece) or self._recall(piece)  # short: bytes, never empty
                 out += bytes([base + n for n in known]) if base else known
             return bytes(out)
-        return self.piece_counts(chunk)
+        return self.new.get(chunk) or self._recall(chunk)
 
     def _joined(self, counts: list[bytes | np.ndarray]) -> np.ndarray:
         """Counts of the prefixes of a text, from those of the pieces that follow one another."""
@@ -219,44 +236,51 @@ class PrefixCounter:
 _counters: dict[int, PrefixCounter] = {}
 
 
-def _counter(vocabulary: bytes) -> PrefixCounter:
+def _counter(vocabulary: bytes, remembered: int = REMEMBERED) -> PrefixCounter:
     """One counter for each vocabulary in a worker."""
     key = zlib.crc32(vocabulary)
     if key not in _counters:
         _counters[key] = PrefixCounter(vocabulary)
+    _counters[key].remembered = remembered
     return _counters[key]
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, limits: tuple[int, ...] = (1024,), text: str = "text", to: str = "tokens", keep_prefixes: bool = False) -> DataFrame:
+def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, limits: tuple[int, ...] = (1024,), text: str = "text", to: str = "tokens", keep_prefixes: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """`docs` with a struct column `to`, filled from the prefix counts of `text`.
 
     Its fields: n_bytes and n_tokens of the whole text; cut_<limit>, for each limit the number of
     characters of the longest prefix that has at most so many tokens; with keep_prefixes also
     prefix_tokens, the counts of every prefix. A null text counts as an empty one: zeros and no
     prefixes. Extra columns and repeated rows pass through. The vocabulary file is read on the
-    driver and its bytes (a few MB) are broadcast.
+    driver and its bytes (a few MB) are broadcast. `remembered` bounds the pieces a worker keeps.
     """
     with open(tokenizer, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     fields = ["n_bytes bigint", "n_tokens bigint", *(f"cut_{k} bigint" for k in limits), *["prefix_tokens array<int>"] * keep_prefixes]
 
-    @arrow_udf(f"struct<{','.join(x.replace(' ', ':') for x in fields)}>")
-    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = _counter(shared.value)
-        for texts in batches:
-            rows, prefixes = [], []
-            for t in texts:
-                t = t.as_py() or ""
-                counts = counter.prefix_counts(t)
-                n = int(counts[-1]) if len(counts) else 0
-                # prefix counts can dip where a longer prefix merges better, so the longest one is the last that fits
-                cuts = [len(counts) if n <= k else int(len(counts) - np.argmax(counts[::-1] <= k)) if (counts <= k).any() else 0 for k in limits]
-                rows.append([len(t.encode("utf-8", "replace")), n, *cuts])
-                if keep_prefixes:
-                    prefixes.append(counts.astype(np.int32))
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (2 + len(limits)))]
+    def measured(counter: PrefixCounter, texts: pa.Array) -> pa.Array:
+        rows, prefixes = [], []
+        for t in texts:
+            t = t.as_py() or ""
+            counts = counter.prefix_counts(t)
+            n = int(counts[-1]) if len(counts) else 0
+            # prefix counts can dip where a longer prefix merges better, so the longest one is the last that fits
+            cuts = [len(counts) if n <= k else int(len(counts) - np.argmax(counts[::-1] <= k)) if (counts <= k).any() else 0 for k in limits]
+            rows.append([len(t.encode("utf-8", "replace")), n, *cuts])
             if keep_prefixes:
-                columns.append(pa.array(prefixes, pa.list_(pa.int32())))
-            yield pa.StructArray.from_arrays(columns, names=[f.split()[0] for f in fields])
+                prefixes.append(counts.astype(np.int32))
+        columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (2 + len(limits)))]
+        if keep_prefixes:
+            columns.append(pa.array(prefixes, pa.list_(pa.int32())))
+        return pa.StructArray.from_arrays(columns, names=[f.split()[0] for f in fields])
 
-    return docs.withColumn(to, counted(F.col(text)))
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = _counter(shared.value, remembered)
+        gc.disable()  # nothing here makes cycles, and the remembered pieces would be walked again and again
+        try:
+            for texts in sliced(batches):
+                yield measured(counter, texts)
+        finally:
+            gc.enable()
+
+    return docs.withColumn(to, text_udf(counted, f"struct<{','.join(x.replace(' ', ':') for x in fields)}>")(F.col(text)))
