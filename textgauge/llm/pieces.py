@@ -13,19 +13,23 @@ words seen before are remembered.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+
+from textgauge.llm.common import sliced, text_udf
 
 MARK = "▁"
-REMEMBERED = 300_000
+#: Words remembered by a worker, in each of two generations of some 200 bytes a word.
+REMEMBERED = 120_000
 UNKNOWN_PENALTY = 10.0
 #: Kinds of pieces in a model file: ordinary, unknown, control, user-defined, unused, byte.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -97,11 +101,17 @@ class Pieces:
         self.unknown = self.lowest - UNKNOWN_PENALTY
         self.unk_id = self.kinds.index(UNKNOWN)
         self.bytes = {int(self.names[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
-        self.trie = double_array([self.names[i].encode() for i in live], live)
+        self.trie = double_array([self.names[i].encode()[::-1] for i in live], live)  # read backwards from the end of a piece
+        self.state: dict[bytes, tuple[float, int, int]] = {}  # best score, begin of the last piece and its id, for beginnings of words
+        self.single = {x for i in live if len(x := self.names[i].encode()) <= 4 and len(self.names[i]) == 1}
+        # marks that no piece has behind a letter or digit: a path never crosses from a word to one
+        behind = {b for i in live for a, b in zip(self.names[i], self.names[i][1:]) if a.isalnum()}
+        self.after_words = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in behind)
+        self.tails: dict[str, bytes] = {}
         self.decoded = [self._raw(i) for i in range(len(self.names))]
         self.remembered = remembered
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.new: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.old: dict[str, bytes] = {}
 
     def _raw(self, i: int) -> bytes:
         if self.kinds[i] == BYTE:
@@ -111,37 +121,46 @@ class Pieces:
         return " ⁇ ".encode() if self.kinds[i] == UNKNOWN else self.names[i].replace(MARK, " ").encode()
 
     def best_path(self, word: str) -> list[int]:
-        """The ids of the best segmentation of a marked word."""
+        """The ids of the best segmentation of a marked word.
+
+        The best path to a place in a word depends only on what stands before it, so words that
+        begin alike share it; from there each further end is reached by the pieces that end there.
+        """
         raw = word.encode("utf-8", "replace")
         base, check, value = self.trie
         scores, n = self.scores, len(raw)
-        best: list[float | None] = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        best[0] = 0.0
-        at = 0
-        while at < n:
-            lead = raw[at]
-            size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            here, whole, state, end = best[at], False, 0, at
-            while end < n:
-                b = raw[end]
-                to = base[state] + b
-                if check[to] != state or not to:
+        state = self.state if n <= 64 else {}
+        if len(state) > self.remembered:
+            state.clear()
+        state[b""] = (0.0, 0, -1)
+        known = n
+        while raw[:known] not in state:
+            known -= 1
+        for end in range(known + 1, n + 1):
+            if end < n and raw[end] & 0xC0 == 0x80:
+                continue  # inside a character
+            best, node, at = None, 0, end
+            lead = end - 1
+            while raw[lead] & 0xC0 == 0x80:
+                lead -= 1
+            while at:
+                at -= 1
+                to = base[node] + raw[at]
+                if check[to] != node or not to:
                     break
-                state, end = to, end + 1
-                if (piece := value[state]) >= 0:
-                    score = here + scores[piece]
-                    if best[end] is None or score > best[end]:
-                        best[end], back[end] = score, (at, piece)
-                    whole |= end - at == size
-            if not whole:
-                end, score = at + size, here + self.unknown
-                if best[end] is None or score > best[end]:
-                    best[end], back[end] = score, (at, -1)
-            at += size
+                node = to
+                if (piece := value[node]) >= 0:
+                    score = state[raw[:at]][0] + scores[piece]
+                    if best is None or score >= best[0]:
+                        best = (score, at, piece)
+            if best is None or raw[lead:end] not in self.single:
+                score = state[raw[:lead]][0] + self.unknown
+                if best is None or score > best[0]:
+                    best = (score, lead, -1)
+            state[raw[:end]] = best
         out, at = [], n
         while at:
-            start, piece = back[at]
+            _, start, piece = state[raw[:at]]
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
@@ -151,10 +170,10 @@ class Pieces:
             at = start
         return out[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text, no begin or end marks; none for null and empty texts."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         words = text.replace(MARK, " ").split(" ")
         if "" in words:
             joined, marks = [], ""
@@ -167,24 +186,32 @@ class Pieces:
             words = joined + ([marks[1:]] if marks else [])
         found = list(map(self.new.get, words))
         if None in found:
-            new, recall = self.new, self._marked
+            recall = self._marked
             found = [recall(w) if f is None else f for f, w in zip(found, words, strict=True)]
-        out: list[int] = []
-        for f in found:
-            out += f
-        return out
+        return np.frombuffer(b"".join(found), np.int32)
 
-    def _marked(self, word: str) -> list[int]:
-        """As _recall, for a word without its own first marker, under which it is remembered."""
+    def _marked(self, word: str) -> bytes:
+        """The best path of a word without its own first marker, under which it is remembered."""
         if (known := self.old.get(word)) is None:
-            parts = [p for p in _LINES.split(MARK + word) if p]
-            known = [i for p in parts for i in self.best_path(p)]
+            head = word.rstrip(self.after_words)
+            if head and len(head) < len(word) and head[-1].isalnum():
+                tail = word[len(head) :]
+                if (end := self.tails.get(tail)) is None:
+                    end = self._path([tail])
+                    if len(self.tails) < 10_000:
+                        self.tails[tail] = end
+                known = (self.new.get(head) or self._marked(head)) + end
+            else:
+                known = self._path([p for p in _LINES.split(MARK + word) if p])
         if len(word) <= 64:
             if len(self.new) >= self.remembered:
                 self.old, self.new = self.new, {}
             self.new[word] = known
         return known
 
+    def _path(self, parts: list[str]) -> bytes:
+        return array("i", [i for p in parts for i in self.best_path(p)]).tobytes()
+
     def decode(self, ids) -> str:
         """The text of ids: markers to spaces, runs of byte pieces to characters, the first space off."""
         text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
@@ -202,41 +229,48 @@ def zipf(rank: float) -> float:
 _models: dict[int, Pieces] = {}
 
 
-def _model(raw: bytes) -> Pieces:
+def _model(raw: bytes, remembered: int = REMEMBERED) -> Pieces:
     key = zlib.crc32(raw)
     if key not in _models:
         _models[key] = Pieces(raw)
+    _models[key].remembered = remembered
     return _models[key]
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, model: str, text: str = "text", to: str = "pieces") -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, model: str, text: str = "text", to: str = "pieces", remembered: int = REMEMBERED) -> DataFrame:
     """`docs` with a struct column `to`: ids, n_tokens, n_fallback (byte pieces) and round_trip.
 
     round_trip says whether decoding the ids gives the text again; it does unless the text holds
     the marker character itself or no valid Unicode. Null and empty texts have no ids. The model file is read on
-    the driver and broadcast (a few MB).
+    the driver and broadcast (a few MB). `remembered` bounds the words a worker keeps.
     """
     with open(model, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
+    def measured(pieces: Pieces, low: np.ndarray, texts: pa.Array) -> pa.Array:
+        flat, ends, fallback, same = [], [0], [], []
+        for t in texts:
+            t = t.as_py() or ""
+            ids = pieces.encode(t)
+            same.append(pieces.decode(ids.tolist()) == t)
+            flat.append(ids)
+            ends.append(ends[-1] + len(ids))
+            fallback.append(int(low[ids].sum()))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(np.diff(ends), pa.int64()), pa.array(fallback, pa.int64()), pa.array(same, pa.bool_())], names=["ids", "n_tokens", "n_fallback", "round_trip"])
+
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = _model(shared.value)
+        pieces = _model(shared.value, remembered)
         low = np.zeros(len(pieces.kinds), bool)
         low[list(pieces.bytes.values())] = True
-        for texts in batches:
-            flat, ends, fallback, same = [], [0], [], []
-            for t in texts:
-                t = t.as_py() or ""
-                ids = pieces.encode(t)
-                same.append(pieces.decode(ids) == t)
-                ids = np.array(ids, np.int32)
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids))
-                fallback.append(int(low[ids].sum()))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-            yield pa.StructArray.from_arrays([lists, pa.array(np.diff(ends), pa.int64()), pa.array(fallback, pa.int64()), pa.array(same, pa.bool_())], names=["ids", "n_tokens", "n_fallback", "round_trip"])
-
-    return docs.withColumn(to, arrow_udf(encoded, "struct<ids:array<int>,n_tokens:bigint,n_fallback:bigint,round_trip:boolean>")(F.col(text)))
+        gc.disable()  # nothing here makes cycles, and the remembered words would be walked again and again
+        try:
+            for texts in sliced(batches):
+                yield measured(pieces, low, texts)
+        finally:
+            gc.enable()
+
+    return docs.withColumn(to, text_udf(encoded, "struct<ids:array<int>,n_tokens:bigint,n_fallback:bigint,round_trip:boolean>")(F.col(text)))
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
@@ -249,4 +283,4 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, model: str, ids: s
         for lists in batches:
             yield pa.array([None if x is None else pieces.decode([i for i in x if i is not None]) for x in lists.to_pylist()], pa.string())
 
-    return encoded.withColumn(to, arrow_udf(decoded, "string")(F.col(ids)))
+    return encoded.withColumn(to, text_udf(decoded, "string")(F.col(ids)))

@@ -40,7 +40,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_fallback, round_trip, ids for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = pieces.encode_documents(spark, docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    made = pieces.encode_documents(spark, docs, f"{TOKENIZERS}/piece_bpe_32k.model", remembered=REMEMBERED)
     return made.select("doc_id", "pieces.n_tokens", "pieces.n_fallback", "pieces.round_trip", "pieces.ids")
 
 
