@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: Rows of an Arrow batch where texts go to Python.
+#: Rows of a batch of texts.
 TEXT_ROWS = 512
 
 #: Words are runs of anything but ASCII white space; the same class in Java, RE2 and Python.
@@ -56,12 +56,20 @@ def wide_share(wanted: int, total: int) -> float:
     return 1.0 if total <= 4 * wanted + 64 else (2 * wanted + 64) / total
 
 
+def hold_batches(spark: SparkSession) -> None:
+    """Holds Spark's batches of rows to TEXT_ROWS from here on, in the Parquet reader and on the way to Python.
+
+    Documents are large: the reader's vectors, the Arrow buffers outside the heap and the Python
+    worker each hold a whole batch.
+    """
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(name)) > TEXT_ROWS:
+            spark.conf.set(name, str(TEXT_ROWS))
+
+
 def text_udf(f, ddl: str):
-    """An Arrow function over texts. Spark's batches are held to TEXT_ROWS rows from here on: documents are
-    large, and both the JVM and the Python worker hold whole batches outside the heap."""
-    spark = SparkSession.active()
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    """An Arrow function over texts."""
+    hold_batches(SparkSession.active())
     return arrow_udf(f, ddl)
 
 

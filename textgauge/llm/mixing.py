@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import sliced, text_udf, WORD, written
+from textgauge.llm.common import hold_batches, sliced, text_udf, WORD, written
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -108,6 +108,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, block_words: int = BLOCK_WORDS, seed: int = SEED):
         spark = docs.sparkSession
+        hold_batches(spark)
         words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
         sized = written(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("tie"), words.alias("size")), "sizes")
         per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
