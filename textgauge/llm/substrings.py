@@ -142,7 +142,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     per = spans.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("first_byte", "last_byte")).alias("__cut"))
     keyed = docs.withColumn("__text_key", _text_key(text))
     joined = keyed.join(per.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text_key").eqNullSafe(F.col("__key")), "left")
-    made = joined.withColumn("__new", F.when(F.col("__cut").isNull(), F.col(text)).otherwise(text_udf(_without, "string")(F.col(text), F.col("__cut"))))
+    # only texts that lose something go to Python, and once: a filter on what comes back must not run it again
+    left = text_udf(_without, "string").asNondeterministic()(F.when(F.col("__cut").isNotNull(), F.col(text)), F.col("__cut"))
+    made = joined.withColumn("__new", left).withColumn("__new", F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.col("__new")))
     made = made.where(F.col("__cut").isNull() | (F.col("__new") != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
