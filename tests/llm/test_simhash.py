@@ -129,3 +129,49 @@ def test_keep_first(spark):
         ids = [r.doc_id for r in kept.select("doc_id").collect()]
         assert sorted(i for i in ids if i is not None) == [1, 2, 4, 7, 8, 9, 10] and ids.count(None) == 2
     assert simhash.keep_first(empty(spark), simhash.similar_documents(empty(spark))).count() == 0
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_components(rows):
+    root = {i: i for i, _ in rows}
+    sets = [(i, shingles(t)) for i, t in rows]
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {i: top(i) for i in root}
+
+
+def components_of(spark, rows, **how):
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+
+
+@pytest.mark.parametrize("kind", ["loose", "mixed"])
+def test_similar_documents_among_many_looser_variants(spark, kind):
+    rng = random.Random(9)
+    base = [f"w{j}" for j in range(300)]
+
+    def variant(words, tag, n):
+        out = list(words)
+        for at in rng.sample(range(300), n):
+            out[at] = f"{tag}x{at}" if kind == "loose" else f"y{at}"
+        return out
+
+    texts = [variant(base, f"v{i}", 24) for i in range(400)]
+    planted = variant(base, "p", 24)
+    texts[200:206] = [variant(planted, f"q{i}", 3) for i in range(6)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_components(rows)
+    assert len({want[i] for i in range(200, 206)}) < 6 and len(set(want.values())) > 300
+    assert components_of(spark, rows, hot=16) == want

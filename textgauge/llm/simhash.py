@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import sliced, text_udf, written
+from textgauge.llm.common import discard, low_hash, sliced, text_udf, wide_share, written
 from textgauge.llm.components import connected_components
 
 SEED = 42
@@ -142,95 +142,224 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: What `similar_documents` does: words a shingle, bits of the long fingerprint, those that may differ,
-#: sections compared, and how many documents of one key are compared with each other or with leaders.
-WIDTH, PARTS, MOST_BITS, SECTIONS, HOT, LEADERS = 5, 16, 168, 12, 64, 4
+#: What `similar_documents` does: words a shingle, how many texts of one key are compared pair by pair, leaders that
+#: spare a larger key most pairs, texts of a block, and the bits of a shingle's hash that texts are filed under.
+WIDTH, HOT, LEADERS, BLOCK, FILED = 5, 64, 4, 128, (1 << 40) - 1
+#: Texts counted at least for the order of prefixes, buckets of shingles, and how many of them are held.
+SAMPLE, BUCKETS, COMMON = 20_000, 1 << 24, 1 << 20
 
 
-def _mixed(x: np.ndarray, turn: int) -> np.ndarray:
-    """Further 64-bit hashes from one (the finaliser of splitmix64)."""
-    x = x + np.uint64((0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def long_fingerprint(text: str | None) -> tuple[list[int], list[int]]:
-    """A SimHash of 1,024 bits over a text's set of five-word shingles, and the keys of its sections.
-
-    Shingles are dealt by hash over as many sections as leave two to eight in each, at two
-    granularities, so that texts whose numbers of shingles differ by up to a quarter share one. The
-    key of a section is the SimHash of its shingles: two texts of similarity 0.8 agree on a section
-    with a chance of a third or more, and so on one of `SECTIONS` with 99 in 100.
-    """
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's different five-word shingles; a shorter text is one shingle, no words are none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * PARTS, [0]
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= WIDTH:
-        shingles = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - WIDTH + 1].tolist()
-        shingles = np.unique(np.fromiter((digest(joined[a:z], SEED) for a, z in zip(starts, ends[WIDTH - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
-    fp = []
-    for turn in range(PARTS):
-        ones = sum((_ones(_mixed(shingles[at : at + STEP], turn)) for at in range(0, len(shingles), STEP)), np.zeros(64, np.int64))
-        fp.append(int(np.packbits(2 * ones > len(shingles)).view(">i8")[0]))
-    keys, place, fine = [], _mixed(shingles, PARTS), max(0, int(np.log2(len(shingles) / 4)) if len(shingles) > 4 else 0)
-    for level in (fine, fine + 1):
-        section = place & np.uint64((1 << level) - 1)
-        chosen = np.flatnonzero(section < SECTIONS)
-        chosen = chosen[np.argsort(section[chosen], kind="stable")]
-        if len(chosen):
-            of = section[chosen]
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            n = np.diff(np.append(first, len(chosen)))
-            ones = np.add.reduceat(_bits(shingles[chosen]), first, axis=0, dtype=np.int64)
-            sims = np.packbits(2 * ones > n[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
-            keys.append(_mixed(sims ^ (of[first] << np.uint64(8) | np.uint64(level)), PARTS + 1).view(np.int64))
-    return fp, np.concatenate(keys).tolist() if keys else []
-
-
-_LONG = "struct<fp:array<bigint>,keys:array<bigint>>"
-
-
-def _long_fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return np.array([digest(joined, SEED)] if words else [], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - WIDTH + 1].tolist()
+    hashes = np.fromiter((digest(joined[a:z], SEED) for a, z in zip(starts, ends[WIDTH - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.unique(hashes.view(np.int64))
+
+
+def prefix_length(n: int | Column) -> int | Column:
+    """Sets of similarity 0.8 share one of their first so many members in any order that all sets have: n - ceil(0.8 n) + 1."""
+    return F.floor(n / 5).cast("int") + 1 if isinstance(n, Column) else n // 5 + 1
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.array([], np.int64), pa.int64()))
+
+
+def _key(shingles: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+
+
+def _marks(common: tuple[np.ndarray, np.ndarray]):
+    def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in sliced(batches):
+            sets = [shingle_set(t.as_py()) for t in texts]
+            keys = np.concatenate([_key(x) for x in sets]).reshape(-1, 2)
+            first = _lists([prefix(x, common) & FILED for x in sets])
+            yield pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(x) for x in sets], pa.int32()), first], names=["k1", "k2", "n", "first"])
+
+    return marks
+
+
+def _shingle_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in sliced(batches):
+        yield _lists([shingle_set(t.as_py()) for t in texts])
+
+
+def _keyed_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in sliced(batches):
-        with np.errstate(over="ignore"):
-            rows = [long_fingerprint(t.as_py()) for t in texts]
-        fps, keys = zip(*rows) if rows else ((), ())
-        kind = pa.list_(pa.int64())
-        yield pa.StructArray.from_arrays([pa.array(fps, kind), pa.array(keys, kind)], names=["fp", "keys"])
+        sets = [shingle_set(t.as_py()) for t in texts]
+        yield pa.StructArray.from_arrays([pa.array([_key(x)[0] for x in sets], pa.int64()), _lists(sets)], names=["k1", "s"])
+
+
+def _members(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    node, comp, sets = block.values.flatten()
+    return node.to_numpy(), comp.to_numpy(), sets.value_lengths().to_numpy(), sets.flatten().to_numpy()
+
+
+def _common(one: tuple, two: tuple) -> np.ndarray:
+    """How many shingles each set of one block has in common with each of another."""
+    both = np.intersect1d(one[3], two[3])
+    sides = []
+    for _, _, sizes, flat in (one, two):
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        known = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        sides.append((np.repeat(np.arange(len(sizes)), sizes)[known], at[known], len(sizes)))
+    out = np.zeros((sides[0][2], sides[1][2]), np.float32)
+    for low in range(0, len(both), 4096):
+        dense = []
+        for row, column, n in sides:
+            here = (column >= low) & (column < low + 4096)
+            x = np.zeros((n, min(4096, len(both) - low)), np.float32)
+            x[row[here], column[here] - low] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def block_links(one: tuple, two: tuple) -> list[tuple[int, int]]:
+    """Pairs of similarity 0.8 or more between two blocks, as many as join the components that such pairs join."""
+    sizes = one[2].astype(np.int64)[:, None] + two[2].astype(np.int64)[None, :]
+    found = np.argwhere((9 * _common(one, two) >= 4 * sizes) & (one[1][:, None] != two[1][None, :]))
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for i, j in found.tolist():
+        a, b = top(int(one[1][i])), top(int(two[1][j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(one[0][i]), int(two[0][j])))
+    return out
+
+
+def _block_links(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("other", pa.int64())]))
+    for ones, twos in batches:
+        yield pa.array([[{"node": a, "other": b} for a, b in block_links(_members(x), _members(y))] for x, y in zip(ones, twos, strict=True)], kind)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, hot: int = HOT) -> DataFrame:
+def common_shingles(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of shingles that are frequent in a sample of the texts `t`, and how often each was met there.
+
+    They settle the order in which prefixes are taken, and so only how many texts meet, not which are alike.
+    """
+    share = max(1 / 16, wide_share(SAMPLE, named.count()))
+    some = named.where(low_hash(F.col("id"), F.lit(share))).select(F.explode(text_udf(_shingle_sets, "array<bigint>")(F.col("t"))).alias("s"))
+    counts = some.groupBy(F.col("s").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).where("n > 2")
+    counts = written(counts, "common")
+    least, left = 3, COMMON
+    for n, many in sorted(((r.n, r.many) for r in counts.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True):
+        left -= many
+        if left < 0:
+            least = n + 1
+            break
+    got = counts.where(F.col("n") >= least).toArrow()
+    discard(counts)
+    buckets, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+    by = np.argsort(buckets)
+    return buckets[by], n[by]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, as many as `prefix_length`, by one order for all sets: the rarest first, then by hash."""
+    buckets, n = common
+    size = prefix_length(len(shingles))
+    if not len(buckets):
+        return shingles[:size]
+    own = shingles & (BUCKETS - 1)
+    at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
+    return shingles[np.lexsort((shingles, np.where(buckets[at] == own, n[at], 0)))[:size]]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (node, other) whose sets have a similarity of 0.8 or more."""
+    one, two = sets.select("node", "n", "s"), sets.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
+    joined = pairs.join(one, "node").join(two, "other").where((5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n")))
+    return joined.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.col("n") + F.col("m"))).select("node", "other").distinct()
+
+
+def _rest(many: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Links (node, other) between texts that share a key in `many` and that `links` leaves in different components, or None.
+
+    Texts are compared by blocks within families, which are joined by shared keys; blocks whose sizes
+    differ too much, or that lie in one component, are not. What is left takes the square of a family.
+    """
+    tree = connected_components(links, "node", "other")
+    placed = written(many.select("key", "node").join(tree, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("node").alias("other")).where("a < b").select("key", "other")
+    left = written(placed.join(open_keys, "key"), "open")
+    if left.isEmpty():
+        return None
+    family = connected_components(left.select("node", "other"), "node", "other").withColumnRenamed("component", "family")
+    nodes = left.select("node", "comp").distinct().join(family, "node").join(sets, "node")
+    order = Window.partitionBy("family").orderBy("n", "node")
+    place = nodes.select("family", "node", "n").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    member = F.struct("node", "comp", "s")
+    blocks = nodes.join(place.select("node", "n", "block"), ["node", "n"]).groupBy("family", "block")
+    blocks = written(blocks.agg(F.collect_list(member).alias("all"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d")), "members")
+    one = blocks.select("family", *(F.col(c).alias(f"{c}1") for c in ("block", "all", "low", "high", "c", "d")))
+    two = blocks.select("family", *(F.col(c).alias(f"{c}2") for c in ("block", "all", "low", "high", "c", "d")))
+    meet = one.join(two, "family").where("block1 <= block2 and 5 * high1 >= 4 * low2 and not (c1 = d1 and c2 = d2 and c1 = c2)")
+    kind = "array<struct<node:bigint,other:bigint>>"
+    found = meet.repartition(F.col("block1"), F.col("block2")).select(F.explode(text_udf(_block_links, kind)("all1", "all2")).alias("l"))
+    return found.select("l.node", "l.other")
+
+
+def _release(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of plans that are done with: it does so when the driver's JVM collects them."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row per row with an id: id_col and component_id, over texts whose five-word shingles are similar by 0.8 or more.
 
-    Of the 1,024 bits of the fingerprint some 155 differ where the similarity is 0.8, give or take 11,
-    and 197 where it is 0.7; `most_bits` lies between. It is cut into sections by shingles, not by
-    bits, as every bit depends on the whole text and texts of that similarity have no run of
-    selective length in common: texts meet where a section's key is the same and are linked if their
-    fingerprints differ in `most_bits` bits or fewer. Texts with one fingerprint are folded first.
-    Under a key of more than `hot` texts each is compared with `LEADERS` leaders only, others under
-    each key; members of a large group of copies meet several of them.
+    Exact: every pair of that Jaccard similarity is in one component, and every link is such a pair.
+    Texts with one set of shingles are folded first. Two sets of that similarity share a member of
+    their prefixes (see `prefix_length`); texts meet there and are compared by their whole sets. Common
+    shingles come last in the order, so that texts with shingles of their own meet few others. Under a
+    key of more than `hot` texts each is compared with leaders, and what these do not join is compared
+    block by block.
     """
-    marked = written(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_udf(_long_fingerprints, _LONG)(F.col(text)).alias("f")).select("id", "f.fp", "f.keys"), "long-fps")
-    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")), "nodes")
-    filed = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(filed.join(shared, "key"), "sections")
-    few, many = rows.where(F.col("n") <= hot).select("key", "node"), rows.where(F.col("n") > hot).select("key", "node")
-    pairs = few.join(few.select("key", F.col("node").alias("other")), "key").where("node < other").select("node", "other")
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+    marked = written(named.select("id", text_udf(_marks(common_shingles(named)), "struct<k1:bigint,k2:bigint,n:int,first:array<bigint>>")(F.col("t")).alias("f")).select("id", "f.*"), "marks")
+    nodes = written(marked.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("size")), "nodes")
+    heads = nodes.select("node", "size").distinct()
+    filed = marked.select(F.col("id").alias("node"), F.explode("first").alias("key"))
+    shared = filed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    filed_rows = written(filed.join(shared.hint("merge"), "key").join(heads, "node").distinct(), "filed")
+    rows = written(filed_rows.join(filed_rows.groupBy("key").agg(F.countDistinct("node").alias("n")).where("n > 1"), "key"), "sections")
+    discard(filed_rows)
+    _release(rows)
+    few, many = rows.where(F.col("n") <= hot), rows.where(F.col("n") > hot).select("key", "node")
+    pairs = few.join(few.select("key", F.col("node").alias("other"), F.col("size").alias("other_size")), "key")
+    pairs = pairs.where("node < other and 5 * size >= 4 * other_size and 5 * other_size >= 4 * size").select("node", "other")
     for turn in range(LEADERS):
         lead = many.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("other"))
-        pairs = pairs.union(many.join(lead, "key").where("node <> other").select("node", "other"))
-    one, two = nodes.select("node", "fp"), nodes.select(F.col("node").alias("other"), F.col("fp").alias("other_fp"))
-    apart = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("other_fp")[i])) for i in range(1, PARTS)), F.bit_count(F.col("fp")[0].bitwiseXOR(F.col("other_fp")[0])))
-    links = pairs.distinct().join(one, "node").join(two, "other").where(apart <= most_bits).select("node", "other")
+        pairs = pairs.union(many.join(lead, "key").where("node <> other").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")))
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = pairs.select("node").union(pairs.select("other")).union(many.select("node")).distinct()
+    # the text that names a node only, where rows share an id
+    wanted = wanted.join(nodes.select("node", F.col("k1").alias("__k1")), "node")
+    sets = named.join(wanted.hint("merge"), named.id == F.col("node")).select("node", "__k1", text_udf(_keyed_sets, "struct<k1:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
+    sets = written(sets.where("f.k1 = __k1").select("node", F.size("f.s").alias("n"), "f.s"), "sets")
+    _release(sets)
+    links = written(_alike(pairs, sets), "links")
+    _release(links)
+    if not many.isEmpty() and (more := _rest(many, sets, links)) is not None:
+        links = links.union(more)
     tree = connected_components(links, "node", "other")
-    named = nodes.join(tree.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+    named = nodes.join(tree.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("id", "k1", "k2").join(named, ["k1", "k2"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
