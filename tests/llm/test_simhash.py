@@ -157,6 +157,22 @@ def components_of(spark, rows, **how):
     return {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
 
 
+def test_similar_documents_are_those_of_similarity_0_8(spark):
+    rng, rows = random.Random(5), []
+    for i in range(150):  # n words and one more, or one less at either end: similarities on both sides of 0.8
+        words = [f"d{i}w{j}" for j in range(6 + i % 20)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words, "more"])), (3 * i + 2, " ".join(["less", *words[1:]]))]
+    for i in range(150, 210):
+        words = [f"d{i}w{j}" for j in range(rng.randrange(60, 250))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 45)):
+            other[at] = f"n{at}"
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(other))]
+    want = brute_components(rows)
+    assert 60 < sum(want[i] != i for i in want) < 300
+    assert components_of(spark, rows) == want
+
+
 @pytest.mark.parametrize("kind", ["loose", "mixed"])
 def test_similar_documents_among_many_looser_variants(spark, kind):
     rng = random.Random(9)
