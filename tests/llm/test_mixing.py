@@ -23,12 +23,37 @@ def test_permutations_are_bijections():
 
 
 def test_shards_owe_nothing():
-    rows = mixing.draw_shards([500, 20, 0, 3], 7)
+    rows = mixing.draw_shards([500, 20, 0, 3], [75] * 6 + [73])
     for s, n in enumerate([500, 20, 0, 3]):
         own = sorted((f, c) for _, x, f, c in rows if x == s)
         assert sum(c for _, c in own) == n and [f for f, _ in own] == np.cumsum([0, *(c for _, c in own)])[: len(own)].tolist()
-    per = [sum(c for sh, _, _, c in rows if sh == k) for k in range(7)]
-    assert max(per) - min(per) <= 1
+    assert [sum(c for sh, _, _, c in rows if sh == k) for k in range(7)] == [75] * 6 + [73]
+
+
+def test_every_shard_has_the_stated_size_however_many(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 8)
+    mix = mixing.Mix(documents(spark), block_words=4)
+    per = {r.shard: r.n for r in mix.slots.groupBy("shard").count().withColumnRenamed("count", "n").collect()}
+    total = sum(per.values())
+    assert len(per) == -(-total // 8) > 500 and sorted(per) == list(range(len(per)))
+    assert [per[k] for k in sorted(per)] == [8] * (total // 8) + [total % 8] * (total % 8 > 0)
+    slots = [tuple(r) for r in mix.slots.select("source_no", "slot").collect()]
+    by = {}
+    for source, slot in slots:
+        by.setdefault(source, []).append(slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_offsets_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 5)
+    monkeypatch.setattr(mixing, "GROUP_BUCKETS", 4)
+    rows = mixing.Mix(documents(spark)).docs.where("size > 0").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source_no, []).append((r.start, r.size))
+    for spans in by.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
 
 
 def documents(spark):

@@ -6,8 +6,12 @@ multinomial over what the sources still owe; a source's i-th slot takes the bloc
 permutation of its block numbers sends i modulo their number, with a new permutation for each pass.
 Slots and blocks then meet in a join by (source, block).
 
-Offsets in a source come from two levels of running sums (within a bucket of some thousand
-documents, then over the buckets), so that no task holds a whole source.
+The shards are divided into ranges, about as many as a range has shards: the driver draws what each
+range takes of each source, and one task a range draws what its shards take. Their number is not
+bounded.
+
+Offsets in a source come from three levels of running sums (within a bucket of some thousand
+documents, over the buckets of a group, over the groups), so that no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -16,20 +20,23 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import hold_batches, sliced, text_udf, WORD, written
+from textgauge.llm.common import sliced, text_udf, WORD, written
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-MAX_SHARDS = 10_000
+#: Numbers of slots drawn on the driver at most; they settle into how many ranges the shards are divided there.
+MAX_DRAWN = 1_000_000
 #: Sources whose sums come to the driver, at most; more are refused, none is dropped.
 MAX_SOURCES = 100_000
 BUCKET_DOCS = 2_000
+GROUP_BUCKETS = 1024
 SEED = 20_240_607
 
 
@@ -51,12 +58,11 @@ def fill_targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: flo
         capped.update(over)
 
 
-def draw_shards(slots: list[int], shards: int, seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot of the source, number of slots); a source's slots add up to what it owes."""
+def draw_shards(slots: list[int], rooms: list[int], seed: int | list[int] = SEED) -> list[tuple[int, int, int, int]]:
+    """(shard, source, first slot of the source, number of slots) for shards of `rooms` slots; a source's slots add up to what it owes."""
     rng, left, out = np.random.default_rng(seed), np.array(slots, np.int64), []
     given = np.zeros_like(left)
-    for shard in range(shards):
-        room = int(left.sum()) - int(left.sum()) * (shards - shard - 1) // (shards - shard)
+    for shard, room in enumerate(rooms):
         while room > 0:
             drawn = np.minimum(rng.multinomial(room, left / left.sum()), left)
             for s in np.flatnonzero(drawn).tolist():
@@ -108,7 +114,6 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, block_words: int = BLOCK_WORDS, seed: int = SEED):
         spark = docs.sparkSession
-        hold_batches(spark)
         words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
         sized = written(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("tie"), words.alias("size")), "sizes")
         per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -121,17 +126,34 @@ class Mix:
         blocks = [-(-s // block_words) for s in sizes]
         # rounded by the words an average block of the source holds, as its last one may be short
         slots = [min(most * b, round(t * b / s)) if s else 0 for t, b, s in zip(targets, blocks, sizes, strict=True)]
-        shards = max(1, min(-(-sum(slots) // SHARD_SLOTS), MAX_SHARDS, 2_000_000 // max(1, len(rows))))
+        shards = -(-sum(slots) // SHARD_SLOTS)
+        ranges = max(1, min(math.isqrt(max(0, shards - 1)) + 1, MAX_DRAWN // max(1, len(rows))))
+        room = -(-shards // ranges) * SHARD_SLOTS
+        rooms = [min(room, sum(slots) - at) for at in range(0, sum(slots), room or 1)]
         known = [(r.source, i, s, t, b) for i, (r, s, t, b) in enumerate(zip(rows, sizes, targets, blocks, strict=True))]
         sources = F.broadcast(spark.createDataFrame(known, "source string, source_no int, source_size bigint, target double, blocks bigint"))  # at most MAX_SOURCES rows
         buckets = max(1, -(-sum(r.n for r in rows) // BUCKET_DOCS))
         keyed = sized.join(sources, sized.source.eqNullSafe(sources.source)).select("id", sized.source, "tie", "size", "source_no", "source_size", "target", F.pmod(F.xxhash64("id", "tie"), F.lit(buckets)).alias("bucket"))
-        sums = keyed.groupBy("source_no", "bucket").agg(F.sum("size").alias("of_bucket"))
-        before = F.coalesce(F.sum("of_bucket").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = keyed.groupBy("source_no", "bucket").agg(F.sum("size").alias("of_bucket")).withColumn("group", F.expr(f"bucket div {GROUP_BUCKETS}"))
+        earlier = lambda value, order, *by: F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        groups = sums.groupBy("source_no", "group").agg(F.sum("of_bucket").alias("of_group"))
+        groups = groups.select("source_no", "group", earlier("of_group", "group", "source_no").alias("of_groups"))
+        sums = sums.withColumn("of_buckets", earlier("of_bucket", "bucket", "source_no", "group")).join(groups, ["source_no", "group"])
+        sums = sums.select("source_no", "bucket", (F.col("of_groups") + F.col("of_buckets")).alias("before"))
         inside = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "bucket").orderBy(F.xxhash64("tie", "id"), "id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        placed = keyed.withColumn("inside", inside).join(sums.select("source_no", "bucket", before.alias("before")), ["source_no", "bucket"])
+        placed = keyed.withColumn("inside", inside).join(sums, ["source_no", "bucket"])
         self.docs = written(placed.select("id", "source", "tie", "source_no", "size", "source_size", "target", (F.col("before") + F.col("inside")).alias("start")), "placed")
-        plan = spark.createDataFrame(draw_shards(slots, shards, seed), "shard int, source_no int, first bigint, n bigint")
+        drawn = spark.createDataFrame(draw_shards(slots, rooms, seed), "range int, source_no int, first bigint, n bigint")
+
+        def of_range(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, number = pdf.sort_values("source_no"), int(key[0])
+            total = int(pdf["n"].sum())
+            got = draw_shards(pdf["n"].tolist(), [min(SHARD_SLOTS, total - at) for at in range(0, total, SHARD_SLOTS)], [seed, number])
+            shard, which, first, n = (np.array(c, np.int64) for c in zip(*got, strict=True))
+            source, base = pdf["source_no"].to_numpy()[which], pdf["first"].to_numpy()[which]
+            return pd.DataFrame({"shard": shard + number * (room // SHARD_SLOTS), "source_no": source, "first": base + first, "n": n})
+
+        plan = drawn.groupBy("range").applyInPandas(of_range, "shard bigint, source_no int, first bigint, n bigint")
         step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(SHARD_SLOTS).cast("bigint"))).alias("part")
         plan = plan.join(sources.select("source_no", "blocks"), "source_no").select("shard", "source_no", "blocks", "first", "n", step)
         plan = plan.repartition(max(8, -(-sum(slots) // 500_000)), "shard", "part")
