@@ -64,3 +64,18 @@ def test_only_doubtful_pairs_are_recomputed():
     a = side(embeddings.unit(rng.normal(0, 1, (500, 64))))
     _, _, recomputed = embeddings.compare_tiles(a, None, 0.3)
     assert 0 < recomputed < 500 * 499 / 2 / 20
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    got = sorted(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_cells_far_apart_never_meet(spark, monkeypatch):
+    """Tight clusters around the axes: only tiles of one cell are compared, and all links are found."""
+    rng, met = np.random.default_rng(3), []
+    rows = [(100 * k + i, (np.eye(6)[k] + 0.01 * rng.standard_normal(6)).tolist()) for k in range(6) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embeddings.near_duplicates(df, tile=10).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (39, i // 100 * 100) for i, _ in rows}

@@ -7,10 +7,11 @@ in parts), and so an upper and a lower bound of each cosine: pairs whose upper b
 threshold are done, pairs whose lower bound reaches it are links, and only those between are
 computed in double precision.
 
-Equal vectors are folded first. Vectors are laid into tiles by their nearest pivot; two tiles
-whose angular distance exceeds their radii and the threshold's angle hold no link and never meet.
-Vectors without such structure make every pair of tiles meet: that is quadratic work, with
-reads of each tile once for each other one.
+Equal vectors are folded first. Vectors are laid into cells by their nearest pivot, and cells cut
+into tiles; the tiles of two cells whose pivots are further apart than their radii and the threshold's
+angle hold no link and never meet. That is settled for pairs of pivots, whose number is bounded, at
+every number of vectors. Vectors without such structure make every pair of tiles meet: that is
+quadratic work, with reads of each tile once for each other one.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ from pyspark.sql import functions as F
 from textgauge.llm.common import low_hash, wide_share, written
 from textgauge.llm.components import connected_components
 
-#: Vectors in a tile, about; 4,096 of 64 floats take some 2 MB.
-TILE = 4096
-#: Pivots at most; they are broadcast (1,024 of 1,024 doubles: 8 MB).
+#: Bytes of a tile's vectors as they are stored, and tiles that a table is cut into at least, so that there is work for many tasks.
+#: Each tile is sent to each other tile it meets, so larger ones are sent fewer times.
+TILE_BYTES, LEAST_TILES = 16 << 20, 12
+#: Pivots at most; they are broadcast (1,024 of 1,024 doubles: 8 MB), and so is which of them meet.
 MAX_PIVOTS = 1024
-#: Tile centres are broadcast for pruning up to this many bytes; beyond it all tiles meet.
-MAX_CENTRES = 64 << 20
 #: Allowance for rounding in the bounds, far above single precision's.
 SLACK = 4e-6
 ROWS = 512
@@ -103,20 +103,29 @@ def _valid(column: str) -> F.Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
+def tile_rows(n: int, dim: int, width: int) -> int:
+    """Vectors in a tile, about."""
+    return max(1, min(TILE_BYTES // (dim * width), max(512, -(-n // LEAST_TILES))))
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, tile: int | None = None) -> DataFrame:
     """One row per input row: id_col, n_links, component_id, kept.
 
     n_links counts the other rows whose cosine reaches `threshold` (at most 1), component_id is the
     smallest id reachable. Vectors that are null, empty or zero, or hold null or non-finite
     components, link with nothing; neither do rows without an id, whose component_id is null.
-    Vectors of different lengths do not link. Equal vectors link, whatever else the rows hold.
+    Vectors of different lengths do not link. Equal vectors link, whatever else the rows hold. Rows
+    that share an id are vectors of their own. `tile` is the number of vectors in a tile.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(embedding).alias("v"))
     good = rows.where(F.col("id").isNotNull() & _valid("v"))
-    folded = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v")), "vectors")
+    # a number for each different vector, fixed by the files written here
+    folded = good.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n")).select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("rep"))
+    folded = written(folded, "vectors")
     kinds = {r.dim: r.n for r in folded.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    parts = [_links(folded.where(F.col("dim") == d), n, d, threshold, tile) for d, n in sorted(kinds.items())]
+    width = 4 if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else 8
+    parts = [_links(folded.where(F.col("dim") == d), n, d, threshold, tile or tile_rows(n, d, width)) for d, n in sorted(kinds.items())]
     if not parts:
         found = spark.createDataFrame([], "rep bigint, links bigint, root bigint")
     else:
@@ -127,8 +136,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     nodes = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     known = folded.join(counts, "rep", "left").join(nodes, F.col("rep") == F.col("node"), "left")
-    known = known.select("v", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("links"))
-    linked = good.join(known, "v").select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    known = known.select("v", "low", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("links"))
+    names = known.groupBy("component").agg(F.min("low").alias("name"))
+    linked = good.join(known.join(names, "component"), "v").select("id", F.col("links").alias("n_links"), F.col("name").alias("component_id"))
     alone = rows.where(~(F.col("id").isNotNull() & _valid("v"))).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     both = linked.union(alone)
     return both.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -136,52 +146,39 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
 
 def _links(folded: DataFrame, n: int, dim: int, threshold: float, tile: int) -> DataFrame:
     """(rep, links, root): for each pair of tiles that may hold links, counts and a root to hang on."""
-    spark = folded.sparkSession
     n_pivots = max(1, min(MAX_PIVOTS, n // tile))
     few = low_hash(F.col("rep"), F.lit(wide_share(n_pivots, n)))
     first = folded.where(few).orderBy(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)), "rep").limit(n_pivots).select("v").collect()  # a bounded sample; it only steers the layout
     pivots = unit(np.array([r.v for r in first]))
     kind = folded.schema["v"].dataType.elementType.simpleString()
     raw = np.float32 if kind == "float" else np.float64
-    split = max(1, -(-n // (tile * n_pivots)))  # a crowded pivot's vectors are dealt over several tiles
 
     def place(batches):
         for pdf in batches:
-            u = unit(np.stack(pdf["v"].to_numpy())) if len(pdf) else np.zeros((0, dim))
-            yield pd.DataFrame({"rep": pdf["rep"], "n": pdf["n"], "v": pdf["v"], "pivot": np.argmax(u @ pivots.T, axis=1) if len(u) else np.zeros(0, int)})
-
-    placed = written(folded.select("rep", "n", "v").mapInPandas(place, f"rep bigint, n bigint, v array<{kind}>, pivot int"), "placed")
-    sizes = {r.pivot: r.n for r in placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    ways = F.element_at(F.create_map(*(F.lit(x) for p, c in sorted(sizes.items()) for x in (int(p), max(1, -(-int(c) // tile))))), F.col("pivot"))
-    tiled = placed.withColumn("part", F.pmod(F.xxhash64("rep"), ways).cast("int"))
-    number = {key: i for i, key in enumerate((p, w) for p, c in sorted(sizes.items()) for w in range(max(1, -(-c // tile))))}
-    total = len(number)
+            near = unit(np.stack(pdf["v"].to_numpy())) @ pivots.T if len(pdf) else np.zeros((0, len(pivots)))
+            yield pd.DataFrame({"rep": pdf["rep"], "n": pdf["n"], "v": pdf["v"], "pivot": near.argmax(axis=1), "near": near.max(axis=1)})
+
+    placed = written(folded.select("rep", "n", "v").mapInPandas(place, f"rep bigint, n bigint, v array<{kind}>, pivot int, near double"), "placed")
+    cells = {int(r.pivot): r for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()}  # MAX_PIVOTS rows
+    radius = np.full(len(pivots), -np.inf)  # a cell without vectors meets nothing
+    for p, r in cells.items():
+        radius[p] = np.arccos(np.clip(r.near, -1, 1)) + 1e-6
+    ways = [max(1, -(-cells[p].n // tile)) if p in cells else 0 for p in range(len(pivots))]
+    meets = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) <= radius[:, None] + radius + np.arccos(min(1.0, threshold)) + 1e-6
+    partners = [np.flatnonzero(row & np.isfinite(radius)).tolist() for row in meets]
+    spark = folded.sparkSession
+    cell_table = spark.createDataFrame([(p, ways[p], [(q, ways[q]) for q in partners[p]]) for p in cells], "pivot int, ways int, partners array<struct<pivot:int,ways:int>>")
+    tiled = placed.join(F.broadcast(cell_table.select("pivot", "ways")), "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("ways")).cast("int"))
 
     def pack(key, pdf):
         pdf = pdf.sort_values("rep")
-        u = unit(np.stack(pdf["v"].to_numpy()))
-        centre = u.sum(axis=0)
-        size = np.sqrt(centre @ centre)
-        centre = centre / size if size > 1e-9 else u[0]
-        radius = float(np.arccos(np.clip((u @ centre).min(), -1, 1)))
-        return pd.DataFrame({"tile": [number[int(key[0]), int(key[1])]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "weights": [pdf["n"].to_numpy(np.int64).tobytes()], "raw": [np.stack(pdf["v"].to_numpy()).astype(raw).tobytes()], "centre": [centre.tolist()], "radius": [radius]})
-
-    tiles = written(tiled.groupBy("pivot", "part").applyInPandas(pack, "tile int, ids binary, weights binary, raw binary, centre array<double>, radius double"), "tiles")
-    everyone = F.sequence(F.lit(0), F.lit(total - 1))
-    if total * dim * 8 <= MAX_CENTRES:
-        shapes = tiles.select("tile", "centre", "radius").collect()
-        names = np.array([r.tile for r in shapes], np.int32)
-        centres, radii = np.array([r.centre for r in shapes]).reshape(len(shapes), dim), np.array([r.radius for r in shapes])
-        reach = np.arccos(min(1.0, threshold)) + 1e-6
-
-        @F.pandas_udf("array<int>")
-        def partners(centre: pd.Series, radius: pd.Series) -> pd.Series:
-            apart = np.arccos(np.clip(np.stack(centre.to_numpy()) @ centres.T, -1, 1))
-            near = apart <= radius.to_numpy()[:, None] + radii + reach
-            return pd.Series([names[x].tolist() for x in near])
-
-        everyone = partners("centre", "radius")
-    sent = tiles.select("tile", "ids", "weights", "raw", F.explode(everyone).alias("other"))
+        return pd.DataFrame({"pivot": [key[0]], "part": [key[1]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "weights": [pdf["n"].to_numpy(np.int64).tobytes()], "raw": [np.stack(pdf["v"].to_numpy()).astype(raw).tobytes()]})
+
+    tiles = written(tiled.groupBy("pivot", "part").applyInPandas(pack, "pivot int, part int, ids binary, weights binary, raw binary"), "tiles")
+    name = lambda pivot, part: F.shiftleft(pivot.cast("bigint"), 32) + part
+    sent = tiles.join(F.broadcast(cell_table.select("pivot", "partners")), "pivot").select(name(F.col("pivot"), F.col("part")).alias("tile"), "ids", "weights", "raw", F.explode("partners").alias("p"))
+    sent = sent.select("tile", "ids", "weights", "raw", "p", F.explode(F.sequence(F.lit(0), F.col("p.ways") - 1)).alias("other_part"))
+    sent = sent.withColumn("other", name(F.col("p.pivot"), F.col("other_part"))).drop("p", "other_part")
     sent = sent.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
 
     def side(row) -> dict:
