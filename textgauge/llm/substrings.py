@@ -10,7 +10,9 @@ of such chunks with `min_words` words or more are repeated passages.
 
 A passage is missed when fewer than `min_words` words lie between its first and its last cut: of
 passages of 51 words and 20 words asked for, none of 4,000 drawn at random. Its first and last few words,
-outside those cuts, are not part of what is reported. Repeats inside one document are left alone.
+outside those cuts, are not part of what is reported. Where one to three words repeat over and over there
+is no strict minimum: every 16th word, counted from where the repetition begins, is a cut. Repeats inside
+one document are reported on demand (`inside`).
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from textgauge.llm.common import discard, sliced, text_udf, written
 WINDOW = 8
 REACH = 3
 MIN_WORDS = 20
+#: Words between cuts where one to three words repeat over and over.
+CYCLE = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -60,6 +64,13 @@ def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = np.ones(len(starts), bool)
     for k in range(1, REACH + 1):
         cut &= (mid < v[REACH - k : REACH - k + len(starts)]) & (mid <= v[REACH + k : REACH + k + len(starts)])
+    again = np.zeros(len(starts), bool)
+    for k in range(1, min(REACH, len(starts) - 1) + 1):
+        again[k:] |= mid[k:] == mid[:-k]
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))))
+    for begin, end in turns.reshape(-1, 2).tolist():
+        if end - begin >= CYCLE:
+            cut[begin:end:CYCLE] = True
     cut[0] = True
     first = np.flatnonzero(cut)
     word_ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
@@ -90,8 +101,8 @@ def _text_key(text: str) -> F.Column:
 _CHUNK = "array<struct<h:bigint,g:int,no:int,a:int,size:int,n:int>>"
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per repeated passage, in every document but the first that has it.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, inside: bool = False) -> DataFrame:
+    """One row per repeated passage, in every document but the first that has it; with `inside` also in that one, at every place but its first.
 
     Columns: id, text_key (hash of the text), first_byte, last_byte (exclusive), n_words, owner
     (the smallest id that has one of its chunks). Null and empty texts have no passages; a row
@@ -101,9 +112,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(text).alias("key"), text_udf(_chunked, _CHUNK)(F.col(text)).alias("c"))
     rows = keyed.select("id", "key", F.explode("c").alias("c")).select("id", "key", "c.*")
     table = written(rows, "chunks")
-    shared = table.groupBy("h", "g").agg(F.min("id").alias("owner"), F.max("id").alias("other"), F.max(F.col("id").isNull()).alias("unnamed"))
-    shared = shared.where((F.col("owner") < F.col("other")) | (F.col("unnamed") & F.col("owner").isNotNull()))
-    met = table.join(shared.select("h", "g", "owner").hint("merge"), ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("owner")))
+    place = F.when(F.col("id").isNotNull(), F.struct("id", "key", "no"))
+    shared = table.groupBy("h", "g").agg(F.min(place).alias("first"), F.max("id").alias("other"), F.max(F.col("id").isNull()).alias("unnamed"), F.max(place).alias("last"))
+    beyond = (F.col("first.id") < F.col("other")) | F.col("unnamed")
+    shared = shared.where(F.col("first").isNotNull() & ((F.col("first") < F.col("last")) | beyond if inside else beyond))
+    own = F.col("id").eqNullSafe(F.col("owner"))
+    if inside:
+        own = own & (F.col("key") == F.col("first.key")) & (F.col("no") == F.col("first.no"))
+    met = table.join(shared.select("h", "g", "first", F.col("first.id").alias("owner")).hint("merge"), ["h", "g"]).where(~own)
     by_text = Window.partitionBy("id", "key").orderBy("no")
     # rows that repeat a text and its id give every chunk as often; ranks and counts see it once
     runs = met.select("id", "key", "no", "a", "size", "n", "owner").withColumn("run", F.col("no") - F.dense_rank().over(by_text))
