@@ -479,24 +479,68 @@ def _by_size(work, items, room: int = 4 << 20) -> list[bytes]:
     return out + (work(run) if run else [])
 
 
+def last_blocks(streams: list[bytes]) -> list[tuple[int, bytes]]:
+    """Sample offset and samples of the last block of each stream by `encode`, found from its last seek point on and decoded by itself."""
+    places = []
+    for stream in streams:
+        info, base = _metadata(stream)
+        last = info["total"] // BLOCK - 1
+        point, offset = max((p for p in info["seek"] if p[0] <= last * BLOCK), default=(0, 0))
+        at = base + offset
+        for number in range(point // BLOCK, last + 1):
+            at = stream.find(frame_header(number), at if number == point // BLOCK else at + 6)
+            if at < 0:
+                raise FlacError("a frame is missing behind its seek point")
+        places.append((last, at))
+    offsets = np.cumsum([0, *map(len, streams)])[:-1]
+    flat = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
+    starts = np.array([at for _, at in places], np.int64) + offsets
+    heads = np.array([len(frame_header(n)) for n, _ in places], np.int64)
+    samples, _ = _decode_frames(flat, starts, heads)
+    return [(n * BLOCK, (row.astype(np.int8).view(np.uint8) ^ 0x80).tobytes()) for (n, _), row in zip(places, samples, strict=True)]
+
+
+def _read_back(streams: list[bytes]) -> list[tuple[bytes, int] | str]:
+    """Payload and offset of the last block of each stream, or what is wrong with it."""
+    try:
+        whole, ends = decode_bytes(streams), last_blocks(streams)
+    except FlacError as e:
+        return [x for s in streams for x in _read_back([s])] if len(streams) > 1 else [str(e)]
+    return [(p, at) if p[at:] == end else "the block at the last seek point is not that of the whole" for p, (at, end) in zip(whole, ends, strict=True)]
+
+
+_FEATURES = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string(), "n_blocks": pa.int64(), "last_offset": pa.int64(), "media_error": pa.string()}
+
+
 def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for media in sliced(batches):
-        rows = []
-        for payload in _by_size(decode_bytes, [m.as_py() for m in media]):
+        streams, rows = [m.as_py() for m in media], []
+        found = iter(_by_size(_read_back, [m for m in streams if m is not None]))
+        for stream in streams:
+            got = None if stream is None else next(found)
+            if not isinstance(got, tuple):
+                rows.append((*[None] * 6, got))
+                continue
+            payload, at = got
             s = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
             blocks = s.reshape(-1, BLOCK)
             energy = (blocks * blocks).sum(axis=1)
             text = f"n={len(s)};sum={int(s.sum())};energy={int(energy.sum())};peak={int(np.abs(s).max())};loudest={int(energy.argmax())};crossings={int(((s[1:] < 0) != (s[:-1] < 0)).sum())}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), text))
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()))], names=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), text, len(blocks), at, None))
+        columns = list(zip(*rows)) if rows else [[]] * len(_FEATURES)
+        yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _FEATURES.values(), strict=True)], names=list(_FEATURES))
 
 
 def _blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
-    for media in sliced(batches):
-        rows = [None if m.as_py() is None else [{"sample_offset": at, "n_samples": len(p[at : at + BLOCK]), "pcm": p[at : at + BLOCK]} for p in decode_bytes([m.as_py()]) for at in range(0, len(p), BLOCK)] for m in media]
-        yield pa.array(rows, kind)
+    """The blocks of a medium as slices of its one payload, so that no object is made for each."""
+    for media in sliced(batches, 64):
+        for medium in media:
+            payload = b"" if medium.as_py() is None else decode_bytes([medium.as_py()])[0]
+            at = np.arange(0, len(payload), BLOCK, dtype=np.int64)
+            ends = np.append(at, len(payload)).astype(np.int32)
+            pcm = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(payload)])
+            rows = pa.StructArray.from_arrays([pa.array(at), pa.array(np.diff(ends), pa.int32()), pcm], names=["sample_offset", "n_samples", "pcm"])
+            yield pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), rows)
 
 
 def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -508,18 +552,19 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def media_features(stored: DataFrame, media: str = "media") -> DataFrame:
-    """`stored` with what is computed from the samples read back: sizes, digests and a feature string.
+    """`stored` with what is computed from the samples read back: sizes, digests, a feature string, how many PCM blocks there
+    are and the sample offset of the last, which is also sought and read by itself.
 
-    A stream that fails a checksum stops the job: it must not pass for sound data.
+    A stream that is no FLAC or fails a checksum has nulls for these and says why in media_error, which
+    is null for sound ones; a null medium has nulls throughout.
     """
-    made = stored.withColumn("__read", text_udf(_features, "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>")(F.col(media)))
-    for name in ("payload_bytes", "payload_sha256", "tail_crc32", "feature"):
-        made = made.withColumn(name, F.col(f"__read.{name}"))
+    made = stored.withColumn("__read", text_udf(_features, "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string,n_blocks:bigint,last_offset:bigint,media_error:string>")(F.col(media)))
+    made = made.withColumns({name: F.col(f"__read.{name}") for name in _FEATURES})
     digest = {"media_bytes": F.octet_length(media).cast("bigint"), "media_sha256": F.sha2(media, 256)}
     return made.withColumns(digest).drop("__read")
 
 
 def pcm_blocks(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row per block: key, block_no, sample_offset, n_samples, pcm (unsigned 8-bit); null media give none."""
+    """One row per block: key, block_no, sample_offset, n_samples, pcm (unsigned 8-bit); null media give none, a damaged one stops the job."""
     rows = stored.select(F.col(key).alias(key), F.posexplode(text_udf(_blocks, "array<struct<sample_offset:bigint,n_samples:int,pcm:binary>>")(F.col(media))).alias("block_no", "b"))
     return rows.select(key, F.col("block_no").cast("bigint").alias("block_no"), "b.sample_offset", "b.n_samples", "b.pcm")
