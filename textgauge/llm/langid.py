@@ -29,34 +29,38 @@ _kinds = np.full(0x110000, -1, np.int8)
 
 
 def letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased letters plus one, runs of other characters as a single 1, with a 1 at both ends."""
+    """Code points of the lower-cased letters plus one, and 1 for every other character."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = _kinds[codes]
     if (kinds < 0).any():
         for c in np.unique(codes[kinds < 0]).tolist():
             _kinds[c] = chr(c).isalpha()
         kinds = _kinds[codes]
-    out = np.ones(len(codes) + 2, np.int64)
-    out[1:-1] = np.where(kinds == 1, codes.astype(np.int64) + 1, 1)
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != 1) | (out[:-1] != 1)
-    return out[keep]
+    return np.where(kinds == 1, codes.astype(np.int64) + 1, 1)
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a text's n-grams, ascending, and how often each stands there; none without letters."""
-    text, parts, at = text or "", [], 0
-    while at < len(text):
-        end = min(len(text), at + STEP)
-        while end < len(text) and text[end].isalpha():  # parts of a long text meet between words, where no n-gram reaches across
-            end += 1
-        seq = letters(text[at:end])
-        at = end
-        if len(seq) < 3:
-            continue
+    """Codes of a text's n-grams, ascending, and how often each stands there; none without letters.
+
+    A text passes through in parts, each behind the last two characters of the one before, so that
+    n-grams reach across and memory is bounded whatever the script. The ends of a text, and runs of
+    other characters, are a single 1.
+    """
+    text, parts, behind = text or "", [], np.ones(1, np.int64)
+    for at in range(0, len(text), STEP):
+        last = [1] if at + STEP >= len(text) else []
+        seq = np.concatenate((behind, letters(text[at : at + STEP]), np.array(last, np.int64)))
+        seq = seq[np.concatenate(([True], (seq[1:] != 1) | (seq[:-1] != 1)))]
+        new = len(behind)
+        behind = seq[-2:]
         two = seq[:-1] << 21 | seq[1:]
-        three = (two[:-1] << 21 | seq[2:])[seq[1:-1] != 1]
-        parts.append(np.unique(np.concatenate((seq[seq != 1], two, three)), return_counts=True))
+        three = two[:-1] << 21 | seq[2:]
+        ends = np.arange(2, len(seq))
+        three = three[(seq[1:-1] != 1) & (ends >= new)]
+        one = seq[new:]
+        two = two[max(0, new - 1) :]
+        if len(one):
+            parts.append(np.unique(np.concatenate((one[one != 1], two, three)), return_counts=True))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(parts) == 1:
