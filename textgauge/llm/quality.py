@@ -149,7 +149,7 @@ def _groups(run: list[int], raws: list[bytes], room: int = STEP * PASSAGE) -> It
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "text", label: str = "quality", fit_docs: int = FIT_DOCS, fit_passages: int = FIT_PASSAGES) -> Attention:
-    """A model of `label` from at most `fit_docs` labelled documents and `fit_passages` of their passages.
+    """A model of `label` from at most `fit_docs` labelled documents and `fit_passages` of their passages (a longer document is not used).
 
     Labels of rows where `usable` does not hold (an expression on the id) are never read. A document
     with several labels counts with their greatest, null labels do not count, and a label without a
@@ -164,12 +164,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bags = [inputs(t.encode("utf-8", "replace")) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "n": [len(b) for b in bags], "bag": [b.tobytes() if len(b) <= fit_passages else b"" for b in bags]})
-
-    rows = sample.select(F.col("__id").alias("id"), F.col("__label").cast("int").alias("label"), F.col(text).alias("text")).mapInPandas(encode, "id bigint, label int, n int, bag binary")
-    rows = rows.where("length(bag) > 0").orderBy(F.xxhash64("id"), "id", "bag")
-    room = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id", "bag"))
-    got = rows.withColumn("__room", room).where(F.col("__room") <= fit_passages).select("label", "bag").collect()
+            yield pd.DataFrame({"id": pdf["id"], "tie": pdf["tie"], "label": pdf["label"], "bag": [b.tobytes() for b in bags]})
+
+    rows = sample.select(F.col("__id").alias("id"), F.xxhash64(text).alias("tie"), F.col("__label").cast("int").alias("label"), F.col(text).alias("text"))
+    # sizes alone settle which documents have room; only those are encoded
+    passages = F.greatest(F.lit(1), F.bround(F.octet_length("text") / PASSAGE)).cast("long")
+    order = [F.xxhash64("id"), F.col("id"), F.col("tie")]
+    sizes = rows.select("id", "tie", passages.alias("n")).where(F.col("n") <= fit_passages)
+    room = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # fit_docs rows of three numbers
+    picked = sizes.withColumn("__room", room).where(F.col("__room") <= fit_passages).select("id", "tie").distinct()
+    got = rows.join(F.broadcast(picked), ["id", "tie"]).select("id", "tie", "label", "text").mapInPandas(encode, "id bigint, tie bigint, label int, bag binary")
+    got = sorted(got.collect(), key=lambda r: (r.id, r.tie, r.label, r.bag))
     model = Attention.start()
     if not got:
         model.p["c"][:] = 0
