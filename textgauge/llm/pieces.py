@@ -14,9 +14,9 @@ words seen before are remembered.
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -82,13 +82,20 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[list[int], list[
 
 
 class Pieces:
-    """A model's pieces and their trie; made on the driver and sent to the workers."""
+    """A model's pieces and their trie; each worker builds its own from the model's bytes.
+
+    Models that rewrite texts (any normalization but the identity, white space removed, no marker
+    before the text) are refused, as their ids would be others.
+    """
 
     def __init__(self, model: bytes, remembered: int = REMEMBERED):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         spec = proto.ModelProto()
         spec.ParseFromString(model)
+        rules = spec.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces:
+            raise ValueError("the model normalizes texts in a way that is not done here")
         self.kinds = [p.type for p in spec.pieces]
         self.names = [p.piece for p in spec.pieces]
         ranks = spec.trainer_spec.model_type == proto.TrainerSpec.BPE
@@ -226,11 +233,11 @@ def zipf(rank: float) -> float:
     return round(-math.log(max(0.0, rank) + 3) * 1024) / 1024 if rank < 1e6 else -32.0
 
 
-_models: dict[int, Pieces] = {}
+_models: dict[bytes, Pieces] = {}
 
 
 def _model(raw: bytes, remembered: int = REMEMBERED) -> Pieces:
-    key = zlib.crc32(raw)
+    key = hashlib.sha256(raw).digest()
     if key not in _models:
         _models[key] = Pieces(raw)
     _models[key].remembered = remembered

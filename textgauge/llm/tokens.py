@@ -15,8 +15,8 @@ prefix.
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,12 +233,12 @@ class PrefixCounter:
         return np.concatenate([*out, base + self.plain_counts(text[at:])])
 
 
-_counters: dict[int, PrefixCounter] = {}
+_counters: dict[bytes, PrefixCounter] = {}
 
 
 def _counter(vocabulary: bytes, remembered: int = REMEMBERED) -> PrefixCounter:
     """One counter for each vocabulary in a worker."""
-    key = zlib.crc32(vocabulary)
+    key = hashlib.sha256(vocabulary).digest()
     if key not in _counters:
         _counters[key] = PrefixCounter(vocabulary)
     _counters[key].remembered = remembered
