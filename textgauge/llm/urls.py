@@ -3,8 +3,8 @@
 A URL is cut into tokens (runs of ASCII letters and digits). Every rule names the tokens that a
 URL it matches must hold whole, and is filed under the one of them that is rarest in the table at
 hand. The tokens of a URL fetch the rules filed under them, and only those run their regular
-expressions. The table is read twice, for the counts and for the verdicts; nothing is shuffled but
-one count a rule token.
+expressions. The table is read twice, for the counts and for the verdicts. Only tokens that some rule
+names are counted, so nothing is shuffled but one partial count a task and rule token.
 """
 
 from __future__ import annotations
@@ -55,8 +55,14 @@ SITE_RULES = (
     site_rule("block", "example.net", "/de/8"),
     site_rule("block", "org", "/es/"),
 )
-#: The filter's own patterns, which decide where no site rule fits.
-WORD_RULES = (word_rule("casino", "win"), word_rule("free", "bets"), word_rule("cheap", "pills"))
+#: The filter's own patterns, which decide where no site rule fits: hosts with a label that holds a
+#: word of a trade and, beside it, a word it is advertised with. Any rules may be given instead.
+TRADES = {
+    "gambling": ("bet bets betting bingo blackjack casino casinos gamble gambling jackpot lotto poker roulette slots wager", "best big bonus cash free live lucky mega online play royal vip win winner"),
+    "pharmacy": ("drugs meds pharmacy pills steroids tablets viagra cialis", "buy cheap discount fast free generic online order sale"),
+    "lending": ("loan loans payday credit", "cash cheap easy fast instant quick"),
+}
+WORD_RULES = tuple(word_rule(word, beside) for words, besides in TRADES.values() for word in words.split() for beside in besides.split())
 
 
 def host_of(url: Column) -> Column:
@@ -79,7 +85,7 @@ def token_counts(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url") ->
     spark = pages.sparkSession
     cut = F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", host_of(F.col(url)), F.lower(path_of(F.col(url)))), F.lit("([0-9a-z]+)")))
     named = spark.createDataFrame([(t,) for t in wanted], "token string")
-    rows = pages.select(F.explode(cut).alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(named, "token")
+    rows = pages.select(F.explode(cut).alias("token")).join(F.broadcast(named), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))  # tokens of MAX_RULES rules at most
     return {t: 0 for t in wanted} | {r.token: r.n for r in rows.collect()}
 
 
@@ -124,10 +130,10 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RU
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; a worker holds {MAX_RULES}")
-    index, always = build_index(rules, token_counts(pages, rules, url))
+    shared = pages.sparkSession.sparkContext.broadcast(build_index(rules, token_counts(pages, rules, url)))
 
     def judged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        compiled: dict[str, re.Pattern] = {}
+        (index, always), compiled = shared.value, {}
         for hosts, paths in batches:
             rows = [judge(h.as_py(), p.as_py(), index, always, compiled) for h, p in zip(hosts, paths, strict=True)]
             rule, verdict, pattern, ran = zip(*rows) if rows else ((), (), (), ())
