@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +29,12 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is made on a single machine; a cluster is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="textgauge-"))
     return sc.getCheckpointDir()
 
@@ -57,10 +60,11 @@ def wide_share(wanted: int, total: int) -> float:
 
 
 def hold_batches(spark: SparkSession) -> None:
-    """Holds Spark's batches of rows to TEXT_ROWS from here on, in the Parquet reader and on the way to Python.
+    """Holds the session's batches of rows to TEXT_ROWS from here on, in the Parquet reader and on the way to Python.
 
     Documents are large: the reader's vectors, the Arrow buffers outside the heap and the Python
-    worker each hold a whole batch.
+    worker each hold a whole batch. This is for applications, such as the queries and the pipeline
+    here; no operator changes the settings of the session it is given.
     """
     for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
         if int(spark.conf.get(name)) > TEXT_ROWS:
@@ -69,7 +73,6 @@ def hold_batches(spark: SparkSession) -> None:
 
 def text_udf(f, ddl: str):
     """An Arrow function over texts."""
-    hold_batches(SparkSession.active())
     return arrow_udf(f, ddl)
 
 

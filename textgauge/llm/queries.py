@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgauge.llm import embeddings, flac, langid, mixing, pieces, quality, simhash, substrings, tokens, urls
-from textgauge.llm.common import crc_mod, table
+from textgauge.llm.common import crc_mod, hold_batches
+from textgauge.llm.common import table as _table
 
-#: Where the tokenizer files lie; a parameter of the operators.
-TOKENIZERS = "/opt/tokenizers"
 TOKEN_LIMIT = 1024
 #: Words and pieces that a worker of the two token queries keeps: some 300 MB.
 REMEMBERED = 400_000
 QUALITY_FROM = 0.3
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries, in a session whose batches suit documents."""
+    hold_batches(spark)
+    return _table(spark, sf_dir, name)
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies; a parameter of the operators."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _holds(condition):
     return F.coalesce(condition, F.lit(False))
 
@@ -40,22 +52,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_fallback, round_trip, ids for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = pieces.encode_documents(spark, docs, f"{TOKENIZERS}/piece_bpe_32k.model", remembered=REMEMBERED)
+    made = pieces.encode_documents(spark, docs, tokenizer("piece_bpe_32k.model"), remembered=REMEMBERED)
     return made.select("doc_id", "pieces.n_tokens", "pieces.n_fallback", "pieces.round_trip", "pieces.ids")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, cut_1024 (characters of the longest prefix within the limit)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = tokens.count_tokens(spark, docs, f"{TOKENIZERS}/byte_bpe_50k.json", (TOKEN_LIMIT,), remembered=REMEMBERED)
+    made = tokens.count_tokens(spark, docs, tokenizer("byte_bpe_50k.json"), (TOKEN_LIMIT,), remembered=REMEMBERED)
     return made.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", (F.col("tokens.n_tokens") > TOKEN_LIMIT).alias("over_limit"), f"tokens.cut_{TOKEN_LIMIT}")
 
 
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and digests of each text stored as FLAC and read back."""
+    """Sizes, digests and PCM blocks (how many, and the sample offset of the last, sought and read by itself) of each text stored as FLAC and read back."""
     stored = flac.store_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = flac.media_features(stored.select("doc_id", "n_bytes", "media"))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_offset")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +114,7 @@ def _url_sql() -> str:
         for r in urls.SITE_RULES
         for h, p in [(r.name[: r.name.index("/")], r.name[r.name.index("/") :])]
     ]
-    word = " ".join(f"WHEN regexp_matches(host, {text(f'(^|[.-])({a}-{b}|{b}-{a})([.-]|$)')}) THEN {text(r.name)}" for r in sorted(urls.WORD_RULES, key=lambda r: (-len(r.name), r.name)) for a, b in [r.tokens])
+    word = " ".join(f"WHEN regexp_matches(host, {text(f'(^|[.-])({a}-{b}|{b}-{a})([.-]|$)')}) THEN {text(r.name)}" for r in sorted(urls.WORD_RULES, key=lambda r: (len(r.name), r.name), reverse=True) for a, b in [r.tokens])
     return f"""
     WITH parts AS (
       SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{urls.ASCII_UPPER}', '{urls.ASCII_LOWER}') AS host,
