@@ -131,6 +131,14 @@ def test_keep_first(spark):
     assert simhash.keep_first(empty(spark), simhash.similar_documents(empty(spark))).count() == 0
 
 
+def test_rows_that_share_an_id_but_no_text_are_not_lost(spark):
+    a, b, c, d = (prose(90, seed) for seed in (21, 22, 23, 24))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, c), (4, c), (5, d), (6, d), (6, c + " y"), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_first(df, simhash.similar_documents(df)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (4, c), (5, d), (0, c)])
+
+
 def shingles(text):
     words = text.lower().split()
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}

@@ -14,7 +14,7 @@ no group grows with the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -146,7 +146,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 #: spare a larger key most pairs, texts of a block, and the bits of a shingle's hash that texts are filed under.
 WIDTH, HOT, LEADERS, BLOCK, FILED = 5, 64, 4, 128, (1 << 40) - 1
 #: Texts counted at least for the order of prefixes, buckets of shingles, and how many of them are held.
-SAMPLE, BUCKETS, COMMON = 20_000, 1 << 24, 1 << 20
+SAMPLE, BUCKETS, COMMON = 4_000, 1 << 24, 1 << 20
+#: Two long sets of similarity 0.8 differ in 19.4 bits of their 128-bit fingerprints, with a deviation of 4.1. Pairs of more
+#: than FAR differing bits (six deviations on) are not compared further; sets of up to SHORT shingles are all compared.
+FAR, SHORT = 44, 32
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -162,10 +165,15 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def prefix_length(n: int | Column) -> int | Column:
-    """Sets of similarity 0.8 share one of their first so many members in any order that all sets have: n - ceil(0.8 n) + 1."""
+    """Of two sets of similarity 0.8 the larger has their first common member among its first n - ceil(0.8 n) + 1, in any order that all sets have."""
     return F.floor(n / 5).cast("int") + 1 if isinstance(n, Column) else n // 5 + 1
 
 
+def index_length(n: int) -> int:
+    """The smaller one, or either of two as large, has it among its first n - ceil(8 n / 9) + 1, as they share 8/9 of its members."""
+    return n // 9 + 1
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.array([], np.int64), pa.int64()))
@@ -175,13 +183,25 @@ def _key(shingles: np.ndarray) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
 
 
+def set_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The 128-bit SimHash of a set of shingle hashes, as two longs; the second from the hashes mixed once more."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(shingles), STEP):
+        one = shingles[at : at + STEP].view(np.uint64)
+        two = (one ^ (one >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        ones[:64] += _ones(one)
+        ones[64:] += _ones(two ^ (two >> np.uint64(29)))
+    return np.packbits(2 * ones > len(shingles)).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def _marks(common: tuple[np.ndarray, np.ndarray]):
     def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in sliced(batches):
             sets = [shingle_set(t.as_py()) for t in texts]
             keys = np.concatenate([_key(x) for x in sets]).reshape(-1, 2)
             first = _lists([prefix(x, common) & FILED for x in sets])
-            yield pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(x) for x in sets], pa.int32()), first], names=["k1", "k2", "n", "first"])
+            prints = np.concatenate([set_fingerprint(x) for x in sets]).reshape(-1, 2)
+            yield pa.StructArray.from_arrays([*(pa.array(x[:, i]) for x in (keys, prints) for i in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), first], names=["k1", "k2", "f1", "f2", "n", "first"])
 
     return marks
 
@@ -194,7 +214,8 @@ def _shingle_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def _keyed_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in sliced(batches):
         sets = [shingle_set(t.as_py()) for t in texts]
-        yield pa.StructArray.from_arrays([pa.array([_key(x)[0] for x in sets], pa.int64()), _lists(sets)], names=["k1", "s"])
+        keys = np.concatenate([_key(x) for x in sets]).reshape(-1, 2)
+        yield pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(sets)], names=["k1", "k2", "s"])
 
 
 def _members(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,11 +274,11 @@ def common_shingles(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     They settle the order in which prefixes are taken, and so only how many texts meet, not which are alike.
     """
-    share = max(1 / 16, wide_share(SAMPLE, named.count()))
+    share = max(1 / 8, wide_share(SAMPLE, named.count()))
     some = named.where(low_hash(F.col("id"), F.lit(share))).select(F.explode(text_udf(_shingle_sets, "array<bigint>")(F.col("t"))).alias("s"))
-    counts = some.groupBy(F.col("s").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).where("n > 2")
+    counts = some.groupBy(F.col("s").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).where("n > 1")
     counts = written(counts, "common")
-    least, left = 3, COMMON
+    least, left = 2, COMMON
     for n, many in sorted(((r.n, r.many) for r in counts.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True):
         left -= many
         if left < 0:
@@ -288,7 +309,23 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.col("n") + F.col("m"))).select("node", "other").distinct()
 
 
-def _rest(many: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | None:
+def _candidates(few: DataFrame) -> DataFrame:
+    """Pairs (node, other) of texts under a key whose sizes, and places of the key in their prefixes, leave room for a similarity of 0.8."""
+    small = few.where("indexed").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    large = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    room = "(na < nb or (na = nb and a <> b)) and 5 * na >= 4 * nb and 9 * (1 + least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb)"
+    return small.join(large, "key").where(room).select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other")).distinct()
+
+
+def _not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (node, other) whose fingerprints do not rule out a similarity of 0.8."""
+    one, two = nodes.select("node", "n", "f1", "f2"), nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
+    joined = pairs.join(one, "node").join(two, "other").where((5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n")))
+    return joined.where((apart <= FAR) | (F.greatest("n", "m") <= SHORT)).select("node", "other")
+
+
+def _rest(many: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links: DataFrame) -> DataFrame | None:
     """Links (node, other) between texts that share a key in `many` and that `links` leaves in different components, or None.
 
     Texts are compared by blocks within families, which are joined by shared keys; blocks whose sizes
@@ -301,12 +338,13 @@ def _rest(many: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | Non
     if left.isEmpty():
         return None
     family = connected_components(left.select("node", "other"), "node", "other").withColumnRenamed("component", "family")
-    nodes = left.select("node", "comp").distinct().join(family, "node").join(sets, "node")
+    members = written(left.select("node", "comp").distinct().join(family, "node"), "members")
+    nodes = members.join(sets_of(members.select("node")), "node")
     order = Window.partitionBy("family").orderBy("n", "node")
     place = nodes.select("family", "node", "n").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     member = F.struct("node", "comp", "s")
     blocks = nodes.join(place.select("node", "n", "block"), ["node", "n"]).groupBy("family", "block")
-    blocks = written(blocks.agg(F.collect_list(member).alias("all"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d")), "members")
+    blocks = written(blocks.agg(F.collect_list(member).alias("all"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d")), "blocks")
     one = blocks.select("family", *(F.col(c).alias(f"{c}1") for c in ("block", "all", "low", "high", "c", "d")))
     two = blocks.select("family", *(F.col(c).alias(f"{c}2") for c in ("block", "all", "low", "high", "c", "d")))
     meet = one.join(two, "family").where("block1 <= block2 and 5 * high1 >= 4 * low2 and not (c1 = d1 and c2 = d2 and c1 = c2)")
@@ -315,62 +353,78 @@ def _rest(many: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | Non
     return found.select("l.node", "l.other")
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark remove the shuffle files of plans that are done with: it does so when the driver's JVM collects them."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per row with an id: id_col and component_id, over texts whose five-word shingles are similar by 0.8 or more.
-
-    Exact: every pair of that Jaccard similarity is in one component, and every link is such a pair.
-    Texts with one set of shingles are folded first. Two sets of that similarity share a member of
-    their prefixes (see `prefix_length`); texts meet there and are compared by their whole sets. Common
-    shingles come last in the order, so that texts with shingles of their own meet few others. Under a
-    key of more than `hot` texts each is compared with leaders, and what these do not join is compared
-    block by block.
+    """One row per row with an id, over texts whose five-word shingles are similar by 0.8 or more: id_col, set_key (digest of
+    the shingle set), component_id (smallest id reachable) and head (the row, or its repeats, that stands for its component).
+
+    Every link is a pair of that Jaccard similarity, and every such pair is in one component, but for
+    pairs whose 128-bit SimHash fingerprints differ in more than FAR bits (one in a billion). Texts with one set of shingles are folded first; a component's name is the smallest id in it, and
+    rows that share an id but no text are nodes of their own. Two sets of that similarity have their
+    first common shingle in the prefix of the one and the shorter prefix of the other (`prefix_length`,
+    `index_length`); texts meet there, are compared by their fingerprints and, where these
+    are not far apart, by their whole sets. Common shingles come last
+    in the order, so that texts with shingles of their own meet few others. Under a key of more than
+    `hot` texts each is compared with leaders, and what these do not join is compared block by block.
     """
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    marked = written(named.select("id", text_udf(_marks(common_shingles(named)), "struct<k1:bigint,k2:bigint,n:int,first:array<bigint>>")(F.col("t")).alias("f")).select("id", "f.*"), "marks")
-    nodes = written(marked.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("size")), "nodes")
-    heads = nodes.select("node", "size").distinct()
-    filed = marked.select(F.col("id").alias("node"), F.explode("first").alias("key"))
-    shared = filed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    filed_rows = written(filed.join(shared.hint("merge"), "key").join(heads, "node").distinct(), "filed")
-    rows = written(filed_rows.join(filed_rows.groupBy("key").agg(F.countDistinct("node").alias("n")).where("n > 1"), "key"), "sections")
-    discard(filed_rows)
-    _release(rows)
-    few, many = rows.where(F.col("n") <= hot), rows.where(F.col("n") > hot).select("key", "node")
-    pairs = few.join(few.select("key", F.col("node").alias("other"), F.col("size").alias("other_size")), "key")
-    pairs = pairs.where("node < other and 5 * size >= 4 * other_size and 5 * other_size >= 4 * size").select("node", "other")
+    marked = written(named.select("id", text_udf(_marks(common_shingles(named)), "struct<k1:bigint,k2:bigint,f1:bigint,f2:bigint,n:int,first:array<bigint>>")(F.col("t")).alias("f")).select("id", "f.*"), "marks")
+    # a node for each set of shingles; numbered by the files' writer, so it is fixed from here on
+    nodes = marked.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("n").alias("n"), F.first("first").alias("first"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    filed = nodes.select("node", "n", F.posexplode("first").alias("pos", "key")).withColumn("indexed", F.expr("pos < n div 9 + 1"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("many"), F.count_if("indexed").alias("held")).where("many > 1 and held > 0")
+    rows = written(filed.join(shared.select("key", "many").hint("merge"), "key"), "filed")
+    many = rows.where(F.col("many") > hot).select("key", "node")
+    pairs = _candidates(rows.where(F.col("many") <= hot))
     for turn in range(LEADERS):
         lead = many.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("other"))
         pairs = pairs.union(many.join(lead, "key").where("node <> other").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")))
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select("node").union(pairs.select("other")).union(many.select("node")).distinct()
-    # the text that names a node only, where rows share an id
-    wanted = wanted.join(nodes.select("node", F.col("k1").alias("__k1")), "node")
-    sets = named.join(wanted.hint("merge"), named.id == F.col("node")).select("node", "__k1", text_udf(_keyed_sets, "struct<k1:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
-    sets = written(sets.where("f.k1 = __k1").select("node", F.size("f.s").alias("n"), "f.s"), "sets")
-    _release(sets)
+    pairs = written(_not_far(pairs.distinct(), nodes), "pairs")
+    repeated = not marked.groupBy("id").count().where("count > 1").isEmpty()
+
+    def sets_of(which: DataFrame) -> DataFrame:
+        """node, n and s (its shingles) for the nodes given; where these are few, Spark broadcasts them."""
+        wanted = which.distinct().join(nodes.select("node", "low", "k1", "k2"), "node").select("node", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+        made = named.join(written(wanted, "wanted"), named.id == F.col("low")).select("node", "__k1", "__k2", text_udf(_keyed_sets, "struct<k1:bigint,k2:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
+        made = made.where("f.k1 = __k1 and f.k2 = __k2").select("node", F.size("f.s").alias("n"), "f.s")
+        return written(made.dropDuplicates(["node"]) if repeated else made, "sets")  # rows may repeat an id and its text
+
+    sets = sets_of(pairs.select("node").union(pairs.select("other")))
     links = written(_alike(pairs, sets), "links")
-    _release(links)
-    if not many.isEmpty() and (more := _rest(many, sets, links)) is not None:
+    discard(sets)
+    if not many.isEmpty() and (more := _rest(many, sets_of, links)) is not None:
         links = links.union(more)
     tree = connected_components(links, "node", "other")
-    named = nodes.join(tree.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    return marked.select("id", "k1", "k2").join(named, ["k1", "k2"]).select(F.col("id").alias(id_col), "component_id")
+    rooted = nodes.join(tree.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("k1", "k2", "low", F.coalesce("component", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    heads = rooted.groupBy("root").agg(F.min(F.struct("low", "k1", "k2")).alias("first"))
+    is_first = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
+    component = rooted.join(heads.hint("merge"), "root").select("k1", "k2", F.col("first.low").alias("component_id"), is_first.alias("first_set"))
+    out = marked.select("id", "k1", "k2").join(component.hint("merge"), ["k1", "k2"])
+    for table in (rows, pairs):
+        discard(table)
+    return out.select(F.col("id").alias(id_col), F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")).alias("set_key"), "component_id", (F.col("first_set") & (F.col("id") == F.col("component_id"))).alias("head"))
+
+
+def _set_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in sliced(batches):
+        yield pa.array(["".join(f"{int(k) & (1 << 64) - 1:016X}" for k in _key(shingle_set(t.as_py()))) for t in texts], pa.string())
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`docs` with the smallest id of each component of `groups` (id_col, component_id) only, columns unchanged.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of each component of `groups` (see `similar_documents`), that of the smallest id, columns unchanged.
 
-    Of rows that repeat that id, one stays. Rows with a null id stay, as nothing names them.
+    Rows that share an id are told apart by their texts: of rows that repeat a kept id and its text
+    one stays, a row with that id and a text of another component is judged on its own. Rows with a
+    null id stay, as nothing names them.
     """
-    heads = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__head")).agg(F.count("*").alias("__rows"))
-    heads = written(heads, "heads")
-    kept = docs.join(heads.where("__rows = 1").hint("merge"), docs[id_col] == F.col("__head"), "left_semi")
-    if not heads.where("__rows > 1").isEmpty():
-        again = docs.join(heads.where("__rows > 1").hint("merge"), docs[id_col] == F.col("__head"), "left_semi")
-        kept = kept.union(again.dropDuplicates([id_col]))
-    return kept.union(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    per = groups.groupBy(F.col(id_col).alias("__head")).agg(F.count("*").alias("__rows"), F.max("head").alias("__kept"))
+    odd = written(per.where("not __kept or __rows > 1"), "odd")  # all other ids stay; where these are few, Spark broadcasts them
+    kept = docs.join(odd.select("__head"), docs[id_col] == F.col("__head"), "left_anti")
+    again = odd.where("__kept")
+    if not again.isEmpty():
+        keys = groups.where("head").select(F.col(id_col).alias("__head"), F.col("set_key").alias("__key")).distinct()
+        rows = docs.join(again, docs[id_col] == F.col("__head"), "left_semi").withColumn("__own", text_udf(_set_keys, "string")(F.col(text)))
+        rows = rows.join(keys.hint("merge"), (F.col(id_col) == F.col("__head")) & (F.col("__own") == F.col("__key")), "left_semi")
+        kept = kept.union(rows.dropDuplicates([id_col, "__own"]).select(*docs.columns))
+    return kept.select(*docs.columns)
