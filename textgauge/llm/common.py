@@ -8,12 +8,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: Rows of a batch of texts.
-TEXT_ROWS = 512
+#: Rows of a batch of texts, and the bytes of text that a function handles at once.
+TEXT_ROWS, TEXT_BYTES = 128, 4 << 20
 
 #: Words are runs of anything but ASCII white space; the same class in Java, RE2 and Python.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -39,13 +42,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def sliced(batches: Iterator, rows: int = 512) -> Iterator:
-    """Arrow batches in smaller slices, so that what a function builds for one does not follow the size of Spark's batches."""
+def sliced(batches: Iterator, rows: int = TEXT_ROWS) -> Iterator:
+    """Arrow batches in slices of at most `rows` rows, and of TEXT_BYTES bytes where more than one row is in them, so that
+    what a function builds for one follows neither the size of Spark's batches nor the length of the texts in them."""
     for batch in batches:
         many = isinstance(batch, tuple)
-        n = len(batch[0]) if many else len(batch)
-        for at in range(0, n, rows):
-            yield tuple(x.slice(at, rows) for x in batch) if many else batch.slice(at, rows)
+        column = batch[0] if many else batch
+        held = np.arange(len(column) + 1)
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            held = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        at = 0
+        while at < len(column):
+            end = int(np.searchsorted(held, held[at] + TEXT_BYTES, "right")) - 1
+            end = max(at + 1, min(end, at + rows, len(column)))
+            yield tuple(x.slice(at, end - at) for x in batch) if many else batch.slice(at, end - at)
+            at = end
 
 
 def low_hash(c: Column, share: Column) -> Column:
