@@ -120,6 +120,10 @@ class Pieces:
         self.new: dict[str, bytes] = {}  # ids as 32-bit integers
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop all words remembered."""
+        self.state, self.new, self.old, self.tails = {}, {}, {}, {}
+
     def _raw(self, i: int) -> bytes:
         if self.kinds[i] == BYTE:
             return bytes([int(self.names[i][3:5], 16)])
@@ -244,12 +248,13 @@ def _model(raw: bytes, remembered: int = REMEMBERED) -> Pieces:
     return _models[key]
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, model: str, text: str = "text", to: str = "pieces", remembered: int = REMEMBERED) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, model: str, text: str = "text", to: str = "pieces", remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
     """`docs` with a struct column `to`: ids, n_tokens, n_fallback (byte pieces) and round_trip.
 
     round_trip says whether decoding the ids gives the text again; it does unless the text holds
     the marker character itself or no valid Unicode. Null and empty texts have no ids. The model file is read on
-    the driver and broadcast (a few MB). `remembered` bounds the words a worker keeps.
+    the driver and broadcast (a few MB). `remembered` bounds the words a worker keeps; with
+    `forget` it drops them at the end of each task, where other work follows in the same workers.
     """
     with open(model, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
@@ -275,6 +280,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model: str, text: str
             for texts in sliced(batches):
                 yield measured(pieces, low, texts)
         finally:
+            if forget:
+                pieces.forget()
             gc.enable()
 
     return docs.withColumn(to, text_udf(encoded, "struct<ids:array<int>,n_tokens:bigint,n_fallback:bigint,round_trip:boolean>")(F.col(text)))
