@@ -82,3 +82,43 @@ def test_odd_rows(spark):
         assert kept.where("doc_id = 9").count() == 2  # one document in two rows is no repeat
         assert kept.where("doc_id is null").count() == 1  # the copy without an id goes, the row without a text stays
     assert substrings.drop_repeats(empty(spark)).count() == 0
+
+
+def test_repeats_inside_a_document_on_demand(spark):
+    passage = words(60, 501)
+    rows = [(1, words(80, 1) + "\n" + passage + "\n" + words(80, 2) + "\n" + passage + "\n" + words(30, 3)), (2, words(90, 4) + "\n" + passage), (3, words(90, 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {s.id for s in substrings.repeated_spans(df).collect()} == {2}
+    spans = substrings.repeated_spans(df, inside=True).collect()
+    assert sorted(s.id for s in spans) == [1, 2]
+    second = rows[0][1].encode().rindex(passage.encode())
+    assert all(s.first_byte >= second for s in spans if s.id == 1)
+
+
+def test_a_few_words_over_and_over_are_cut(spark):
+    for cycle in ("spam", "spam egg", "spam egg ham"):
+        run = " ".join((cycle.split() * 60)[:60])
+        rows = [(k, words(70, 10 * k) + "\n" + run + "\n" + words(70, 10 * k + 5)) for k in (1, 2)]
+        spans = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [s.id for s in spans] == [2] and spans[0].n_words >= 40
+
+
+def test_spans_against_all_pairs(spark):
+    """Every run of words that a plain search finds in two documents, 51 words or longer, is reported but for its ends, and nothing else is."""
+    df, _ = planted(spark)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    split = {i: t.split() for i, t in texts.items()}
+    grams, common = {}, {}
+    for i in sorted(split):
+        for at in range(len(split[i]) - 9):
+            grams.setdefault(tuple(split[i][at : at + 10]), []).append((i, at))
+    for places in grams.values():
+        for i, at in places:
+            if i != min(places)[0]:
+                common.setdefault(i, set()).update(range(at, at + 10))
+    found = {}
+    for s in substrings.repeated_spans(df).collect():
+        begin = len(texts[s.id].encode()[: s.first_byte].split())
+        found.setdefault(s.id, set()).update(range(begin, begin + s.n_words))
+    assert found.keys() == {i for i, at in common.items() if len(at) >= 51}
+    assert all(at <= common[i] and len(at) >= len(common[i]) - 26 for i, at in found.items())

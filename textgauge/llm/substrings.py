@@ -112,14 +112,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(text).alias("key"), text_udf(_chunked, _CHUNK)(F.col(text)).alias("c"))
     rows = keyed.select("id", "key", F.explode("c").alias("c")).select("id", "key", "c.*")
     table = written(rows, "chunks")
-    place = F.when(F.col("id").isNotNull(), F.struct("id", "key", "no"))
-    shared = table.groupBy("h", "g").agg(F.min(place).alias("first"), F.max("id").alias("other"), F.max(F.col("id").isNull()).alias("unnamed"), F.max(place).alias("last"))
-    beyond = (F.col("first.id") < F.col("other")) | F.col("unnamed")
-    shared = shared.where(F.col("first").isNotNull() & ((F.col("first") < F.col("last")) | beyond if inside else beyond))
-    own = F.col("id").eqNullSafe(F.col("owner"))
-    if inside:
-        own = own & (F.col("key") == F.col("first.key")) & (F.col("no") == F.col("first.no"))
-    met = table.join(shared.select("h", "g", "first", F.col("first.id").alias("owner")).hint("merge"), ["h", "g"]).where(~own)
+    ends = [F.min("id").alias("owner"), F.max("id").alias("other"), F.max(F.col("id").isNull()).alias("unnamed")]
+    beyond = F.col("owner").isNotNull() & ((F.col("owner") < F.col("other")) | F.col("unnamed"))
+    if inside:  # the first place as well; a chunk with a second one anywhere is a repeat
+        place = F.when(F.col("id").isNotNull(), F.struct("id", "key", "no"))
+        shared = table.groupBy("h", "g").agg(*ends, F.min(place).alias("first"), F.max(place).alias("last")).where(beyond | (F.col("first") < F.col("last")))
+        met = table.join(shared.select("h", "g", "owner", "first").hint("merge"), ["h", "g"])
+        met = met.where(~(F.col("id").eqNullSafe(F.col("owner")) & (F.col("key") == F.col("first.key")) & (F.col("no") == F.col("first.no"))))
+    else:
+        shared = table.groupBy("h", "g").agg(*ends).where(beyond)
+        met = table.join(shared.select("h", "g", "owner").hint("merge"), ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("owner")))
     by_text = Window.partitionBy("id", "key").orderBy("no")
     # rows that repeat a text and its id give every chunk as often; ranks and counts see it once
     runs = met.select("id", "key", "no", "a", "size", "n", "owner").withColumn("run", F.col("no") - F.dense_rank().over(by_text))
