@@ -49,10 +49,26 @@ def test_tables_agree_with_memory(spark):
     ci = {r.engine: (r.lo, r.hi) for r in stats.cell_intervals(df, ["engine"], n=500).collect()}
     assert ci == {k: stats.bootstrap_ci(v, [10] * 20, 500) for k, v in ENGINES.items()}
     assert stats.tie_group_table(df, ["track", "lang"], n=500).first().tie_groups == stats.tie_groups({k: (v, [10] * 20) for k, v in ENGINES.items()}, 500)
-    # a large cell is resampled by counts: another stream of the same distribution
-    large = {r.engine: (r.lo, r.hi) for r in stats.cell_intervals(df, ["engine"], n=4000, exact=10).collect()}
+    pairs = {(r.worse, r.better): (r.lo, r.hi) for r in stats.paired_intervals(df, ["track", "lang"], n=500).collect()}
+    assert pairs == {(a, b): stats.paired_diff_ci(ENGINES[a], [10] * 20, ENGINES[b], [10] * 20, 500) for a, b in (("mid", "best"), ("worst", "best"), ("worst", "mid"))}
+    # on demand each utterance draws its own weights: another bootstrap, of much the same interval, whatever the partitions
+    one, two = ({r.engine: (r.lo, r.hi, r.method) for r in stats.cell_intervals(x, ["engine"], n=4000, method="poisson").collect()} for x in (df, df.repartition(5)))
     for k, v in ENGINES.items():
-        assert np.allclose(large[k], stats.bootstrap_ci(v, [10] * 20, 4000), atol=0.012)
+        assert one[k] == two[k] and one[k][2] == "poisson"
+        assert np.allclose(one[k][:2], stats.bootstrap_ci(v, [10] * 20, 4000), atol=0.02)
+    with pytest.raises(ValueError):
+        stats.cell_intervals(df, ["engine"], method="large")
+
+
+def test_engines_with_other_utterances_are_paired_over_what_they_share(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, f"u{i:03d}", int(rng.integers(0, 4)), 10) for k, n in (("a", 30), ("b", 20), ("c", 25)) for i in range(30 - n, 30)]
+    got = {(r.worse, r.better): (r.lo, r.hi) for r in stats.paired_intervals(spark.createDataFrame(rows, "engine string, utt_id string, errors int, ref_len int").withColumn("lang", F.lit("en")), ["lang"], n=300).collect()}
+    by = {k: {u: e for x, u, e, _ in rows if x == k} for k in "abc"}
+    for (worse, better), interval in got.items():
+        both = sorted(by[worse].keys() & by[better].keys())
+        assert interval == stats.paired_diff_ci([by[worse][u] for u in both], [10] * len(both), [by[better][u] for u in both], [10] * len(both), 300)
+    assert len(got) == 3
 
 
 def test_rates(spark):

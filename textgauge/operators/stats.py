@@ -1,13 +1,16 @@
 """Seeded bootstrap intervals and tie groups.
 
-A cell of at most `exact` utterances is resampled by index, with the stated generator, in the order
-of its utterance ids. A larger cell is first counted by its distinct (errors, length) pairs, and
-the resamples draw multinomial counts of those, which is the same distribution; nothing then holds
-a whole cell, and the count is combined before the shuffle.
+The published method resamples a cell by index, with the stated generator and seed, in the order of
+its utterance ids. That stream cannot be divided, so one task draws it for a cell, and for all
+engines of a (track, language) at once: they share their resamples. It is the method at every size.
+For cells too large for one task the caller can ask for `method="poisson"`, another bootstrap, in
+which each utterance draws its own weights and sums are combined before anything is gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +20,7 @@ RESAMPLES = 10_000
 #: The published seed and interval. Fixed values.
 SEED = 20_260_704
 INTERVAL = (2.5, 97.5)
-EXACT = 20_000
+METHODS = ("index", "poisson")
 #: Numbers drawn at once; bounds memory.
 _AT_ONCE = 8_000_000
 
@@ -38,16 +41,6 @@ def _index_sums(columns: list[np.ndarray], n: int, seed: int) -> list[np.ndarray
     return out
 
 
-def _count_sums(columns: list[np.ndarray], counts: np.ndarray, n: int, seed: int) -> list[np.ndarray]:
-    rng, total = np.random.default_rng(seed), int(counts.sum())
-    out, step = [np.empty(n) for _ in columns], max(1, _AT_ONCE // len(counts))
-    for at in range(0, n, step):
-        drawn = rng.multinomial(total, counts / total, size=min(step, n - at))
-        for sums, column in zip(out, columns, strict=True):
-            sums[at : at + len(drawn)] = drawn @ column
-    return out
-
-
 def bootstrap_ci(errors, lengths, n: int = RESAMPLES, seed: int = SEED) -> tuple[float, float]:
     """Percentile interval of the corpus rate."""
     e, r = _index_sums([np.asarray(errors, np.float64), np.asarray(lengths, np.float64)], n, seed)
@@ -89,73 +82,105 @@ def tie_groups(engines: dict[str, tuple[list, list]], n: int = RESAMPLES, seed:
     return fold_tiers(sorted(sorted(engines), key=rate), tied)
 
 
-def _sized(rows: DataFrame, keys: list[str], exact: int) -> DataFrame:
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__size"))
-    return rows.join(sizes, keys).withColumn("__large", F.col("__size") > exact)
+def _kinds(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (rows.schema[k] for k in keys))
+
 
+def _bounds(stat: np.ndarray) -> tuple[float, float]:
+    lo, hi = np.percentile(stat, INTERVAL)
+    return float(lo), float(hi)
 
-def _intervals(rows: DataFrame, keys: list[str], values: list[str], order: str, n: int, seed: int, exact: int) -> DataFrame:
-    """keys, lo, hi; two values: one rate's interval, four: that of a difference."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (rows.schema[k] for k in keys))
-    sized = _sized(rows.select(*keys, order, *values), keys, exact)
 
-    def interval(sums: list[np.ndarray]) -> tuple[float, float]:
-        stat = _rates(sums[0], sums[1]) - (_rates(sums[2], sums[3]) if len(sums) > 2 else 0)
-        lo, hi = np.percentile(stat, INTERVAL)
-        return float(lo), float(hi)
+def cell_intervals(rows: DataFrame, keys: list[str], errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED, method: str = "index") -> DataFrame:
+    """keys, lo, hi and method for every cell of per-utterance rows."""
+    if method not in METHODS:
+        raise ValueError(method)
+    rows = rows.select(*keys, order, F.col(errors).alias("__e"), F.col(lengths).alias("__r"))
+    schema = f"{_kinds(rows, keys)}, lo double, hi double"
 
-    def small(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def by_index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort")
-        lo, hi = interval(_index_sums([pdf[v].to_numpy(np.float64) for v in values], n, seed))
-        return pd.DataFrame([[*key, lo, hi]], columns=[*keys, "lo", "hi"])
+        return pd.DataFrame([[*key, *_bounds(_rates(*_index_sums([pdf[c].to_numpy(np.float64) for c in ("__e", "__r")], n, seed)))]], columns=[*keys, "lo", "hi"])
+
+    if method == "index":
+        return rows.groupBy(*keys).applyInPandas(by_index, schema).withColumn("method", F.lit(method))
+
+    def weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}  # one pair of vectors a cell that the partition holds rows of
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                key = tuple(row[: len(keys)])
+                drawn = np.random.Generator(np.random.Philox(key=[seed, row.h & (1 << 64) - 1])).poisson(1.0, n)
+                total = sums.setdefault(key, np.zeros((2, n)))
+                total[0] += drawn * row.e
+                total[1] += drawn * row.r
+        for key, (e, r) in sums.items():
+            yield pd.DataFrame([[*key, e.tobytes(), r.tobytes()]], columns=[*keys, "e", "r"])
+
+    def combined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        e, r = (sum(np.frombuffer(x, np.float64) for x in pdf[c]) for c in ("e", "r"))
+        return pd.DataFrame([[*key, *_bounds(_rates(e, r))]], columns=[*keys, "lo", "hi"])
+
+    # rows of a repeated utterance id draw alike
+    drawn = rows.select(*keys, F.xxhash64(F.col(order).cast("string")).alias("h"), F.col("__e").alias("e"), F.col("__r").alias("r"))
+    drawn = drawn.mapInPandas(weighted, f"{_kinds(rows, keys)}, e binary, r binary")
+    return drawn.groupBy(*keys).applyInPandas(combined, schema).withColumn("method", F.lit(method))
+
+
+def _resampled(pdf: pd.DataFrame, order: str, n: int, seed: int) -> tuple[list[str], dict[str, float], Callable[[str, str], tuple[float, float]]]:
+    """The engines of one group in rank order, their rates, and the interval of the difference of two of them.
+
+    Where all engines have the same utterances the resamples are drawn once and each engine's rates
+    kept; else each two are resampled over what they have in common.
+    """
+    parts = {name: part.sort_values([order, "__e", "__r"], kind="mergesort") for name, part in pdf.groupby("__engine", sort=True)}
+    sums = {name: (part["__e"].sum(), part["__r"].sum()) for name, part in pdf.groupby("__engine", sort=True)}
+    rate = {name: float(e / r) if r else float(e > 0) for name, (e, r) in sums.items()}
+    ranked = sorted(parts, key=lambda name: (rate[name], name))
+    first = parts[ranked[0]][order].to_numpy()
+    if all(len(p) == len(first) and (p[order].to_numpy() == first).all() for p in parts.values()):
+        columns = [parts[name][c].to_numpy(np.float64) for name in ranked for c in ("__e", "__r")]
+        drawn = _index_sums(columns, n, seed)
+        vectors = {name: _rates(drawn[2 * i], drawn[2 * i + 1]) for i, name in enumerate(ranked)}
+        return ranked, rate, lambda worse, better: _bounds(vectors[worse] - vectors[better])
 
-    def large(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(values)
-        lo, hi = interval(_count_sums([pdf[v].to_numpy(np.float64) for v in values], pdf["__n"].to_numpy(np.float64), n, seed))
-        return pd.DataFrame([[*key, lo, hi]], columns=[*keys, "lo", "hi"])
+    def common(worse: str, better: str) -> tuple[float, float]:
+        # a repeated utterance meets as many of its repeats as the other engine has
+        one, two = (p.assign(__k=p.groupby(order).cumcount()) for p in (parts[worse], parts[better]))
+        both = one.merge(two, on=[order, "__k"], suffixes=("a", "b")).sort_values([order, "__k"], kind="mergesort")
+        if not len(both):
+            return float("nan"), float("nan")
+        return paired_diff_ci(both["__ea"], both["__ra"], both["__eb"], both["__rb"], n, seed)
 
-    schema = f"{kinds}, lo double, hi double"
-    by_index = sized.where(~F.col("__large")).groupBy(*keys).applyInPandas(small, schema)
-    counted = sized.where("__large").groupBy(*keys, *values).agg(F.count("*").alias("__n"))
-    return by_index.union(counted.groupBy(*keys).applyInPandas(large, schema))
+    return ranked, rate, common
 
 
-def cell_intervals(rows: DataFrame, keys: list[str], errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED, exact: int = EXACT) -> DataFrame:
-    """keys, lo, hi for every cell of per-utterance rows."""
-    return _intervals(rows, keys, [errors, lengths], order, n, seed, exact)
+def _grouped(rows: DataFrame, by: list[str], engine: str, errors: str, lengths: str, order: str):
+    return rows.select(*by, F.col(engine).alias("__engine"), order, F.col(errors).alias("__e"), F.col(lengths).alias("__r")).groupBy(*by)
 
 
-def paired_intervals(rows: DataFrame, by: list[str], engine: str = "engine", errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED, exact: int = EXACT) -> DataFrame:
-    """by, worse, better, lo, hi: the interval of the rate difference of every two engines over their common utterances.
+def paired_intervals(rows: DataFrame, by: list[str], engine: str = "engine", errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """by, worse, better, lo, hi: the interval of the rate difference of every two engines over their common utterances; null where they have none."""
 
-    Rows are joined by utterance, so an utterance that one engine lacks is left out of that pair.
-    """
-    rates = rows.groupBy(*by, engine).agg((F.sum(errors) / F.nullif(F.sum(lengths), F.lit(0))).alias("rate"), F.sum(errors).alias("e"))
-    rates = rates.withColumn("rate", F.coalesce("rate", F.when(F.col("e") > 0, 1.0).otherwise(0.0)))
-    rates = rates.select(*by, F.col(engine).alias("name"), "rate")
-    one = rates.select(*by, F.col("name").alias("worse"), F.col("rate").alias("rate_w"))
-    two = rates.select(*by, F.col("name").alias("better"), F.col("rate").alias("rate_b"))
-    later = (F.col("rate_w") > F.col("rate_b")) | ((F.col("rate_w") == F.col("rate_b")) & (F.col("worse") > F.col("better")))
-    pairs = one.join(two, by).where(later).select(*by, "worse", "better")  # engines are few
-    a = rows.select(*by, order, F.col(engine).alias("worse"), F.col(errors).alias("ea"), F.col(lengths).alias("ra"))
-    b = rows.select(*by, order, F.col(engine).alias("better"), F.col(errors).alias("eb"), F.col(lengths).alias("rb"))
-    met = a.join(F.broadcast(pairs), [*by, "worse"]).join(b, [*by, "better", order])
-    return _intervals(met, [*by, "worse", "better"], ["ea", "ra", "eb", "rb"], order, n, seed, exact)
-
-
-def tie_group_table(rows: DataFrame, by: list[str], engine: str = "engine", errors: str = "errors", lengths: str = "ref_len", **how) -> DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ranked, _, interval = _resampled(pdf, order, n, seed)
+        out = [[*key, worse, better, *interval(worse, better)] for i, worse in enumerate(ranked) for better in ranked[:i]]
+        return pd.DataFrame(out, columns=[*by, "worse", "better", "lo", "hi"])
+
+    made = _grouped(rows, by, engine, errors, lengths, order).applyInPandas(compare, f"{_kinds(rows, by)}, worse string, better string, lo double, hi double")
+    return made.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("lo", "hi")})
+
+
+def tie_group_table(rows: DataFrame, by: list[str], engine: str = "engine", errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """by, tie_groups: arrays of engines, each compared with the leader of the tier at hand only."""
-    order = F.sort_array(F.collect_list(F.struct("rate", "name")))
-    rates = rows.groupBy(*by, F.col(engine).alias("name")).agg(F.sum(errors).alias("e"), F.sum(lengths).alias("r"))
-    rates = rates.withColumn("rate", F.when(F.col("r") != 0, F.col("e") / F.nullif("r", F.lit(0))).otherwise(F.when(F.col("e") > 0, 1.0).otherwise(0.0)))
-    ranked = rates.groupBy(*by).agg(order.alias("ranked")).select(*by, F.col("ranked.name").alias("ranked"))
-    tied = paired_intervals(rows, by, engine, errors, lengths, **how).where((F.col("lo") <= 0) & (F.col("hi") >= 0))
-    tied = tied.groupBy(*by).agg(F.collect_set(F.struct("better", "worse")).alias("tied"))
-    both = ranked.join(tied, by, "left")
-    empty = F.array().cast("array<array<string>>")
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & F.coalesce(F.array_contains(F.col("tied"), F.struct(F.element_at(F.element_at(acc, -1), 1).alias("better"), x.alias("worse"))), F.lit(False)),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array_append(F.element_at(acc, -1), x))),
-    ).otherwise(F.array_append(acc, F.array(x)))
-    guarded = lambda acc, x: F.when(F.size(acc) == 0, F.array(F.array(x))).otherwise(step(acc, x))
-    return both.select(*by, F.aggregate("ranked", empty, guarded).alias("tie_groups"))
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ranked, _, interval = _resampled(pdf, order, n, seed)
+
+        def tied(leader: str, name: str) -> bool:
+            lo, hi = interval(name, leader)
+            return lo <= 0 <= hi
+
+        return pd.DataFrame([[*key, fold_tiers(ranked, tied)]], columns=[*by, "tie_groups"])
+
+    return _grouped(rows, by, engine, errors, lengths, order).applyInPandas(fold, f"{_kinds(rows, by)}, tie_groups array<array<string>>")
