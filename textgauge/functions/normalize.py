@@ -132,8 +132,9 @@ class Unavailable(RuntimeError):
     """A tokenizer that needs a library which is not installed."""
 
 
-def tokenize(lang: str, text: str) -> list[str]:
-    """Words of a text: normalized and cut at spaces; by MeCab for ja and jieba for zh; never for th, which has none."""
+@functools.cache
+def _word_cutter(lang: str) -> Callable[[str], list[str]]:
+    """What cuts a normal form of a language into words; made once in a process."""
     if lang == "th":
         raise Unavailable("Thai is scored by characters only")
     if lang == "ja":
@@ -141,24 +142,30 @@ def tokenize(lang: str, text: str) -> list[str]:
             import fugashi
         except ImportError as e:
             raise Unavailable("Japanese words need fugashi and unidic-lite") from e
-        return [str(w.surface) for w in fugashi.Tagger()(text)]
+        tagger = fugashi.Tagger()
+        return lambda text: [str(w.surface) for w in tagger(text)]
     if lang == "zh":
         try:
             import jieba
         except ImportError as e:
             raise Unavailable("Chinese words need jieba") from e
-        return [w for w in jieba.lcut(text) if w.strip()]
-    normal = normalize(lang, text)
-    return normal.split(" ") if normal else []
+        return lambda text: [w for w in jieba.lcut(text) if w.strip()]
+    return lambda text: text.split(" ") if text else []
+
+
+def tokenize(lang: str, text: str) -> list[str]:
+    """Words of the normal form of a text: cut at spaces; by MeCab for ja and jieba for zh; never for th, which has none."""
+    return _word_cutter(lang)(normalize(lang, text))
 
 
 def characters(text: str) -> list[str]:
     return list(text)
 
 
+@functools.cache
 def can_tokenize(lang: str) -> bool:
     try:
-        tokenize(lang, "")
+        _word_cutter(lang)
     except Unavailable:
         return False
     return True
@@ -175,6 +182,26 @@ def _tokenized(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
         yield pa.array([None if x is None or lang not in NORMALIZERS or not can_tokenize(lang) else tokenize(lang, x) for lang, x in zip(langs.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
+def forms(lang: str, text: str, strip: bool) -> dict:
+    """chars and words of a text, normalized once where words are cut from the same form; words are None where a language has none to count."""
+    if lang not in NORMALIZERS:
+        raise ValueError(f"no rules for the language {lang!r}")
+    plain = normalize(lang, text)
+    chars = normalize(lang, text, True) if strip and lang in BY_CHARACTER else plain
+    return {"chars": chars, "words": _word_cutter(lang)(plain) if can_tokenize(lang) else None}
+
+
+def _forms(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.struct([("chars", pa.string()), ("words", pa.list_(pa.string()))])
+    for langs, texts, strips in batches:
+        yield pa.array([None if x is None else forms(lang, x, bool(s)) for lang, x, s in zip(langs.to_pylist(), texts.to_pylist(), strips.to_pylist(), strict=True)], kind)
+
+
+def normal_forms(lang: Column, text: Column, strip: Column | bool = False) -> Column:
+    """struct<chars,words> of a text for scoring; null for a null text. An unknown language stops the query, as its rows would else leave the rate unseen."""
+    return arrow_udf(_forms, "struct<chars:string,words:array<string>>")(lang, text, strip if isinstance(strip, Column) else F.lit(strip))
+
+
 def normalized(lang: Column, text: Column, strip: Column | bool = False) -> Column:
     """The normal form as a column; null for null texts and unknown languages."""
     return arrow_udf(_normalized, "string")(lang, text, strip if isinstance(strip, Column) else F.lit(strip))

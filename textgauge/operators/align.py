@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: Distinct tokens of a pair that the built-in word distance can tell apart (CJK ideographs from U+4E00 on).
-ALPHABET = 20_000
+#: Distinct tokens of a pair that the built-in word distance can tell apart: code points beyond the first plane.
+ALPHABET = 0x100000
 
 
 def _next_row(row: np.ndarray, ref_id: int, hyp: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -91,17 +91,20 @@ def word_errors(ref: Column, hyp: Column) -> Column:
     """Edit distance of two token arrays.
 
     Every distinct token of the pair is given a character and the built-in distance compares the
-    strings. A pair with more distinct tokens than the alphabet has characters is null: split it
-    with `edit_split`, or use `word_errors_any`, which does so where it must.
+    strings. No Python is involved. A pair with more distinct tokens than there are characters (some
+    million) stops the query; `edit_split` has no such bound. A null hypothesis counts as empty, a
+    null reference gives null.
     """
     hyp = F.coalesce(hyp, F.array().cast("array<string>"))
-    known = F.array_distinct(F.concat(ref, hyp))
-    # position 1 becomes U+4E00, and so on
-    mark = lambda t: F.decode(F.unhex(F.hex(F.array_position(known, t) + 0x4DFF)), "UTF-16BE")
-    letter = lambda tokens: F.concat_ws("", F.transform(tokens, mark))
-    return F.when(F.size(known) <= ALPHABET, F.levenshtein(letter(ref), letter(hyp)))
 
-
-def word_errors_any(ref: Column, hyp: Column) -> Column:
-    s = edit_split(ref, hyp)
-    return F.coalesce(word_errors(ref, hyp), s["sub"] + s["del"] + s["ins"])
+    def distance(pair: Column) -> Column:
+        ref, hyp, known = pair["ref"], pair["hyp"], pair["known"]
+        # position 1 becomes U+10000, and so on
+        mark = lambda t: F.lpad(F.hex(F.array_position(known, t) + 0xFFFF), 8, "0")
+        letter = lambda tokens: F.decode(F.unhex(F.concat_ws("", F.transform(tokens, mark))), "UTF-32")
+        few = F.size(known) <= ALPHABET
+        return F.when(few, F.levenshtein(letter(ref), letter(hyp))).otherwise(F.when(~few, F.raise_error(F.lit("too many distinct words for one pair")).cast("int")))
+
+    # bound to a variable, so that the distinct tokens are found once a pair and not once a token
+    pair = F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("known"))
+    return F.transform(F.array(pair), distance)[0]

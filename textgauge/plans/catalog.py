@@ -17,9 +17,9 @@ from textgauge.functions import native
 from textgauge.functions.normalize import normalized, tokenized
 from textgauge.operators import aggregates as A
 from textgauge.operators import audio, checks, stats
-from textgauge.operators.align import char_errors, edit_split, word_errors_any
+from textgauge.operators.align import char_errors, edit_split, word_errors
 from textgauge.plans import score
-from textgauge.plans.session import materialized
+from textgauge.plans.session import materialized, spread
 from textgauge.plans.goldens import ALIGNMENTS, GOLDENS, RULES
 from textgauge.sources.raw import canonical_json, table
 
@@ -176,12 +176,12 @@ for _lang in GOLDENS:
 @query()
 def normalize_documents(spark, sf):
     made = normalized(F.col("lang"), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", "lang", made.alias("normal")).select("doc_id", "lang", F.md5(F.col("normal").cast("binary")).alias("digest"), F.length("normal").alias("n_chars"))
+    return spread(table(spark, sf, "documents")).select("doc_id", "lang", made.alias("normal")).select("doc_id", "lang", F.md5(F.col("normal").cast("binary")).alias("digest"), F.length("normal").alias("n_chars"))
 
 
 @query()
 def tokenize_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tokenized(F.col("lang"), F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_words"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tokenized(F.col("lang"), F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_words"))
 
 
 # --- alignment
@@ -193,8 +193,10 @@ _CLEAN_SQL = f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(re
 def pairs(spark, sf) -> DataFrame:
     """Adjacent turns, user then assistant: conv_id, turn, ref_raw, hyp_raw."""
     turns = table(spark, sf, "conversations")
-    ref = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref_raw"))
-    hyp = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp_raw"))
+    # the shuffle of the join, with its partitions kept apart however few bytes are in them: alignment costs the square of a text
+    dealt = lambda df: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    ref = dealt(turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref_raw")))
+    hyp = dealt(turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp_raw")))
     return ref.join(hyp, ["conv_id", "turn"])
 
 
@@ -218,7 +220,7 @@ def _word_pairs(spark, sf):
 
 @query()
 def wer_total(spark, sf):
-    return _word_pairs(spark, sf).select("conv_id", "turn", word_errors_any(F.col("ref"), F.col("hyp")).alias("errors"), F.size("ref").alias("ref_len"))
+    return _word_pairs(spark, sf).select("conv_id", "turn", word_errors(F.col("ref"), F.col("hyp")).alias("errors"), F.size("ref").alias("ref_len"))
 
 
 @query()
@@ -354,21 +356,21 @@ def bootstrap_ci(spark, sf):
     return stats.cell_intervals(document_cells(spark, sf), list(A.CELL))
 
 
-def _common_cells(spark, sf):
-    """All sources over utterances numbered alike, as far as every source has them."""
+def _numbered_cells(spark, sf):
+    """All sources over utterances numbered alike."""
     rows = document_cells(spark, sf).withColumn("utt", F.row_number().over(Window.partitionBy("engine").orderBy("utt_id")))
-    rows = rows.select("engine", "track", F.lit("all").alias("lang"), F.col("utt").alias("utt_id"), "errors", "ref_len")
-    return checks.paired(rows, "intersect")
+    return rows.select("engine", "track", F.lit("all").alias("lang"), F.col("utt").alias("utt_id"), "errors", "ref_len")
 
 
 @query()
 def paired_diff(spark, sf):
-    return stats.paired_intervals(materialized(_common_cells(spark, sf)), ["track", "lang"])
+    return stats.paired_intervals(_numbered_cells(spark, sf), ["track", "lang"])
 
 
 @query()
 def tie_groups(spark, sf):
-    return stats.tie_group_table(materialized(_common_cells(spark, sf)), ["track", "lang"])
+    # tiers are of engines that share their utterances: what one source lacks is left out for all
+    return stats.tie_group_table(checks.paired(materialized(_numbered_cells(spark, sf)), "intersect"), ["track", "lang"])
 
 
 # --- extras of the specification

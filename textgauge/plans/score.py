@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgauge.functions.normalize import BY_CHARACTER, normalized, tokenized
+from textgauge.functions.normalize import BY_CHARACTER, normal_forms
 from textgauge.operators import aggregates as A
 from textgauge.operators import checks, stats
-from textgauge.operators.align import edit_split
+from textgauge.operators.align import char_errors, edit_split, word_errors
 
 #: List prices in USD per audio hour; engines that are not listed have none. Fixed values.
 PRICES = {"elevenlabs": 0.22, "openai": 0.36, "whisper1": 0.36, "google_stt_v2": 0.96, "deepgram": 0.258, "mai_transcribe": 0.36, "mistral_voxtral": 0.18}
@@ -18,34 +18,31 @@ def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRICES.items()), "engine string, price_per_audio_hour_usd double")
 
 
-def _errors(ops: str) -> F.Column:
-    o = F.col(ops)
-    return o["sub"] + o["del"] + o["ins"]
-
-
 def score_utterances(records: DataFrame, literal: bool = False) -> DataFrame:
-    """One row a record: engine, track, lang, utt_id, cer_ops and wer_ops, empty, rtf, params, timestamp_utc.
-
-    A null transcription counts as an empty one and is never left out. Every reference is normalized
-    once, however many engines have it. Characters of ja, th and zh are compared without white space,
-    unless `literal` asks for the normalized text as it is; wer_ops is null where a language has no
-    words to count. Records are spread by row, not by cell, before alignment, as one very long
-    transcription outweighs many.
+    """One row a record: engine, track, lang, utt_id, errors and lengths by character and by word, their splits in cer_ops and wer_ops, empty, rtf, params, timestamp_utc.
+
+    A null transcription counts as an empty one and is never left out; an unknown language stops the
+    query. Every text is normalized once, every reference once however many engines have it; they
+    meet by a digest of the reference. Characters of ja, th and zh are compared without white space,
+    unless `literal` asks for the normalized text as it is; the word columns are null where a language
+    has no words to count. Totals are built-in expressions; the Python function behind the splits runs
+    only where cer_ops or wer_ops are kept.
     """
     strip = F.lit(False) if literal else F.col("lang").isin(*BY_CHARACTER)
     rows = records.select(
         F.col("engine_key").alias("engine"), "track", F.col("lang_key").alias("lang"), F.col("file_utt_id").alias("utt_id"),
         F.coalesce("ref_text_raw", F.lit("")).alias("ref"), F.coalesce("text", F.lit("")).alias("hyp"),
         "params", "timestamp_utc", A.real_time_factor(F.col("latency_sec"), F.col("duration_sec")).alias("rtf"),
-    )
-    forms = lambda df, c: df.withColumn(f"{c}_chars", normalized(F.col("lang"), F.col(c), strip)).withColumn(f"{c}_words", tokenized(F.col("lang"), F.col(c)))
-    refs = forms(rows.select("lang", "ref").distinct(), "ref")
-    both = forms(rows, "hyp").join(refs, ["lang", "ref"])
+    ).withColumn("digest", F.unhex(F.sha2("ref", 256)))
+    refs = rows.select("lang", "digest", "ref").dropDuplicates(["lang", "digest"]).select("lang", "digest", normal_forms(F.col("lang"), F.col("ref"), strip).alias("r"))
+    hyps = rows.drop("ref").withColumn("h", normal_forms(F.col("lang"), F.col("hyp"), strip))
+    both = hyps.join(refs, ["lang", "digest"])
     return both.select(
         "engine", "track", "lang", "utt_id", "params", "timestamp_utc", "rtf", A.is_empty(F.col("hyp")).alias("empty"),
-        edit_split(F.col("ref_chars"), F.col("hyp_chars")).alias("cer_ops"),
-        edit_split(F.col("ref_words"), F.col("hyp_words")).alias("wer_ops"),
-    ).select("*", _errors("cer_ops").alias("cer_errors"), F.col("cer_ops.ref_len").alias("cer_len"), _errors("wer_ops").alias("wer_errors"), F.col("wer_ops.ref_len").alias("wer_len"))
+        char_errors(F.col("r.chars"), F.col("h.chars")).alias("cer_errors"), F.char_length("r.chars").alias("cer_len"),
+        word_errors(F.col("r.words"), F.col("h.words")).alias("wer_errors"), F.when(F.col("r.words").isNotNull(), F.size("r.words")).alias("wer_len"),
+        edit_split(F.col("r.chars"), F.col("h.chars")).alias("cer_ops"), edit_split(F.col("r.words"), F.col("h.words")).alias("wer_ops"),
+    )
 
 
 def cell_table(utterances: DataFrame, pairing: str = "strict", n: int = stats.RESAMPLES, seed: int = stats.SEED) -> DataFrame:
@@ -68,7 +65,7 @@ def cell_table(utterances: DataFrame, pairing: str = "strict", n: int = stats.RE
     )
     for kind, (e, r) in (("cer", cer), ("wer", wer)):
         ci = stats.cell_intervals(rows.where(F.col(r).isNotNull()), keys, e, r, n=n, seed=seed)
-        cells = cells.join(ci.withColumnsRenamed({"lo": f"{kind}_ci95_lo", "hi": f"{kind}_ci95_hi"}), keys, "left")
+        cells = cells.join(ci.drop("method").withColumnsRenamed({"lo": f"{kind}_ci95_lo", "hi": f"{kind}_ci95_hi"}), keys, "left")
     main = rows.withColumns({"errors": A.headline(F.col("lang"), F.col("cer_errors"), F.col("wer_errors")), "ref_len": A.headline(F.col("lang"), F.col("cer_len"), F.col("wer_len"))})
     groups = stats.tie_group_table(main, ["track", "lang"], n=n, seed=seed)
     cells = cells.join(F.broadcast(prices(spark)), "engine", "left").join(groups, ["track", "lang"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,18 @@ def session(name: str = "textgauge", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over the cores where it comes in fewer splits than there are; a table of many splits, such as any large one, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the checkpoint folder that driver and executors share; set here only where it is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textgauge-"))
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="textgauge-"))
     return df.checkpoint()
