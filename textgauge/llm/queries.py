@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textgauge.llm import embeddings, flac, langid, mixing, pieces, quality, simhash, substrings, tokens, urls
 from textgauge.llm.common import crc_mod, hold_batches
 from textgauge.llm.common import table as _table
+from textgauge.plans.session import spread
 
 TOKEN_LIMIT = 1024
 #: Words and pieces that a worker of the two token queries keeps: some 300 MB.
@@ -18,9 +19,9 @@ QUALITY_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the queries, in a session whose batches suit documents."""
+    """A table of the queries, in a session whose batches suit documents, over all cores."""
     hold_batches(spark)
-    return _table(spark, sf_dir, name)
+    return spread(_table(spark, sf_dir, name))
 
 
 def tokenizer(name: str) -> str:
