@@ -74,10 +74,36 @@ def test_japanese_numbers_read_back(n):
 
 
 def test_english_numbers():
-    for text, expected in (("one hundred and twenty three", "123"), ("two thousand five", "2005"), ("nineteen eighty four", "19 84"), ("five million", "5000000"), ("black and white", "black and white"), ("one two", "1 2")):
+    for text, expected in (("one hundred and twenty three", "123"), ("two thousand five", "2005"), ("nineteen eighty four", "1984"), ("five million", "5000000"), ("black and white", "black and white"), ("one two", "12"),
+        ("nineteen ninety nine", "1999"), ("twenty twenty", "2020"), ("twenty oh five", "2005"), ("oh one", "01"), ("double five", "55"), ("triple zero seven", "0007"), ("three point one four", "3.14"), ("two and a half", "2.5"),
+        ("three point five million", "3500000"), ("two point five thousand", "2500"), ("twenty one dollars", "21"), ("five percent", "5"), ("seventy per cent", "70"), ("minus five", "5"), ("a hundred", "a 100"), ("twenty first", "21st"), ("nineteen sixties", "1960s"),
+        ("one million two hundred thousand three", "1200003"), ("fifteen hundred", "1500"), ("two hundred and five", "205"), ("the point is", "the point is"), ("plus size", "plus size"), ("20 five", "25"), ("3 one", "3 1"), ("two hundredth", "200th"), ("six hundred thousand", "600000")):
         assert english.spelled_numbers(text) == expected
 
 
+def test_english_sentences():
+    for text, expected in (("It cost twenty-one dollars, five percent more.", "it cost 21 5 more"), ("chapter 1", "chapter one"), ("3.5 million", "3 5000000"), ("5km", "5 km"), ("the 1960s", "the 1960s"), ("In nineteen ninety-nine", "in 1999")):
+        assert normalize.normalize("en", text) == expected
+        assert normalize.normalize("en", expected) == expected
+
+
+def test_traditional_characters_by_the_table(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("兩萬三千",), ("三萬三千",), ("這是繁體中文",), ("这是简体",)], "t string")
+    got = [r[0] for r in rows.select(normalize.normalized(F.lit("zh"), F.col("t"))).collect()]
+    assert got == ["23000", "33000", "这是繁体中文", "这是简体"]
+
+
+def test_words_are_cut_from_the_normal_form(monkeypatch):
+    seen = []
+    monkeypatch.setattr(normalize, "_word_cutter", lambda lang: lambda text: seen.append(text) or text.split("、"))
+    assert normalize.tokenize("ja", "ＡＢＣ　二十一") == [normalize.normalize("ja", "ＡＢＣ　二十一")] == seen
+    assert normalize.forms("de", "Zwei Häuser", False) == {"chars": "2 häuser", "words": ["2 häuser"]}
+    with pytest.raises(ValueError):
+        normalize.forms("xx", "a", False)
+
+
 def test_contractions_and_fillers():
     assert normalize.normalize("en", "Um, I can’t, won't") == "i can not will not"
     assert normalize.normalize("en", "colour") == normalize.normalize("en", "color")

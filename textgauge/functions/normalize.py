@@ -30,7 +30,7 @@ def _with_basic_layer(text: str) -> str:
 def normalize_en(text: str) -> str:
     text = t.one_space(t.blank_marks_but(t.join_comma_groups(_folded(text))))
     text = t.bare_ordinals(english.english_layer(t.one_space(english.spelled_numbers(text))), "st|nd|rd|th")
-    return t.one_space(t.blank_marks_but(text))
+    return english.lone_ones(t.one_space(t.blank_marks_but(text)))
 
 
 def normalize_de(text: str) -> str:
@@ -92,11 +92,32 @@ def normalize_ja(text: str, strip: bool = False) -> str:
     return charnumbers.japanese(*t.close_up(text)) if strip else charnumbers.japanese(text)
 
 
-#: Traditional to simplified characters. There is no converter in the standard library: without one
-#: (OpenCC's t2s, or any function of a text set here) Chinese text is normalized as it is written.
+#: Traditional to simplified characters: any function of a text that is set here, or OpenCC's t2s where it is installed,
+#: or the table that `simplified_table` gives, which the columns below carry to the workers.
 simplify: Callable[[str], str] | None = None
 
 
+@functools.cache
+def simplified_table() -> dict[int, str]:
+    """Traditional characters and their simplified ones, one by one, by the transliterator that comes with Spark; empty where it is not there."""
+    spark = SparkSession.getActiveSession()
+    try:
+        found = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Hant-Hans")
+    except Exception:  # noqa: BLE001 - no session, a remote one, or a Spark without that library
+        return {}
+    han = [chr(c) for lo, hi in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00)) for c in range(lo, hi)]
+    return {ord(a): b for a, b in zip(han, found.transliterate("\n".join(han)).split("\n"), strict=True) if a != b}
+
+
+_table: dict[int, str] = {}
+
+
+def use_table(table: dict[int, str]) -> None:
+    """What a worker's Chinese normalizer falls back on."""
+    global _table
+    _table = table
+
+
 @functools.cache
 def _converter() -> Callable[[str], str] | None:
     try:
@@ -108,8 +129,7 @@ def _converter() -> Callable[[str], str] | None:
 
 def normalize_zh(text: str, strip: bool = False) -> str:
     text = t.nfkc(text)
-    if (convert := simplify or _converter()) is not None:
-        text = convert(text)
+    text = convert(text) if (convert := simplify or _converter()) is not None else text.translate(_table)
     text = _cleaned(text.lower())
     return charnumbers.chinese(*t.close_up(text)) if strip else charnumbers.chinese(text)
 
@@ -128,6 +148,9 @@ def normalize(lang: str, text: str, strip: bool = False) -> str:
     return rule(text, strip) if lang in BY_CHARACTER else rule(text)
 
 
+_TWO, _THREE = Iterator[tuple[pa.Array, pa.Array]], Iterator[tuple[pa.Array, pa.Array, pa.Array]]
+
+
 class Unavailable(RuntimeError):
     """A tokenizer that needs a library which is not installed."""
 
@@ -171,6 +194,18 @@ def can_tokenize(lang: str) -> bool:
     return True
 
 
+def _with_table(f: Callable, hint: type) -> Callable:
+    """`f` for a column, with the table of simplified characters set in the worker first."""
+    table = simplified_table()
+
+    def run(batches):
+        use_table(table)
+        yield from f(batches)
+
+    run.__annotations__ = {"batches": hint, "return": Iterator[pa.Array]}
+    return run
+
+
 def _normalized(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for langs, texts, strips in batches:
         rows = zip(langs.to_pylist(), texts.to_pylist(), strips.to_pylist(), strict=True)
@@ -199,23 +234,23 @@ def _forms(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[p
 
 def normal_forms(lang: Column, text: Column, strip: Column | bool = False) -> Column:
     """struct<chars,words> of a text for scoring; null for a null text. An unknown language stops the query, as its rows would else leave the rate unseen."""
-    return arrow_udf(_forms, "struct<chars:string,words:array<string>>")(lang, text, strip if isinstance(strip, Column) else F.lit(strip))
+    return arrow_udf(_with_table(_forms, _THREE), "struct<chars:string,words:array<string>>")(lang, text, strip if isinstance(strip, Column) else F.lit(strip))
 
 
 def normalized(lang: Column, text: Column, strip: Column | bool = False) -> Column:
     """The normal form as a column; null for null texts and unknown languages."""
-    return arrow_udf(_normalized, "string")(lang, text, strip if isinstance(strip, Column) else F.lit(strip))
+    return arrow_udf(_with_table(_normalized, _THREE), "string")(lang, text, strip if isinstance(strip, Column) else F.lit(strip))
 
 
 def tokenized(lang: Column, text: Column) -> Column:
     """Words as a column; null for null texts, unknown languages and languages whose tokenizer is not installed."""
-    return arrow_udf(_tokenized, "array<string>")(lang, text)
+    return arrow_udf(_with_table(_tokenized, _TWO), "array<string>")(lang, text)
 
 
 def register(spark: SparkSession) -> None:
     """SQL functions: tg_normalize(lang, text, strip), tg_tokenize(lang, text), tg_edit_ops(ref, hyp)."""
     from textgauge.operators.align import _edit_ops
 
-    spark.udf.register("tg_normalize", arrow_udf(_normalized, "string"))
-    spark.udf.register("tg_tokenize", arrow_udf(_tokenized, "array<string>"))
+    spark.udf.register("tg_normalize", arrow_udf(_with_table(_normalized, _THREE), "string"))
+    spark.udf.register("tg_tokenize", arrow_udf(_with_table(_tokenized, _TWO), "array<string>"))
     spark.udf.register("tg_edit_ops", arrow_udf(_edit_ops, "struct<sub:int,del:int,ins:int,ref_len:int>"))
