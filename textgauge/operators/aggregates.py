@@ -91,10 +91,10 @@ def first_utterances(rows: DataFrame, n: int = 200, by: tuple[str, ...] = CELL,
     return numbered.where(F.col("__n") <= n).drop("__n")
 
 
-def term_recall(terms: DataFrame, hyps: DataFrame, on: list[str]) -> DataFrame:
-    """Share of normalized terms that stand in the normalized hypothesis of their utterance."""
+def term_recall(terms: DataFrame, hyps: DataFrame, on: list[str], by: list[str] | None = None) -> DataFrame:
+    """Share of normalized terms that stand in the normalized hypothesis of their utterance, over all or by some columns."""
     met = terms.join(hyps, on, "left")
-    return met.agg(F.avg(F.when(F.coalesce(F.col("hyp"), F.lit("")).contains(F.col("term")), 1.0).otherwise(0.0)).alias("term_recall"))
+    return met.groupBy(*(by or [])).agg(F.avg(F.when(F.coalesce(F.col("hyp"), F.lit("")).contains(F.col("term")), 1.0).otherwise(0.0)).alias("term_recall"))
 
 
 def without_fillers(tokens: Column, fillers: Column) -> Column:

@@ -21,6 +21,7 @@ from textgauge.operators.align import char_errors, edit_split, word_errors
 from textgauge.plans import score
 from textgauge.plans.session import materialized, spread
 from textgauge.plans.goldens import ALIGNMENTS, GOLDENS, RULES
+from textgauge.plans.twins import english_sql, normal_sql
 from textgauge.sources.raw import canonical_json, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,13 +174,16 @@ for _lang in GOLDENS:
     query(f"SELECT * FROM ({_values(GOLDENS[_lang])}) v(strip_ws, input, output)", f"normalize_{_lang}")(partial(_normalize, _lang))
 
 
-@query()
+_NORMAL_SQL = f"SELECT doc_id, lang, CASE WHEN text IS NOT NULL THEN {normal_sql('lang', 'text')} END AS normal FROM documents"
+
+
+@query(f"SELECT doc_id, lang, md5(normal) AS digest, length(normal)::INTEGER AS n_chars FROM ({_NORMAL_SQL})")
 def normalize_documents(spark, sf):
     made = normalized(F.col("lang"), F.col("text"))
     return spread(table(spark, sf, "documents")).select("doc_id", "lang", made.alias("normal")).select("doc_id", "lang", F.md5(F.col("normal").cast("binary")).alias("digest"), F.length("normal").alias("n_chars"))
 
 
-@query()
+@query(f"SELECT doc_id, CASE WHEN normal = '' THEN 0 ELSE len(string_split(normal, ' ')) END::INTEGER AS n_words FROM ({_NORMAL_SQL})")
 def tokenize_documents(spark, sf):
     return spread(table(spark, sf, "documents")).select("doc_id", tokenized(F.col("lang"), F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_words"))
 
@@ -187,7 +191,37 @@ def tokenize_documents(spark, sf):
 # --- alignment
 
 _PAIRS_SQL = "SELECT a.conv_id, a.turn, a.text AS ref_raw, b.text AS hyp_raw FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"
-_CLEAN_SQL = f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(ref_raw), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS ref, trim(regexp_replace(regexp_replace(lower(coalesce(hyp_raw, '')), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS hyp FROM ({_PAIRS_SQL}) WHERE ref_raw IS NOT NULL"
+_CLEAN = r"trim(regexp_replace(regexp_replace(lower({}), '[^\pL\pN ]', '', 'g'), ' +', ' ', 'g'))"
+_CLEAN_SQL = f"SELECT conv_id, turn, {_CLEAN.format('ref_raw')} AS ref, {_CLEAN.format("coalesce(hyp_raw, '')")} AS hyp FROM ({_PAIRS_SQL}) WHERE ref_raw IS NOT NULL"
+# the twin's levenshtein counts bytes, so letters beyond ASCII are given single bytes first
+_ACCENTS, _BYTES = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&"
+
+
+def _char_distance_sql(ref: str, hyp: str) -> str:
+    narrow = lambda x: f"translate({x}, '{_ACCENTS}', '{_BYTES}')"
+    return f"levenshtein({narrow(ref)}, {narrow(hyp)})::INTEGER"
+
+
+def word_split_sql(rows: str) -> str:
+    """`rows` (with word lists r and h) and n_sub, n_del, n_ins of the alignment found backwards from the end: the table row by row.
+
+    A cell packs its three counts into one number; it comes from the diagonal where the words are
+    equal or the cost allows a substitution, else from above (a deletion), else from the left.
+    """
+    cost = lambda x: f"(({x} & 1048575) + (({x} >> 20) & 1048575) + ({x} >> 40))"
+    left = "a[len(a)]"
+    least = f"least({cost('e[2]')}, {cost('e[3]')}, {cost(left)})"
+    cell = f"CASE WHEN e[1] = t[1] THEN e[2] WHEN {cost('e[2]')} = {least} THEN e[2] + 1 WHEN {cost('e[3]')} = {least} THEN e[3] + (1::BIGINT << 20) ELSE {left} + (1::BIGINT << 40) END"
+    row = f"list_reduce(list_transform(hs, lambda x, j: [x, prev[j], prev[j + 1]]), lambda a, e: list_append(a, {cell}), [prev[1] + (1::BIGINT << 20)])"
+    last = f"list_reduce(rs, lambda prev, t: {row}, list_transform(range(len(hs) + 1), lambda j: j::BIGINT << 40))"
+    ids = f"SELECT *, list_distinct(list_concat(r, h)) AS known FROM ({rows})"
+    ids = f"SELECT * EXCLUDE known, list_transform(r, lambda x: [list_position(known, x)::BIGINT]) AS rs, list_transform(h, lambda x: list_position(known, x)::BIGINT) AS hs FROM ({ids})"
+    done = f"SELECT * EXCLUDE (rs, hs), ({last})[len(hs) + 1] AS v FROM ({ids})"
+    return f"SELECT * EXCLUDE v, (v & 1048575)::INTEGER AS n_sub, ((v >> 20) & 1048575)::INTEGER AS n_del, (v >> 40)::INTEGER AS n_ins FROM ({done})"
+
+
+_WORDS = "CASE WHEN {0} = '' THEN []::VARCHAR[] ELSE string_split({0}, ' ') END"
+_WORD_SPLIT_SQL = word_split_sql(f"SELECT conv_id, turn, {_WORDS.format('ref')} AS r, {_WORDS.format('hyp')} AS h FROM ({_CLEAN_SQL})")
 
 
 def pairs(spark, sf) -> DataFrame:
@@ -201,7 +235,7 @@ def pairs(spark, sf) -> DataFrame:
 
 
 def _clean(c):
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z ]", ""), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]", ""), " +", " "))
 
 
 def clean_pairs(spark, sf) -> DataFrame:
@@ -209,7 +243,7 @@ def clean_pairs(spark, sf) -> DataFrame:
     return rows.select("conv_id", "turn", _clean(F.col("ref_raw")).alias("ref"), _clean(F.coalesce("hyp_raw", F.lit(""))).alias("hyp"))
 
 
-@query(f"SELECT conv_id, turn, levenshtein(ref, hyp)::INTEGER AS errors, length(ref)::INTEGER AS ref_len FROM ({_CLEAN_SQL})")
+@query(f"SELECT conv_id, turn, {_char_distance_sql('ref', 'hyp')} AS errors, length(ref)::INTEGER AS ref_len FROM ({_CLEAN_SQL})")
 def cer_total(spark, sf):
     return clean_pairs(spark, sf).select("conv_id", "turn", char_errors(F.col("ref"), F.col("hyp")).alias("errors"), F.length("ref").alias("ref_len"))
 
@@ -218,12 +252,12 @@ def _word_pairs(spark, sf):
     return clean_pairs(spark, sf).select("conv_id", "turn", native.words(F.col("ref")).alias("ref"), native.words(F.col("hyp")).alias("hyp"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, n_sub + n_del + n_ins AS errors, len(r)::INTEGER AS ref_len FROM ({_WORD_SPLIT_SQL})")
 def wer_total(spark, sf):
     return _word_pairs(spark, sf).select("conv_id", "turn", word_errors(F.col("ref"), F.col("hyp")).alias("errors"), F.size("ref").alias("ref_len"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, n_sub, n_del, n_ins, len(r)::INTEGER AS ref_len FROM ({_WORD_SPLIT_SQL})")
 def wer_split(spark, sf):
     rows = _word_pairs(spark, sf).select("conv_id", "turn", edit_split(F.col("ref"), F.col("hyp")).alias("o"))
     return rows.select("conv_id", "turn", F.col("o.sub").alias("n_sub"), F.col("o.del").alias("n_del"), F.col("o.ins").alias("n_ins"), "o.ref_len")
@@ -236,7 +270,7 @@ def edit_split_cases(spark, sf):
     return made.select("ref", "hyp", F.col("o.sub").alias("n_sub"), F.col("o.del").alias("n_del"), F.col("o.ins").alias("n_ins"), "o.ref_len")
 
 
-_ERRORS_SQL = f"SELECT conv_id, turn, levenshtein(ref, hyp) AS errors, length(ref) AS ref_len FROM ({_CLEAN_SQL})"
+_ERRORS_SQL = f"SELECT conv_id, turn, {_char_distance_sql('ref', 'hyp')} AS errors, length(ref) AS ref_len FROM ({_CLEAN_SQL})"
 
 
 @query(f"SELECT turn, sum(errors)::BIGINT AS errors, sum(ref_len)::BIGINT AS ref_len, round(CASE WHEN sum(ref_len) <> 0 THEN sum(errors)::DOUBLE / sum(ref_len) WHEN sum(errors) > 0 THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS corpus_rate FROM ({_ERRORS_SQL}) GROUP BY turn")
@@ -256,6 +290,9 @@ _CELLS_SQL = r"SELECT source AS engine, 'a' AS track, lang, doc_id AS utt_id, le
 _RATES_SQL = f"SELECT engine, track, lang, CASE WHEN sum(ref_len) <> 0 THEN sum(errors)::DOUBLE / sum(ref_len)::DOUBLE ELSE 0.0 END AS rate FROM ({_CELLS_SQL}) GROUP BY ALL"
 
 
+_ENGINE_RATES_SQL = f"SELECT engine, CASE WHEN sum(ref_len) <> 0 THEN sum(errors)::DOUBLE / sum(ref_len)::DOUBLE ELSE 0.0 END AS rate FROM ({_CELLS_SQL}) GROUP BY engine"
+
+
 def document_cells(spark, sf) -> DataFrame:
     n = F.length("text")
     errors = n - F.length(F.regexp_replace("text", "[|%&$#*!]", ""))
@@ -379,10 +416,15 @@ _TERMS = ["thing", "the", "ion", "zzz"]
 _FILLERS = ["of", "the", "a"]
 
 
-@query(f"SELECT t.term, avg(CASE WHEN contains(lower(d.text), t.term) THEN 1.0 ELSE 0.0 END)::DOUBLE AS recall FROM documents d, ({_values([(t,) for t in _TERMS])}) t(term) GROUP BY t.term")
+_HYPS_SQL = f"SELECT lang, coalesce(normal, '') AS hyp FROM ({_NORMAL_SQL})"
+
+
+@query(f"SELECT h.lang, t.term, avg(CASE WHEN contains(h.hyp, t.term) THEN 1.0 ELSE 0.0 END)::DOUBLE AS term_recall FROM ({_HYPS_SQL}) h, ({_values([(t,) for t in _TERMS])}) t(term) GROUP BY ALL")
 def term_recall(spark, sf):
-    rows = table(spark, sf, "documents").select("text", F.explode(F.array(*map(F.lit, _TERMS))).alias("term"))
-    return rows.groupBy("term").agg(F.avg(F.when(F.lower("text").contains(F.col("term")), 1.0).otherwise(0.0)).alias("recall"))
+    docs = spread(table(spark, sf, "documents"))
+    hyps = docs.select("doc_id", "lang", normalized(F.col("lang"), F.col("text")).alias("hyp"))
+    terms = docs.select("doc_id", "lang", F.explode(F.array(*map(F.lit, _TERMS))).alias("term"))
+    return A.term_recall(terms, hyps, ["doc_id", "lang"], ["lang", "term"])
 
 
 @query(f"SELECT conv_id, turn, len(list_filter(string_split(ref, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(map(_text, _FILLERS))})))::INTEGER AS n_kept FROM ({_CLEAN_SQL})")
@@ -393,7 +435,8 @@ def filler_tolerant(spark, sf):
 
 @query("SELECT user_id, round(median(value), 6) AS vote FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def judge_median(spark, sf):
-    return table(spark, sf, "events").where("value is not null").groupBy("user_id").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("vote"))
+    votes = table(spark, sf, "events").where("value is not null").groupBy("user_id").agg(F.collect_list("value").alias("votes"))
+    return votes.select("user_id", F.round(A.judge_median(F.col("votes")), 6).alias("vote"))
 
 
 @query("SELECT vec_id, round(peak, 6) AS peak, round(CASE WHEN peak > 0 THEN 0.5 / peak ELSE 1.0 END, 6) AS scale, CASE WHEN peak > 0 THEN true ELSE false END AS passes FROM (SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE AS peak FROM embeddings)")
@@ -421,12 +464,64 @@ def cell_scores(spark, sf):
     return score.cell_scores(score.cell_table(rows))
 
 
-@query()
+_RECORDS_SQL = f"""
+SELECT e.engine, 'a' AS track, 'en' AS lang, 'en_' || conv_id || '_' || turn AS utt_id, ref_raw, length(ref_raw)::DOUBLE AS duration, (turn + 1)::DOUBLE AS latency,
+  coalesce(CASE e.engine WHEN 'next' THEN hyp_raw ELSE substring(ref_raw, 1, floor(length(ref_raw) * 0.9)::INTEGER) END, '') AS hyp_raw
+FROM ({_PAIRS_SQL}), (VALUES ('next'), ('echo')) e(engine) WHERE ref_raw IS NOT NULL"""
+_FORMS_SQL = f"SELECT *, {english_sql('ref_raw')} AS ref, {english_sql('hyp_raw')} AS hyp FROM ({_RECORDS_SQL})"
+_SCORED_SQL = word_split_sql(f"SELECT *, {_WORDS.format('ref')} AS r, {_WORDS.format('hyp')} AS h FROM ({_FORMS_SQL})")
+_UTTERANCES_SQL = rf"""
+SELECT engine, track, lang, utt_id, {_char_distance_sql('ref', 'hyp')} AS cer_errors, length(ref)::INTEGER AS cer_len, n_sub + n_del + n_ins AS wer_errors, len(r)::INTEGER AS wer_len,
+  trim(regexp_replace(hyp_raw, '\s', '', 'g')) = '' AS empty, CASE WHEN duration <> 0 THEN latency / duration END AS rtf
+FROM ({_SCORED_SQL})"""
+
+
+@query(_UTTERANCES_SQL)
 def utterance_scores(spark, sf):
     rows = score.score_utterances(records(spark, sf))
     return rows.select("engine", "track", "lang", "utt_id", "cer_errors", "cer_len", "wer_errors", "wer_len", "empty", "rtf")
 
 
+_RATE = "CASE WHEN sum({1}) <> 0 THEN sum({0})::DOUBLE / sum({1}) WHEN sum({0}) > 0 THEN 1.0 ELSE 0.0 END"
+_MEAN = "avg(CASE WHEN {1} <> 0 THEN {0}::DOUBLE / {1} WHEN {0} > 0 THEN 1.0 ELSE 0.0 END)"
+
+
+@query(f"""
+SELECT engine, lang, 'wer' AS headline_metric, count(*)::INTEGER AS n_utterances, count(*) FILTER (empty)::INTEGER AS empty_transcripts, engine AS model_ids, '2026-07-05' AS run_dates,
+  NULL::DOUBLE AS price_per_audio_hour_usd, round(quantile_cont(rtf, 0.5), 6) AS rtf_p50, round(quantile_cont(rtf, 0.9), 6) AS rtf_p90,
+  round({_RATE.format('cer_errors', 'cer_len')}, 6) AS cer_corpus, round({_MEAN.format('cer_errors', 'cer_len')}, 6) AS cer_utterance_mean,
+  round({_RATE.format('wer_errors', 'wer_len')}, 6) AS wer_corpus, round({_MEAN.format('wer_errors', 'wer_len')}, 6) AS wer_utterance_mean
+FROM ({_UTTERANCES_SQL}) GROUP BY engine, lang""")
+def cell_figures(spark, sf):
+    """The published table of cells but for what the seeded generator decides."""
+    cells = cell_scores(spark, sf)
+    rounded = [F.round(c, 6).alias(c) for c in ("rtf_p50", "rtf_p90", "cer_corpus", "cer_utterance_mean", "wer_corpus", "wer_utterance_mean")]
+    return cells.select("lang", "engine", "headline_metric", "n_utterances", "empty_transcripts", "model_ids", "run_dates", "price_per_audio_hour_usd", *rounded)
+
+
+@query(f"SELECT engine, track, lang, round(rate, 9) AS rate, true AS brackets FROM ({_RATES_SQL})")
+def interval_brackets(spark, sf):
+    """Every interval holds the rate it is of."""
+    cells = bootstrap_ci(spark, sf).join(_cell_rates(spark, sf), list(A.CELL))
+    return cells.select(*A.CELL, F.round("rate", 9).alias("rate"), (F.col("rate") >= F.col("lo") - 1e-12).alias("a"), (F.col("rate") <= F.col("hi") + 1e-12).alias("b")).select(*A.CELL, "rate", (F.col("a") & F.col("b")).alias("brackets"))
+
+
+_NUMBERED_SQL = f"SELECT engine, errors, ref_len, row_number() OVER (PARTITION BY engine ORDER BY utt_id) AS utt FROM ({_CELLS_SQL})"
+_SHARED_SQL = f"SELECT engine, CASE WHEN sum(ref_len) <> 0 THEN sum(errors)::DOUBLE / sum(ref_len)::DOUBLE ELSE 0.0 END AS rate FROM ({_NUMBERED_SQL}) WHERE utt <= (SELECT min(n) FROM (SELECT max(utt) AS n FROM ({_NUMBERED_SQL}) GROUP BY engine)) GROUP BY engine"
+
+
+@query(f"SELECT engine, row_number() OVER (ORDER BY rate, engine)::INTEGER AS place FROM ({_SHARED_SQL})")
+def tie_group_order(spark, sf):
+    """Every engine once, in the order of rates over what all share, however the tiers are cut."""
+    return tie_groups(spark, sf).select(F.posexplode(F.flatten("tie_groups")).alias("at", "engine")).select("engine", (F.col("at") + 1).alias("place"))
+
+
+@query(f"SELECT a.engine AS worse, b.engine AS better, true AS brackets FROM (SELECT engine, rate FROM ({_ENGINE_RATES_SQL})) a JOIN (SELECT engine, rate FROM ({_ENGINE_RATES_SQL})) b ON (a.rate, a.engine) > (b.rate, b.engine)")
+def paired_order(spark, sf):
+    """Every two engines once, the worse first, and intervals whose upper end says so."""
+    return paired_diff(spark, sf).select("worse", "better", (F.col("hi") > -1e-3).alias("brackets"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every cell: rates, intervals and tiers."""
     return cell_scores(spark, sf_dir)
