@@ -119,3 +119,52 @@ def test_stream(spark, root):
         query.stop()
     rows = {r.engine_key: r for r in spark.sql("SELECT * FROM rates").collect()}
     assert rows["one"].ref_len == 6 * 15 and rows["two"].errors > rows["one"].errors > 0
+
+
+def test_stream_of_records_without_a_readable_timestamp(spark, tmp_path):
+    folder = tmp_path / "one" / "a" / "x y"
+    folder.mkdir(parents=True)
+    (folder / "u1.json").write_text(json.dumps(record("abc", ref="abd", timestamp_utc=None)))
+    (folder / "u2.json").write_text(json.dumps(record("abc", ref="abd", timestamp_utc="soon")))
+    (folder / "u3.txt").write_text("no record")
+    query = incremental.running_rates(incremental.read_stream(spark, str(tmp_path)), literal=True).writeStream.format("memory").queryName("late").outputMode("complete").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = spark.sql("SELECT * FROM late").collect()
+    assert [(r.lang_key, r.errors, r.ref_len) for r in rows] == [("x y", 2, 6)]
+
+
+def wav(tag, depth, data, rate=8000):
+    import struct
+
+    form = struct.pack("<HHIIHH", tag, 1, rate, rate * depth // 8, depth // 8, depth)
+    body = b"WAVEfmt " + struct.pack("<I", 16) + form + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_wav_kinds(spark):
+    x = np.array([0.25, -0.5, 0.125])
+    files = {"FLOAT": wav(3, 32, x.astype("<f4").tobytes()), "DOUBLE": wav(3, 64, x.astype("<f8").tobytes()), "PCM_16": wav(1, 16, (x * 32768).astype("<i2").tobytes()), "PCM_32": wav(1, 32, (x * 2**31).astype("<i4").tobytes()), "PCM_U8": wav(1, 8, (x * 128 + 128).astype(np.uint8).tobytes())}
+    for subtype, raw_bytes in files.items():
+        assert audio.probe_wav(raw_bytes)[0] == subtype and np.allclose(audio.read_wav(raw_bytes)[0][:, 0], x)
+    with pytest.raises(ValueError):
+        audio.read_wav(b"RIFF")
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()] + [("none", None)], "name string, content binary")
+    assert audio.check_wavs(df).first().asDict() == {"n_files": 6, "n_bad": 5}
+    again = audio.normalize_wav(df).select("name", F.col("wav").alias("content"))
+    assert audio.check_wavs(again).first().asDict() == {"n_files": 6, "n_bad": 1}
+
+
+def test_pages(tmp_path):
+    rates = {"corpus_rate": 0.125, "ci95": [0.1, 0.15], "utterance_mean": 0.2}
+    engine = {"n_utterances": 3, "empty_transcripts": 1, "cer": rates, "wer": None, "rtf_p50": 0.5, "rtf_p90": 1.0, "model_ids": ["m<1>"], "run_dates": ["2026-07-05"], "price_per_audio_hour_usd": 0.36}
+    document = {"tracks": {"a": {"th": {"headline_metric": "cer", "tie_groups": [["b"], ["a"]], "engines": {"a": engine, "b": engine}}, "ja": {"headline_metric": "cer", "tie_groups": [["b"]], "engines": {"b": engine | {"rtf_p50": None, "price_per_audio_hour_usd": None}}}}}}
+    with pytest.raises(FileNotFoundError):
+        sinks.write_pages(document, "t", str(tmp_path), ["en"], str(tmp_path / "out"))
+    (tmp_path / "en.json").write_text('{"engine": "Engine", "own_engine": "ours", "utterances": "clips"}')
+    (tmp_path / "fr.json").write_text('{"engine": "Moteur"}')
+    en, fr = (open(p, encoding="utf-8").read() for p in sinks.write_pages(document, "t", str(tmp_path), ["en", "fr"], str(tmp_path / "out"), names={"a": "A & Co"}, own=("b",)))
+    assert en.index("<h2>ja") < en.index("<h2>th") and "<th>Engine<th>ja<th>th<th>#T1" in en and "<th>Moteur<th>ja" in fr and "3 clips" in fr
+    assert en.index("<tr><th>b <em>ours</em>") < en.index("<tr><th>A &amp; Co<td>n/a") and "$0.360" in en and "0.50 / 1.00" in en and "m&lt;1&gt;" in en and "12.50 (10.00–15.00)" in en

@@ -22,7 +22,7 @@ from textgauge.plans import score
 from textgauge.plans.session import materialized, spread
 from textgauge.plans.goldens import ALIGNMENTS, GOLDENS, RULES
 from textgauge.plans.twins import english_sql, normal_sql
-from textgauge.sources.raw import canonical_json, table
+from textgauge.sources.raw import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,11 +106,6 @@ def model_id_coalesce(spark, sf):
     return _params(spark, sf).groupBy(A.model_id(F.col("params")).alias("model_id")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, props AS props_json FROM events")
-def canonical_props(spark, sf):
-    return table(spark, sf, "events").select("event_id", canonical_json(F.col("props")).alias("props_json"))
-
-
 @query("SELECT lang, CASE WHEN lang IN ('ja', 'zh', 'th') THEN 'cer' ELSE 'wer' END AS headline_metric, count(*) AS n FROM documents GROUP BY ALL")
 def headline_metric(spark, sf):
     return table(spark, sf, "documents").groupBy("lang", A.headline(F.col("lang"), F.lit("cer"), F.lit("wer")).alias("headline_metric")).agg(F.count("*").alias("n"))

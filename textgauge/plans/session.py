@@ -25,12 +25,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the checkpoint folder that driver and executors share; set here only where it is unset."""
-    sc = df.sparkSession.sparkContext
+def scratch(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; one is made here only where it is unset, and only on a single machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
         if not configured and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="textgauge-"))
+    return sc.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the folder of `scratch`."""
+    scratch(df.sparkSession)
     return df.checkpoint()

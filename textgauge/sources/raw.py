@@ -28,17 +28,26 @@ _LANG = T.StructType([T.StructField("headline_metric", T.StringType()), T.Struct
 SCORES = T.StructType([T.StructField("tracks", T.MapType(T.StringType(), T.MapType(T.StringType(), _LANG)))])
 
 
-def read_records(spark: SparkSession, root: str, track: str = "*", engine: str = "*", lang: str = "*") -> DataFrame:
+def read_records(spark: SparkSession, root: str, track: str = "*", engine: str = "*", lang: str = "*", folders: bool = False) -> DataFrame:
     """Records of {root}/{engine}/{track}/{lang}/{utterance}.json, with engine_key, track and lang_key from the path.
 
+    With `folders` they are as `sinks.write_records` leaves them: a folder for each utterance, and names
+    of folders like track=a.
+
     A fixed track, engine or language goes into the glob, so other folders are not listed. Nested
     objects come as JSON text. A file that is no JSON gives a row of nulls, which `checks` finds.
     """
-    rows = spark.read.schema(RECORD).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{root}/{engine}/{track}/{lang}")
+    at = f"{root}/engine_key={engine}/track={track}/lang_key={lang}/*" if folders else f"{root}/{engine}/{track}/{lang}"
+    rows = spark.read.schema(RECORD).option("multiLine", True).option("pathGlobFilter", "*.json").json(at)
+    return rows.select("*", *path_keys(folders))
+
+
+def path_keys(folders: bool = False) -> list[Column]:
+    """engine_key, track, lang_key and file_utt_id from the path of a record's file."""
     parts = F.split(F.col("_metadata.file_path"), "/")
     # decoded, as the path of a file is a URI
-    part = lambda i: F.url_decode(F.element_at(parts, i))
-    return rows.select("*", part(-4).alias("engine_key"), part(-3).alias("track"), part(-2).alias("lang_key"), F.regexp_replace(part(-1), r"\.json$", "").alias("file_utt_id"))
+    part = lambda i: F.regexp_replace(F.url_decode(F.element_at(parts, i - folders)), "^[a-z_]+=" if folders else "^$", "")
+    return [part(-4).alias("engine_key"), part(-3).alias("track"), part(-2).alias("lang_key"), F.regexp_replace(part(-1), r"\.json$", "").alias("file_utt_id")]
 
 
 def engines(records: DataFrame) -> DataFrame:
@@ -100,6 +109,12 @@ def read_strings(folder: str, locale: str) -> dict[str, str]:
         return json.load(f)
 
 
+def require_strings(strings: dict[str, str], locale: str = "en") -> None:
+    """A page needs the strings of its fallback locale."""
+    if not strings:
+        raise FileNotFoundError(f"no strings of the locale {locale}")
+
+
 def template(strings: dict[str, str], fallback: dict[str, str], key: str, **values: str) -> str:
     """A string of the locale, or of the fallback, with {name} replaced."""
     text = strings.get(key, fallback.get(key, ""))

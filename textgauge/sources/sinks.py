@@ -10,6 +10,9 @@ from html import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgauge.functions.native import html_escape, percent_interval
+from textgauge.sources.raw import read_strings, require_strings, template
+
 #: A score document has one small entry a cell; more cells than this are no leaderboard.
 MAX_CELLS = 100_000
 
@@ -74,16 +77,107 @@ def summary_column(tier_arrays: str = "tie_groups") -> F.Column:
     return F.array_join(F.transform(tier_arrays, lambda g, i: F.concat(F.lit("T"), (i + 1).cast("string"), F.lit("["), F.array_join(g, ","), F.lit("]"))), " ")
 
 
-def leaderboard_html(document: dict, title: str, track: str = "a", names: dict[str, str] | None = None) -> str:
-    """A plain page: one table a language, a row an engine, tiers spanning rows, shades up to the fourth tier."""
-    names, out = names or {}, [f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
-    for lang, node in sorted(document["tracks"].get(track, {}).items()):
-        out.append(f"<h2>{escape(lang)} ({escape(node['headline_metric'].upper())})</h2><table><tr><th>tier<th>engine<th>rate, %")
-        for i, tier in enumerate(node["tie_groups"], 1):
-            for place, engine in enumerate(tier):
-                m = node["engines"][engine][node["headline_metric"]]
-                lead = f'<td rowspan="{len(tier)}" class="tier{min(i, 4)}">T{i}' if not place else ""
-                cell = "—" if m is None else f"{m['corpus_rate'] * 100:.2f} ({m['ci95'][0] * 100:.2f}–{m['ci95'][1] * 100:.2f})"
-                out.append(f"<tr>{lead}<td>{escape(names.get(engine, engine))}<td>{cell}")
-        out.append("</table>")
-    return "\n".join(out) + "\n"
+#: The order of languages on a page. Fixed values.
+LANGUAGE_ORDER = ("ja", "en", "zh", "ko", "vi", "id", "th", "de", "fr", "es", "pt", "ru")
+
+
+def language_place(lang: F.Column) -> F.Column:
+    """1, 2, ... by the order of the page; null for a language that is not shown."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, LANGUAGE_ORDER)), lang), F.lit(0))
+
+
+def page_rows(cells: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """The tables of a page as rows in order: lang, place, tier (at most 4 shades), first_in_tier, rowspan, engine, label, headline, other, empty, rtf, price.
+
+    `cells` is that of plans.score.cell_table; engines without a name keep their key.
+    """
+    label = F.col("engine")
+    if names:
+        label = F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("engine")], label)
+    by_cer = F.col("headline_metric") == "cer"
+    shown = {k: percent_interval(*(F.col(f"{k}_{x}") for x in ("corpus", "ci95_lo", "ci95_hi"))) for k in ("cer", "wer")}
+    rows = cells.withColumn("place", language_place(F.col("lang"))).where("place is not null")
+    rows = rows.select(
+        "lang", "place", F.col("tie_group").alias("tier"), F.least("tie_group", F.lit(4)).alias("shade"), "first_in_tier", "rowspan", "engine", html_escape(label).alias("label"),
+        F.when(by_cer, shown["cer"]).otherwise(shown["wer"]).alias("headline"), F.when(by_cer, shown["wer"]).otherwise(shown["cer"]).alias("other"), F.col("empty_transcripts").alias("empty"),
+        F.when(F.col("rtf_p50").isNotNull(), F.format_string("%.2f / %.2f", "rtf_p50", "rtf_p90")).otherwise("—").alias("rtf"),
+        F.when(F.col("price_per_audio_hour_usd").isNull(), "—").otherwise(F.format_string("$%.3f", "price_per_audio_hour_usd")).alias("price"),
+    )
+    return rows.orderBy("place", "tier", F.desc("first_in_tier"), "engine")
+
+
+def write_records(records: DataFrame, root: str) -> None:
+    """One JSON file a record under {root}/engine_key=.../track=.../lang_key=.../file_utt_id=..., written by the executors."""
+    records.write.mode("overwrite").partitionBy("engine_key", "track", "lang_key", "file_utt_id").json(root)
+
+
+class Page:
+    """A leaderboard page of a score document in one locale: a matrix of engines by languages, then a table a language.
+
+    Strings come from the locale or else from the fallback, both as read by raw.read_strings; a key that
+    neither has shows as itself. `own` names engines that carry a tag.
+    """
+
+    COLUMNS = ("tier", "engine", "headline", "other", "empty", "rtf", "price", "dates")
+
+    def __init__(self, document: dict, title: str, track: str = "a", names: dict[str, str] | None = None, strings: dict[str, str] | None = None, fallback: dict[str, str] | None = None, own: tuple[str, ...] = ()):
+        self.cells, self.title, self.names, self.own = document["tracks"].get(track, {}), title, names or {}, own
+        self.strings, self.fallback = strings or {}, fallback or {}
+        self.langs = [lang for lang in LANGUAGE_ORDER if lang in self.cells]
+        self.tier = {(engine, lang): i for lang in self.langs for i, group in enumerate(self.cells[lang]["tie_groups"], 1) for engine in group}
+
+    def say(self, key: str, **values: str) -> str:
+        return escape(template(self.strings, self.fallback, key, **values) or key)
+
+    def label(self, engine: str) -> str:
+        return escape(self.names.get(engine, engine)) + (f" <em>{self.say('own_engine')}</em>" if engine in self.own else "")
+
+    def firsts(self, engine: str) -> int:
+        return sum(self.tier.get((engine, lang)) == 1 for lang in self.langs)
+
+    def matrix(self) -> str:
+        engines = sorted({engine for engine, _ in self.tier}, key=lambda e: (-self.firsts(e), e))
+        mark = lambda n: "<td>n/a" if n is None else f'<td class="tier{min(n, 4)}">T{n}'
+        rows = ["<tr><th>" + "<th>".join([self.say("engine"), *map(escape, self.langs), "#T1"])]
+        rows += [f"<tr><th>{self.label(e)}{''.join(mark(self.tier.get((e, lang))) for lang in self.langs)}<td>{self.firsts(e)}" for e in engines]
+        return f"<table>{''.join(rows)}</table>"
+
+    def rate(self, block: dict | None) -> str:
+        return "—" if block is None else f"{block['corpus_rate'] * 100:.2f} ({block['ci95'][0] * 100:.2f}–{block['ci95'][1] * 100:.2f})"
+
+    def table(self, lang: str) -> str:
+        node = self.cells[lang]
+        main = node["headline_metric"]
+        other = "wer" if main == "cer" else "cer"
+        rows = ["<tr><th>" + "<th>".join(map(self.say, self.COLUMNS))]
+        for tier, group in enumerate(node["tie_groups"], 1):
+            for place, engine in enumerate(group):
+                m = node["engines"][engine]
+                price, speed = m.get("price_per_audio_hour_usd"), (m.get("rtf_p50"), m.get("rtf_p90"))
+                texts = [self.rate(m[main]), self.rate(m[other]), m["empty_transcripts"], "—" if None in speed else "{:.2f} / {:.2f}".format(*speed), "—" if price is None else f"${price:.3f}", escape(", ".join(m["run_dates"]))]
+                lead = "" if place else f'<td rowspan="{len(group)}" class="tier{min(tier, 4)}">T{tier}'
+                rows.append(f"<tr>{lead}<td>{self.label(engine)}<br>{escape(', '.join(m['model_ids']) or '—')}" + "".join(f"<td>{x}" for x in texts))
+        n = next(iter(node["engines"].values()))["n_utterances"]
+        return f'<section id="{escape(lang)}"><h2>{escape(lang)} ({main.upper()})</h2><p>{n} {self.say("utterances")}</p><table>{"".join(rows)}</table></section>'
+
+    def html(self) -> str:
+        head = f"<!doctype html><meta charset=utf-8><title>{escape(self.title)}</title><h1>{escape(self.title)}</h1>"
+        return "\n".join([head, self.matrix(), *map(self.table, self.langs)]) + "\n"
+
+
+def leaderboard_html(document: dict, title: str, track: str = "a", names: dict[str, str] | None = None, **how) -> str:
+    return Page(document, title, track, names, **how).html()
+
+
+def write_pages(document: dict, title: str, strings_dir: str, locales: list[str], folder: str, **how) -> list[str]:
+    """A page for each locale in {folder}/{locale}.html, English strings as the fallback; the paths."""
+    fallback = read_strings(strings_dir, "en")
+    require_strings(fallback)
+    os.makedirs(folder, exist_ok=True)
+    out = []
+    for locale in locales:
+        path = os.path.join(folder, f"{locale}.html")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(leaderboard_html(document, title, strings=read_strings(strings_dir, locale), fallback=fallback, **how))
+        out.append(path)
+    return out

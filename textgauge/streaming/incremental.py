@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textgauge.functions.normalize import BY_CHARACTER, normal_forms
 from textgauge.operators import aggregates as A
 from textgauge.operators.align import char_errors
-from textgauge.sources.raw import RECORD
+from textgauge.sources.raw import RECORD, path_keys
 
 
-def read_stream(spark: SparkSession, root: str, files_a_trigger: int = 1000) -> DataFrame:
-    """New record files under {root}/{engine}/{track}/{lang}, with keys from their paths."""
-    rows = spark.readStream.schema(RECORD).option("multiLine", True).option("maxFilesPerTrigger", files_a_trigger).json(f"{root}/*/*/*")
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    return rows.select("*", F.element_at(parts, -4).alias("engine_key"), F.element_at(parts, -3).alias("track"), F.element_at(parts, -2).alias("lang_key"))
+def read_stream(spark: SparkSession, root: str, files_a_trigger: int = 1000, folders: bool = False) -> DataFrame:
+    """New record files under {root}/{engine}/{track}/{lang}, with keys from their paths and file_time, when the file was written."""
+    reader = spark.readStream.schema(RECORD).option("multiLine", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_a_trigger)
+    # the names of folders are keys of the path, not columns that Spark should find
+    rows = reader.option("recursiveFileLookup", folders).json(f"{root}/*/*/*")
+    return rows.select("*", *path_keys(folders), F.col("_metadata.file_modification_time").alias("file_time"))
 
 
-def running_rates(records: DataFrame, watermark: str = "72 hours") -> DataFrame:
-    """Errors, lengths and their rate by cell and day of the run, for literal text; records later than the watermark are left out."""
-    ts = F.to_timestamp("timestamp_utc")
-    rows = records.withColumn("ts", ts).withWatermark("ts", watermark)
-    hyp = F.coalesce("text", F.lit(""))
-    scored = rows.select("engine_key", "track", "lang_key", "ts", char_errors(F.col("ref_text_raw"), hyp).alias("errors"), F.char_length("ref_text_raw").alias("ref_len"))
+def running_rates(records: DataFrame, watermark: str = "72 hours", literal: bool = True) -> DataFrame:
+    """Character errors, lengths and their rate by cell and day of the run, over the texts as they are, or over their normal forms (literal=False).
+
+    A record without a readable timestamp counts at the time its file was written. Records later than
+    the watermark are left out.
+    """
+    ts = F.try_to_timestamp("timestamp_utc")
+    rows = records.withColumn("ts", F.coalesce(ts, F.col("file_time")) if "file_time" in records.columns else ts).withWatermark("ts", watermark)
+    ref, hyp = F.coalesce("ref_text_raw", F.lit("")), F.coalesce("text", F.lit(""))
+    if not literal:
+        strip = F.col("lang_key").isin(*BY_CHARACTER)
+        ref, hyp = normal_forms(F.col("lang_key"), ref, strip)["chars"], normal_forms(F.col("lang_key"), hyp, strip)["chars"]
+    scored = rows.select("engine_key", "track", "lang_key", "ts", char_errors(ref, hyp).alias("errors"), F.char_length(ref).alias("ref_len"))
     day = F.window("ts", "1 day")
     sums = scored.groupBy(day, "engine_key", "track", "lang_key").agg(F.sum("errors").alias("errors"), F.sum("ref_len").alias("ref_len"), A.corpus_rate(F.col("errors"), F.col("ref_len")).alias("rate"))
     return sums.select(F.col("window.start").alias("day"), "engine_key", "track", "lang_key", "errors", "ref_len", "rate")
