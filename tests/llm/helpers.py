@@ -34,6 +34,6 @@ def clashing(df):
     """Columns under names that an operator might use itself."""
     from pyspark.sql import functions as F
 
-    for name in ("id", "t", "fp", "key", "h", "n", "score_", "node", "size", "start", "block", "component", "media_", "host"):
+    for name in ("id", "t", "fp", "key", "h", "n", "score_", "node", "size", "start", "block", "component", "media_", "host", "score", "media", "n_bytes", "pieces", "tokens", "judged", "language", "feature", "__k1", "head", "owner"):
         df = df.withColumn(name, F.lit("x"))
     return df

@@ -33,6 +33,49 @@ def test_gradients():
     assert loss(model) < first / 2 and any((model.p[k] != before[k]).any() for k in before)
 
 
+def test_gradients_against_differences():
+    """Every kind of parameter, by a plain forward pass over one document at a time."""
+    rng = np.random.default_rng(2)
+    bags = [rng.random((n, quality.INPUTS)) for n in (1, 4, 2)]
+    y = np.array([1.0, 0.0, 1.0])
+    model = quality.Attention({k: v.astype(np.float64) for k, v in quality.Attention.start().p.items()})
+
+    def loss():
+        total = 0.0
+        for bag, label in zip(bags, y):
+            p = model.p
+            h = np.tanh(bag @ p["W"])
+            gate = np.array([sum(np.tanh(row @ p["V"][:, k]) / (1 + np.exp(-(row @ p["U"][:, k]))) * p["w"][k] for k in range(quality.GATES)) for row in h])
+            weight = np.exp(gate) / np.exp(gate).sum()
+            out = 1 / (1 + np.exp(-(sum(w * row for w, row in zip(weight, h)) @ p["c"] + p["b"][0])))
+            total -= label * np.log(out) + (1 - label) * np.log(1 - out)
+        return total / len(bags)
+
+    got = model.gradients(np.concatenate(bags), np.array([len(b) for b in bags]), y)
+    for name, value in model.p.items():
+        for at in rng.choice(value.size, min(8, value.size), replace=False):
+            was, step, sides = value.flat[at], 1e-5, []
+            for sign in (1, -1):
+                value.flat[at] = was + sign * step
+                sides.append(loss())
+            value.flat[at] = was
+            assert abs((sides[0] - sides[1]) / (2 * step) - np.asarray(got[name]).flat[at]) < 1e-7, (name, at)
+
+
+def test_fitted_documents_have_room(spark):
+    """Documents come in the order of a hash until their passages are used up; longer ones are not used."""
+    docs = spark.createDataFrame([(i, "word " * (80 * (i % 7 + 1))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    train, quality.Attention.train = quality.Attention.train, lambda self, bags, y, **how: seen.append([len(b) for b in bags]) or self
+    try:
+        quality.fit(docs, labels, F.lit(True), fit_passages=30)
+        quality.fit(docs, labels, F.lit(True), fit_passages=4)
+    finally:
+        quality.Attention.train = train
+    assert 23 < sum(seen[0]) <= 30 and 1 <= sum(seen[1]) <= 4
+
+
 def test_long_texts_score_alike():
     model = quality.Attention.start()
     raw = ("some words of prose, with Marks! " * 60_000).encode()
@@ -116,6 +159,31 @@ def test_out_of_place_by_hand():
     assert p.predict("ქართული")[0] == "aa"  # as far from all: the first name
 
 
+def test_fit_and_predictions_against_plain_profiles(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    profiles = langid.fit(docs, crc_mod("doc_id", 4) != 2)
+    rows = docs.withColumn("used", crc_mod("doc_id", 4) != 2).collect()
+    counts = {}
+    for r in rows:
+        if r.used and r.lang is not None and r.text is not None:
+            own = counts.setdefault(r.lang, {})
+            for gram, n in plain_grams(r.text).items():
+                own[gram] = own.get(gram, 0) + n
+    code = lambda gram: sum((1 if c == " " else ord(c) + 1) << 21 * (len(gram) - 1 - i) for i, c in enumerate(gram))
+    order = lambda own: sorted(own, key=lambda g: (-own[g], code(g)))[: langid.PROFILE]
+    plain = {lang: order(own) for lang, own in counts.items()}
+    assert sorted(plain) == profiles.langs
+    got = {r.doc_id: r.language for r in langid.identify(docs, profiles).select("doc_id", "language").collect()}
+    for r in rows[:60]:
+        mine = order(plain_grams(r.text or ""))
+        if not mine:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        apart = {lang: sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(mine)) for lang, p in plain.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - (1 - apart[best] / langid.PROFILE / len(mine))) < 1e-12
+
+
 def test_languages_of_odd_rows(spark):
     for df in (odd(spark), clashing(odd(spark))):
         profiles = langid.fit(df, crc_mod("doc_id", 4) != 9)
@@ -163,6 +231,17 @@ def test_only_fetched_rules_run(spark):
     assert got[1].rule == "host7.com/" and got[1].ran <= 3 and got[2].ran == 0
 
 
+def test_a_hundred_thousand_rules(spark):
+    many = tuple(urls.site_rule("block", f"host{i}.com", "/") for i in range(100_000)) + urls.SITE_RULES + urls.WORD_RULES
+    df = spark.createDataFrame([(i, f"http://a.host{i * 7}.com/x") for i in range(300)] + [(1000, "http://b.fr/y"), (1001, "http://royal-poker.fr/")] * 2, "page_id long, url string")
+    got = urls.filter_urls(df, many).collect()
+    assert len(got) == 304 and max(r.judged.ran for r in got) <= 4
+    assert all(r.judged.rule == f"host{r.page_id * 7}.com/" for r in got if r.page_id < 1000)
+    assert [r.judged.verdict for r in got if r.page_id == 1001] == ["block"] * 2 and [r.judged.pattern for r in got if r.page_id == 1001] == ["poker-royal"] * 2
+    counts = urls.token_counts(df, urls.SITE_RULES)
+    assert set(counts) == {t for r in urls.SITE_RULES for t in r.tokens} and counts["com"] == 300
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twins(spark, name):
     con = duckdb.connect()

@@ -143,3 +143,30 @@ def test_columns(spark):
     blocks = flac.pcm_blocks(stored).where("doc_id = 7").orderBy("block_no").collect()
     assert b"".join(b.pcm for b in blocks) == flac.pad(odd_rows()[6][1])[1] and [b.sample_offset for b in blocks] == [576 * i for i in range(len(blocks))]
     assert flac.media_features(flac.store_media(empty(spark))).count() == 0
+
+
+def test_null_and_damaged_media(spark):
+    good, other = flac.encode([flac.pad("some text " * 300)[1], flac.pad("")[1]])
+    bad = good[:-20] + bytes([good[-20] ^ 1]) + good[-19:]
+    rows = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(bad)), (4, bytearray(b"no stream")), (5, bytearray(other)), (5, bytearray(other))], "doc_id long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in flac.media_features(rows).collect()}
+    assert got[1].media_error is None and got[1].n_blocks == -(-3000 // 576) and got[1].last_offset == (got[1].n_blocks - 1) * 576
+    assert got[5].n_blocks == 1 and got[5].last_offset == 0
+    assert got[2].media_error is None and got[2].payload_bytes is None and got[2].media_bytes is None
+    assert all(got[k].media_error and got[k].payload_sha256 is None and got[k].media_bytes for k in (3, 4))
+    assert [(r.block_no, r.sample_offset, r.n_samples) for r in flac.pcm_blocks(rows.where("doc_id = 1")).orderBy("block_no").collect()] == [(i, 576 * i, 576) for i in range(got[1].n_blocks)]
+
+
+def test_feature_against_a_loop(spark):
+    text = "Noise and words, ünï, 12345! " * 90
+    row = flac.media_features(flac.store_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    samples = [b - 128 for b in flac.pad(text)[1]]
+    energies = [sum(x * x for x in samples[i : i + 576]) for i in range(0, len(samples), 576)]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+    assert row.feature == f"n={len(samples)};sum={sum(samples)};energy={sum(energies)};peak={max(map(abs, samples))};loudest={energies.index(max(energies))};crossings={crossings}"
+
+
+def test_last_block_is_that_of_the_whole():
+    streams = flac.encode([flac.pad("x" * n)[1] for n in (0, 576, 40_000)] + [flac.pad("".join(chr(33 + i * i % 90) for i in range(90_000)))[1]])
+    for whole, (at, block) in zip(flac.decode_bytes(streams), flac.last_blocks(streams)):
+        assert at == len(whole) - 576 and block == whole[at:]

@@ -547,6 +547,7 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_bytes (UTF-8, unpadded) and media, the FLAC stream of the padded text.
 
     A null text is stored like an empty one, as one block of padding; equal texts give equal streams.
+    Columns of these names are replaced.
     """
     return docs.withColumn("__stored", text_udf(_stored, "struct<n_bytes:bigint,media:binary>")(F.col(text))).withColumns({"n_bytes": F.col("__stored.n_bytes"), "media": F.col("__stored.media")}).drop("__stored")
 
@@ -556,7 +557,7 @@ def media_features(stored: DataFrame, media: str = "media") -> DataFrame:
     are and the sample offset of the last, which is also sought and read by itself.
 
     A stream that is no FLAC or fails a checksum has nulls for these and says why in media_error, which
-    is null for sound ones; a null medium has nulls throughout.
+    is null for sound ones; a null medium has nulls throughout. Columns of these names are replaced.
     """
     made = stored.withColumn("__read", text_udf(_features, "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string,n_blocks:bigint,last_offset:bigint,media_error:string>")(F.col(media)))
     made = made.withColumns({name: F.col(f"__read.{name}") for name in _FEATURES})

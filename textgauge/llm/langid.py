@@ -133,7 +133,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "te
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", to: str = "language") -> DataFrame:
-    """`docs` with a struct column `to`: lang_pred and score, from the whole of each text."""
+    """`docs` with a struct column `to`: lang_pred and score, from the whole of each text. A column of that name is replaced."""
 
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in sliced(batches):

@@ -252,7 +252,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model: str, text: str
     """`docs` with a struct column `to`: ids, n_tokens, n_fallback (byte pieces) and round_trip.
 
     round_trip says whether decoding the ids gives the text again; it does unless the text holds
-    the marker character itself or no valid Unicode. Null and empty texts have no ids. The model file is read on
+    the marker character itself or no valid Unicode. Null and empty texts have no ids. A column named `to` is replaced. The model file is read on
     the driver and broadcast (a few MB). `remembered` bounds the words a worker keeps; with
     `forget` it drops them at the end of each task, where other work follows in the same workers.
     """

@@ -107,28 +107,31 @@ class Attention:
             out[group] = 1 / (1 + np.exp(-(z @ self.p["c"] + self.p["b"][0])))
         return out
 
+    def gradients(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of whole documents, whose passages are the rows of x in runs of `sizes`."""
+        p, starts = self.p, np.cumsum(sizes) - sizes
+        h, t, g, a = self._passages(x)
+        e = np.exp(a - np.repeat(np.maximum.reduceat(a, starts), sizes))
+        alpha = e / np.repeat(np.add.reduceat(e, starts), sizes)
+        z = np.add.reduceat(h * alpha[:, None], starts, axis=0)
+        out = 1 / (1 + np.exp(-(z @ p["c"] + p["b"][0])))
+        d_out = (out - y) / len(sizes)
+        d_z = np.repeat(np.outer(d_out, p["c"]), sizes, axis=0)
+        d_alpha = (d_z * h).sum(axis=1)
+        d_a = alpha * (d_alpha - np.repeat(np.add.reduceat(alpha * d_alpha, starts), sizes))
+        d_gate = np.outer(d_a, p["w"])
+        d_t, d_g = d_gate * g * (1 - t * t), d_gate * t * g * (1 - g)
+        d_h = alpha[:, None] * d_z + d_t @ p["V"].T + d_g @ p["U"].T
+        return {"W": x.T @ (d_h * (1 - h * h)), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_a, "c": z.T @ d_out, "b": np.array([d_out.sum()])}
+
     def train(self, bags: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> Attention:
         """Adam on the mean log loss of whole documents."""
         p, x = self.p, np.concatenate(bags)
         sizes = np.array([len(b) for b in bags])
-        starts, n = np.cumsum(sizes) - sizes, len(bags)
         y = labels.astype(np.float32)
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
         for step in range(1, rounds + 1):
-            h, t, g, a = self._passages(x)
-            e = np.exp(a - np.repeat(np.maximum.reduceat(a, starts), sizes))
-            alpha = e / np.repeat(np.add.reduceat(e, starts), sizes)
-            z = np.add.reduceat(h * alpha[:, None], starts, axis=0)
-            out = 1 / (1 + np.exp(-(z @ p["c"] + p["b"][0])))
-            d_out = (out - y) / n
-            d_z = np.repeat(np.outer(d_out, p["c"]), sizes, axis=0)
-            d_alpha = (d_z * h).sum(axis=1)
-            d_a = alpha * (d_alpha - np.repeat(np.add.reduceat(alpha * d_alpha, starts), sizes))
-            d_gate = np.outer(d_a, p["w"])
-            d_t, d_g = d_gate * g * (1 - t * t), d_gate * t * g * (1 - g)
-            d_h = alpha[:, None] * d_z + d_t @ p["V"].T + d_g @ p["U"].T
-            grads = {"W": x.T @ (d_h * (1 - h * h)), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_a, "c": z.T @ d_out, "b": np.array([d_out.sum()])}
-            for k, grad in grads.items():
+            for k, grad in self.gradients(x, sizes, y).items():
                 grad = grad.astype(np.float32) + DECAY * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.999 * v[k] + 0.001 * grad * grad
@@ -184,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
 
 def score(docs: DataFrame, model: Attention, text: str = "text", to: str = "score") -> DataFrame:
-    """`docs` with the probability of label 1 in column `to`, from the whole of each text; a null text scores as an empty one."""
+    """`docs` with the probability of label 1 in column `to`, from the whole of each text; a null text scores as an empty one. A column of that name is replaced."""
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in sliced(batches):

@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
-    """`docs` with the fingerprint of `text` as a signed long in column `to`; null and empty texts get 0."""
+    """`docs` with the fingerprint of `text` as a signed long in column `to` (replaced, if there is one); null and empty texts get 0."""
     return docs.withColumn(to, text_udf(_fingerprints, "bigint")(F.col(text)))
 
 

@@ -251,7 +251,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, limits: t
     Its fields: n_bytes and n_tokens of the whole text; cut_<limit>, for each limit the number of
     characters of the longest prefix that has at most so many tokens; with keep_prefixes also
     prefix_tokens, the counts of every prefix. A null text counts as an empty one: zeros and no
-    prefixes. Extra columns and repeated rows pass through. The vocabulary file is read on the
+    prefixes. Extra columns and repeated rows pass through; a column named `to` is replaced. The vocabulary file is read on the
     driver and its bytes (a few MB) are broadcast. `remembered` bounds the pieces a worker keeps.
     """
     with open(tokenizer, "rb") as f:

@@ -126,7 +126,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RU
     A null URL, or one without "://", has an empty host and path, which fit no rule with tokens,
     and is allowed. Of site rules the longest wins, of equally long ones a blocking one; a site
     rule beats any pattern. `ran` says how many expressions the URL's tokens fetched.
-    Extra columns and repeated rows pass through.
+    Extra columns and repeated rows pass through; a column named `to` is replaced.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; a worker holds {MAX_RULES}")
