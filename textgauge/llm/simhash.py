@@ -371,6 +371,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     # a node for each set of shingles; numbered by the files' writer, so it is fixed from here on
     nodes = marked.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("n").alias("n"), F.first("first").alias("first"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    prefixes, marked = marked, written(marked.select("id", "k1", "k2"), "names")
+    discard(prefixes)
     filed = nodes.select("node", "n", F.posexplode("first").alias("pos", "key")).withColumn("indexed", F.expr("pos < n div 9 + 1"))
     shared = filed.groupBy("key").agg(F.count("*").alias("many"), F.count_if("indexed").alias("held")).where("many > 1 and held > 0")
     rows = written(filed.join(shared.select("key", "many").hint("merge"), "key"), "filed")
@@ -401,7 +403,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     is_first = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
     component = rooted.join(heads.hint("merge"), "root").select("k1", "k2", F.col("first.low").alias("component_id"), is_first.alias("first_set"))
     out = marked.select("id", "k1", "k2").join(component.hint("merge"), ["k1", "k2"])
-    for table in (rows, pairs):
+    for table in (rows, pairs, nodes):
         discard(table)
     return out.select(F.col("id").alias(id_col), F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")).alias("set_key"), "component_id", (F.col("first_set") & (F.col("id") == F.col("component_id"))).alias("head"))
 
