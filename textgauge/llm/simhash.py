@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.llm.common import discard, low_hash, sliced, text_udf, wide_share, written
@@ -143,8 +143,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 #: What `similar_documents` does: words a shingle, how many texts of one key are compared pair by pair, leaders that
-#: spare a larger key most pairs, texts of a block, and the bits of a shingle's hash that texts are filed under.
+#: spare a larger key most pairs, texts of a block (about), and the bits of a shingle's hash that texts are filed under.
 WIDTH, HOT, LEADERS, BLOCK, FILED = 5, 64, 4, 128, (1 << 40) - 1
+#: Sets in a block differ in size by at most LIKE, and have about HELD shingles together unless there is but one; parts in which
+#: the pairs of a family's blocks are drawn.
+LIKE, HELD, SALTS = 1.1, 1 << 20, 16
 #: Texts counted at least for the order of prefixes, buckets of shingles, and how many of them are held.
 SAMPLE, BUCKETS, COMMON = 4_000, 1 << 24, 1 << 20
 #: Two long sets of similarity 0.8 differ in 19.4 bits of their 128-bit fingerprints, with a deviation of 4.1. Pairs of more
@@ -328,8 +331,10 @@ def _not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _rest(many: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links: DataFrame) -> DataFrame | None:
     """Links (node, other) between texts that share a key in `many` and that `links` leaves in different components, or None.
 
-    Texts are compared by blocks within families, which are joined by shared keys; blocks whose sizes
-    differ too much, or that lie in one component, are not. What is left takes the square of a family.
+    Texts are compared by blocks within families, which are joined by shared keys. A block holds texts of
+    like sizes, dealt by a hash, so that no task orders or holds a family; pairs of blocks are drawn from
+    their edges alone and fetch their texts afterwards. Blocks whose sizes differ too much, or that lie in
+    one component, are not compared. What is left takes the square of a family.
     """
     tree = connected_components(links, "node", "other")
     placed = written(many.select("key", "node").join(tree, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "placed")
@@ -340,17 +345,26 @@ def _rest(many: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links: Dat
     family = connected_components(left.select("node", "other"), "node", "other").withColumnRenamed("component", "family")
     members = written(left.select("node", "comp").distinct().join(family, "node"), "members")
     nodes = members.join(sets_of(members.select("node")), "node")
-    order = Window.partitionBy("family").orderBy("n", "node")
-    place = nodes.select("family", "node", "n").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    # narrow rows settle the blocks; the sets join them by node, so no task has more than its share of a large family's
+    narrow = nodes.select("family", "node", "n", F.floor(F.log("n") / F.log(F.lit(LIKE))).alias("class"))
+    parts = narrow.groupBy("family", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HELD)).alias("parts"))
+    place = narrow.join(parts, ["family", "class"]).select("node", "class", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     member = F.struct("node", "comp", "s")
-    blocks = nodes.join(place.select("node", "n", "block"), ["node", "n"]).groupBy("family", "block")
+    blocks = nodes.join(place, "node").groupBy("family", "class", "part")
     blocks = written(blocks.agg(F.collect_list(member).alias("all"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d")), "blocks")
-    one = blocks.select("family", *(F.col(c).alias(f"{c}1") for c in ("block", "all", "low", "high", "c", "d")))
-    two = blocks.select("family", *(F.col(c).alias(f"{c}2") for c in ("block", "all", "low", "high", "c", "d")))
-    meet = one.join(two, "family").where("block1 <= block2 and 5 * high1 >= 4 * low2 and not (c1 = d1 and c2 = d2 and c1 = c2)")
+
+    def side(number: int, *columns: str) -> DataFrame:
+        return blocks.select("family", *(F.col(c).alias(f"{c}{number}") for c in ("class", "part", *columns)))
+
+    edges = ("low", "high", "c", "d")
+    one = side(1, *edges).withColumn("salt", F.pmod(F.xxhash64("class1", "part1"), F.lit(SALTS)))
+    two = side(2, *edges).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    ordered = "(class1 < class2 or (class1 = class2 and part1 <= part2))"
+    meet = one.join(two, ["family", "salt"]).where(f"{ordered} and 5 * high1 >= 4 * low2 and not (c1 = d1 and c2 = d2 and c1 = c2)")
+    meet = meet.select("family", "class1", "part1", "class2", "part2")
+    meet = meet.join(side(1, "all"), ["family", "class1", "part1"]).join(side(2, "all"), ["family", "class2", "part2"])
     kind = "array<struct<node:bigint,other:bigint>>"
-    found = meet.repartition(F.col("block1"), F.col("block2")).select(F.explode(text_udf(_block_links, kind)("all1", "all2")).alias("l"))
-    return found.select("l.node", "l.other")
+    return meet.select(F.explode(text_udf(_block_links, kind)("all1", "all2")).alias("l")).select("l.node", "l.other")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
