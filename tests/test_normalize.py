@@ -109,6 +109,14 @@ def test_contractions_and_fillers():
     assert normalize.normalize("en", "colour") == normalize.normalize("en", "color")
 
 
+def test_kept_marks():
+    assert t.blank_marks_but("don’t 'quote' a'b'c 1.5. x.y") == "don't  quote  a'b'c 1 5  x y"
+    assert t.blank_marks_but("'a' 1.5.2.", point=True) == " a  1.5.2 "
+    assert t.blank_marks_but("a'b 1.5", apostrophe=False, point=True) == "a b 1.5"
+    assert t.blank_marks_but("\ue000\ue001") == "\ue000\ue001"  # private characters are no marks
+    assert t.fold_basic("Don't  e\u0301 1.5%") == "don't é 1.5"
+
+
 def test_long_vowel_marks():
     assert t.long_vowels("サ―バ‐‐") == "サーバーー"
     assert t.long_vowels("a-b") == "a-b"
