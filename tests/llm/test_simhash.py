@@ -199,3 +199,25 @@ def test_similar_documents_among_many_looser_variants(spark, kind):
     want = brute_components(rows)
     assert len({want[i] for i in range(200, 206)}) < 6 and len(set(want.values())) > 300
     assert components_of(spark, rows, hot=16) == want
+
+
+def test_unlike_texts_that_chains_of_hot_keys_join_are_not_compared(spark, monkeypatch):
+    rng = random.Random(11)
+    passages = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(300)]
+    dealt = [i % 300 for i in range(300 * 8)]
+    rng.shuffle(dealt)
+    texts = [" ".join(passages[k] for k in dealt[8 * i : 8 * i + 8]).split() for i in range(300)]  # a passage is in 8 texts
+    for i in range(290, 300):
+        texts[i] = [*texts[i - 290][:150], "new", *texts[i - 290][151:]]
+    rows, fetched, written = [(i, " ".join(t)) for i, t in enumerate(texts)], [], simhash.written
+
+    def noted(df, label):
+        out = written(df, label)
+        if label == "sets":
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", noted)
+    got = components_of(spark, rows, hot=4)
+    assert got == brute_components(rows) and all(got[i] == i - 290 for i in range(290, 300))
+    assert 20 <= sum(fetched) < 150  # not the family of all 300 that shared keys make up

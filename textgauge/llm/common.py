@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -114,3 +115,10 @@ def discard(df: DataFrame) -> None:
     """Remove a table made by `written`; nothing may read it afterwards."""
     if path := getattr(df, "_scratch_path", None):
         _remove(df.sparkSession, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished plans now. It does so when the driver's heap is collected, which a
+    driver with little to do puts off while the executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

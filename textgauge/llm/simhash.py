@@ -14,7 +14,7 @@ no group grows with the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import discard, low_hash, sliced, text_udf, wide_share, written
+from textgauge.llm.common import discard, free_shuffles, low_hash, sliced, text_udf, wide_share, written
 from textgauge.llm.components import connected_components
 
 SEED = 42
@@ -148,8 +148,10 @@ WIDTH, HOT, LEADERS, BLOCK, FILED = 5, 64, 4, 128, (1 << 40) - 1
 #: Sets in a block differ in size by at most LIKE, and have about HELD shingles together unless there is but one; parts in which
 #: the pairs of a family's blocks are drawn.
 LIKE, HELD, SALTS = 1.1, 1 << 20, 16
-#: Texts counted at least for the order of prefixes, buckets of shingles, and how many of them are held.
-SAMPLE, BUCKETS, COMMON = 4_000, 1 << 24, 1 << 20
+#: Texts counted at least for the order of prefixes, and how many of the most frequent shingles are held.
+SAMPLE, COMMON = 4_000, 1 << 20
+#: Bits of the map of wanted ids that spares other texts a shuffle (2 MB at any size of the table).
+SLOTS = 1 << 24
 #: Two long sets of similarity 0.8 differ in 19.4 bits of their 128-bit fingerprints, with a deviation of 4.1. Pairs of more
 #: than FAR differing bits (six deviations on) are not compared further; sets of up to SHORT shingles are all compared.
 FAR, SHORT = 44, 32
@@ -167,6 +169,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(hashes.view(np.int64))
 
 
+LINKS = "array<struct<node:bigint,other:bigint>>"
+
+
 def prefix_length(n: int | Column) -> int | Column:
     """Of two sets of similarity 0.8 the larger has their first common member among its first n - ceil(0.8 n) + 1, in any order that all sets have."""
     return F.floor(n / 5).cast("int") + 1 if isinstance(n, Column) else n // 5 + 1
@@ -273,13 +278,13 @@ def _block_links(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Ar
 
 
 def common_shingles(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of shingles that are frequent in a sample of the texts `t`, and how often each was met there.
+    """The shingles, as filed, that are frequent in a sample of the texts `t`, and how often each was met there.
 
     They settle the order in which prefixes are taken, and so only how many texts meet, not which are alike.
     """
     share = max(1 / 8, wide_share(SAMPLE, named.count()))
     some = named.where(low_hash(F.col("id"), F.lit(share))).select(F.explode(text_udf(_shingle_sets, "array<bigint>")(F.col("t"))).alias("s"))
-    counts = some.groupBy(F.col("s").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).where("n > 1")
+    counts = some.groupBy(F.col("s").bitwiseAND(FILED).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
     counts = written(counts, "common")
     least, left = 2, COMMON
     for n, many in sorted(((r.n, r.many) for r in counts.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True):
@@ -289,20 +294,20 @@ def common_shingles(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
     got = counts.where(F.col("n") >= least).toArrow()
     discard(counts)
-    buckets, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-    by = np.argsort(buckets)
-    return buckets[by], n[by]
+    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
+    by = np.argsort(keys)
+    return keys[by], n[by]
 
 
 def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first shingles of a set, as many as `prefix_length`, by one order for all sets: the rarest first, then by hash."""
-    buckets, n = common
+    keys, n = common
     size = prefix_length(len(shingles))
-    if not len(buckets):
+    if not len(keys):
         return shingles[:size]
-    own = shingles & (BUCKETS - 1)
-    at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
-    return shingles[np.lexsort((shingles, np.where(buckets[at] == own, n[at], 0)))[:size]]
+    own = shingles & FILED
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return shingles[np.lexsort((shingles, np.where(keys[at] == own, n[at], 0)))[:size]]
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -320,38 +325,70 @@ def _candidates(few: DataFrame) -> DataFrame:
     return small.join(large, "key").where(room).select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other")).distinct()
 
 
+def _apart(f1: str, f2: str, g1: str, g2: str) -> Column:
+    """How many bits of two fingerprints differ."""
+    return F.bit_count(F.col(f1).bitwiseXOR(F.col(g1))) + F.bit_count(F.col(f2).bitwiseXOR(F.col(g2)))
+
+
+def _near(n: str, m: str, apart: Column) -> Column:
+    """Whether sizes and differing bits leave room for a similarity of 0.8."""
+    return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n)) & ((apart <= FAR) | (F.greatest(n, m) <= SHORT))
+
+
 def _not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (node, other) whose fingerprints do not rule out a similarity of 0.8."""
     one, two = nodes.select("node", "n", "f1", "f2"), nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    joined = pairs.join(one, "node").join(two, "other").where((5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n")))
-    return joined.where((apart <= FAR) | (F.greatest("n", "m") <= SHORT)).select("node", "other")
+    return pairs.join(one, "node").join(two, "other").where(_near("n", "m", _apart("f1", "f2", "g1", "g2"))).select("node", "other")
+
+
+def _leads(hot: DataFrame) -> DataFrame:
+    """Pairs (node, other) of the texts under a hot key and its leaders, where not far apart."""
+    out = None
+    for turn in range(LEADERS):
+        lead = hot.groupBy("key").agg(F.min_by(F.struct("node", "n", "f1", "f2"), F.xxhash64("node", F.lit(turn))).alias("l"))
+        lead = lead.select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("m"), F.col("l.f1").alias("g1"), F.col("l.f2").alias("g2"))
+        met = hot.join(lead, "key").where("node <> lead").where(_near("n", "m", _apart("f1", "f2", "g1", "g2")))
+        met = met.select(F.least("node", "lead").alias("node"), F.greatest("node", "lead").alias("other")).distinct()
+        out = met if out is None else out.union(met)
+    return out.distinct()
 
 
-def _rest(many: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links: DataFrame) -> DataFrame | None:
-    """Links (node, other) between texts that share a key in `many` and that `links` leaves in different components, or None.
+def _nearest(hot: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (node, other): of each text under a hot key, the one not far from it that is nearest among those of another label.
 
-    Texts are compared by blocks within families, which are joined by shared keys. A block holds texts of
-    like sizes, dealt by a hash, so that no task orders or holds a family; pairs of blocks are drawn from
-    their edges alone and fetch their texts afterwards. Blocks whose sizes differ too much, or that lie in
-    one component, are not compared. What is left takes the square of a family.
+    What meets here is summed up by node on the spot, so the pairs of a key are walked through and not kept.
+    Of two texts with different labels one at least has another label than most under the key.
     """
-    tree = connected_components(links, "node", "other")
-    placed = written(many.select("key", "node").join(tree, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("node").alias("other")).where("a < b").select("key", "other")
-    left = written(placed.join(open_keys, "key"), "open")
-    if left.isEmpty():
-        return None
-    family = connected_components(left.select("node", "other"), "node", "other").withColumnRenamed("component", "family")
-    members = written(left.select("node", "comp").distinct().join(family, "node"), "members")
-    nodes = members.join(sets_of(members.select("node")), "node")
+    placed = hot.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    placed = written(placed, "placed")
+    counts = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    most = counts.groupBy("key").agg(F.max_by("label", "c").alias("most"), F.count("*").alias("labels")).where("labels > 1").select("key", "most")
+    left = placed.join(most, "key")
+    one = left.where("label <> most").select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "indexed", "f1", "f2", "label")))
+    two = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "indexed", "f1", "f2", "label")))
+    room = "label1 <> label2 and ((n1 <= n2 and indexed1) or (n2 <= n1 and indexed2)) and 9 * (1 + least(n1 - 1 - pos1, n2 - 1 - pos2)) >= 4 * (n1 + n2)"
+    apart = _apart("f11", "f21", "f12", "f22")
+    met = one.join(two, "key").where(room).where(_near("n1", "n2", apart)).withColumn("apart", apart)
+    ends = F.array(*(F.struct(F.col(a).alias("node"), F.struct("apart", F.col(b).alias("other")).alias("e")) for a, b in (("node1", "node2"), ("node2", "node1"))))
+    return met.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.min("x.e").alias("e")).select("node", F.col("e.other").alias("other"))
+
+
+def _in_blocks(nodes: DataFrame) -> DataFrame:
+    """Links (node, other) between texts of one family and different components (family, node, comp, n, s).
+
+    A block holds texts of like sizes, dealt by a hash, so that no task orders or holds a family; texts of a
+    family's largest component have blocks of their own. Pairs of blocks are drawn from their edges alone and
+    fetch their texts afterwards. Blocks whose sizes differ too much, or that lie in one component, are not
+    compared. What is left takes the square of a family.
+    """
+    counts = nodes.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("comp", "c").alias("most"))
     # narrow rows settle the blocks; the sets join them by node, so no task has more than its share of a large family's
-    narrow = nodes.select("family", "node", "n", F.floor(F.log("n") / F.log(F.lit(LIKE))).alias("class"))
+    like = 2 * F.floor(F.log("n") / F.log(F.lit(LIKE))) + (F.col("comp") == F.col("most")).cast("int")
+    narrow = nodes.select("family", "node", "n", "comp").join(counts, "family").select("family", "node", "n", like.alias("class"))
     parts = narrow.groupBy("family", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HELD)).alias("parts"))
     place = narrow.join(parts, ["family", "class"]).select("node", "class", F.pmod(F.xxhash64("node"), "parts").alias("part"))
-    member = F.struct("node", "comp", "s")
     blocks = nodes.join(place, "node").groupBy("family", "class", "part")
-    blocks = written(blocks.agg(F.collect_list(member).alias("all"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d")), "blocks")
+    blocks = written(blocks.agg(F.collect_list(F.struct("node", "comp", "s")).alias("all"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d")), "blocks")
 
     def side(number: int, *columns: str) -> DataFrame:
         return blocks.select("family", *(F.col(c).alias(f"{c}{number}") for c in ("class", "part", *columns)))
@@ -363,8 +400,50 @@ def _rest(many: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links: Dat
     meet = one.join(two, ["family", "salt"]).where(f"{ordered} and 5 * high1 >= 4 * low2 and not (c1 = d1 and c2 = d2 and c1 = c2)")
     meet = meet.select("family", "class1", "part1", "class2", "part2")
     meet = meet.join(side(1, "all"), ["family", "class1", "part1"]).join(side(2, "all"), ["family", "class2", "part2"])
-    kind = "array<struct<node:bigint,other:bigint>>"
-    return meet.select(F.explode(text_udf(_block_links, kind)("all1", "all2")).alias("l")).select("l.node", "l.other")
+    return meet.select(F.explode(text_udf(_block_links, LINKS)("all1", "all2")).alias("l")).select("l.node", "l.other")
+
+
+def _members_of(links: DataFrame, nodes: DataFrame, to: str) -> DataFrame:
+    """`nodes` with the component of `links` that each is in, itself where it is in none, in column `to`."""
+    return nodes.join(connected_components(links, "node", "other"), "node", "left").withColumn(to, F.coalesce("component", "node")).drop("component")
+
+
+def _within(sets: DataFrame, leads: DataFrame) -> DataFrame:
+    """Links (node, other) that join what is alike within each family (family, node, n, s).
+
+    The texts of a family of up to BLOCK are compared at once. In a larger one each is compared with its
+    leaders, and what these leave apart by blocks.
+    """
+    sizes = sets.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("held"))
+    large = written(sizes.where(f"many > {BLOCK} or held > {HELD}").select("family"), "large")
+    whole = sets.join(large, "family", "left_anti").groupBy("family").agg(F.collect_list(F.struct("node", F.col("node").alias("comp"), "s")).alias("all"))
+    links = written(whole.select(F.explode(text_udf(_block_links, LINKS)("all", "all")).alias("l")).select("l.node", "l.other"), "links")
+    if large.isEmpty():
+        return links
+    sets = sets.join(large, "family")
+    led = written(_alike(leads.join(sets.select("node"), "node", "left_semi"), sets), "links")
+    members = written(_members_of(led, sets.select("family", "node"), "comp"), "members")
+    apart = members.groupBy("family").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("family")
+    more = _in_blocks(members.join(apart, "family").join(sets.drop("family"), "node"))
+    return links.union(led).union(written(more, "links"))
+
+
+def _slots(wanted: DataFrame) -> np.ndarray:
+    """A map of SLOTS bits, those set that a wanted `low` falls on."""
+    slot = f"pmod(xxhash64(low), {SLOTS})"
+    got = wanted.groupBy(F.expr(f"{slot} div 64").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _may_hold(slots: np.ndarray):
+    def may_hold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for hashes in batches:
+            slot = hashes.to_numpy().view(np.int64) % SLOTS
+            yield pa.array((slots[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return may_hold
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -375,11 +454,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     pairs whose 128-bit SimHash fingerprints differ in more than FAR bits (one in a billion). Texts with one set of shingles are folded first; a component's name is the smallest id in it, and
     rows that share an id but no text are nodes of their own. Two sets of that similarity have their
     first common shingle in the prefix of the one and the shorter prefix of the other (`prefix_length`,
-    `index_length`); texts meet there, are compared by their fingerprints and, where these
-    are not far apart, by their whole sets. Common shingles come last
+    `index_length`); texts meet there and are compared by their fingerprints. Those that are not far
+    apart make up families, in which the whole sets decide. Common shingles come last
     in the order, so that texts with shingles of their own meet few others. Under a key of more than
-    `hot` texts each is compared with leaders, and what these do not join is compared block by block.
+    `hot` texts no pairs are kept but those of each text with leaders and with its nearest in other families.
     """
+    spark = docs.sparkSession
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     marked = written(named.select("id", text_udf(_marks(common_shingles(named)), "struct<k1:bigint,k2:bigint,f1:bigint,f2:bigint,n:int,first:array<bigint>>")(F.col("t")).alias("f")).select("id", "f.*"), "marks")
     # a node for each set of shingles; numbered by the files' writer, so it is fixed from here on
@@ -387,29 +467,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     prefixes, marked = marked, written(marked.select("id", "k1", "k2"), "names")
     discard(prefixes)
+    free_shuffles(spark)
     filed = nodes.select("node", "n", F.posexplode("first").alias("pos", "key")).withColumn("indexed", F.expr("pos < n div 9 + 1"))
     shared = filed.groupBy("key").agg(F.count("*").alias("many"), F.count_if("indexed").alias("held")).where("many > 1 and held > 0")
     rows = written(filed.join(shared.select("key", "many").hint("merge"), "key"), "filed")
-    many = rows.where(F.col("many") > hot).select("key", "node")
-    pairs = _candidates(rows.where(F.col("many") <= hot))
-    for turn in range(LEADERS):
-        lead = many.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("other"))
-        pairs = pairs.union(many.join(lead, "key").where("node <> other").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")))
-    pairs = written(_not_far(pairs.distinct(), nodes), "pairs")
+    free_shuffles(spark)
+    prints = nodes.select("node", "n", "f1", "f2")
+    few = written(_not_far(_candidates(rows.where(F.col("many") <= hot)), prints), "pairs")
+    many = written(rows.where(F.col("many") > hot).drop("many").join(prints.drop("n"), "node"), "hot")
+    discard(rows)
+    leads = written(_leads(many), "pairs")
+    pairs = few.union(leads)
+    while True:  # until no two texts under a hot key that are not far apart are in different families
+        families = connected_components(pairs, "node", "other")
+        more = written(_nearest(many, families), "pairs")
+        if more.isEmpty():
+            break
+        pairs = pairs.union(more)
+    free_shuffles(spark)
     repeated = not marked.groupBy("id").count().where("count > 1").isEmpty()
 
-    def sets_of(which: DataFrame) -> DataFrame:
-        """node, n and s (its shingles) for the nodes given; where these are few, Spark broadcasts them."""
-        wanted = which.distinct().join(nodes.select("node", "low", "k1", "k2"), "node").select("node", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-        made = named.join(written(wanted, "wanted"), named.id == F.col("low")).select("node", "__k1", "__k2", text_udf(_keyed_sets, "struct<k1:bigint,k2:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
-        made = made.where("f.k1 = __k1 and f.k2 = __k2").select("node", F.size("f.s").alias("n"), "f.s")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """`wanted`, with n and s (its shingles) for each node. Of other texts few take part in the join, whatever its kind."""
+        own = wanted.columns
+        wanted = wanted.join(nodes.select("node", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "node")
+        wanted = written(wanted, "wanted")
+        some = named.where(text_udf(_may_hold(_slots(wanted)), "boolean")(F.xxhash64("id")))
+        made = some.join(wanted, some.id == F.col("low")).select(*own, "__k1", "__k2", text_udf(_keyed_sets, "struct<k1:bigint,k2:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
+        made = made.where("f.k1 = __k1 and f.k2 = __k2").select(*own, F.size("f.s").alias("n"), "f.s")
         return written(made.dropDuplicates(["node"]) if repeated else made, "sets")  # rows may repeat an id and its text
 
-    sets = sets_of(pairs.select("node").union(pairs.select("other")))
-    links = written(_alike(pairs, sets), "links")
-    discard(sets)
-    if not many.isEmpty() and (more := _rest(many, sets_of, links)) is not None:
-        links = links.union(more)
+    links = _within(sets_of(families.withColumnRenamed("component", "family")), leads)
+    free_shuffles(spark)
     tree = connected_components(links, "node", "other")
     rooted = nodes.join(tree.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("k1", "k2", "low", F.coalesce("component", "node").alias("root"))
     rooted = written(rooted, "rooted")
@@ -417,7 +506,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     is_first = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
     component = rooted.join(heads.hint("merge"), "root").select("k1", "k2", F.col("first.low").alias("component_id"), is_first.alias("first_set"))
     out = marked.select("id", "k1", "k2").join(component.hint("merge"), ["k1", "k2"])
-    for table in (rows, pairs, nodes):
+    for table in (many, nodes):
         discard(table)
     return out.select(F.col("id").alias(id_col), F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")).alias("set_key"), "component_id", (F.col("first_set") & (F.col("id") == F.col("component_id"))).alias("head"))
 
