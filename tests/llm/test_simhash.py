@@ -221,3 +221,16 @@ def test_unlike_texts_that_chains_of_hot_keys_join_are_not_compared(spark, monke
     got = components_of(spark, rows, hot=4)
     assert got == brute_components(rows) and all(got[i] == i - 290 for i in range(290, 300))
     assert 20 <= sum(fetched) < 150  # not the family of all 300 that shared keys make up
+
+
+def test_similar_documents_are_linked_through_blocks_of_their_fingerprints(spark, monkeypatch):
+    candidates = simhash._candidates
+    monkeypatch.setattr(simhash, "_candidates", lambda few: candidates(few).where("false"))  # nothing through prefixes
+    rows = []
+    for i in range(30):
+        words = [f"d{i}w{j}" for j in range(800)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:400], "new", *words[401:]]))]
+    prints = [int(simhash.set_fingerprint(simhash.shingle_set(t))[0]) for _, t in rows]
+    close = {i for i in range(30) if ((prints[2 * i] ^ prints[2 * i + 1]) & (1 << 64) - 1).bit_count() <= 2}
+    assert 5 <= len(close) < 30
+    assert components_of(spark, rows) == {k: k - 1 if k % 2 and k // 2 in close else k for k, _ in rows}

@@ -317,6 +317,15 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.col("n") + F.col("m"))).select("node", "other").distinct()
 
 
+def _by_blocks(nodes: DataFrame) -> DataFrame:
+    """Pairs (node, other) of sets whose 64-bit fingerprints f1 differ in two bits at most, found by `fingerprint_links`. Sets of one fingerprint meet its lowest node."""
+    firsts = written(nodes.groupBy("f1").agg(F.min("node").alias("first")), "firsts")
+    same = nodes.select("node", "f1").join(firsts, "f1").where("node <> first").select(F.col("first").alias("node"), F.col("node").alias("other"))
+    one, two = firsts.select(F.col("f1").alias("src"), F.col("first").alias("a")), firsts.select(F.col("f1").alias("dst"), F.col("first").alias("b"))
+    near = fingerprint_links(firsts, "f1").join(one, "src").join(two, "dst")
+    return same.union(near.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other")))
+
+
 def _candidates(few: DataFrame) -> DataFrame:
     """Pairs (node, other) of texts under a key whose sizes, and places of the key in their prefixes, leave room for a similarity of 0.8."""
     small = few.where("indexed").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
@@ -336,18 +345,19 @@ def _near(n: str, m: str, apart: Column) -> Column:
 
 
 def _not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (node, other) whose fingerprints do not rule out a similarity of 0.8."""
-    one, two = nodes.select("node", "n", "f1", "f2"), nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    return pairs.join(one, "node").join(two, "other").where(_near("n", "m", _apart("f1", "f2", "g1", "g2"))).select("node", "other")
+    """Those of the pairs (node, other) of different components whose fingerprints do not rule out a similarity of 0.8."""
+    one = nodes.select("node", "n", "f1", "f2", "comp")
+    two = nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("comp").alias("of"))
+    return pairs.join(one, "node").join(two, "other").where("comp <> of").where(_near("n", "m", _apart("f1", "f2", "g1", "g2"))).select("node", "other")
 
 
 def _leads(hot: DataFrame) -> DataFrame:
-    """Pairs (node, other) of the texts under a hot key and its leaders, where not far apart."""
+    """Pairs (node, other) of the texts under a hot key and its leaders, where not far apart and of different components."""
     out = None
     for turn in range(LEADERS):
-        lead = hot.groupBy("key").agg(F.min_by(F.struct("node", "n", "f1", "f2"), F.xxhash64("node", F.lit(turn))).alias("l"))
-        lead = lead.select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("m"), F.col("l.f1").alias("g1"), F.col("l.f2").alias("g2"))
-        met = hot.join(lead, "key").where("node <> lead").where(_near("n", "m", _apart("f1", "f2", "g1", "g2")))
+        lead = hot.groupBy("key").agg(F.min_by(F.struct("node", "n", "f1", "f2", "comp"), F.xxhash64("node", F.lit(turn))).alias("l"))
+        lead = lead.select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("m"), F.col("l.f1").alias("g1"), F.col("l.f2").alias("g2"), F.col("l.comp").alias("of"))
+        met = hot.join(lead, "key").where("comp <> of").where(_near("n", "m", _apart("f1", "f2", "g1", "g2")))
         met = met.select(F.least("node", "lead").alias("node"), F.greatest("node", "lead").alias("other")).distinct()
         out = met if out is None else out.union(met)
     return out.distinct()
@@ -408,21 +418,21 @@ def _members_of(links: DataFrame, nodes: DataFrame, to: str) -> DataFrame:
     return nodes.join(connected_components(links, "node", "other"), "node", "left").withColumn(to, F.coalesce("component", "node")).drop("component")
 
 
-def _within(sets: DataFrame, leads: DataFrame) -> DataFrame:
-    """Links (node, other) that join what is alike within each family (family, node, n, s).
+def _within(sets: DataFrame, leads: DataFrame, linked: DataFrame) -> DataFrame:
+    """Links (node, other) that join what is alike within each family (family, node, comp, n, s) and not `linked` yet.
 
     The texts of a family of up to BLOCK are compared at once. In a larger one each is compared with its
     leaders, and what these leave apart by blocks.
     """
     sizes = sets.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("held"))
     large = written(sizes.where(f"many > {BLOCK} or held > {HELD}").select("family"), "large")
-    whole = sets.join(large, "family", "left_anti").groupBy("family").agg(F.collect_list(F.struct("node", F.col("node").alias("comp"), "s")).alias("all"))
+    whole = sets.join(large, "family", "left_anti").groupBy("family").agg(F.collect_list(F.struct("node", "comp", "s")).alias("all"))
     links = written(whole.select(F.explode(text_udf(_block_links, LINKS)("all", "all")).alias("l")).select("l.node", "l.other"), "links")
     if large.isEmpty():
         return links
-    sets = sets.join(large, "family")
+    sets = sets.drop("comp").join(large, "family")
     led = written(_alike(leads.join(sets.select("node"), "node", "left_semi"), sets), "links")
-    members = written(_members_of(led, sets.select("family", "node"), "comp"), "members")
+    members = written(_members_of(led.union(linked), sets.select("family", "node"), "comp"), "members")
     apart = members.groupBy("family").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("family")
     more = _in_blocks(members.join(apart, "family").join(sets.drop("family"), "node"))
     return links.union(led).union(written(more, "links"))
@@ -450,6 +460,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """One row per row with an id, over texts whose five-word shingles are similar by 0.8 or more: id_col, set_key (digest of
     the shingle set), component_id (smallest id reachable) and head (the row, or its repeats, that stands for its component).
 
+    Sets are linked first through the blocks of their 64-bit SimHash fingerprints (`fingerprint_links`, two bits), where
+    the whole sets confirm it. Two fingerprints of that similarity may differ in more bits than blocks can bridge; so
+    what the blocks leave apart is found by prefixes.
+
     Every link is a pair of that Jaccard similarity, and every such pair is in one component, but for
     pairs whose 128-bit SimHash fingerprints differ in more than FAR bits (one in a billion). Texts with one set of shingles are folded first; a component's name is the smallest id in it, and
     rows that share an id but no text are nodes of their own. Two sets of that similarity have their
@@ -468,36 +482,43 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     prefixes, marked = marked, written(marked.select("id", "k1", "k2"), "names")
     discard(prefixes)
     free_shuffles(spark)
+    repeated = not marked.groupBy("id").count().where("count > 1").isEmpty()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """`wanted`, with n and s (its shingles) for each node. Of other texts few take part in the join, whatever its kind."""
+        own = wanted.columns
+        wanted = wanted.join(nodes.select("node", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "node")
+        wanted = written(wanted, "wanted")
+        some = named.where(text_udf(_may_hold(_slots(wanted)), "boolean")(F.xxhash64("id")))
+        made = some.join(wanted, some.id == F.col("low")).select(*own, "__k1", "__k2", text_udf(_keyed_sets, "struct<k1:bigint,k2:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
+        made = made.where("f.k1 = __k1 and f.k2 = __k2").select(*own, F.size("f.s").alias("n"), "f.s")
+        return written(made.dropDuplicates(["node"]) if repeated else made, "sets")  # rows may repeat an id and its text
+
+    blocked = written(_by_blocks(nodes), "pairs")
+    held = sets_of(blocked.select("node").union(blocked.select("other")).distinct())
+    linked = written(_alike(blocked, held), "links")
+    discard(held)
+    prints = written(_members_of(linked, nodes.select("node", "n", "f1", "f2"), "comp"), "prints")
+    free_shuffles(spark)
     filed = nodes.select("node", "n", F.posexplode("first").alias("pos", "key")).withColumn("indexed", F.expr("pos < n div 9 + 1"))
     shared = filed.groupBy("key").agg(F.count("*").alias("many"), F.count_if("indexed").alias("held")).where("many > 1 and held > 0")
     rows = written(filed.join(shared.select("key", "many").hint("merge"), "key"), "filed")
-    free_shuffles(spark)
-    prints = nodes.select("node", "n", "f1", "f2")
     few = written(_not_far(_candidates(rows.where(F.col("many") <= hot)), prints), "pairs")
     many = written(rows.where(F.col("many") > hot).drop("many").join(prints.drop("n"), "node"), "hot")
     discard(rows)
     leads = written(_leads(many), "pairs")
     pairs = few.union(leads)
     while True:  # until no two texts under a hot key that are not far apart are in different families
-        families = connected_components(pairs, "node", "other")
+        families = connected_components(pairs.union(linked), "node", "other")
         more = written(_nearest(many, families), "pairs")
         if more.isEmpty():
             break
         pairs = pairs.union(more)
+    families = families.withColumnRenamed("component", "family").join(prints.select("node", "comp"), "node")
+    open_ones = families.groupBy("family").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("family")
+    families = written(families.join(open_ones, "family"), "families")
     free_shuffles(spark)
-    repeated = not marked.groupBy("id").count().where("count > 1").isEmpty()
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """`wanted`, with n and s (its shingles) for each node. Of other texts few take part in the join, whatever its kind."""
-        own = wanted.columns
-        wanted = wanted.join(nodes.select("node", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "node")
-        wanted = written(wanted, "wanted")
-        some = named.where(text_udf(_may_hold(_slots(wanted)), "boolean")(F.xxhash64("id")))
-        made = some.join(wanted, some.id == F.col("low")).select(*own, "__k1", "__k2", text_udf(_keyed_sets, "struct<k1:bigint,k2:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
-        made = made.where("f.k1 = __k1 and f.k2 = __k2").select(*own, F.size("f.s").alias("n"), "f.s")
-        return written(made.dropDuplicates(["node"]) if repeated else made, "sets")  # rows may repeat an id and its text
-
-    links = _within(sets_of(families.withColumnRenamed("component", "family")), leads)
+    links = linked.union(_within(sets_of(families), leads, linked))
     free_shuffles(spark)
     tree = connected_components(links, "node", "other")
     rooted = nodes.join(tree.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("k1", "k2", "low", F.coalesce("component", "node").alias("root"))
