@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgauge.llm import embeddings, flac, langid, mixing, pieces, quality, simhash, substrings, tokens, urls
+from textgauge.llm import audit, codes, embeddings, flac, langid, mixing, pieces, quality, simhash, sketches, substrings, tokens, urls
 from textgauge.llm.common import crc_mod, hold_batches
 from textgauge.llm.common import table as _table
 from textgauge.plans.session import spread
@@ -101,7 +101,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", _holds(crc_mod("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_sentencepiece, op4_token_counts, op5_flac, op6_mixing, op7_embedding_dedup, op8_substring_dedup, op9_url_filter, op10_language_id)}
+def op11_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
+    made = sketches.edited_likeness(table(spark, sf_dir, "documents"))
+    prints = (F.lower(F.hex(c)).alias(to) for c, to in (("sketch", "fingerprint"), ("edited_sketch", "edited_fingerprint")))
+    return made.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256 for every vector without null or non-finite components."""
+    made, books = codes.compress(_table(spark, sf_dir, "embeddings"))
+    return made.select("vec_id", codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley, filter: five filters in all their orders."""
+    made = audit.audit_orders(table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return made.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley", "filter")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_sentencepiece, op4_token_counts, op5_flac, op6_mixing, op7_embedding_dedup, op8_substring_dedup, op9_url_filter, op10_language_id, op11_document_sketch, op12_vector_codes, op13_filter_audit)}
 
 
 def _url_sql() -> str:
@@ -138,4 +157,49 @@ reach AS (SELECT vec_id AS node, vec_id AS other FROM v UNION SELECT r.node, l.b
 SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.node = v.vec_id"""
 
-ORACLES: dict[str, str] = {"op7_embedding_dedup": EMBEDDING_SQL, "op9_url_filter": _url_sql()}
+#: Three assignments (`near`) and two means, each over all vectors; distances in exact integers.
+CODES_SQL = """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS v FROM kept, range(16) r(p)),
+book0 AS (SELECT p, e, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+""" + "".join(
+    f"""near{i} AS (SELECT vec_id, p, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := b.e)) AS n
+  FROM parts x JOIN book{i} b USING (p) GROUP BY vec_id, p),
+"""
+    + (f"""mean{i} AS (SELECT p, e, list(m::BIGINT ORDER BY k) AS v FROM (SELECT p, n.e AS e, k, floor(sum(v[k])::DECIMAL(38, 0) / count(*)) AS m
+  FROM (SELECT near{i}.*, v, unnest(range(1, len(v) + 1)) AS k FROM near{i} JOIN parts USING (vec_id, p)) GROUP BY p, n.e, k) GROUP BY p, e),
+book{i + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN mean{i} m USING (p, e)),
+""" if i < 2 else "")
+    for i in range(3)
+) + """coded AS (SELECT vec_id, string_agg(lpad(lower(hex(n.e)), 2, '0'), '' ORDER BY p) AS code, sum(n.d)::BIGINT AS error FROM near2 GROUP BY vec_id),
+labelled AS (SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error FROM coded JOIN kept USING (vec_id))
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256 FROM labelled"""
+
+
+def _audit_sql() -> str:
+    """Every order and step is judged by itself, from the documents' own flags."""
+    steps = ", ".join(f"('{o}', {n}, {applied}, {bit})" for o, n, _, applied, bit in audit.order_steps(list("ABCDE")))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS again FROM d),
+    l AS (SELECT doc_id, bool_or(coalesce(quality, 0) = 1) AS good, bool_or(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+            + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * again::INT AS mask
+          FROM w LEFT JOIN l USING (doc_id)),
+    c AS (SELECT part, good, toxic, mask, count(*) AS n FROM m GROUP BY ALL),
+    s AS (SELECT * FROM (VALUES {steps}) AS s(filter_order, step, applied, bit)),
+    r AS (SELECT part, filter_order, step, bit,
+            sum(CASE WHEN mask & (applied | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+            sum(CASE WHEN mask & applied = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+            sum(CASE WHEN mask & applied > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+            sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+            sum(CASE WHEN good AND mask & applied = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS good_lost,
+            sum(CASE WHEN toxic AND mask & applied = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+          FROM c, s GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley, filter_order[step] AS filter FROM r"""
+
+
+ORACLES: dict[str, str] = {"op12_vector_codes": CODES_SQL, "op13_filter_audit": _audit_sql(), "op7_embedding_dedup": EMBEDDING_SQL, "op9_url_filter": _url_sql()}
