@@ -122,3 +122,18 @@ def test_spans_against_all_pairs(spark):
         found.setdefault(s.id, set()).update(range(begin, begin + s.n_words))
     assert found.keys() == {i for i, at in common.items() if len(at) >= 51}
     assert all(at <= common[i] and len(at) >= len(common[i]) - 26 for i, at in found.items())
+
+
+def test_rows_without_an_id_are_told_apart_whatever_their_short_hashes(spark):
+    """Two texts that a 32-bit hash takes for one: what is cut from the one must not be cut from the other."""
+    from pyspark.sql import functions as F
+
+    passage, other = words(70, 1), words(150, 2)
+    made = lambda start, name: spark.range(300_000).select(F.concat(F.lit(start + " "), F.col("id").cast("string")).alias(name)).withColumn("h", F.hash(name))
+    pair = made(passage, "repeats").join(made(other, "alone"), "h").orderBy("repeats").first()
+    assert pair is not None
+    docs = spark.createDataFrame([(1, passage), (None, pair.repeats), (None, pair.alone)], "doc_id long, text string")
+    kept = {r.text for r in substrings.drop_repeats(docs).collect()}
+    assert pair.alone in kept and pair.repeats not in kept and passage in kept
+    keys = docs.select(F.count_distinct(substrings._text_key("text")), F.count_distinct(F.hash("text"))).first()
+    assert tuple(keys) == (3, 2)

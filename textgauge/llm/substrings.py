@@ -94,8 +94,9 @@ def _chunked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _text_key(text: str) -> F.Column:
-    """Tells apart the texts of rows that share an id."""
-    return F.hash(text)
+    """Tells apart the texts of rows that share an id, of which there may be very many (rows without one): a 128-bit digest, as two numbers."""
+    digest = F.md5(F.col(text).cast("binary"))
+    return F.struct(*(F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "hi"), (17, "lo"))))
 
 
 _CHUNK = "array<struct<h:bigint,g:int,no:int,a:int,size:int,n:int>>"
@@ -104,7 +105,7 @@ _CHUNK = "array<struct<h:bigint,g:int,no:int,a:int,size:int,n:int>>"
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, inside: bool = False) -> DataFrame:
     """One row per repeated passage, in every document but the first that has it; with `inside` also in that one, at every place but its first.
 
-    Columns: id, text_key (hash of the text), first_byte, last_byte (exclusive), n_words, owner
+    Columns: id, text_key (digest of the text: hi, lo), first_byte, last_byte (exclusive), n_words, owner
     (the smallest id that has one of its chunks). Null and empty texts have no passages; a row
     without an id never owns a chunk; rows that share an id are one document. Exact copies are
     passages as long as the text.
