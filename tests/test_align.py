@@ -42,6 +42,39 @@ def test_against_the_whole_table():
         assert align.edit_ops(ref, hyp) == plain(ref, hyp)
 
 
+def test_bands_and_blocks(monkeypatch):
+    """Bands that must be widened, and columns computed again on the way back."""
+    monkeypatch.setattr(align, "FIRST_BAND", 2)
+    monkeypatch.setattr(align, "HELD_BITS", 100)
+    rng = random.Random(4)
+    for n in [0, 1, 2, 17, 50, 120] * 40:
+        ref = [rng.choice("abcd") for _ in range(n)]
+        hyp = list(ref)
+        for _ in range(rng.randint(0, n)):
+            k = rng.randint(0, len(hyp))
+            hyp[k : k + rng.randint(0, 2)] = rng.choice(["", "a", "dcb"])
+        assert align.edit_ops(ref, hyp) == plain(ref, hyp)
+
+
+def test_rows_are_dealt_by_what_they_cost(spark):
+    costs = [10_000.0] + [100.0] * 200 + [1.0] * 3000 + [None]
+    df = spark.createDataFrame(list(enumerate(costs)), "id int, cost double").repartition(2)
+    made = align.by_cost(df, F.col("cost"), each=2000).withColumn("part", F.spark_partition_id())
+    rows = made.collect()
+    load = {}
+    for r in rows:
+        load[r.part] = load.get(r.part, 0) + (r.cost or 1)
+    assert sorted(r.id for r in rows) == list(range(len(costs))) and made.rdd.getNumPartitions() == -(-33_001 // 2000)
+    big = next(r.part for r in rows if r.cost == 10_000)
+    assert all(v < 4000 for p, v in load.items() if p != big) and load[big] < 12_500
+    assert align.by_cost(df.where("false"), F.col("cost")).count() == 0
+    again = {r.id: r.part for r in align.by_cost(df.repartition(3), F.col("cost"), each=2000).withColumn("part", F.spark_partition_id()).collect()}
+    assert again == {r.id: r.part for r in rows}
+    pairs = spark.createDataFrame([(["a", "b"], ["b"]), (None, ["a"]), (["a"], None)], "r array<string>, h array<string>")
+    found = {tuple(x.r or "-"): x.ops for x in align.split_pairs(pairs, "r", "h").collect()}
+    assert found[("a", "b")].asDict() == plain("ab", "b") and found[("-",)] is None and found[("a",)].asDict() == plain("a", "")
+
+
 def test_columns_agree(spark):
     rng = random.Random(2)
     rows = [([rng.choice("abcdef") for _ in range(rng.randint(0, 9))], [rng.choice("abcdef") for _ in range(rng.randint(0, 9))]) for _ in range(60)]

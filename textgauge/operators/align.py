@@ -6,65 +6,113 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Distinct tokens of a pair that the built-in word distance can tell apart: code points beyond the first plane.
 ALPHABET = 0x100000
+#: Differing tokens beyond the difference of the lengths that the first band allows for.
+FIRST_BAND = 64
+#: Cells of alignment tables that one task is dealt: some ten seconds.
+TASK_CELLS = 3e9
+#: Cells of a table up to which all its columns are kept, two bits each.
+HELD_BITS = 1 << 26
+
+
+def _positions(tokens: Sequence, wanted: set) -> dict:
+    """For each of the wanted tokens an integer whose bit i is set where it stands at place i."""
+    places: dict = {}
+    for i, t in enumerate(tokens):
+        if t in wanted:
+            places.setdefault(t, []).append(i)
+    out, size = {}, len(tokens) // 8 + 1
+    for t, at in places.items():
+        raw = np.zeros(size * 8, np.uint8)
+        raw[at] = 1
+        out[t] = int.from_bytes(np.packbits(raw, bitorder="little").tobytes(), "little")
+    return out
+
+
+class _Band:
+    """The distance table of ref (down) and hyp (across) within a band of diagonals, a column a step, a bit a cell.
+
+    Column j holds rows j - above to j + below: a diagonal is a bit that stays in its place. Rows above the table
+    count as its first row, and a row that enters the band below is taken to cost one more than its diagonal
+    neighbour, which is never too little. So a path that stays inside the band has its true cost.
+    """
 
-
-def _next_row(row: np.ndarray, ref_id: int, hyp: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """One row of the distance table from the one above; insertions by a running minimum."""
-    best = np.empty_like(row)
-    best[0] = row[0] + 1
-    np.minimum(row[:-1] + (hyp != ref_id), row[1:] + 1, out=best[1:])
-    return np.minimum.accumulate(best - steps) + steps
+    def __init__(self, ref: Sequence, hyp: Sequence, above: int, below: int) -> None:
+        self.hyp, self.above = hyp, above
+        self.mask = (1 << (above + below + 1)) - 1
+        self.places = _positions(ref, set(hyp))
+        # the bits of column 0, in the window of column 1: rows 1 - above to 1 + below, of which those from 1 on cost one more each
+        self.start = (self.mask >> above << above, 0)
+
+    def columns(self, begin: int, end: int, down: tuple[int, int]) -> Iterator[tuple[int, int, int]]:
+        """For the columns after `begin` up to `end`: which cells equal their diagonal neighbour, and the vertical differences (+1, -1)
+        in the window of the next column, from those of column `begin`."""
+        mask, places, hyp, first = self.mask, self.places, self.hyp, begin - self.above
+        plus, minus = down
+        for j in range(begin, end):
+            at = places.get(hyp[j], 0)
+            at = (at >> first if first >= 0 else at << -first) & mask
+            first += 1
+            level = ((((at & plus) + plus) ^ plus) | at | minus) & mask
+            right = minus | (mask ^ (level | plus))
+            up = level >> 1
+            plus, minus = (level & plus) | (mask ^ (up | right)), up & right
+            yield level, plus, minus
 
 
 def edit_ops(ref: Sequence, hyp: Sequence) -> dict[str, int]:
     """sub, del, ins and ref_len of the alignment found backwards from the end: match, else sub, else del, else ins.
 
-    Every so many rows of the table are kept and those between are computed again on the way back,
-    so memory grows with the hypothesis times the root of the reference.
+    The table is kept as bit vectors of differences (which cells equal their diagonal neighbour, which exceed the cell above), a
+    machine word for 30 cells, within a band that is widened until the distance fits in it. Every so many columns are kept and those
+    between are computed again on the way back, so memory grows with the band times the root of the hypothesis.
     """
-    ids: dict = {}
-    r = np.array([ids.setdefault(x, len(ids)) for x in ref], np.int64)
-    h = np.array([ids.setdefault(x, len(ids)) for x in hyp], np.int64)
-    n, m = len(r), len(h)
+    n, m = len(ref), len(hyp)
     if not n or not m:
         return {"sub": 0, "del": n, "ins": m, "ref_len": n}
-    steps = np.arange(m + 1, dtype=np.int32)
-    every = max(16, int(n**0.5))
-    row, kept = steps.copy(), {0: steps.copy()}
-    for i in range(1, n + 1):
-        row = _next_row(row, r[i - 1], h, steps)
-        if i % every == 0:
-            kept[i] = row
-    counts = {"sub": 0, "del": 0, "ins": 0}
-    i, j, low, block = n, m, n + 1, []
-    while i or j:
-        if not i or not j:
-            counts["del"] += i
-            counts["ins"] += j
+    gap, within = abs(n - m), FIRST_BAND
+    while True:
+        within = min(within, min(n, m))  # no alignment costs more than the longer length
+        band = _Band(ref, hyp, within // 2 + 1 + max(0, m - n), within // 2 + 1 + max(0, n - m))
+        final = 1 << (band.above + n - m)  # the diagonal that ends the table
+        every = m if band.mask.bit_length() * m <= HELD_BITS else max(16, int(m**0.5))
+        distance, kept, columns, j = gap, {0: band.start}, [], 0
+        for column in band.columns(0, m, band.start):
+            j += 1
+            if not column[0] & final and j + n - m >= 1:
+                distance += 1
+            if every == m:
+                columns.append(column)
+            elif j % every == 0:
+                kept[j] = column[1:]
+        if distance - gap <= within:
             break
-        if i - 1 < low:
-            low = (i - 1) // every * every
-            block = [kept[low]]
-            for k in range(low, i):
-                block.append(_next_row(block[-1], r[k], h, steps))
-        here, above = block[i - low], block[i - 1 - low]
-        if r[i - 1] == h[j - 1] and here[j] == above[j - 1]:
+        within = min(16 * within, distance - gap)  # what was found is never too little, so this much is enough
+    counts = {"sub": 0, "del": 0, "ins": 0}
+    i, j, low = n, m, 0 if columns else m + 1
+    while i and j:
+        if j <= low:
+            low = (j - 1) // every * every
+            columns = list(band.columns(low, j, kept[low]))
+        at = i - j + band.above
+        if ref[i - 1] == hyp[j - 1]:  # then the cell equals its diagonal neighbour
             i, j = i - 1, j - 1
-        elif here[j] == above[j - 1] + 1:
+        elif not columns[j - low - 1][0] >> at & 1:
             counts["sub"] += 1
             i, j = i - 1, j - 1
-        elif here[j] == above[j] + 1:
+        elif columns[j - low - 1][1] >> (at - 1) & 1:
             counts["del"] += 1
             i -= 1
         else:
             counts["ins"] += 1
             j -= 1
+    counts["del"] += i
+    counts["ins"] += j
     return counts | {"ref_len": n}
 
 
@@ -82,6 +130,37 @@ def edit_split(ref: Column, hyp: Column) -> Column:
     return arrow_udf(_edit_ops, "struct<sub:int,del:int,ins:int,ref_len:int>")(ref, hyp)
 
 
+def by_cost(rows: DataFrame, cost: Column, each: float = TASK_CELLS) -> DataFrame:
+    """`rows` dealt into partitions of about `each` of `cost`, at least as many as there are cores; null costs nothing.
+
+    A table of n x m cells is worth as many rows of few cells as it takes as long. Costs are counted by class (a factor
+    of 2^(1/4) wide, some 250 at most, which is all the driver sees); partitions are dealt to classes by their
+    totals, heaviest first, and a row's place within its class comes from a hash of the row, so a task that is run again gets the same rows.
+    """
+    worth = F.greatest(F.coalesce(cost.cast("double"), F.lit(0.0)), F.lit(1.0))
+    kind = F.floor(F.log2(worth) * 4).cast("int")
+    totals = sorted(((r.k, r.t) for r in rows.groupBy(kind.alias("k")).agg(F.sum(worth).alias("t")).collect()), reverse=True)
+    total = sum(t for _, t in totals)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(total) // int(each)))
+    begins, at = [], 0.0
+    for k, t in totals:
+        begins += [F.lit(k), F.struct(F.lit(at / total), F.lit(t / total))]
+        at += t
+    if not begins:
+        return rows
+    span = F.element_at(F.create_map(*begins), kind)
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) / float(1 << 40)
+    # the share that lies before, scaled; rounding must not lead beyond the last partition
+    slot = F.least(F.floor((span["col1"] + place * span["col2"]) * parts), F.lit(parts - 1))
+    return rows.repartitionById(parts, slot.cast("int"))
+
+
+def split_pairs(rows: DataFrame, ref: str, hyp: str, to: str = "ops") -> DataFrame:
+    """`rows` with the split of every pair of token arrays or strings in column `to`; pairs are dealt over the tasks by the cells of their tables."""
+    n, m = (F.size(c) if rows.schema[c].dataType.typeName() == "array" else F.char_length(c) for c in (ref, hyp))
+    return by_cost(rows, n.cast("double") * m).withColumn(to, edit_split(F.col(ref), F.col(hyp)))
+
+
 def char_errors(ref: Column, hyp: Column) -> Column:
     """Edit distance by code point; a null hypothesis counts as empty."""
     return F.levenshtein(ref, F.coalesce(hyp, F.lit("")))
