@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textgauge.operators import aggregates as A
-from textgauge.operators import stats
+from textgauge.operators import stats, stream
 
 
 def direct(e, r, n, seed):
@@ -51,13 +51,41 @@ def test_tables_agree_with_memory(spark):
     assert stats.tie_group_table(df, ["track", "lang"], n=500).first().tie_groups == stats.tie_groups({k: (v, [10] * 20) for k, v in ENGINES.items()}, 500)
     pairs = {(r.worse, r.better): (r.lo, r.hi) for r in stats.paired_intervals(df, ["track", "lang"], n=500).collect()}
     assert pairs == {(a, b): stats.paired_diff_ci(ENGINES[a], [10] * 20, ENGINES[b], [10] * 20, 500) for a, b in (("mid", "best"), ("worst", "best"), ("worst", "mid"))}
-    # on demand each utterance draws its own weights: another bootstrap, of much the same interval, whatever the partitions
-    one, two = ({r.engine: (r.lo, r.hi, r.method) for r in stats.cell_intervals(x, ["engine"], n=4000, method="poisson").collect()} for x in (df, df.repartition(5)))
-    for k, v in ENGINES.items():
-        assert one[k] == two[k] and one[k][2] == "poisson"
-        assert np.allclose(one[k][:2], stats.bootstrap_ci(v, [10] * 20, 4000), atol=0.02)
-    with pytest.raises(ValueError):
-        stats.cell_intervals(df, ["engine"], method="large")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 64, 200, 1000, 3_000_000_019, (1 << 31) + 1])
+def test_segments_give_the_stream_of_one_draw(monkeypatch, size):
+    monkeypatch.setattr(stream, "_AT_ONCE", 37)
+    draws = 3001
+    n, start, out = stream.segments(draws, size, 64), 0, []
+    for k in range(n):
+        out += [x for part in stream.draw(5, size, k, 64, k == n - 1, draws - start) for x in part.tolist()]
+        start += stream.count_kept(5, size, k, 64) if size > 1 else 0
+        assert k == n - 1 or len(out) == min(start, draws)
+    assert out == np.random.default_rng(5).integers(0, size, draws).tolist()
+    assert n > 1 or size == 1
+    if size == 3_000_000_019:
+        assert stream.rejected(size) > 0.3 * 2**32
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_sums_of_many_segments_and_blocks(spark, block):
+    """Cells of several sizes, ids that repeat, and more segments and blocks than one."""
+    n, sizes = 40, {"a": 1, "b": 2, "c": 30, "d": 64, "e": 333}
+    rng = np.random.default_rng(8)
+    rows = [(c, f"u{i // 2 if c == 'c' else i:04d}", int(rng.integers(0, 9)), int(rng.integers(0, 40))) for c, s in sizes.items() for i in range(s)]
+    df = spark.createDataFrame(rows, "frame string, o string, e int, r int").repartition(5)
+    made = stats.resampled_sums(df.withColumns({"member": F.lit("m"), "k": F.struct("e", "r")}), n, 77, block, lambda size: 256)
+    got = {}
+    for row in made.collect():
+        for i, x in enumerate(zip(row.e, row.r, strict=True)):
+            was = got.get((row.frame, row.begin + i), (0, 0))
+            got[(row.frame, row.begin + i)] = (was[0] + x[0], was[1] + x[1])
+    assert len(got) == n * len(sizes)
+    for c in sizes:
+        cell = sorted((o, e, r) for f, o, e, r in rows if f == c)
+        e, r = stats._index_sums([np.array([x[k] for x in cell], float) for k in (1, 2)], n, 77)
+        assert [got[(c, i)] for i in range(n)] == list(zip(e, r))
 
 
 def test_engines_with_other_utterances_are_paired_over_what_they_share(spark):

@@ -1,27 +1,35 @@
 """Seeded bootstrap intervals and tie groups.
 
 The published method resamples a cell by index, with the stated generator and seed, in the order of
-its utterance ids. That stream cannot be divided, so one task draws it for a cell, and for all
-engines of a (track, language) at once: they share their resamples. It is the method at every size.
-For cells too large for one task the caller can ask for `method="poisson"`, another bootstrap, in
-which each utterance draws its own weights and sums are combined before anything is gathered.
+its utterance ids; engines of one (track, language) share their resamples. The index stream is drawn in segments (`stream`), so that no
+task holds a cell and none draws for all resamples: utterances are numbered by sorted ranges, dealt into blocks of
+`BLOCK`, and each block meets each segment of its stream in a task of its own, which adds up what the segment's
+indexes choose from the block. Sums by resample are combined by grouping. They equal those of one draw bit for bit, as
+sums of whole numbers do not depend on their order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textgauge.operators import stream
+from textgauge.plans.session import materialized
+
 RESAMPLES = 10_000
 #: The published seed and interval. Fixed values.
 SEED = 20_260_704
 INTERVAL = (2.5, 97.5)
-METHODS = ("index", "poisson")
-#: Numbers drawn at once; bounds memory.
+#: Utterances of a block, for each member of a frame (two numbers each): 8 MB.
+BLOCK = 1 << 19
+#: Segments up to which their table is broadcast (some 50 bytes each).
+MAX_SENT = 1_000_000
+#: Numbers drawn at once by the functions over lists; bounds memory.
 _AT_ONCE = 8_000_000
 
 
@@ -41,11 +49,14 @@ def _index_sums(columns: list[np.ndarray], n: int, seed: int) -> list[np.ndarray
     return out
 
 
+def _bounds(stat: np.ndarray) -> tuple[float, float]:
+    lo, hi = np.percentile(stat, INTERVAL)
+    return float(lo), float(hi)
+
+
 def bootstrap_ci(errors, lengths, n: int = RESAMPLES, seed: int = SEED) -> tuple[float, float]:
     """Percentile interval of the corpus rate."""
-    e, r = _index_sums([np.asarray(errors, np.float64), np.asarray(lengths, np.float64)], n, seed)
-    lo, hi = np.percentile(_rates(e, r), INTERVAL)
-    return float(lo), float(hi)
+    return _bounds(_rates(*_index_sums([np.asarray(errors, np.float64), np.asarray(lengths, np.float64)], n, seed)))
 
 
 def paired_diff_ci(errors_a, lengths_a, errors_b, lengths_b, n: int = RESAMPLES, seed: int = SEED) -> tuple[float, float]:
@@ -53,8 +64,7 @@ def paired_diff_ci(errors_a, lengths_a, errors_b, lengths_b, n: int = RESAMPLES,
     if len(errors_a) != len(errors_b):
         raise ValueError("paired lists differ in length")
     ea, ra, eb, rb = _index_sums([np.asarray(x, np.float64) for x in (errors_a, lengths_a, errors_b, lengths_b)], n, seed)
-    lo, hi = np.percentile(_rates(ea, ra) - _rates(eb, rb), INTERVAL)
-    return float(lo), float(hi)
+    return _bounds(_rates(ea, ra) - _rates(eb, rb))
 
 
 def fold_tiers(order: list[str], tied) -> list[list[str]]:
@@ -82,105 +92,206 @@ def tie_groups(engines: dict[str, tuple[list, list]], n: int = RESAMPLES, seed:
     return fold_tiers(sorted(sorted(engines), key=rate), tied)
 
 
-def _kinds(rows: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (rows.schema[k] for k in keys))
-
-
-def _bounds(stat: np.ndarray) -> tuple[float, float]:
-    lo, hi = np.percentile(stat, INTERVAL)
-    return float(lo), float(hi)
-
-
-def cell_intervals(rows: DataFrame, keys: list[str], errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED, method: str = "index") -> DataFrame:
-    """keys, lo, hi and method for every cell of per-utterance rows."""
-    if method not in METHODS:
-        raise ValueError(method)
-    rows = rows.select(*keys, order, F.col(errors).alias("__e"), F.col(lengths).alias("__r"))
-    schema = f"{_kinds(rows, keys)}, lo double, hi double"
-
-    def by_index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        return pd.DataFrame([[*key, *_bounds(_rates(*_index_sums([pdf[c].to_numpy(np.float64) for c in ("__e", "__r")], n, seed)))]], columns=[*keys, "lo", "hi"])
+# --- frames: sets of utterances that are resampled alike; the members of a frame have the same ones
 
-    if method == "index":
-        return rows.groupBy(*keys).applyInPandas(by_index, schema).withColumn("method", F.lit(method))
 
-    def weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}  # one pair of vectors a cell that the partition holds rows of
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                key = tuple(row[: len(keys)])
-                drawn = np.random.Generator(np.random.Philox(key=[seed, row.h & (1 << 64) - 1])).poisson(1.0, n)
-                total = sums.setdefault(key, np.zeros((2, n)))
-                total[0] += drawn * row.e
-                total[1] += drawn * row.r
-        for key, (e, r) in sums.items():
-            yield pd.DataFrame([[*key, e.tobytes(), r.tobytes()]], columns=[*keys, "e", "r"])
+def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """`rows` (frame, member, o, k, e, r) with pos, counted from 0 in the order of o and k, and size, the number of the member's rows; and the greatest size.
 
-    def combined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        e, r = (sum(np.frombuffer(x, np.float64) for x in pdf[c]) for c in ("e", "r"))
-        return pd.DataFrame([[*key, *_bounds(_rates(e, r))]], columns=[*keys, "lo", "hi"])
-
-    # rows of a repeated utterance id draw alike
-    drawn = rows.select(*keys, F.xxhash64(F.col(order).cast("string")).alias("h"), F.col("__e").alias("e"), F.col("__r").alias("r"))
-    drawn = drawn.mapInPandas(weighted, f"{_kinds(rows, keys)}, e binary, r binary")
-    return drawn.groupBy(*keys).applyInPandas(combined, schema).withColumn("method", F.lit(method))
-
-
-def _resampled(pdf: pd.DataFrame, order: str, n: int, seed: int) -> tuple[list[str], dict[str, float], Callable[[str, str], tuple[float, float]]]:
-    """The engines of one group in rank order, their rates, and the interval of the difference of two of them.
-
-    Where all engines have the same utterances the resamples are drawn once and each engine's rates
-    kept; else each two are resampled over what they have in common.
+    The whole table is sorted in ranges; a row's place in its range comes with it, and the counts of the ranges
+    before are added. Neither the sort nor the count brings a frame into one task.
     """
-    parts = {name: part.sort_values([order, "__e", "__r"], kind="mergesort") for name, part in pdf.groupby("__engine", sort=True)}
-    sums = {name: (part["__e"].sum(), part["__r"].sum()) for name, part in pdf.groupby("__engine", sort=True)}
-    rate = {name: float(e / r) if r else float(e > 0) for name, (e, r) in sums.items()}
-    ranked = sorted(parts, key=lambda name: (rate[name], name))
-    first = parts[ranked[0]][order].to_numpy()
-    if all(len(p) == len(first) and (p[order].to_numpy() == first).all() for p in parts.values()):
-        columns = [parts[name][c].to_numpy(np.float64) for name in ranked for c in ("__e", "__r")]
-        drawn = _index_sums(columns, n, seed)
-        vectors = {name: _rates(drawn[2 * i], drawn[2 * i + 1]) for i, name in enumerate(ranked)}
-        return ranked, rate, lambda worse, better: _bounds(vectors[worse] - vectors[better])
-
-    def common(worse: str, better: str) -> tuple[float, float]:
-        # a repeated utterance meets as many of its repeats as the other engine has
-        one, two = (p.assign(__k=p.groupby(order).cumcount()) for p in (parts[worse], parts[better]))
-        both = one.merge(two, on=[order, "__k"], suffixes=("a", "b")).sort_values([order, "__k"], kind="mergesort")
-        if not len(both):
-            return float("nan"), float("nan")
-        return paired_diff_ci(both["__ea"], both["__ra"], both["__eb"], both["__rb"], n, seed)
-
-    return ranked, rate, common
+    order = ["frame", "member", F.asc_nulls_last("o"), "k"]
+    laid = materialized(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)))
+    whole = Window.partitionBy("frame", "member")
+    ranges = laid.groupBy("frame", "member", "range").agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = materialized(ranges.select("frame", "member", "range", (before - F.col("first")).alias("shift"), F.sum("c").over(whole).alias("size")))
+    most = ranges.agg(F.max("size")).first()[0] or 0
+    return laid.join(ranges, ["frame", "member", "range"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "shift", "range"), most
+
+
+def _segment_table(sizes: DataFrame, n: int, seed: int, numbers) -> DataFrame:
+    """(size, segment, segments, start): the segments of each size's stream, and the number of indexes before each."""
+
+    @F.arrow_udf("long")
+    def how_many(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([stream.segments(n * s, s, numbers(s)) for s in column.to_pylist()], pa.int64())
+
+    @F.arrow_udf("long")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for size, segment in batches:
+            yield pa.array([stream.count_kept(seed, s, k, numbers(s)) for s, k in zip(size.to_pylist(), segment.to_pylist(), strict=True)], pa.int64())
+
+    several = materialized(sizes.withColumn("segments", how_many("size")).withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1))))
+    # only what follows another segment must know how much that one gives
+    counted = several.where("segment < segments - 1").repartition("size", "segment").withColumn("kept", kept("size", "segment"))
+    table = counted.union(several.where("segment = segments - 1").withColumn("kept", F.lit(0).cast("long")))
+    before = F.sum("kept").over(Window.partitionBy("size").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    return table.select("size", "segment", "segments", F.coalesce(before, F.lit(0)).alias("start"))
+
+
+def resampled_sums(rows: DataFrame, n: int = RESAMPLES, seed: int = SEED, block: int = BLOCK, numbers=stream.segment_numbers) -> DataFrame:
+    """(frame, member, begin, e, r): sums over the resamples from `begin` on, for rows of frame, member, o (order), k (order of repeats), e (errors) and r (lengths).
+
+    All members of a frame must have as many rows. What a task holds is bounded by `block` rows for each member.
+    `numbers` tells how many numbers of the generator a segment has for a frame of a size. Rows of one frame and member that
+    tell of the same resample add up; there are some for each segment, and where sums over blocks were added already, one.
+    """
+    numbered, most = _numbered(rows)
+    dealt = numbered.select("frame", "member", "size", "pos", F.expr(f"pos div {block}").alias("block"), "e", "r")
+    if most and stream.segments(n * most, most, numbers(most)) == 1:  # then smaller frames have one segment, too
+        met = dealt.selectExpr("*", "0L AS segment", "1L AS segments", "0L AS start")
+    else:
+        units = materialized(_segment_table(numbered.select("size").distinct(), n, seed, numbers))
+        met = dealt.join(F.broadcast(units) if units.count() <= MAX_SENT else units, "size")
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size, segment, segments, start = (int(pdf[c].iloc[0]) for c in ("size", "segment", "segments", "start"))
+        low, wide = int(pdf["pos"].min()), int(pdf["pos"].max()) - int(pdf["pos"].min()) + 1
+        members = [(name, *(part.sort_values("pos")[c].to_numpy(np.float64) for c in ("e", "r"))) for name, part in pdf.groupby("member", sort=True)]
+        begin = start // size
+        sums = np.zeros((len(members), 2, n - begin))
+        for idx in stream.draw(seed, size, segment, numbers(size), segment == segments - 1, n * size - start):
+            if len(idx):
+                no = np.arange(start, start + len(idx)) // size - begin
+                first = np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))
+                inside = None
+                if wide < size:
+                    idx = idx - low
+                    inside = (idx >= 0) & (idx < wide)
+                    idx = np.where(inside, idx, 0)
+                for i, (_, *columns) in enumerate(members):
+                    for j, column in enumerate(columns):
+                        chosen = column[idx] if inside is None else column[idx] * inside
+                        sums[i, j, no[first]] += np.add.reduceat(chosen, first)
+                start += len(idx)
+        end = -(-start // size) - begin
+        return pd.DataFrame([[key[0], name, begin, sums[i, 0, :end], sums[i, 1, :end]] for i, (name, *_) in enumerate(members) if end > 0], columns=["frame", "member", "begin", "e", "r"])
+
+    # rows are few and drawing is long: partitions by number, which are not merged for want of bytes
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    drawn = met.repartition(tasks, "frame", "block", "segment").groupBy("frame", "block", "segment").applyInPandas(draw, "frame string, member string, begin long, e array<double>, r array<double>")
+    if most <= block:
+        return drawn
+    # as many rows as there are blocks tell of a resample: they are added before anything is gathered
+    each = drawn.select("frame", "member", "begin", F.explode(F.arrays_zip("e", "r", F.sequence(F.lit(0), F.size("e") - 1).alias("i"))).alias("x"))
+    each = each.groupBy("frame", "member", (F.col("begin") + F.col("x.i")).alias("begin")).agg(F.sum("x.e").alias("e"), F.sum("x.r").alias("r"))
+    return each.select("frame", "member", "begin", F.array("e").alias("e"), F.array("r").alias("r"))
+
+
+def _vectors(sums: DataFrame, n: int) -> DataFrame:
+    """(frame, member, rates): one list of n resampled rates, in the order of the resamples."""
+
+    @F.arrow_udf("array<double>")
+    def rates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = []
+            for parts in column:
+                total = np.zeros((2, n))
+                for begin, *columns in zip(*(parts.values.field(k) for k in ("begin", "e", "r")), strict=True):
+                    for row, x in zip(total, columns, strict=True):
+                        row[begin.as_py() : begin.as_py() + len(x)] += x.values.to_numpy(zero_copy_only=False)
+                out.append(_rates(*total))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * n, pa.int32()), pa.array(np.concatenate([np.array([]), *out])))
+
+    return sums.groupBy("frame", "member").agg(F.collect_list(F.struct("begin", "e", "r")).alias("x")).select("frame", "member", rates("x").alias("rates"))
+
+
+def _intervals(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The bounds of each list of rates."""
+    kind = pa.struct([("lo", pa.float64()), ("hi", pa.float64())])
+    for column in batches:
+        yield pa.array([dict(zip(("lo", "hi"), _bounds(x.values.to_numpy()))) for x in column], kind)
+
+
+def _interval(rates: str) -> Column:
+    return F.arrow_udf(_intervals, "struct<lo:double,hi:double>")(rates)
+
+
+def _frame(keys: list[str]) -> Column:
+    """One text for the values of `keys`, nulls told apart."""
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+
+
+def cell_intervals(rows: DataFrame, keys: list[str], errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """keys, lo and hi for every cell of per-utterance rows. Rows of one utterance id are taken by their errors and lengths. No rows, no cells."""
+    each = rows.select(*keys, _frame(keys).alias("frame"), F.lit("").alias("member"), F.col(order).alias("o"), F.struct(F.col(errors).cast("double"), F.col(lengths).cast("double")).alias("k"), F.col(errors).alias("e"), F.col(lengths).alias("r"))
+    each = materialized(each)  # it is read three times, and what made it may be long
+    cells = each.select(*keys, "frame").distinct()
+    made = _vectors(resampled_sums(each.drop(*keys), n, seed), n).select("frame", _interval("rates").alias("i"))
+    return cells.join(made, "frame").select(*keys, "i.lo", "i.hi")
+
+
+def _standing(rows: DataFrame) -> DataFrame:
+    """(group, engine, rate, n, h): the rate of each engine over all its rows, and a digest of its utterances that does not depend on their order."""
+    e, r = F.sum("e"), F.sum("r")
+    rate = F.when(r != 0, e / F.when(r != 0, r)).otherwise(F.when(e > 0, 1.0).otherwise(0.0))
+    one, other = F.xxhash64("o"), F.conv(F.substring(F.md5(F.coalesce(F.col("o").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10)
+    digest = F.struct(F.count("*"), *(F.sum(h.cast("decimal(38,0)")) for h in (one, other)))
+    return rows.groupBy("group", "engine").agg(rate.cast("double").alias("rate"), digest.alias("h"))
+
+
+def _compared(rows: DataFrame, by: list[str], engine: str, errors: str, lengths: str, order: str, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(group, engine, rate, h) of every engine, and (group, worse, better, lo, hi) of every two engines that have utterances in common."""
+    each = rows.select(_frame(by).alias("group"), F.col(engine).alias("engine"), F.col(order).alias("o"), F.col(errors).alias("e"), F.col(lengths).alias("r"))
+    each = materialized(each.withColumn("k", F.row_number().over(Window.partitionBy("group", "engine", "o").orderBy("e", "r"))))
+    standing = materialized(_standing(each))
+    even = standing.groupBy("group").agg((F.count_distinct("h") == 1).alias("even"))
+    shared = each.join(even.where("even"), "group").select(F.to_json(F.struct("group")).alias("frame"), F.col("engine").alias("member"), "o", "k", "e", "r")
+    places = standing.select(F.to_json(F.struct("group")).alias("frame"), F.col("engine").alias("member"), "rate", "group")
+    if not even.where("not even").isEmpty():
+        one, two = (standing.select("group", F.col("engine").alias(name), F.col("rate").alias(f"{name}_rate")) for name in ("worse", "better"))
+        apart = one.join(two, "group").where("struct(worse_rate, worse) > struct(better_rate, better)").join(even.where("not even"), "group").select("group", "worse", "better")
+        a = each.select("group", F.col("engine").alias("worse"), "o", "k", F.struct(F.col("engine").alias("member"), "e", "r").alias("one"))
+        b = each.select(F.col("group").alias("g"), F.col("engine").alias("better2"), F.col("o").alias("o2"), F.col("k").alias("k2"), F.struct(F.col("engine").alias("member"), "e", "r").alias("two"))
+        both = apart.join(a, ["group", "worse"]).join(b, (F.col("group") == F.col("g")) & (F.col("better") == F.col("better2")) & F.col("o").eqNullSafe(F.col("o2")) & (F.col("k") == F.col("k2")))
+        frame = F.to_json(F.struct("group", "worse", "better")).alias("frame")
+        shared = shared.union(both.select(frame, F.explode(F.array("one", "two")).alias("v"), "o", "k").select("frame", "v.member", "o", "k", "v.e", "v.r"))
+        sides = apart.select(frame, "group", F.explode(F.array("worse", "better")).alias("member")).join(standing.select("group", F.col("engine").alias("member"), "rate"), ["group", "member"])
+        places = places.union(sides.select("frame", "member", "rate", "group"))
 
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rate", "member"])
+        found = [(group, x, r) for group, x, r in zip(pdf["group"], pdf["member"], pdf["rates"], strict=True)]
+        out = [[group, worse, better, *_bounds(x - y)] for i, (group, worse, x) in enumerate(found) for _, better, y in found[:i]]
+        return pd.DataFrame(out, columns=["group", "worse", "better", "lo", "hi"])
 
-def _grouped(rows: DataFrame, by: list[str], engine: str, errors: str, lengths: str, order: str):
-    return rows.select(*by, F.col(engine).alias("__engine"), order, F.col(errors).alias("__e"), F.col(lengths).alias("__r")).groupBy(*by)
+    # a task holds the vectors of a frame's engines, n numbers each, and no utterances
+    vectors = _vectors(resampled_sums(shared, n, seed), n).join(places, ["frame", "member"])
+    return standing, vectors.groupBy("frame").applyInPandas(compare, "group string, worse string, better string, lo double, hi double")
 
 
 def paired_intervals(rows: DataFrame, by: list[str], engine: str = "engine", errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """by, worse, better, lo, hi: the interval of the rate difference of every two engines over their common utterances; null where they have none."""
+    """by, worse, better, lo, hi: the interval of the rate difference of every two engines; null where they have no utterance in common.
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked, _, interval = _resampled(pdf, order, n, seed)
-        out = [[*key, worse, better, *interval(worse, better)] for i, worse in enumerate(ranked) for better in ranked[:i]]
-        return pd.DataFrame(out, columns=[*by, "worse", "better", "lo", "hi"])
-
-    made = _grouped(rows, by, engine, errors, lengths, order).applyInPandas(compare, f"{_kinds(rows, by)}, worse string, better string, lo double, hi double")
-    return made.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("lo", "hi")})
+    Engines of a group that all have the same utterances share their resamples. Elsewhere each two are resampled over
+    what they have in common; a repeated utterance meets as many of its repeats as the other engine has. Engines are
+    ranked by their rate over all their own rows, then by name.
+    """
+    standing, found = _compared(rows, by, engine, errors, lengths, order, n, seed)
+    one, two = (standing.select("group", F.col("engine").alias(name), F.col("rate").alias(f"{name}_rate")) for name in ("worse", "better"))
+    pairs = one.join(two, "group").where("struct(worse_rate, worse) > struct(better_rate, better)").select("group", "worse", "better")
+    groups = rows.select(*by).distinct().withColumn("group", _frame(by))
+    return groups.join(pairs.join(found, ["group", "worse", "better"], "left"), "group").select(*by, "worse", "better", "lo", "hi")
 
 
 def tie_group_table(rows: DataFrame, by: list[str], engine: str = "engine", errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """by, tie_groups: arrays of engines, each compared with the leader of the tier at hand only."""
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked, _, interval = _resampled(pdf, order, n, seed)
-
-        def tied(leader: str, name: str) -> bool:
-            lo, hi = interval(name, leader)
-            return lo <= 0 <= hi
-
-        return pd.DataFrame([[*key, fold_tiers(ranked, tied)]], columns=[*by, "tie_groups"])
-
-    return _grouped(rows, by, engine, errors, lengths, order).applyInPandas(fold, f"{_kinds(rows, by)}, tie_groups array<array<string>>")
+    """by, tie_groups: arrays of engines, each compared with the leader of the tier at hand only. A task holds the intervals of one group's pairs."""
+    standing, found = _compared(rows, by, engine, errors, lengths, order, n, seed)
+    ranked = standing.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("rate", "engine"))).alias("x")).select("group", F.col("x.engine").alias("ranked"))
+    held = found.where("lo <= 0 and hi >= 0").groupBy("group").agg(F.collect_list(F.array("better", "worse")).alias("tied"))
+
+    @F.arrow_udf("array<array<string>>")
+    def fold(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, ties in batches:
+            out = []
+            for order_, held_ in zip(names.to_pylist(), ties.to_pylist(), strict=True):
+                known = {tuple(p) for p in held_ or ()}
+                out.append(fold_tiers(order_, lambda leader, name, known=known: (leader, name) in known))
+            yield pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    groups = rows.select(*by).distinct().withColumn("group", _frame(by))
+    return groups.join(ranked.join(held, "group", "left").select("group", fold("ranked", "tied").alias("tie_groups")), "group").select(*by, "tie_groups")
