@@ -1,5 +1,7 @@
 import io
 import json
+import tarfile
+import uuid
 import wave
 
 import numpy as np
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textgauge.operators import audio, checks
 from textgauge.plans import score
-from textgauge.sources import raw, sinks
+from textgauge.sources import files, raw, records, sinks
 from textgauge.streaming import incremental
 
 
@@ -41,6 +43,162 @@ def test_records(spark, root):
     assert first.file_utt_id == "de_0000" and first.engine == "vendor"
 
 
+def test_archives_beside_files_and_what_is_no_record(spark, tmp_path):
+    at = tmp_path / "one" / "a" / "de"
+    at.mkdir(parents=True)
+    (at / "de_0.json").write_text(json.dumps(record("x y")))
+    (at / "broken.json").write_text("{no json")
+    (at / "list.json").write_text("[1]")
+    (at / "_half.json").write_text("{}")
+    (tmp_path / "one" / "a" / "empty").mkdir()
+    with tarfile.open(at / "more.tar", "w") as archive:
+        for i in range(5):
+            raw_bytes = json.dumps(record(None if i == 4 else f"text {i}", retries=i, duration_sec=3, error={"k": ["é"]}), ensure_ascii=False).encode()
+            entry = tarfile.TarInfo(f"de_{i + 1}.json")
+            entry.size = len(raw_bytes)
+            archive.addfile(entry, io.BytesIO(raw_bytes))
+    rows = {r.file_utt_id: r for r in raw.read_records(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"broken", "list", *(f"de_{i}" for i in range(6))}
+    assert rows["de_3"].retries == 2 and rows["de_3"].duration_sec == 3.0 and rows["de_3"].error == '{"k":["é"]}' and rows["de_5"].text is None and rows["broken"].utt_id is None is rows["list"].text
+    assert raw.read_records(spark, str(tmp_path), lang="fr").count() == 0 == raw.read_records(spark, str(tmp_path / "nothing")).count()
+
+
+def test_filters_choose_folders(spark, root):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = raw.read_records(spark, root).where("engine_key = 'two' and track in ('a', 'b') and length(text) > 2")
+        plan = rows._jdf.queryExecution().toString()
+        assert "engine_key" in plan.split("PushedFilters")[-1][:200] and rows.count() == 3
+        assert {r.engine_key for r in rows.collect()} == {"two"}
+        assert raw.read_records(spark, root, engine="one").where("engine_key = 'two'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = records.FilteredReader({"path": root})
+    left = list(reader.pushFilters([records.EqualTo(("engine_key",), "two"), records.In(("lang_key",), ("de", "fr")), records.EqualTo(("text",), "x")]))
+    assert [f.attribute for f in left] == [("text",)] and all(p[0] == "two" for s in reader.partitions() for p in s.parts)
+
+
+def test_small_files_are_packed(spark, root):
+    one, many = (records.RecordReader({"path": root, "splitbytes": n}).partitions() for n in ("100000000", str(3 * (records.OPEN_COST + 1000))))
+    assert len(one) == 1 and len(many) == 4 and sorted(n for s in many for p in s.parts for n, _ in p[3]) == sorted(n for s in one for p in s.parts for n, _ in p[3])
+
+
+def test_written_records_come_back(spark, tmp_path, monkeypatch):
+    rows = [(e, "a", lang, f"{lang}_{i:04d}", f"text {i}", None if i % 3 else "é", i) for e in ("one", "two") for lang in ("de", "fr") for i in range(50)]
+    df = spark.createDataFrame(rows, "engine_key string, track string, lang_key string, file_utt_id string, text string, ref_text_raw string, retries int").repartition(4)
+    root = str(tmp_path / "out")
+    records.write_records(df, root)
+    back = lambda: sorted(tuple(r) for r in raw.read_records(spark, root).select(*df.columns).collect())
+    assert back() == sorted(rows, key=lambda r: r[:4])
+    names = [str(p) for p in (tmp_path / "out").rglob("*.tar")]
+    assert 4 <= len(names) <= 16 and not list((tmp_path / "out").rglob("_*"))
+    records.write_records(df.where("engine_key = 'one'"), root)  # replaces all
+    assert back() == sorted((r for r in rows if r[0] == "one"), key=lambda r: r[:4])
+    records.write_records(df.where("engine_key = 'two'"), root, "append")
+    assert back() == sorted(rows, key=lambda r: r[:4])
+    # a write that fails leaves neither data nor halves of it
+    bad = df.withColumn("file_utt_id", F.when(F.col("retries") == 30, "a/b").otherwise(F.col("file_utt_id")))
+    with pytest.raises(Exception, match="no name for a record"):
+        records.write_records(bad, root, "append")
+    assert back() == sorted(rows, key=lambda r: r[:4]) and not list((tmp_path / "out").rglob("_*"))
+
+
+def test_archives_are_cut(tmp_path):
+    import pyarrow as pa
+
+    writer = records.RecordWriter({"path": str(tmp_path), "archivebytes": "4000"}, False)
+    batch = pa.RecordBatch.from_pydict({"engine_key": ["e"] * 30, "track": ["a"] * 30, "lang_key": ["de"] * 30, "file_utt_id": [f"u{i}" for i in range(30)], "json": ['{"text":"x"}'] * 30})
+    message = writer.write(iter([batch]))
+    assert len(message.files) >= 3 and not list(tmp_path.rglob("records*"))
+    writer.abort([message, None])
+    assert not list(tmp_path.rglob("*.tar"))
+
+
+def test_stream_takes_each_file_once(spark, tmp_path):
+    root = tmp_path / "in"
+
+    def add(i):
+        at = root / "one" / "a" / "de"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"de_{i}.json").write_text(json.dumps(record(f"t{i}")))
+
+    def run():
+        query = incremental.read_stream(spark, str(root), settle=0).select("file_utt_id", "text").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r.file_utt_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    add(1)
+    add(2)
+    assert run() == ["de_1", "de_2"]
+    add(3)
+    assert run() == ["de_1", "de_2", "de_3"] == run()
+
+
+@pytest.fixture
+def elsewhere(spark, tmp_path):
+    """A scheme that is not that of local files, over a folder."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    (tmp_path / "store").mkdir()
+    name = f"x{uuid.uuid4().hex}"  # file systems are kept by name
+    conf.set(f"fs.viewfs.mounttable.{name}.link./data", f"file:{tmp_path}/store")
+    yield f"viewfs://{name}/data", tmp_path / "store"
+
+
+def test_writes_on_another_file_system(spark, elsewhere):
+    root, folder = elsewhere
+    sinks.write_document({"tracks": {"é": 1}}, f"{root}/deep/down/scores.json")
+    assert (folder / "deep/down/scores.json").read_text() == '{\n  "tracks": {\n    "é": 1\n  }\n}\n'
+    sinks.write_document({"tracks": {}}, f"{root}/deep/down/scores.json")  # replaced in one step
+    assert files.read_json(spark, f"{root}/deep/down/scores.json") == {"tracks": {}}
+    size = sinks.copy_file(f"{root}/deep/down/scores.json", f"{root}/other/copy.json")
+    one, two = files.digests(spark, f"{root}/deep/down/scores.json", f"{root}/other/copy.json").collect()
+    assert size == one.length == two.length == len((folder / "other/copy.json").read_bytes()) and one.sha256 == two.sha256
+    sinks.write_parquet(spark.range(100), f"{root}/table", "id")
+    assert spark.read.parquet(f"{root}/table").count() == 100 and files.exists(spark, f"{root}/table/_ranges.json")
+    assert files.delete(spark, f"{root}/deep") and not files.exists(spark, f"{root}/deep/down/scores.json")
+
+
+def test_a_write_that_fails_leaves_nothing(spark, elsewhere, monkeypatch):
+    root, folder = elsewhere
+    sinks.write_document({"a": 1}, f"{root}/scores.json")
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(files, "_put", fail)
+    with pytest.raises(RuntimeError):
+        sinks.write_document({"a": 2}, f"{root}/scores.json")
+    with pytest.raises(RuntimeError):
+        sinks.copy_file(f"{root}/scores.json", f"{root}/copy.json")
+    assert sorted(p.name for p in folder.iterdir() if p.suffix != ".crc") == ["scores.json"] and json.loads((folder / "scores.json").read_text()) == {"a": 1}
+
+
+def test_parquet_in_ranges(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(600_000).select((F.col("id") * 7919 % 600_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_parquet(df, path, "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(p.name for p in (tmp_path / "t").glob("*.parquet"))
+    assert len(names) == 4
+    rows = [r.k for name in names for r in spark.read.parquet(f"{path}/{name}").select("k", F.monotonically_increasing_id().alias("m")).orderBy("m").collect()]
+    assert rows == list(range(600_000))
+    ranges = json.loads((tmp_path / "t" / "_ranges.json").read_text())
+    assert [r["file"] for r in ranges] == names and sum(r["rows"] for r in ranges) == 600_000
+    assert all(a["last"]["k"] < b["first"]["k"] for a, b in zip(ranges, ranges[1:]))
+    # pages as the file's own index of them tells: whole ones hold 1 MiB, not 20,000 rows
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.parquet.hadoop
+    reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f"{path}/{names[0]}"), conf))
+    column = reader.getFooter().getBlocks().get(0).getColumns().get(1)
+    index = reader.readOffsetIndex(column)
+    firsts = [index.getFirstRowIndex(i) for i in range(index.getPageCount())]
+    reader.close()
+    assert len(firsts) > 2 and str(column.getCodec()) == "ZSTD" and all(0.9 * 2**20 < (b - a) * 68 < 1.1 * 2**20 for a, b in zip(firsts, firsts[1:]))
+
+
 def test_transcriptions(spark, root):
     table = raw.transcriptions(raw.read_records(spark, root))
     row = table.where("engine = 'one'").first()
@@ -91,7 +249,7 @@ def test_pairing(spark):
         checks.require_same_keys(df.where("engine = 'one'"), df.where("engine = 'two'"), ["utt_id"])
 
 
-def test_strings(tmp_path):
+def test_strings(spark, tmp_path):
     (tmp_path / "en.json").write_text('{"title": "{repo}: {k} engines"}')
     en = raw.read_strings(str(tmp_path), "en")
     assert raw.read_strings(str(tmp_path), "xx") == {}
@@ -112,7 +270,7 @@ def test_audio(spark, tmp_path):
 
 
 def test_stream(spark, root):
-    query = incremental.running_rates(incremental.read_stream(spark, root)).writeStream.format("memory").queryName("rates").outputMode("complete").start()
+    query = incremental.running_rates(incremental.read_stream(spark, root, settle=0)).writeStream.format("memory").queryName("rates").outputMode("complete").start()
     try:
         query.processAllAvailable()
     finally:
@@ -127,7 +285,7 @@ def test_stream_of_records_without_a_readable_timestamp(spark, tmp_path):
     (folder / "u1.json").write_text(json.dumps(record("abc", ref="abd", timestamp_utc=None)))
     (folder / "u2.json").write_text(json.dumps(record("abc", ref="abd", timestamp_utc="soon")))
     (folder / "u3.txt").write_text("no record")
-    query = incremental.running_rates(incremental.read_stream(spark, str(tmp_path)), literal=True).writeStream.format("memory").queryName("late").outputMode("complete").start()
+    query = incremental.running_rates(incremental.read_stream(spark, str(tmp_path), settle=0), literal=True).writeStream.format("memory").queryName("late").outputMode("complete").start()
     try:
         query.processAllAvailable()
     finally:
@@ -157,7 +315,7 @@ def test_wav_kinds(spark):
     assert audio.check_wavs(again).first().asDict() == {"n_files": 6, "n_bad": 1}
 
 
-def test_pages(tmp_path):
+def test_pages(spark, tmp_path):
     rates = {"corpus_rate": 0.125, "ci95": [0.1, 0.15], "utterance_mean": 0.2}
     engine = {"n_utterances": 3, "empty_transcripts": 1, "cer": rates, "wer": None, "rtf_p50": 0.5, "rtf_p90": 1.0, "model_ids": ["m<1>"], "run_dates": ["2026-07-05"], "price_per_audio_hour_usd": 0.36}
     document = {"tracks": {"a": {"th": {"headline_metric": "cer", "tie_groups": [["b"], ["a"]], "engines": {"a": engine, "b": engine}}, "ja": {"headline_metric": "cer", "tie_groups": [["b"]], "engines": {"b": engine | {"rtf_p50": None, "price_per_audio_hour_usd": None}}}}}}

@@ -17,7 +17,7 @@ from textgauge.functions import native
 from textgauge.functions.normalize import normalized, tokenized
 from textgauge.operators import aggregates as A
 from textgauge.operators import audio, checks, stats
-from textgauge.operators.align import char_errors, edit_split, word_errors
+from textgauge.operators.align import by_cost, char_errors, edit_split, word_errors
 from textgauge.plans import score
 from textgauge.plans.session import materialized, spread
 from textgauge.plans.goldens import ALIGNMENTS, GOLDENS, RULES
@@ -222,10 +222,8 @@ _WORD_SPLIT_SQL = word_split_sql(f"SELECT conv_id, turn, {_WORDS.format('ref')}
 def pairs(spark, sf) -> DataFrame:
     """Adjacent turns, user then assistant: conv_id, turn, ref_raw, hyp_raw."""
     turns = table(spark, sf, "conversations")
-    # the shuffle of the join, with its partitions kept apart however few bytes are in them: alignment costs the square of a text
-    dealt = lambda df: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
-    ref = dealt(turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref_raw")))
-    hyp = dealt(turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp_raw")))
+    ref = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref_raw"))
+    hyp = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp_raw"))
     return ref.join(hyp, ["conv_id", "turn"])
 
 
@@ -234,7 +232,8 @@ def _clean(c):
 
 
 def clean_pairs(spark, sf) -> DataFrame:
-    rows = pairs(spark, sf).where("ref_raw is not null")
+    # an alignment costs the product of two lengths, so rows are dealt by that
+    rows = by_cost(pairs(spark, sf).where("ref_raw is not null"), F.length("ref_raw").cast("double") * F.length("hyp_raw"))
     return rows.select("conv_id", "turn", _clean(F.col("ref_raw")).alias("ref"), _clean(F.coalesce("hyp_raw", F.lit(""))).alias("hyp"))
 
 
@@ -291,7 +290,7 @@ _ENGINE_RATES_SQL = f"SELECT engine, CASE WHEN sum(ref_len) <> 0 THEN sum(errors
 def document_cells(spark, sf) -> DataFrame:
     n = F.length("text")
     errors = n - F.length(F.regexp_replace("text", "[|%&$#*!]", ""))
-    return table(spark, sf, "documents").select(F.col("source").alias("engine"), F.lit("a").alias("track"), "lang", F.col("doc_id").alias("utt_id"), errors.alias("errors"), n.alias("ref_len"))
+    return spread(table(spark, sf, "documents")).select(F.col("source").alias("engine"), F.lit("a").alias("track"), "lang", F.col("doc_id").alias("utt_id"), errors.alias("errors"), n.alias("ref_len"))
 
 
 def _cell_rates(spark, sf):

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "textgauge", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive plans, UTC and Arrow; further settings as keywords with underscores for dots."""
+    """A session with adaptive plans, UTC, Arrow and filters pushed to Python sources; further settings as keywords with underscores for dots."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true"}
     for key, value in (settings | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -36,6 +38,21 @@ def scratch(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, label: str, suffix: str = "") -> str:
+    """A new name in the folder of `scratch`, removed with all under it when the interpreter ends."""
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}{suffix}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session is already gone when the interpreter exits
+        pass
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the folder of `scratch`."""
     scratch(df.sparkSession)

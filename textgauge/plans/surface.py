@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +12,33 @@ from textgauge.operators import aggregates as A
 from textgauge.operators import audio
 from textgauge.plans import catalog
 from textgauge.plans.catalog import _RATES_SQL, _RECORDS_SQL, _TIER_SQL, query
-from textgauge.plans.session import scratch
-from textgauge.sources import raw, sinks
+from textgauge.plans.session import scratch_path
+from textgauge.sources import files, raw, sinks
+from textgauge.sources.records import write_records
 from textgauge.streaming import incremental
 
 
-def _written_records(spark: SparkSession, sf: str) -> str:
-    """Adjacent turns of two engines as record files, the second on a track of its own, in a new folder that driver and executors share."""
-    root = f"{scratch(spark)}/records-{uuid.uuid4().hex}"
+@cache
+def _record_root(application: str, sf: str) -> str:
+    """Adjacent turns of two engines as archives of records, the second on a track of its own; written once a session, gone when it ends."""
+    spark = SparkSession.active()
+    root = scratch_path(spark, "records")
     rows = catalog.records(spark, sf)
     params = F.format_string('{"model": "%s", "b": [1, 2], "a": {"z": "é", "k": null}}', "engine_key")
     rows = rows.withColumns({
         "utt_id": F.col("file_utt_id"), "lang": F.col("lang_key"), "engine": F.concat(F.lit("vendor "), "engine_key"), "track": F.when(F.col("engine_key") == "next", "a").otherwise("b"),
         "params": F.parse_json(params), "error": F.lit(None).cast("string"), "raw_response": F.parse_json(F.to_json(F.struct("text"))), "retries": F.when(F.col("engine_key") == "next", 1),
     })
-    sinks.write_records(rows, root)
+    write_records(rows, root)
     return root
 
 
+def _written_records(spark: SparkSession, sf: str) -> str:
+    return _record_root(spark.sparkContext.applicationId, sf)
+
+
 def _read(spark, sf, **how) -> DataFrame:
-    return raw.read_records(spark, _written_records(spark, sf), folders=True, **how)
+    return raw.read_records(spark, _written_records(spark, sf), **how)
 
 
 _KEYS_SQL = f"SELECT engine AS engine_key, CASE engine WHEN 'next' THEN 'a' ELSE 'b' END AS track, lang AS lang_key, utt_id AS file_utt_id, * EXCLUDE (engine, track, lang) FROM ({_RECORDS_SQL})"
@@ -86,7 +93,7 @@ def _document_cells(spark, sf) -> DataFrame:
 
 
 def _document_path(spark, sf) -> str:
-    path = f"{scratch(spark).removeprefix('file:')}/scores-{uuid.uuid4().hex}.json"
+    path = scratch_path(spark, "scores", ".json")
     sinks.write_document(sinks.score_document(_document_cells(spark, sf)), path)
     return path
 
@@ -102,25 +109,29 @@ def score_document_roundtrip(spark, sf):
 
 @query(f"SELECT lang, engine, round(rate, 9) AS rate FROM ({_RATES_SQL})")
 def parquet_roundtrip(spark, sf):
-    path = f"{scratch(spark)}/cells-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cells")
     sinks.write_parquet(catalog._cell_rates(spark, sf), path, "lang", "engine")
     return spark.read.parquet(path).select("lang", "engine", F.round("rate", 9).alias("rate"))
 
 
-@query("SELECT true AS same_size, true AS same_bytes")
+@query(f"""SELECT name, n, n AS n_read, 'T' AS same_bytes FROM (SELECT 'scores' AS name, count(*) AS n FROM (SELECT DISTINCT lang, engine FROM ({_RATES_SQL})) UNION ALL SELECT 'copy', count(*) FROM (SELECT DISTINCT lang, engine FROM ({_RATES_SQL})))""")
 def copied_document(spark, sf):
-    path = _document_path(spark, sf)
-    size = sinks.copy_file(path, path + ".copy")
-    with open(path, "rb") as one, open(path + ".copy", "rb") as two:
-        before, after = one.read(), two.read()
-    return spark.createDataFrame([(size == len(before), before == after)], "same_size boolean, same_bytes boolean")
+    """A score document and its copy: the entries read from each, and whether their digests are equal."""
+    paths = {"scores": _document_path(spark, sf)}
+    paths["copy"] = paths["scores"] + ".copy"
+    sinks.copy_file(paths["scores"], paths["copy"])
+    same = files.digests(spark, *paths.values()).groupBy("length", "sha256").count().where("count = 2").count() == 1
+    rows = None
+    for name, path in paths.items():
+        each = raw.read_scores(spark, path).groupBy().agg(F.count("*").alias("n"), F.count_distinct("lang", "engine").alias("n_read")).select(F.lit(name).alias("name"), "n", "n_read")
+        rows = each if rows is None else rows.union(each)
+    return rows.withColumn("same_bytes", F.lit("T" if same else "F"))
 
 
 @query(f"""SELECT 'a/' || lang || ' (' || CASE lang WHEN 'de' THEN 'CER' ELSE 'WER' END || '): ' || string_agg('T' || tie_group || '[' || members || ']', ' ' ORDER BY tie_group) AS line FROM
 (SELECT t.lang, t.tie_group, string_agg(t.engine || '=' || format('{{:.4f}}', round(r.rate * CASE t.lang WHEN 'de' THEN 1 ELSE 0.5 END, 6)), ',' ORDER BY t.engine) AS members FROM ({_TIER_SQL}) t JOIN ({_RATES_SQL}) r USING (engine, lang) GROUP BY ALL) GROUP BY lang""")
 def summary_lines(spark, sf):
-    with open(_document_path(spark, sf), encoding="utf-8") as f:
-        lines = sinks.summary(json.load(f))
+    lines = sinks.summary(files.read_json(spark, _document_path(spark, sf)))
     return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
@@ -153,7 +164,7 @@ def wav_check(spark, sf):
 def stream_rates(spark, sf):
     """Record files read as a stream until there are no more, over normal forms, with totals by cell."""
     root = _written_records(spark, sf)
-    out, name = f"{scratch(spark)}/stream-{uuid.uuid4().hex}", f"rates_{uuid.uuid4().hex}"
-    rates = incremental.running_rates(incremental.read_stream(spark, root, 100_000, folders=True), literal=False)
+    out, name = scratch_path(spark, "stream"), f"rates_{uuid.uuid4().hex}"
+    rates = incremental.running_rates(incremental.read_stream(spark, root, settle=0), literal=False)
     rates.writeStream.trigger(availableNow=True).format("memory").queryName(name).option("checkpointLocation", out).outputMode("complete").start().awaitTermination()
     return spark.table(name).groupBy("engine_key", "track", "lang_key").agg(F.sum("errors").alias("errors"), F.sum("ref_len").alias("ref_len"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,12 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-#: Top-level fields of a record as text; nested ones stay JSON, as their shapes differ by engine.
-RECORD = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("utt_id", "lang", "engine", "ref_text_raw", "ref_text_normalized", "text", "timestamp_utc", "params", "error", "raw_response")]
-    + [T.StructField(n, T.DoubleType()) for n in ("duration_sec", "latency_sec")]
-    + [T.StructField("retries", T.IntegerType())]
-)
+from textgauge.sources import files
+from textgauge.sources.records import register
+
 _RATES = T.StructType([T.StructField("corpus_rate", T.DoubleType()), T.StructField("ci95", T.ArrayType(T.DoubleType())), T.StructField("utterance_mean", T.DoubleType())])
 _ENGINE = T.StructType(
     [T.StructField("n_utterances", T.IntegerType()), T.StructField("empty_transcripts", T.IntegerType()), T.StructField("cer", _RATES), T.StructField("wer", _RATES), T.StructField("rtf_p50", T.DoubleType()), T.StructField("rtf_p90", T.DoubleType())]
@@ -28,26 +24,16 @@ _LANG = T.StructType([T.StructField("headline_metric", T.StringType()), T.Struct
 SCORES = T.StructType([T.StructField("tracks", T.MapType(T.StringType(), T.MapType(T.StringType(), _LANG)))])
 
 
-def read_records(spark: SparkSession, root: str, track: str = "*", engine: str = "*", lang: str = "*", folders: bool = False) -> DataFrame:
-    """Records of {root}/{engine}/{track}/{lang}/{utterance}.json, with engine_key, track and lang_key from the path.
-
-    With `folders` they are as `sinks.write_records` leaves them: a folder for each utterance, and names
-    of folders like track=a.
+def read_records(spark: SparkSession, root: str, track: str = "*", engine: str = "*", lang: str = "*") -> DataFrame:
+    """Records under {root}/{engine}/{track}/{lang}, single files and archives, with engine_key, track, lang_key and file_utt_id from their names.
 
-    A fixed track, engine or language goes into the glob, so other folders are not listed. Nested
-    objects come as JSON text. A file that is no JSON gives a row of nulls, which `checks` finds.
+    Folders of another track, engine or language than the given ones are not listed; filters on these columns do the same where the
+    session has spark.sql.python.filterPushdown.enabled. Nested objects come as JSON text. A file that is no JSON gives
+    a row of nulls, which `checks` finds.
     """
-    at = f"{root}/engine_key={engine}/track={track}/lang_key={lang}/*" if folders else f"{root}/{engine}/{track}/{lang}"
-    rows = spark.read.schema(RECORD).option("multiLine", True).option("pathGlobFilter", "*.json").json(at)
-    return rows.select("*", *path_keys(folders))
-
-
-def path_keys(folders: bool = False) -> list[Column]:
-    """engine_key, track, lang_key and file_utt_id from the path of a record's file."""
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    # decoded, as the path of a file is a URI
-    part = lambda i: F.regexp_replace(F.url_decode(F.element_at(parts, i - folders)), "^[a-z_]+=" if folders else "^$", "")
-    return [part(-4).alias("engine_key"), part(-3).alias("track"), part(-2).alias("lang_key"), F.regexp_replace(part(-1), r"\.json$", "").alias("file_utt_id")]
+    register(spark)
+    fixed = {"engine_key": engine, "track": track, "lang_key": lang, "pushed": spark.conf.get("spark.sql.python.filterPushdown.enabled")}
+    return spark.read.format("records").options(**fixed).load(root).drop("file_time")
 
 
 def engines(records: DataFrame) -> DataFrame:
@@ -102,11 +88,8 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def read_strings(folder: str, locale: str) -> dict[str, str]:
     """UI strings of a locale; none where the file is missing."""
-    path = os.path.join(folder, f"{locale}.json")
-    if not os.path.exists(path):
-        return {}
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    spark, path = SparkSession.active(), f"{folder}/{locale}.json"
+    return files.read_json(spark, path) if files.exists(spark, path) else {}
 
 
 def require_strings(strings: dict[str, str], locale: str = "en") -> None:

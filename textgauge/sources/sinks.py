@@ -3,23 +3,38 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgauge.functions.native import html_escape, percent_interval
+from textgauge.sources import files
 from textgauge.sources.raw import read_strings, require_strings, template
 
 #: A score document has one small entry a cell; more cells than this are no leaderboard.
 MAX_CELLS = 100_000
+PAGE_BYTES = 1 << 20
 
 
-def write_parquet(df: DataFrame, path: str, *order: str) -> None:
-    """One zstd file in a fixed order; for tables of cells, not of records (write those without this function's single file)."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
+def write_parquet(df: DataFrame, path: str, *order: str, manifest: bool = True) -> None:
+    """zstd files with pages of 1 MiB, in a fixed order of rows: by the order of file names, then within each file.
+
+    Rows are dealt over the files by ranges of the order, as many as the session has partitions for them. `_ranges.json`
+    tells for each file its rows and the first and last of the order in it. Rows that the order leaves equal are ordered by the other columns.
+    """
+    rest = [c for c in df.columns if c not in order and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    keys = [*order, *rest]
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    writer = laid.write.mode("overwrite").option("compression", "zstd").option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", 1 << 30)
+    writer.parquet(path)
+    if manifest:
+        spark = df.sparkSession
+        name = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")
+        ends = [f(F.struct(*order)).alias(to) for f, to in ((F.min, "first"), (F.max, "last"))]
+        ranges = spark.read.parquet(path).select(name, *order).groupBy("file").agg(F.count("*").alias("rows"), *ends).orderBy("file")
+        rows = [json.loads(r) for r in ranges.toJSON().collect()]  # one a file
+        files.write_text(spark, json.dumps(rows, ensure_ascii=False, indent=1) + "\n", f"{path}/_ranges.json")
 
 
 def score_document(cells: DataFrame) -> dict:
@@ -47,17 +62,13 @@ def score_document(cells: DataFrame) -> dict:
 
 
 def write_document(document: dict, path: str) -> None:
-    """UTF-8, two spaces, sorted keys, a line break at the end: the same bytes at every run."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(document, f, ensure_ascii=False, indent=2, sort_keys=True)
-        f.write("\n")
+    """UTF-8, two spaces, sorted keys, a line break at the end: the same bytes at every run. Any file system of the active session, whole or not at all."""
+    files.write_text(SparkSession.active(), json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True) + "\n", path)
 
 
 def copy_file(source: str, target: str) -> int:
     """A byte-for-byte copy; its size."""
-    shutil.copyfile(source, target)
-    return os.path.getsize(target)
+    return files.copy(SparkSession.active(), source, target)
 
 
 def summary(document: dict) -> list[str]:
@@ -106,11 +117,6 @@ def page_rows(cells: DataFrame, names: dict[str, str] | None = None) -> DataFram
     return rows.orderBy("place", "tier", F.desc("first_in_tier"), "engine")
 
 
-def write_records(records: DataFrame, root: str) -> None:
-    """One JSON file a record under {root}/engine_key=.../track=.../lang_key=.../file_utt_id=..., written by the executors."""
-    records.write.mode("overwrite").partitionBy("engine_key", "track", "lang_key", "file_utt_id").json(root)
-
-
 class Page:
     """A leaderboard page of a score document in one locale: a matrix of engines by languages, then a table a language.
 
@@ -173,11 +179,8 @@ def write_pages(document: dict, title: str, strings_dir: str, locales: list[str]
     """A page for each locale in {folder}/{locale}.html, English strings as the fallback; the paths."""
     fallback = read_strings(strings_dir, "en")
     require_strings(fallback)
-    os.makedirs(folder, exist_ok=True)
     out = []
     for locale in locales:
-        path = os.path.join(folder, f"{locale}.html")
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(leaderboard_html(document, title, strings=read_strings(strings_dir, locale), fallback=fallback, **how))
-        out.append(path)
+        out.append(f"{folder}/{locale}.html")
+        files.write_text(SparkSession.active(), leaderboard_html(document, title, strings=read_strings(strings_dir, locale), fallback=fallback, **how), out[-1])
     return out

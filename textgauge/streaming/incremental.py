@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from textgauge.functions.normalize import BY_CHARACTER, normal_forms
 from textgauge.operators import aggregates as A
 from textgauge.operators.align import char_errors
-from textgauge.sources.raw import RECORD, path_keys
+from textgauge.sources.records import register
 
 
-def read_stream(spark: SparkSession, root: str, files_a_trigger: int = 1000, folders: bool = False) -> DataFrame:
-    """New record files under {root}/{engine}/{track}/{lang}, with keys from their paths and file_time, when the file was written."""
-    reader = spark.readStream.schema(RECORD).option("multiLine", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_a_trigger)
-    # the names of folders are keys of the path, not columns that Spark should find
-    rows = reader.option("recursiveFileLookup", folders).json(f"{root}/*/*/*")
-    return rows.select("*", *path_keys(folders), F.col("_metadata.file_modification_time").alias("file_time"))
+def read_stream(spark: SparkSession, root: str, settle: float = 2) -> DataFrame:
+    """New record files and archives under {root}/{engine}/{track}/{lang}, with keys from their paths and file_time, when the file was written."""
+    register(spark)
+    return spark.readStream.format("records").option("settle", settle).load(root)
 
 
 def running_rates(records: DataFrame, watermark: str = "72 hours", literal: bool = True) -> DataFrame:
