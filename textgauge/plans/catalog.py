@@ -21,7 +21,7 @@ from textgauge.operators.align import by_cost, char_errors, edit_split, word_err
 from textgauge.plans import score
 from textgauge.plans.session import materialized, spread
 from textgauge.plans.goldens import ALIGNMENTS, GOLDENS, RULES
-from textgauge.plans.twins import english_sql, normal_sql
+from textgauge.plans.twins import draws_sql, english_sql, normal_sql
 from textgauge.sources.raw import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,6 +404,55 @@ def tie_groups(spark, sf):
     return stats.tie_group_table(checks.paired(materialized(_numbered_cells(spark, sf)), "intersect"), ["track", "lang"])
 
 
+# a few resamples, so that SQL can draw them as well
+FEW = 20
+_DIVIDED = "CASE WHEN sum({1}) <> 0 THEN sum({0})::DOUBLE / sum({1})::DOUBLE ELSE 0.0 END"
+_BOUNDS_SQL = "round(quantile_cont({0}, 0.025), 9) AS lo, round(quantile_cont({0}, 0.975), 9) AS hi"
+
+
+@query(f"""WITH RECURSIVE cells AS (SELECT engine, track, lang, errors, ref_len, row_number() OVER (PARTITION BY engine, track, lang ORDER BY utt_id) - 1 AS pos, count(*) OVER (PARTITION BY engine, track, lang) AS size FROM ({_CELLS_SQL})),
+{draws_sql(FEW, stats.SEED, "SELECT DISTINCT size FROM cells")},
+rates AS (SELECT engine, track, lang, resample, {_DIVIDED.format("errors", "ref_len")} AS rate FROM cells JOIN draws USING (size, pos) GROUP BY ALL)
+SELECT engine, track, lang, {_BOUNDS_SQL.format("rate")} FROM rates GROUP BY ALL""")
+def bootstrap_few(spark, sf):
+    """The published intervals of every cell, from the first resamples of the stream."""
+    made = stats.cell_intervals(document_cells(spark, sf), list(A.CELL), n=FEW)
+    return made.select(*A.CELL, *(F.round(c, 9).alias(c) for c in ("lo", "hi")))
+
+
+_ALL_NUMBERED_SQL = f"SELECT engine, errors, ref_len, row_number() OVER (PARTITION BY engine ORDER BY utt_id) AS utt FROM ({_CELLS_SQL})"
+_PAIRS_OF_SQL = f"""numbered AS (SELECT * FROM ({_ALL_NUMBERED_SQL}) {{0}}),
+standing AS (SELECT engine, {_DIVIDED.format("errors", "ref_len")} AS rate FROM numbered GROUP BY engine),
+met AS (SELECT x.engine AS worse, y.engine AS better, a.errors AS ea, a.ref_len AS ra, b.errors AS eb, b.ref_len AS rb, row_number() OVER (PARTITION BY x.engine, y.engine ORDER BY a.utt) - 1 AS pos, count(*) OVER (PARTITION BY x.engine, y.engine) AS size
+  FROM standing x JOIN standing y ON (x.rate, x.engine) > (y.rate, y.engine) JOIN numbered a ON a.engine = x.engine JOIN numbered b ON b.engine = y.engine AND a.utt = b.utt),
+{draws_sql(FEW, stats.SEED, "SELECT DISTINCT size FROM met")},
+gaps AS (SELECT worse, better, resample, {_DIVIDED.format("ea", "ra")} - {_DIVIDED.format("eb", "rb")} AS gap FROM met JOIN draws USING (size, pos) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS_OF_SQL.format('')} SELECT worse, better, {_BOUNDS_SQL.format('gap')} FROM gaps GROUP BY ALL")
+def paired_few(spark, sf):
+    """The published intervals of every two sources, over what they share, from the first resamples of the stream."""
+    made = stats.paired_intervals(_numbered_cells(spark, sf), ["track", "lang"], n=FEW)
+    return made.select("worse", "better", *(F.round(c, 9).alias(c) for c in ("lo", "hi")))
+
+
+_SHORTEST_SQL = f"WHERE utt <= (SELECT min(n) FROM (SELECT max(utt) AS n FROM ({_ALL_NUMBERED_SQL}) GROUP BY engine))"
+
+
+@query(f"""WITH RECURSIVE {_PAIRS_OF_SQL.format(_SHORTEST_SQL)},
+tied AS (SELECT worse, better, quantile_cont(gap, 0.025) <= 0 AND quantile_cont(gap, 0.975) >= 0 AS tied FROM gaps GROUP BY ALL),
+ranked AS (SELECT engine, row_number() OVER (ORDER BY rate, engine) AS place FROM standing),
+fold(place, engine, leader, tier) AS (SELECT place, engine, engine, 1 FROM ranked WHERE place = 1
+  UNION ALL SELECT r.place, r.engine, CASE WHEN t.tied THEN f.leader ELSE r.engine END, CASE WHEN t.tied THEN f.tier ELSE f.tier + 1 END
+  FROM fold f JOIN ranked r ON r.place = f.place + 1 JOIN tied t ON t.worse = r.engine AND t.better = f.leader)
+SELECT engine, tier::INTEGER AS tier, place::INTEGER AS place FROM fold""")
+def tie_groups_few(spark, sf):
+    """The tiers of sources over the utterances that all have, from the first resamples of the stream."""
+    groups = stats.tie_group_table(checks.paired(materialized(_numbered_cells(spark, sf)), "intersect"), ["track", "lang"], n=FEW)
+    rows = groups.select("tie_groups", F.posexplode("tie_groups").alias("tier", "members")).select(F.flatten("tie_groups").alias("all"), "tier", F.explode("members").alias("engine"))
+    return rows.select("engine", (F.col("tier") + 1).alias("tier"), F.array_position("all", F.col("engine")).cast("int").alias("place"))
+
+
 # --- extras of the specification
 
 _TERMS = ["thing", "the", "ion", "zzz"]

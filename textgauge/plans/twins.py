@@ -7,6 +7,8 @@ tables at hand do not hold, are left to the published expectations in `goldens`.
 
 from __future__ import annotations
 
+import numpy as np
+
 from textgauge.functions import english
 
 _APOSTROPHE, _POINT, _JOINED = "chr(57344)", "chr(57345)", "chr(57346)"
@@ -86,3 +88,29 @@ def western_sql(x: str, lang: str) -> str:
 
 def normal_sql(lang: str, x: str) -> str:
     return f"CASE {lang} WHEN 'en' THEN {english_sql(x)} " + " ".join(f"WHEN '{k}' THEN {western_sql(x, k)}" for k in ("de", "es", "fr")) + " END"
+
+
+def draws_sql(n: int, seed: int, sizes: str) -> str:
+    """Common table `draws` (size, resample, pos): the published index stream of n resamples for every size in `sizes` (a query of one column `size`).
+
+    The generator's 128-bit state moves in four limbs of 32 bits; its output is rotated, halved and mapped to indexes, those that
+    the generator would reject left out. A size of 1 draws nothing and always means its only row.
+    """
+    start = np.random.PCG64(seed).state["state"]
+    limbs = lambda x: [(x >> (32 * i)) & 0xFFFFFFFF for i in range(4)]
+    # the multiplier of the published generator, a fixed value
+    a, c, s = limbs(0x2360ED051FC65DA44385DF649FCCF645), limbs(start["inc"]), limbs(start["state"])
+    b = "4294967296::HUGEINT"
+    inner = "SELECT i, s0, s1, s2, s3 FROM g, need WHERE i < m"
+    for k in range(4):
+        carry = f" + r{k - 1} // {b}" if k else ""
+        inner = f"SELECT *, {' + '.join(f's{k - j} * {a[j]}::HUGEINT' for j in range(k + 1))} + {c[k]}{carry} AS r{k} FROM ({inner})"
+    return f"""
+    sizes AS ({sizes}),
+    need AS (SELECT coalesce(max(size), 0) * {n} // 2 + 64 AS m FROM sizes),
+    g(i, s0, s1, s2, s3) AS (SELECT 0::BIGINT, {', '.join(f'{x}::HUGEINT' for x in s)} UNION ALL SELECT i + 1, {', '.join(f'r{k} % {b}' for k in range(4))} FROM ({inner})),
+    mixed AS (SELECT i, xor(s3 * {b} + s2, s1 * {b} + s0) AS x, (s3 // 67108864)::INTEGER AS turn FROM g WHERE i > 0),
+    turned AS (SELECT i, x // (1::HUGEINT << turn) + (x % (1::HUGEINT << turn)) * (1::HUGEINT << (64 - turn)) AS x FROM mixed),
+    halves AS (SELECT 2 * i AS h, x % {b} AS u FROM turned UNION ALL SELECT 2 * i + 1, x // {b} FROM turned),
+    kept AS (SELECT size, row_number() OVER (PARTITION BY size ORDER BY h) - 1 AS k, (u * size // {b})::BIGINT AS pos FROM halves, sizes WHERE size > 1 AND u * size % {b} >= {b} % size),
+    draws AS (SELECT size, k // size AS resample, pos FROM kept WHERE k < {n} * size UNION ALL SELECT 1, k, 0 FROM range({n}) r(k) WHERE 1 IN (SELECT size FROM sizes))"""
