@@ -1,10 +1,12 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textgauge.functions import charnumbers, english, normalize, wordnumbers
 from textgauge.functions import text as t
-from textgauge.plans.goldens import GOLDENS
+from textgauge.plans import catalog
+from textgauge.plans.goldens import GOLDENS, RULES
 
 CASES = [(lang, *row) for lang, rows in GOLDENS.items() for row in rows]
 
@@ -143,3 +145,10 @@ def test_columns(spark):
     assert spark.sql("SELECT tg_normalize('es', 'setenta y ocho', false)").first()[0] == "78"
     assert spark.sql("SELECT tg_tokenize('es', 'Hola, dos')").first()[0] == ["hola", "2"]
     assert spark.sql("SELECT tg_edit_ops('abc', 'axc')").first()[0]["sub"] == 1
+
+
+def test_single_rules(spark):
+    rows = spark.createDataFrame([r[:2] for r in RULES], "rule string, t string")
+    for name, rule in catalog._RULES.items():
+        got = {r.t: r.made for r in rows.where(f"rule = '{name}'").select("t", rule(F.col("t")).alias("made")).collect()}
+        assert got == {t: want for n, t, want in RULES if n == name} and got

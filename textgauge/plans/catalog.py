@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textgauge.functions import native
-from textgauge.functions.normalize import normalized, tokenized
+from textgauge.functions.normalize import BY_CHARACTER, normalized, tokenized
 from textgauge.operators import aggregates as A
 from textgauge.operators import audio, checks, stats
 from textgauge.operators.align import by_cost, char_errors, edit_split, word_errors
 from textgauge.plans import score
 from textgauge.plans.session import materialized, spread
-from textgauge.plans.goldens import ALIGNMENTS, GOLDENS, RULES
+from textgauge.plans.spell import SPELLERS, spelled
 from textgauge.plans.twins import draws_sql, english_sql, normal_sql
 from textgauge.sources.raw import table
 
@@ -151,22 +151,72 @@ _RULES = {
 }
 
 
-@query(f"SELECT * FROM ({_values(RULES)}) v(rule, input, output)")
+def _rule_texts(spark, sf) -> DataFrame:
+    """o_orderkey and a text with every kind of number, mark and space that the single rules are about."""
+    k = F.col("o_orderkey")
+    three = lambda x: F.lpad((x % 1000).cast("string"), 3, "0")
+    text = F.concat(k, F.lit(", a,b 1,"), three(k), F.lit(","), three(k * 7), F.lit(" 2."), three(k * 3), F.lit("."), three(k * 11), F.lit(" 3,"), k % 10, F.lit(" 3.14 12."), k, F.lit(" "), k, F.lit("st "), k, F.lit("ths x"), k, F.lit("nd "),
+        k % 100, F.lit("a "), k % 100, F.lit("os "), F.translate(k.cast("string"), "0123456789", "๐๑๒๓๔๕๖๗๘๙"), F.lit(" Ё ёлка \u00a0— \t x-y!  "), F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", text.alias("t"))
+
+
+_RULE_TEXTS_SQL = """SELECT o_orderkey, o_orderkey || ', a,b 1,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || ',' || lpad((o_orderkey * 7 % 1000)::VARCHAR, 3, '0') || ' 2.' || lpad((o_orderkey * 3 % 1000)::VARCHAR, 3, '0') || '.'
+  || lpad((o_orderkey * 11 % 1000)::VARCHAR, 3, '0') || ' 3,' || (o_orderkey % 10) || ' 3.14 12.' || o_orderkey || ' ' || o_orderkey || 'st ' || o_orderkey || 'ths x' || o_orderkey || 'nd ' || (o_orderkey % 100) || 'a ' || (o_orderkey % 100) || 'os '
+  || translate(o_orderkey::VARCHAR, '0123456789', '๐๑๒๓๔๕๖๗๘๙') || ' Ё ёлка ' || chr(160) || '— ' || chr(9) || ' x-y!  ' || o_orderpriority AS t FROM orders"""
+# the twin's expressions know no lookaround: what two matches share is seen by a second pass
+_RULE_SQL = {
+    "comma_groups": r"regexp_replace(regexp_replace(t, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g')",
+    "point_groups": r"regexp_replace(regexp_replace(t, '(\d)\.(\d{3})([^\d]|$)', '\1\2\3', 'g'), '(\d)\.(\d{3})([^\d]|$)', '\1\2\3', 'g')",
+    "decimal_comma": r"regexp_replace(regexp_replace(t, '(\d),(\d)', '\1.\2', 'g'), '(\d),(\d)', '\1.\2', 'g')",
+    "ordinals_en": r"regexp_replace(t, '\b(\d+)(st|nd|rd|th)\b', '\1', 'g')", "ordinals_es": r"regexp_replace(t, '\b(\d+)(os|o|as|a)\b', '\1', 'g')",
+    "thai_digits": "translate(t, '๐๑๒๓๔๕๖๗๘๙', '0123456789')", "yo": "replace(t, 'ё', 'е')", "one_space": rf"trim(regexp_replace(t, '[\s' || chr(160) || ']+', ' ', 'g'))", "blank_marks": r"regexp_replace(t, '[\pP\pS]', ' ', 'g')",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey, '{name}' AS rule, {sql} AS output FROM ({_RULE_TEXTS_SQL})" for name, sql in _RULE_SQL.items()))
 def text_rules(spark, sf):
-    rows = spark.createDataFrame([r[:2] for r in RULES], "rule string, input string")
-    out = F.lit(None).cast("string")
-    for name, rule in _RULES.items():
-        out = F.when(F.col("rule") == name, rule(F.col("input"))).otherwise(out)
-    return rows.withColumn("output", out)
+    """Each single rule over a text for every order."""
+    made = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), rule(F.col("t")).alias("output")) for name, rule in _RULES.items())))
+    return _rule_texts(spark, sf).select("o_orderkey", made.alias("r")).select("o_orderkey", "r.rule", "r.output")
+
+
+#: A sentence of each language around a number, and what is left of it in the normal form where the two differ.
+_AROUND = {
+    "en": ("Page {}, here!", "page {} here"), "de": ("Seite {} hier.", "seite {} hier"), "es": ("¿Página {} aquí?", "página {} aquí"), "fr": ("La page {} ici.", "la page {} ici"), "pt": ("Página {} aqui…", "página {} aqui"),
+    "ru": ("Ещё: страница {} здесь", "еще страница {} здесь"), "vi": ("Trang {} đây.", "trang {} đây"), "id": ("Halaman {} sini.", "halaman {} sini"), "ko": ("쪽 {} 여기.", "쪽 {} 여기"),
+    "ja": ("頁 {} です。", "頁 {} です"), "zh": ("頁 {} 在。", "页 {} 在"), "th": ("หน้า {} นี้", "หน้า {} นี้"),
+}
+#: Numbers whose words are left alone, as they are words of other meanings as well.
+_LEFT_ALONE = {
+    "en": {1}, "fr": {1}, "pt": {1}, "vi": set(range(10)), "id": set(range(10)), "ko": {*range(11), 100, 1000, 1004, 10_000, 10_001, 10_002, 10_004, 50_000}, "ja": {10, 100, 110, 1000, 1010, 1100, 1110}, "zh": {10}, "th": {0},
+}
+
+
+def _order_number():
+    """Every ninth order up to 120, as smaller numbers are the irregular ones, the others up to 99,999; null where the price is."""
+    return F.when(F.col("o_orderkey") % 9 == 0, F.col("o_orderkey") % 121).otherwise(F.floor("o_totalprice") % 100_000).cast("int")
 
 
 def _normalize(lang, spark, sf):
-    rows = spark.createDataFrame([(s, a) for s, a, _ in GOLDENS[lang]], "strip_ws boolean, input string")
-    return rows.withColumn("output", normalized(F.lit(lang), F.col("input"), F.col("strip_ws")))
+    before, after = _AROUND[lang][0].split("{}")
+    text = F.concat(F.lit(before), spelled(lang, _order_number()), F.lit(after))
+    rows = spread(table(spark, sf, "orders")).select("o_orderkey", text.alias("t"))
+    return rows.select("o_orderkey", normalized(F.lit(lang), F.col("t"), F.col("o_orderkey") % 2 == 1).alias("output"))
+
 
+def _normalize_sql(lang: str) -> str:
+    """The number in digits within the normal sentence; its words where they are left alone; no spaces where they are stripped."""
+    before, after = _AROUND[lang][1].split("{}")
+    kept = "".join(f" WHEN {n} THEN {_text(normal_words)}" for n in sorted(_LEFT_ALONE.get(lang, ())) for normal_words in [SPELLERS[lang](n)])
+    number = f"CASE n{kept} ELSE n::VARCHAR END" if kept else "n::VARCHAR"
+    out = f"{_text(before)} || {number} || {_text(after)}"
+    if lang in BY_CHARACTER:
+        out = f"CASE WHEN o_orderkey % 2 = 1 THEN replace({out}, ' ', '') ELSE {out} END"
+    return f"SELECT o_orderkey, {out} AS output FROM (SELECT o_orderkey, (CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey % 121 ELSE floor(o_totalprice)::BIGINT % 100000 END)::INTEGER AS n FROM orders)"
 
-for _lang in GOLDENS:
-    query(f"SELECT * FROM ({_values(GOLDENS[_lang])}) v(strip_ws, input, output)", f"normalize_{_lang}")(partial(_normalize, _lang))
+
+for _lang in _AROUND:
+    query(_normalize_sql(_lang), f"normalize_{_lang}")(partial(_normalize, _lang))
 
 
 _NORMAL_SQL = f"SELECT doc_id, lang, CASE WHEN text IS NOT NULL THEN {normal_sql('lang', 'text')} END AS normal FROM documents"
@@ -257,11 +307,17 @@ def wer_split(spark, sf):
     return rows.select("conv_id", "turn", F.col("o.sub").alias("n_sub"), F.col("o.del").alias("n_del"), F.col("o.ins").alias("n_ins"), "o.ref_len")
 
 
-@query(f"SELECT * FROM ({_values(ALIGNMENTS)}) v(ref, hyp, n_sub, n_del, n_ins, ref_len)")
+_PARTS_SQL = "SELECT a.p_partkey, string_split(lower(a.p_name || a.p_brand), '') AS r, string_split(lower(b.p_type || b.p_name), '') AS h FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
+
+
+@query(f"SELECT p_partkey, n_sub, n_del, n_ins, len(r)::INTEGER AS ref_len FROM ({word_split_sql(_PARTS_SQL)})")
 def edit_split_cases(spark, sf):
-    rows = spark.createDataFrame([r[:2] for r in ALIGNMENTS], "ref string, hyp string")
-    made = rows.withColumn("o", edit_split(native.words(F.col("ref")), native.words(F.col("hyp"))))
-    return made.select("ref", "hyp", F.col("o.sub").alias("n_sub"), F.col("o.del").alias("n_del"), F.col("o.ins").alias("n_ins"), "o.ref_len")
+    """The split by character of short texts that have little in common: each part against the next one."""
+    parts = table(spark, sf, "part")
+    one = parts.select("p_partkey", F.lower(F.concat("p_name", "p_brand")).alias("ref"))
+    other = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.lower(F.concat("p_type", "p_name")).alias("hyp"))
+    made = one.join(other, "p_partkey").select("p_partkey", edit_split(F.col("ref"), F.col("hyp")).alias("o"))
+    return made.select("p_partkey", F.col("o.sub").alias("n_sub"), F.col("o.del").alias("n_del"), F.col("o.ins").alias("n_ins"), "o.ref_len")
 
 
 _ERRORS_SQL = f"SELECT conv_id, turn, {_char_distance_sql('ref', 'hyp')} AS errors, length(ref) AS ref_len FROM ({_CLEAN_SQL})"
