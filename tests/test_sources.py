@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textgauge.operators import audio, checks
 from textgauge.plans import score
+from textgauge.plans.session import settings
 from textgauge.sources import files, raw, records, sinks
 from textgauge.streaming import incremental
 
@@ -326,3 +327,60 @@ def test_pages(spark, tmp_path):
     en, fr = (open(p, encoding="utf-8").read() for p in sinks.write_pages(document, "t", str(tmp_path), ["en", "fr"], str(tmp_path / "out"), names={"a": "A & Co"}, own=("b",)))
     assert en.index("<h2>ja") < en.index("<h2>th") and "<th>Engine<th>ja<th>th<th>#T1" in en and "<th>Moteur<th>ja" in fr and "3 clips" in fr
     assert en.index("<tr><th>b <em>ours</em>") < en.index("<tr><th>A &amp; Co<td>n/a") and "$0.360" in en and "0.50 / 1.00" in en and "m&lt;1&gt;" in en and "12.50 (10.00–15.00)" in en
+
+
+def test_package(spark, tmp_path):
+    folder, card = str(tmp_path / "out"), str(tmp_path / "card.md")
+    rows = [(e, "de", f"u{i}", f"text {i}") for e in ("one", "two") for i in range(5)]
+    texts = spark.createDataFrame(rows, "engine string, lang string, utt_id string, hypothesis string").repartition(3)
+    cells = spark.createDataFrame([("one", "de", 5), ("two", "de", 5)], "engine string, lang string, n_utterances int")
+    with pytest.raises(checks.CheckFailed, match="no card"):
+        checks.write_package(texts, cells, folder, card)
+    (tmp_path / "card.md").write_text("# card")
+    assert checks.write_package(texts, cells, folder, card, rows=10, n_cells=2, each=5) == {"rows": 10, "cells": 2}
+    assert [tuple(r) for r in spark.read.parquet(f"{folder}/transcriptions").collect()] == sorted(rows) and (tmp_path / "out" / "card.md").read_text() == "# card"
+    null = texts.withColumn("hypothesis", F.when(F.col("utt_id") != "u3", F.col("hypothesis")))
+    other = spark.createDataFrame([("one", "de", 5), ("three", "de", 5)], cells.schema)
+    uneven = spark.createDataFrame([("one", "de", 4), ("two", "de", 6)], cells.schema)
+    for a, b, how, told in ((null, cells, {}, "null hypothesis: 2 rows, such as .*one.*u3"), (texts, other, {}, "three"), (texts, uneven, {}, "one"), (texts, uneven, {"each": 5}, "without 5"), (texts, cells, {"rows": 9}, "10 rows"), (texts, cells, {"n_cells": 3}, "2 cells")):
+        with pytest.raises(checks.CheckFailed, match=told):
+            checks.write_package(a, b, folder, card, **how)
+        assert spark.read.parquet(f"{folder}/transcriptions").where("hypothesis is null").count() == 0 and not list((tmp_path / "out").glob("_staged*"))
+
+
+def test_checks_need_one_job(spark):
+    rules = [checks.Rule("odd", F.col("id") % 2 == 1, ("id",)), checks.Rule("large", F.col("id") > 100, ("id",))]
+    rows, watch = checks.observed(spark.range(10), rules, total=F.sum("id"))
+    rows.write.format("noop").mode("overwrite").save()
+    with pytest.raises(checks.CheckFailed, match='odd: 5 rows, such as {"id":1}$'):
+        checks.settle(watch, rules)
+    assert watch.get["rows"] == 10 and watch.get["total"] == 45 and watch.get["n large"] == 0
+    a, b = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("b", 2), (None, 3)], [(None, 3), ("b", 2), ("a", 1)]))
+    assert a.agg(*checks.key_digest(["k", "v"])).collect() == b.agg(*checks.key_digest(["k", "v"])).collect() != a.limit(2).agg(*checks.key_digest(["k", "v"])).collect()
+
+
+def test_stream_of_corrections(spark, tmp_path):
+    root, at = tmp_path / "in", tmp_path / "in" / "one" / "a" / "de"
+    at.mkdir(parents=True)
+    log = []
+
+    def run():
+        def keep(batch, _):
+            log.extend(batch.collect())
+
+        with settings(spark, spark__sql__streaming__stateStore__providerClass=incremental.STATE_STORE):
+            rows = incremental.changes(incremental.read_stream(spark, str(root), settle=0))
+            rows.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+        now = incremental.current(spark.createDataFrame(log, rows.schema))
+        return {r.utt_id: (r.cer_errors, r.empty, r.timestamp_utc) for r in now.collect()}
+
+    (at / "u1.json").write_text(json.dumps(record("der dritte Mann")))
+    (at / "u2.json").write_text(json.dumps(record(None)))
+    first = run()
+    assert first["u1"][0] == 0 and first["u2"][1] and len(log) == 2
+    (at / "again.json").write_text("{}")
+    (at / "u1.json").write_text(json.dumps(record("der dritte Mann")))  # the same once more
+    (at / "u2.json").write_text(json.dumps(record("der 3 Mann", timestamp_utc="2026-07-06T10:00:00Z")))
+    second = run()
+    assert second["u2"] == (0, False, "2026-07-06T10:00:00Z") and second["u1"] == first["u1"] and second["again"][1]
+    assert sorted(r.sign for r in log) == [-1, 1, 1, 1, 1]

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from textgauge.sources import files, sinks
+
 
 class CheckFailed(AssertionError):
     """A constraint does not hold; the message names the first rows against it."""
@@ -70,3 +76,85 @@ def require_not_null(rows: DataFrame, column: str) -> None:
 
 def require_same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
     _none(same_keys(left, right, keys), "keys on one side only")
+
+
+# --- constraints that ride on a write
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A condition that no row may meet, and the columns that name a row that does."""
+
+    name: str
+    broken: Column
+    names: tuple[str, ...]
+
+
+def key_digest(keys: Iterable[str], times: Column | None = None) -> list[Column]:
+    """Two sums that tell multisets of keys apart in whatever order they come: no two different ones agree but by a chance of some 2^-60 each. `times`: how often a row counts."""
+    text = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)), {"ignoreNullFields": "false"})
+    hashes = (F.xxhash64(text), F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10))
+    return [F.sum(h.cast("decimal(38,0)") * (1 if times is None else times)) for h in hashes]
+
+
+def observed(rows: DataFrame, rules: Iterable[Rule] = (), **more: Column) -> tuple[DataFrame, Observation]:
+    """`rows`, and an observation that a single pass over them, such as their write, fills: rows, for each rule how many rows
+    break it and the first of them by its names, and further aggregates. Every pass counts, that which samples rows for ranges too."""
+    watch = Observation()
+    told = [F.count("*").alias("rows")]
+    for r in rules:
+        told += [F.count_if(r.broken).alias(f"n {r.name}"), F.min(F.when(r.broken, F.to_json(F.struct(*r.names)))).alias(f"first {r.name}")]
+    return rows.observe(watch, *told, *(c.alias(name) for name, c in more.items())), watch
+
+
+def settle(watch: Observation, rules: Iterable[Rule]) -> dict:
+    """What the pass found; CheckFailed, with counts and a row for each broken rule, if any is."""
+    found = watch.get
+    broken = [f"{r.name}: {found[f'n {r.name}']} rows, such as {found[f'first {r.name}']}" for r in rules if found[f"n {r.name}"]]
+    if broken:
+        raise CheckFailed("; ".join(broken))
+    return found
+
+
+def write_package(transcriptions: DataFrame, cells: DataFrame, folder: str, card: str, rows: int | None = None, n_cells: int | None = None, each: int | None = None) -> dict[str, int]:
+    """Writes {folder}/transcriptions and {folder}/cell_scores as ordered Parquet and copies the card, if all constraints hold; else nothing.
+
+    The constraints: a card; no null hypothesis; so many rows, cells, and utterances in each cell (where given); and the cells of both
+    tables the same, with as many utterances as they say. The write of each table also adds up what is checked, so that there is no pass for the checks: a digest of
+    (engine, lang) over the utterances against that over the cells, times their utterances. Only where these differ are the tables joined,
+    to name what one of them lacks.
+    """
+    spark = transcriptions.sparkSession
+    if not files.exists(spark, card):
+        raise CheckFailed(f"no card {card}")
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    keys, each_rule = ["engine", "lang"], [Rule(f"cells without {each} utterances", ~F.col("n_utterances").eqNullSafe(F.lit(each)), ("engine", "lang", "n_utterances"))] if each is not None else []
+    no_text = [Rule("null hypothesis", F.col("hypothesis").isNull(), ("engine", "lang", "utt_id"))]
+    digests = lambda times=None: dict(zip(("one", "two"), key_digest(keys, times), strict=True))
+    watches: dict[str, Observation] = {}
+
+    def watched(name: str, rules: list[Rule], **more: Column):
+        def through(rows: DataFrame) -> DataFrame:
+            rows, watches[name] = observed(rows, rules, **more)
+            return rows
+
+        return through
+
+    try:
+        sinks.write_parquet(transcriptions, f"{staged}/transcriptions", *keys, "utt_id", manifest=False, through=watched("texts", no_text, **digests()))
+        sinks.write_parquet(cells, f"{staged}/cell_scores", "lang", "engine", manifest=False, through=watched("cells", each_rule, **digests(F.col("n_utterances"))))
+        got, has = settle(watches["texts"], no_text), settle(watches["cells"], each_rule)
+        for what, n, wanted in (("rows", got["rows"], rows), ("cells", has["rows"], n_cells)):
+            if wanted is not None and n != wanted:
+                raise CheckFailed(f"{n} {what}, expected {wanted}")
+        if (got["one"], got["two"]) != (has["one"], has["two"]):
+            read = spark.read.parquet(f"{staged}/transcriptions")
+            sizes = read.groupBy(*keys).agg(F.count("*").alias("n_utterances"))
+            require_same_keys(sizes.select(*keys, F.col("n_utterances").cast("long")), cells.select(*keys, F.col("n_utterances").cast("long")), [*keys, "n_utterances"])
+            raise CheckFailed("cells of the two tables differ")
+        for name in ("transcriptions", "cell_scores"):
+            files.replace(spark, f"{staged}/{name}", f"{folder}/{name}")
+        files.copy(spark, card, f"{folder}/{card.rsplit('/', 1)[-1]}")
+    finally:
+        files.delete(spark, staged)
+    return {"rows": got["rows"], "cells": has["rows"]}

@@ -585,19 +585,25 @@ _RATE = "CASE WHEN sum({1}) <> 0 THEN sum({0})::DOUBLE / sum({1}) WHEN sum({0})
 _MEAN = "avg(CASE WHEN {1} <> 0 THEN {0}::DOUBLE / {1} WHEN {0} > 0 THEN 1.0 ELSE 0.0 END)"
 
 
-@query(f"""
+CELL_FIGURES_SQL = f"""
 SELECT engine, lang, 'wer' AS headline_metric, count(*)::INTEGER AS n_utterances, count(*) FILTER (empty)::INTEGER AS empty_transcripts, engine AS model_ids, '2026-07-05' AS run_dates,
   NULL::DOUBLE AS price_per_audio_hour_usd, round(quantile_cont(rtf, 0.5), 6) AS rtf_p50, round(quantile_cont(rtf, 0.9), 6) AS rtf_p90,
   round({_RATE.format('cer_errors', 'cer_len')}, 6) AS cer_corpus, round({_MEAN.format('cer_errors', 'cer_len')}, 6) AS cer_utterance_mean,
   round({_RATE.format('wer_errors', 'wer_len')}, 6) AS wer_corpus, round({_MEAN.format('wer_errors', 'wer_len')}, 6) AS wer_utterance_mean
-FROM ({_UTTERANCES_SQL}) GROUP BY engine, lang""")
-def cell_figures(spark, sf):
-    """The published table of cells but for what the seeded generator decides."""
-    cells = cell_scores(spark, sf)
+FROM ({_UTTERANCES_SQL}) GROUP BY engine, lang"""
+
+
+def rounded_figures(cells: DataFrame) -> DataFrame:
     rounded = [F.round(c, 6).alias(c) for c in ("rtf_p50", "rtf_p90", "cer_corpus", "cer_utterance_mean", "wer_corpus", "wer_utterance_mean")]
     return cells.select("lang", "engine", "headline_metric", "n_utterances", "empty_transcripts", "model_ids", "run_dates", "price_per_audio_hour_usd", *rounded)
 
 
+@query(CELL_FIGURES_SQL)
+def cell_figures(spark, sf):
+    """The published table of cells but for what the seeded generator decides."""
+    return rounded_figures(cell_scores(spark, sf))
+
+
 @query(f"SELECT engine, track, lang, round(rate, 9) AS rate, true AS brackets FROM ({_RATES_SQL})")
 def interval_brackets(spark, sf):
     """Every interval holds the rate it is of."""

@@ -45,32 +45,42 @@ def score_utterances(records: DataFrame, literal: bool = False) -> DataFrame:
     )
 
 
-def cell_table(utterances: DataFrame, pairing: str = "strict", n: int = stats.RESAMPLES, seed: int = stats.SEED) -> DataFrame:
-    """One row a cell with every published figure; strict pairing raises, intersect keeps common utterances."""
-    spark = utterances.sparkSession
-    rows = checks.paired(utterances, pairing)
-    keys = list(A.CELL)
+_CER, _WER = ("cer_errors", "cer_len"), ("wer_errors", "wer_len")
+
+
+def figures(utterances: DataFrame) -> DataFrame:
+    """One row a cell with all that needs no resampling: counts, rates, percentiles of real-time factors in __rtf, run dates, model ids."""
     has_words = F.max(F.col("wer_len").isNotNull())
-    cer, wer = ("cer_errors", "cer_len"), ("wer_errors", "wer_len")
-    cells = rows.groupBy(*keys).agg(
+    return utterances.groupBy(*A.CELL).agg(
         F.count("*").cast("int").alias("n_utterances"),
         F.count_if("empty").cast("int").alias("empty_transcripts"),
-        A.corpus_rate(*map(F.col, cer)).alias("cer_corpus"),
-        A.utterance_mean(*map(F.col, cer)).alias("cer_utterance_mean"),
-        F.when(has_words, A.corpus_rate(*map(F.col, wer))).alias("wer_corpus"),
-        F.when(has_words, A.utterance_mean(*map(F.col, wer))).alias("wer_utterance_mean"),
+        A.corpus_rate(*map(F.col, _CER)).alias("cer_corpus"),
+        A.utterance_mean(*map(F.col, _CER)).alias("cer_utterance_mean"),
+        F.when(has_words, A.corpus_rate(*map(F.col, _WER))).alias("wer_corpus"),
+        F.when(has_words, A.utterance_mean(*map(F.col, _WER))).alias("wer_utterance_mean"),
         A.percentiles(F.col("rtf"), 0.5, 0.9).alias("__rtf"),
         A.sorted_set(A.run_date(F.col("timestamp_utc"))).alias("run_dates"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(A.model_ids(F.col("params")))))).alias("model_ids"),
     )
-    for kind, (e, r) in (("cer", cer), ("wer", wer)):
+
+
+def cell_table(utterances: DataFrame, pairing: str = "strict", n: int = stats.RESAMPLES, seed: int = stats.SEED) -> DataFrame:
+    """One row a cell with every published figure; strict pairing raises, intersect keeps common utterances."""
+    rows = checks.paired(utterances, pairing)
+    keys = list(A.CELL)
+    cells = figures(rows)
+    for kind, (e, r) in (("cer", _CER), ("wer", _WER)):
         ci = stats.cell_intervals(rows.where(F.col(r).isNotNull()), keys, e, r, n=n, seed=seed)
         cells = cells.join(ci.withColumnsRenamed({"lo": f"{kind}_ci95_lo", "hi": f"{kind}_ci95_hi"}), keys, "left")
     main = rows.withColumns({"errors": A.headline(F.col("lang"), F.col("cer_errors"), F.col("wer_errors")), "ref_len": A.headline(F.col("lang"), F.col("cer_len"), F.col("wer_len"))})
     groups = stats.tie_group_table(main, ["track", "lang"], n=n, seed=seed)
-    cells = cells.join(F.broadcast(prices(spark)), "engine", "left").join(groups, ["track", "lang"])
-    cells = cells.withColumns({"rtf_p50": F.col("__rtf")[0], "rtf_p90": F.col("__rtf")[1], "headline_metric": A.headline(F.col("lang"), F.lit("cer"), F.lit("wer"))}).drop("__rtf")
-    return cells.join(A.tiers(groups), ["track", "lang", "engine"])
+    return priced(cells).join(groups, ["track", "lang"]).join(A.tiers(groups), ["track", "lang", "engine"])
+
+
+def priced(cells: DataFrame) -> DataFrame:
+    """Cells with prices, the two percentiles and the metric of the headline."""
+    cells = cells.join(F.broadcast(prices(cells.sparkSession)), "engine", "left")
+    return cells.withColumns({"rtf_p50": F.col("__rtf")[0], "rtf_p90": F.col("__rtf")[1], "headline_metric": A.headline(F.col("lang"), F.lit("cer"), F.lit("wer"))}).drop("__rtf")
 
 
 def cell_scores(cells: DataFrame, track: str = "a") -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,20 @@ def session(name: str = "textgauge", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """Session settings for a block, then as they were; keywords with double underscores for dots."""
+    wanted = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` dealt over the cores where it comes in fewer splits than there are; a table of many splits, such as any large one, stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

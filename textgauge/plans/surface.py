@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgauge.operators import aggregates as A
-from textgauge.operators import audio
-from textgauge.plans import catalog
+from textgauge.operators import audio, checks
+from textgauge.plans import catalog, score
 from textgauge.plans.catalog import _RATES_SQL, _RECORDS_SQL, _TIER_SQL, query
-from textgauge.plans.session import scratch_path
+from textgauge.plans.session import scratch_path, settings
 from textgauge.sources import files, raw, sinks
 from textgauge.sources.records import write_records
 from textgauge.streaming import incremental
@@ -168,3 +168,39 @@ def stream_rates(spark, sf):
     rates = incremental.running_rates(incremental.read_stream(spark, root, settle=0), literal=False)
     rates.writeStream.trigger(availableNow=True).format("memory").queryName(name).option("checkpointLocation", out).outputMode("complete").start().awaitTermination()
     return spark.table(name).groupBy("engine_key", "track", "lang_key").agg(F.sum("errors").alias("errors"), F.sum("ref_len").alias("ref_len"))
+
+
+def _run_changes(spark, root: str, log: str, state: str) -> None:
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=incremental.STATE_STORE):
+        rows = incremental.changes(incremental.read_stream(spark, root, settle=0))
+
+        def keep(batch: DataFrame, number: int) -> None:  # a batch that is run again writes its own folder again
+            batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+        rows.writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", state).foreachBatch(keep).start().awaitTermination()
+
+
+@query(catalog.CELL_FIGURES_SQL)
+def stream_corrections(spark, sf):
+    """Records that come twice and records that are corrected, over two runs of a stream: the figures of cells are those of the last word."""
+    root, log, state = (scratch_path(spark, x) for x in ("fed", "log", "state"))
+    rows = catalog.records(spark, sf).withColumn("which", F.crc32(F.col("file_utt_id").cast("binary")) % 3)
+    wrong = rows.withColumns({"text": F.when(F.col("which") == 0, "not this").otherwise(F.col("text")), "latency_sec": F.when(F.col("which") == 0, 99.0).otherwise(F.col("latency_sec")), "params": F.when(F.col("which") == 0, '{"model": "old"}').otherwise(F.col("params")), "timestamp_utc": F.when(F.col("which") == 0, "2026-07-04T00:00:00Z").otherwise(F.col("timestamp_utc"))})
+    for part in (wrong, rows.where("which < 2")):
+        write_records(part.drop("which").withColumn("params", F.parse_json("params")), root, "append")
+        _run_changes(spark, root, log, state)
+    cells = score.priced(score.figures(incremental.current(spark.read.parquet(log))))
+    return catalog.rounded_figures(cells.withColumns({c: F.array_join(c, ";") for c in ("model_ids", "run_dates")}))
+
+
+@query("SELECT d.source AS engine, d.lang, count(*) AS n_utterances, count(*) AS n_texts, (SELECT count(*) FROM documents) AS n_rows, 'T' AS card FROM documents d GROUP BY ALL")
+def checked_package(spark, sf):
+    """Documents as transcriptions and their cells, written with all constraints and read again."""
+    folder, card = scratch_path(spark, "package"), scratch_path(spark, "card", ".md")
+    files.write_text(spark, "# card\n", card)
+    docs = raw.table(spark, sf, "documents").select(F.col("source").alias("engine"), "lang", F.col("doc_id").alias("utt_id"), F.coalesce("text", F.lit("")).alias("hypothesis"))
+    cells = catalog.document_cells(spark, sf).groupBy("engine", "lang").agg(F.count("*").alias("n_utterances"))
+    found = checks.write_package(docs, cells, folder, card)
+    copied = "T" if files.exists(spark, f"{folder}/{card.rsplit('/', 1)[-1]}") else "F"
+    sizes = spark.read.parquet(f"{folder}/transcriptions").groupBy("engine", "lang").agg(F.count("hypothesis").alias("n_texts"))
+    return spark.read.parquet(f"{folder}/cell_scores").join(sizes, ["engine", "lang"]).withColumns({"n_rows": F.lit(found["rows"]).cast("long"), "card": F.lit(copied)})

@@ -79,6 +79,14 @@ def copy(spark: SparkSession, source: str, target: str) -> int:
     return to_fs.getFileStatus(to).getLen()
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Gives a file or folder another name on its file system; what was there goes first."""
+    fs, at = _path(spark, target)
+    fs.delete(at, True)
+    if not fs.rename(_path(spark, source)[1], at):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def contents(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, length, content) of files, a row each."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", "length", "content")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,17 @@ MAX_CELLS = 100_000
 PAGE_BYTES = 1 << 20
 
 
-def write_parquet(df: DataFrame, path: str, *order: str, manifest: bool = True) -> None:
+def write_parquet(df: DataFrame, path: str, *order: str, manifest: bool = True, through: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """zstd files with pages of 1 MiB, in a fixed order of rows: by the order of file names, then within each file.
 
     Rows are dealt over the files by ranges of the order, as many as the session has partitions for them. `_ranges.json`
     tells for each file its rows and the first and last of the order in it. Rows that the order leaves equal are ordered by the other columns.
+    `through` is put over the rows as they are written, after the ranges are settled, which takes a pass of its own.
     """
     rest = [c for c in df.columns if c not in order and df.schema[c].dataType.typeName() not in ("map", "variant")]
     keys = [*order, *rest]
     laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    writer = laid.write.mode("overwrite").option("compression", "zstd").option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", 1 << 30)
+    writer = through(laid).write.mode("overwrite").option("compression", "zstd").option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", 1 << 30)
     writer.parquet(path)
     if manifest:
         spark = df.sparkSession

@@ -1,13 +1,22 @@
-"""Incremental cell totals from a stream of records."""
+"""Incremental cell figures from a stream of records.
+
+`running_rates` adds up whatever arrives. `changes` knows what each utterance contributed last: a record that comes again
+changes nothing, a corrected one takes the place of the former. Its output is a log of what is added and taken away, by utterance,
+so that no state and no task grows with a cell; `current` nets the log, and the figures of cells over that are those of the batch engine.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from textgauge.functions.normalize import BY_CHARACTER, normal_forms
 from textgauge.operators import aggregates as A
-from textgauge.operators.align import char_errors
+from textgauge.operators.align import char_errors, word_errors
 from textgauge.sources.records import register
 
 
@@ -33,3 +42,75 @@ def running_rates(records: DataFrame, watermark: str = "72 hours", literal: bool
     day = F.window("ts", "1 day")
     sums = scored.groupBy(day, "engine_key", "track", "lang_key").agg(F.sum("errors").alias("errors"), F.sum("ref_len").alias("ref_len"), A.corpus_rate(F.col("errors"), F.col("ref_len")).alias("rate"))
     return sums.select(F.col("window.start").alias("day"), "engine_key", "track", "lang_key", "errors", "ref_len", "rate")
+
+
+#: What an utterance contributes to its cell.
+_GIVEN = "cer_errors long, cer_len long, wer_errors long, wer_len long, empty boolean, rtf double, params string, timestamp_utc string"
+_GIVEN_NAMES = [c.split()[0] for c in _GIVEN.split(", ")]
+_KEYS = ["engine", "track", "lang", "utt_id"]
+#: The state store that keeps state by key on disk; what runs `changes` must have it in its session (spark.sql.streaming.stateStore.providerClass).
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _plain(x):
+    return None if pd.isna(x) else x.item() if hasattr(x, "item") else x
+
+
+class _Latest(StatefulProcessor):
+    """Keeps an utterance's newest contribution; tells what leaves and what comes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", f"version string, {_GIVEN}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for pdf in rows:
+            for r in pdf[["version", *_GIVEN_NAMES]].itertuples(index=False):
+                row = tuple(map(_plain, r))
+                if newest is None or repr(row) > repr(newest):
+                    newest = row
+        before = self.last.get() if self.last.exists() else None
+        if newest is None or (before is not None and repr(tuple(before)) >= repr(newest)):
+            return
+        self.last.update(newest)
+        if before is not None and tuple(before)[1:] == newest[1:]:
+            return
+        out = [(*key, -1, *tuple(before)[1:])] if before is not None else []
+        out.append((*key, 1, *newest[1:]))
+        table = pd.DataFrame(out, columns=[*_KEYS, "sign", *_GIVEN_NAMES], dtype=object)
+        yield table
+
+    def close(self) -> None:
+        pass
+
+
+def contributions(records: DataFrame, literal: bool = False) -> DataFrame:
+    """engine, track, lang, utt_id, version and what each record contributes; the version is the time its file was written, then its own timestamp."""
+    strip = F.lit(False) if literal else F.col("lang_key").isin(*BY_CHARACTER)
+    lang = F.col("lang_key")
+    rows = records.select(
+        F.col("engine_key").alias("engine"), "track", lang.alias("lang"), F.col("file_utt_id").alias("utt_id"),
+        F.concat_ws(" ", F.date_format(F.to_utc_timestamp("file_time", F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.coalesce("timestamp_utc", F.lit(""))).alias("version"),
+        normal_forms(lang, F.coalesce("ref_text_raw", F.lit("")), strip).alias("r"), normal_forms(lang, F.coalesce("text", F.lit("")), strip).alias("h"),
+        A.is_empty(F.col("text")).alias("empty"), A.real_time_factor(F.col("latency_sec"), F.col("duration_sec")).alias("rtf"), "params", "timestamp_utc",
+    )
+    return rows.select(
+        *_KEYS, "version", char_errors(F.col("r.chars"), F.col("h.chars")).cast("long").alias("cer_errors"), F.char_length("r.chars").cast("long").alias("cer_len"),
+        word_errors(F.col("r.words"), F.col("h.words")).cast("long").alias("wer_errors"), F.when(F.col("r.words").isNotNull(), F.size("r.words")).cast("long").alias("wer_len"),
+        "empty", "rtf", "params", "timestamp_utc",
+    )
+
+
+def changes(records: DataFrame, literal: bool = False) -> DataFrame:
+    """The log of a stream of records: keys, sign (1 comes, -1 leaves) and contribution, a row or two for each utterance that a batch changes.
+
+    Of several records of an utterance the newest counts, in whatever order and batches they arrive. Null keys are keys.
+    """
+    kind = "engine string, track string, lang string, utt_id string, sign int, " + _GIVEN
+    return contributions(records, literal).groupBy(*_KEYS).transformWithStateInPandas(_Latest(), kind, "update", "none")
+
+
+def current(log: DataFrame) -> DataFrame:
+    """The utterances that the log of `changes` leaves, as the batch engine scores them (see plans.score.figures)."""
+    kept = log.groupBy(*_KEYS, *_GIVEN_NAMES).agg(F.sum("sign").alias("n")).where("n > 0")
+    return kept.select(*_KEYS, *_GIVEN_NAMES)
