@@ -1,9 +1,12 @@
+import random
+
 import pytest
+from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textgauge.functions import charnumbers, english, normalize, wordnumbers
+from textgauge.functions import charnumbers, english, normalize, plain, wordnumbers
 from textgauge.functions import text as t
 from textgauge.plans import catalog
 from textgauge.plans.goldens import GOLDENS, RULES
@@ -152,3 +155,33 @@ def test_single_rules(spark):
     for name, rule in catalog._RULES.items():
         got = {r.t: r.made for r in rows.where(f"rule = '{name}'").select("t", rule(F.col("t")).alias("made")).collect()}
         assert got == {t: want for n, t, want in RULES if n == name} and got
+
+
+_CHARACTERS = "abz ABZ éÉàßÇøÿ\t\n\x0b\x0c\r\x1c\u00a0.,;:!?-_'’\"()[]{}|`~^$+<=>@#%&*/\\\\«»“”„–—…¿¡0123456789×÷ªº½µıİſﬁ\u0301"
+_WORDS = "one the and point ein eine einen einst eins einundzwanzig achte achtung zwei erste hundert und un une et deux vingts vingt uno y mil ciento de um e dois gray grey mr can't won't o' uh o 1st 20 première premier segundo décimo quarto straße ok".split()
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "es", "fr", "pt", "ru"])
+def test_plain_forms_are_those_of_the_rules(lang):
+    """Whatever the table of bytes claims is what the rules say: random texts of odd characters and of words that rules are about."""
+    rng = random.Random(lang)
+    texts = ["".join(rng.choice(_CHARACTERS) for _ in range(rng.randint(0, 12))) for _ in range(15_000)]
+    texts += ["".join(rng.choice(_WORDS) + rng.choice([" ", " ", " ", ", ", "\n", "-", ""]) for _ in range(rng.randint(1, 6))) for _ in range(15_000)]
+    texts += [chr(c) * k + " x" for c in range(0x3000) for k in (1, 3)] + [f"Le mot {w} reste" for w in _WORDS] + ["", " ", "plain words of any kind"]
+    grammar = {"es": wordnumbers.SPANISH, "fr": wordnumbers.FRENCH, "pt": wordnumbers.PORTUGUESE}.get(lang)
+    if grammar:
+        texts += [" ".join(rng.choice(list(grammar.words)) for _ in range(rng.randint(1, 4))) for _ in range(15_000)]
+        assert not plain.starting_words(lang) & {w.encode() for w in {"es": ["y", "un"], "fr": ["et", "un"], "pt": ["e", "um"]}[lang]}
+    if lang == "de":
+        texts += ["".join(rng.choice([*wordnumbers._DE_UNITS, *wordnumbers._DE_TENS, *wordnumbers._DE_ORDINALS, "und", "hundert", "tausend", "st", "e", "en", "er"]) for _ in range(rng.randint(1, 4))) for _ in range(15_000)]
+    claimed = [(x, form) for x in texts if (form := plain.plain_form(lang, x)) is not None]
+    wrong = [(x, form, normalize.NORMALIZERS[lang](x)) for x, form in claimed if form != normalize.NORMALIZERS[lang](x)]
+    assert not wrong, wrong[:5]
+    assert (len(claimed) > 1000) == (lang != "ru")
+
+
+@pytest.mark.parametrize("sf", [SMALL])
+def test_plain_forms_of_whole_tables(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").where("text is not null and lang is not null").collect()
+    claimed = [(r, form) for r in rows if (form := plain.plain_form(r.lang, r.text)) is not None]
+    assert len(claimed) > 0.7 * len(rows) and all(form == normalize.NORMALIZERS[r.lang](r.text) for r, form in claimed)

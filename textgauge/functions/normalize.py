@@ -13,6 +13,7 @@ from pyspark.sql.functions import arrow_udf
 
 from textgauge.functions import charnumbers, english, wordnumbers
 from textgauge.functions import text as t
+from textgauge.functions.plain import plain_form
 
 LANGUAGES = ("de", "en", "es", "fr", "id", "ja", "ko", "pt", "ru", "th", "vi", "zh")
 #: Languages scored by characters, whose normalizers can drop all white space first.
@@ -144,6 +145,8 @@ NORMALIZERS: dict[str, Callable[..., str]] = {"de": normalize_de, "en": normaliz
 
 def normalize(lang: str, text: str, strip: bool = False) -> str:
     """The normal form of a text; `strip` drops all white space before numbers are read (ja, th, zh only)."""
+    if (form := plain_form(lang, text)) is not None:
+        return form
     rule = NORMALIZERS[lang]
     return rule(text, strip) if lang in BY_CHARACTER else rule(text)
 
