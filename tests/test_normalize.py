@@ -185,3 +185,16 @@ def test_plain_forms_of_whole_tables(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").where("text is not null and lang is not null").collect()
     claimed = [(r, form) for r in rows if (form := plain.plain_form(r.lang, r.text)) is not None]
     assert len(claimed) > 0.7 * len(rows) and all(form == normalize.NORMALIZERS[r.lang](r.text) for r, form in claimed)
+
+
+def test_spellings_can_be_given(spark, tmp_path):
+    (tmp_path / "english.json").write_text('{"jewellery": "jewelry", "grey": "gray", "odde": "one"}')
+    rows = spark.createDataFrame([("Grey jewellery, colour!",), ("it's grey jewellery 5",), ("odde thing",)], "t string").select(F.col("t"), F.lit("en").alias("lang"))
+    read = lambda: [r.n for r in rows.select(normalize.normalized(F.col("lang"), F.col("t")).alias("n")).collect()]
+    assert read() == ["gray jewellery color", "it is gray jewellery 5", "odde thing"]
+    try:
+        english.use_spellings(english.read_spellings(str(tmp_path / "english.json")))
+        assert read() == ["gray jewelry colour", "it is gray jewelry 5", normalize.NORMALIZERS["en"]("odde thing")] and normalize.normalize("en", "colour") == "colour"
+    finally:
+        english.use_spellings(english.SPELLINGS)
+    assert read() == ["gray jewellery color", "it is gray jewellery 5", "odde thing"]

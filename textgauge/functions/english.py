@@ -1,13 +1,14 @@
 """English: spelled numbers, contractions and fillers, by rules written for this engine.
 
-The published recogniser's own English tables are not at hand; its described behaviour is followed
-(fillers out, contractions written out, spelled cardinals and ordinals to digits, ordinals and
-plurals keep their endings until the ordinal ending is stripped). A small declared list maps British
-to American spellings.
+The published recogniser's described behaviour is followed (fillers out, contractions written out, spelled cardinals and
+ordinals to digits, ordinals and plurals keep their endings until the ordinal ending is stripped). Fillers, contractions and titles are
+those that its normalizer (MIT licence) publishes; its table of spellings is not at hand: a small declared list maps British to American ones, and
+the table can be given (`use_spellings`).
 """
 
 from __future__ import annotations
 
+import json
 import re
 from fractions import Fraction
 
@@ -21,6 +22,7 @@ _COINS = {"dollar", "dollars", "pound", "pounds", "euro", "euros", "cent", "cent
 _SIGNS = {"minus", "negative", "plus", "positive"}
 _TIMES = {"double": 2, "triple": 3}
 _IRREGULAR = {"first": "one", "second": "two", "third": "three", "fifth": "five", "eighth": "eight", "ninth": "nine", "twelfth": "twelve"}
+# fillers, contractions and titles as published: fixed values
 _FILLERS = {"hmm", "mm", "mhm", "mmm", "uh", "um"}
 _WHOLE = {"won't": "will not", "can't": "can not", "let's": "let us", "ain't": "aint", "y'all": "you all", "wanna": "want to", "gotta": "got to", "gonna": "going to", "i'ma": "i am going to", "imma": "i am going to", "woulda": "would have", "coulda": "could have", "shoulda": "should have", "ma'am": "madam"}
 _ENDINGS = (("n't", " not"), ("'re", " are"), ("'s", " is"), ("'d", " would"), ("'ll", " will"), ("'ve", " have"), ("'m", " am"), ("'t", " not"))
@@ -28,6 +30,20 @@ _TITLES = {"mr": "mister", "mrs": "missus", "st": "saint", "dr": "doctor", "prof
 #: British spellings and their American ones; a small list, not the published one.
 SPELLINGS = {"colour": "color", "colours": "colors", "favour": "favor", "favourite": "favorite", "honour": "honor", "labour": "labor", "neighbour": "neighbor", "behaviour": "behavior", "centre": "center", "centres": "centers", "metre": "meter", "metres": "meters", "theatre": "theater", "grey": "gray", "organise": "organize", "organised": "organized", "realise": "realize", "realised": "realized", "recognise": "recognize", "recognised": "recognized", "analyse": "analyze", "analysed": "analyzed", "travelling": "traveling", "travelled": "traveled", "defence": "defense", "licence": "license", "programme": "program", "programmes": "programs", "catalogue": "catalog", "aluminium": "aluminum", "tyre": "tire", "tyres": "tires"}
 
+#: The spellings in use: those above, or what `read_spellings` gives of the published table where it is at hand.
+spellings: dict[str, str] = SPELLINGS
+
+
+def read_spellings(path: str) -> dict[str, str]:
+    """British spellings and their American ones from a JSON object, the form in which the published table comes."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def use_spellings(table: dict[str, str]) -> None:
+    global spellings
+    spellings = table
+
 
 def _ordinal(word: str) -> tuple[str, str] | None:
     """The cardinal behind a spelled ordinal, and the ending its digits take."""
@@ -210,7 +226,7 @@ def written_out(text: str) -> str:
                 if word.endswith(ending) and word != ending:
                     word = word.removesuffix(ending) + full
                     break
-        out.append(_TITLES.get(word, SPELLINGS.get(word, word)))
+        out.append(_TITLES.get(word, spellings.get(word, word)))
     return " ".join(out)
 
 

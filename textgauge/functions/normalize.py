@@ -14,6 +14,7 @@ from pyspark.sql.functions import arrow_udf
 from textgauge.functions import charnumbers, english, wordnumbers
 from textgauge.functions import text as t
 from textgauge.functions.plain import plain_form
+from textgauge.functions.tries import Converter, Dictionary, converter
 
 LANGUAGES = ("de", "en", "es", "fr", "id", "ja", "ko", "pt", "ru", "th", "vi", "zh")
 #: Languages scored by characters, whose normalizers can drop all white space first.
@@ -93,13 +94,15 @@ def normalize_ja(text: str, strip: bool = False) -> str:
     return charnumbers.japanese(*t.close_up(text)) if strip else charnumbers.japanese(text)
 
 
-#: Traditional to simplified characters: any function of a text that is set here, or OpenCC's t2s where it is installed,
-#: or the table that `simplified_table` gives, which the columns below carry to the workers.
+#: Traditional to simplified characters: any function of a text that is set here (such as tries.converter of the published files), or OpenCC's
+#: t2s where it is installed, or the phrases and frequent characters of `tries` over the characters that `simplified_table` gives, which the columns below carry to the workers.
 simplify: Callable[[str], str] | None = None
+#: Dictionaries that cut the normal forms of a language into words, by language (see tries.dictionary); without one the published libraries are looked for.
+dictionaries: dict[str, Dictionary] = {}
 
 
 @functools.cache
-def simplified_table() -> dict[int, str]:
+def simplified_table() -> dict[str, str]:
     """Traditional characters and their simplified ones, one by one, by the transliterator that comes with Spark; empty where it is not there."""
     spark = SparkSession.getActiveSession()
     try:
@@ -107,16 +110,20 @@ def simplified_table() -> dict[int, str]:
     except Exception:  # noqa: BLE001 - no session, a remote one, or a Spark without that library
         return {}
     han = [chr(c) for lo, hi in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00)) for c in range(lo, hi)]
-    return {ord(a): b for a, b in zip(han, found.transliterate("\n".join(han)).split("\n"), strict=True) if a != b}
+    return {a: b for a, b in zip(han, found.transliterate("\n".join(han)).split("\n"), strict=True) if a != b}
 
 
-_table: dict[int, str] = {}
+_characters: Converter = converter()
 
 
-def use_table(table: dict[int, str]) -> None:
-    """What a worker's Chinese normalizer falls back on."""
-    global _table
-    _table = table
+def use(characters: Converter, simple: Callable[[str], str] | None, words: dict[str, Dictionary], spellings: dict[str, str] | None) -> None:
+    """What a worker's Chinese normalizer falls back on, and what the driver has set; spellings None: the declared ones."""
+    if spellings is not None and spellings != english.spellings:
+        english.use_spellings(spellings)
+    elif spellings is None:
+        english.use_spellings(english.SPELLINGS)
+    global _characters, simplify, dictionaries
+    _characters, simplify, dictionaries = characters, simple, words
 
 
 @functools.cache
@@ -130,7 +137,7 @@ def _converter() -> Callable[[str], str] | None:
 
 def normalize_zh(text: str, strip: bool = False) -> str:
     text = t.nfkc(text)
-    text = convert(text) if (convert := simplify or _converter()) is not None else text.translate(_table)
+    text = (simplify or _converter() or _characters)(text)
     text = _cleaned(text.lower())
     return charnumbers.chinese(*t.close_up(text)) if strip else charnumbers.chinese(text)
 
@@ -158,29 +165,34 @@ class Unavailable(RuntimeError):
     """A tokenizer that needs a library which is not installed."""
 
 
-@functools.cache
 def _word_cutter(lang: str) -> Callable[[str], list[str]]:
-    """What cuts a normal form of a language into words; made once in a process."""
+    """What cuts a normal form of a language into words."""
+    return dictionaries[lang].cut if lang in dictionaries else _library_cutter(lang)
+
+
+@functools.cache
+def _library_cutter(lang: str) -> Callable[[str], list[str]]:
+    """Made once in a process."""
     if lang == "th":
         raise Unavailable("Thai is scored by characters only")
     if lang == "ja":
         try:
             import fugashi
         except ImportError as e:
-            raise Unavailable("Japanese words need fugashi and unidic-lite") from e
+            raise Unavailable("Japanese words need fugashi and unidic-lite, or a dictionary") from e
         tagger = fugashi.Tagger()
         return lambda text: [str(w.surface) for w in tagger(text)]
     if lang == "zh":
         try:
             import jieba
         except ImportError as e:
-            raise Unavailable("Chinese words need jieba") from e
+            raise Unavailable("Chinese words need jieba, or a dictionary") from e
         return lambda text: [w for w in jieba.lcut(text) if w.strip()]
     return lambda text: text.split(" ") if text else []
 
 
 def tokenize(lang: str, text: str) -> list[str]:
-    """Words of the normal form of a text: cut at spaces; by MeCab for ja and jieba for zh; never for th, which has none."""
+    """Words of the normal form of a text: cut at spaces; by a dictionary, or MeCab for ja and jieba for zh; never for th, which has none."""
     return _word_cutter(lang)(normalize(lang, text))
 
 
@@ -188,8 +200,9 @@ def characters(text: str) -> list[str]:
     return list(text)
 
 
-@functools.cache
 def can_tokenize(lang: str) -> bool:
+    if lang == "th":
+        return False
     try:
         _word_cutter(lang)
     except Unavailable:
@@ -198,11 +211,11 @@ def can_tokenize(lang: str) -> bool:
 
 
 def _with_table(f: Callable, hint: type) -> Callable:
-    """`f` for a column, with the table of simplified characters set in the worker first."""
-    table = simplified_table()
+    """`f` for a column, with what the driver has for simplified characters and for words set in the worker first."""
+    set_here = (converter().over(simplified_table()), simplify, dict(dictionaries), None if english.spellings is english.SPELLINGS else english.spellings)
 
     def run(batches):
-        use_table(table)
+        use(*set_here)
         yield from f(batches)
 
     run.__annotations__ = {"batches": hint, "return": Iterator[pa.Array]}

@@ -47,11 +47,17 @@ def starting_words(lang: str) -> frozenset[bytes]:
     return frozenset(w.encode(_PAGE) for w in words)
 
 
-@functools.cache
-def _english_words() -> dict[bytes, bytes]:
-    """English words that are replaced one by one; fillers by nothing."""
-    words = {w: english.written_out(w) for t in (english._FILLERS, english._WHOLE, english._TITLES, english.SPELLINGS) for w in t}
-    return {w.encode(_PAGE): new.encode(_PAGE) for w, new in words.items()}
+_replaced: tuple[int, dict[bytes, bytes | None]] = (0, {})
+
+
+def _english_words() -> dict[bytes, bytes | None]:
+    """English words that are replaced one by one, fillers by nothing; None where what comes begins a number. Made anew where other spellings are in use."""
+    global _replaced
+    if _replaced[0] != id(english.spellings):
+        words = {w: english.written_out(w) for t in (english._FILLERS, english._WHOLE, english._TITLES, english.spellings) for w in t}
+        sure = {w: new.isascii() and english._STARTS.isdisjoint(new.split(" ")) for w, new in words.items()}
+        _replaced = (id(english.spellings), {w.encode(_PAGE, "replace"): new.encode() if sure[w] else None for w, new in words.items()})
+    return _replaced[1]
 
 
 def plain_form(lang: str, text: str) -> str | None:
@@ -69,6 +75,9 @@ def plain_form(lang: str, text: str) -> str | None:
         return None
     if lang == "de":
         return wordnumbers.german(b" ".join(words).decode(_PAGE))
-    if lang == "en" and not _english_words().keys().isdisjoint(words):
-        words = [new for w in words if (new := _english_words().get(w, w))]
+    if lang == "en" and not (table := _english_words()).keys().isdisjoint(words):
+        words = [table.get(w, w) for w in words]
+        if None in words:
+            return None
+        words = [w for w in words if w]
     return b" ".join(words).decode(_PAGE)

@@ -25,8 +25,8 @@ RESAMPLES = 10_000
 #: The published seed and interval. Fixed values.
 SEED = 20_260_704
 INTERVAL = (2.5, 97.5)
-#: Utterances of a block, for each member of a frame (two numbers each): 8 MB.
-BLOCK = 1 << 19
+#: Utterances of a block, for each member of a frame: some 10 MB as a task holds them.
+BLOCK = 1 << 17
 #: Segments up to which their table is broadcast (some 50 bytes each).
 MAX_SENT = 1_000_000
 #: Numbers drawn at once by the functions over lists; bounds memory.
