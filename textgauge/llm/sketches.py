@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from textgauge.llm.common import sliced, text_udf, written
 
-WIDTH, FRACTION, LEAST, SEED = 5, 16, 32, 42
-THRESHOLD = (1 << 64) // FRACTION
+#: Hashes have 48 bits: sets of a billion share one by chance with odds of some four in a million for each hash looked up.
+WIDTH, FRACTION, LEAST, SEED, RANGE = 5, 16, 32, 42, 1 << 48
+THRESHOLD = RANGE // FRACTION
 #: Words hashed at once; bounds the memory a very long text takes.
 STEP = 1 << 18
 #: Odd factors that tell the places of a shingle's words apart, and those of the final mixing. Fixed values.
@@ -37,7 +38,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(16)
 
 
 def _kept(hashes: np.ndarray) -> np.ndarray:
@@ -47,7 +48,7 @@ def _kept(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: str | None) -> np.ndarray:
-    """Sorted hashes (unsigned 64-bit) that a text keeps."""
+    """Sorted hashes that a text keeps."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return np.array([], np.uint64)
@@ -73,7 +74,7 @@ def merged(sketches: list[np.ndarray]) -> np.ndarray:
 def complete_below(s: np.ndarray) -> int:
     """Every shingle hash of the text below this number is in its sketch."""
     if len(s) < LEAST:
-        return 1 << 64
+        return RANGE
     return max(THRESHOLD, int(s[-1]) + 1)
 
 
@@ -81,17 +82,20 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of a's shingles that b has. Equal sketches: 1; else 0 where a has no hash within what both cover."""
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    end = np.uint64(min(complete_below(a), complete_below(b), (1 << 64) - 1))
+    end = np.uint64(min(complete_below(a), complete_below(b)))
     a, b = a[: np.searchsorted(a, end)], b[: np.searchsorted(b, end)]
     return float(len(np.intersect1d(a, b, assume_unique=True)) / len(a)) if len(a) else 0.0
 
 
 def packed(s: np.ndarray) -> bytes:
-    return s.astype(">u8").tobytes()
+    """Six bytes a hash, the highest first."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, ">u8").astype(np.uint64)
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -100,7 +104,7 @@ def _sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def sketches(docs: DataFrame, text: str = "text", to: str = "sketch") -> DataFrame:
-    """`docs` with the sketch of `text` in a binary column `to` (8 bytes a hash, big-endian, ascending); null and empty texts have an empty one."""
+    """`docs` with the sketch of `text` in a binary column `to` (6 bytes a hash, big-endian, ascending); null and empty texts have an empty one."""
     return docs.withColumn(to, text_udf(_sketches, "binary")(F.col(text)))
 
 
@@ -117,7 +121,7 @@ def contained(one: Column, other: Column) -> Column:
 
 def _hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
-        parts = [np.frombuffer(x or b"", ">u8").astype(np.uint64).view(np.int64) for x in column.to_pylist()]
+        parts = [unpacked(x or b"").view(np.int64) for x in column.to_pylist()]
         ends = np.cumsum([0, *map(len, parts)])
         yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.array([], np.int64), *parts])))
 
@@ -129,7 +133,7 @@ def group_containment(sketched: DataFrame, group: str, id_col: str = "doc_id", t
     threshold take part, where every sketch is complete. Rows of the result are bounded by hashes times groups; a hash that very many
     rows keep meets one row a group. Rows without a hash below the threshold are in no group; a null group is one.
     """
-    below = F.filter(F.arrow_udf(_hashes, "array<bigint>")(F.col(to)), lambda h: (h >= 0) & (h < THRESHOLD))
+    below = F.filter(F.arrow_udf(_hashes, "array<bigint>")(F.col(to)), lambda h: h < THRESHOLD)
     rows = written(sketched.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(to).alias("k"), below.alias("hs")), "sketches")
     each = rows.select("id", "g", "k", F.size("hs").alias("n"), F.explode("hs").alias("h"))
     members = each.select(F.col("g").alias("other"), "h").distinct()
@@ -139,8 +143,8 @@ def group_containment(sketched: DataFrame, group: str, id_col: str = "doc_id", t
 
 
 #: What `edited_likeness` returns of each row.
-_LIKENESS = "id_ long, n_chars long, edited_sha256 string, sketch binary, edited_sketch binary, near_edited double, near_next double"
-_FIELDS = pa.schema([("id_", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("sketch", pa.binary()), ("edited_sketch", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_LIKENESS = "id_ long, n_chars long, edited_sha256 binary, sketch binary, edited_sketch binary, near_edited double, near_next double"
+_FIELDS = pa.schema([("id_", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("sketch", pa.binary()), ("edited_sketch", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
@@ -156,7 +160,7 @@ def _edited(text: str, after: str) -> str:
 def _likeness(text: str, own: np.ndarray, after: str, next_sketch: np.ndarray) -> tuple:
     new = _edited(text, after)
     changed = own if new == text else sketch(new)
-    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), packed(own), packed(changed), containment(own, changed), containment(own, next_sketch)
+    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest(), packed(own), packed(changed), containment(own, changed), containment(own, next_sketch)
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,4 +213,4 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                 yield _batch([(id_, *_likeness(now, sketch(now), then, sketch(then)))], _FIELDS)
 
     out = done.union(ends.mapInArrow(close, _LIKENESS))
-    return out.select(F.col("id_").cast(kind).alias(id_col), *names[1:])
+    return out.select(F.col("id_").cast(kind).alias(id_col), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), *names[3:])
