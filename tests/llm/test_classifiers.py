@@ -245,7 +245,7 @@ def test_a_hundred_thousand_rules(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twins(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SMALL)
     found = con.execute(queries.ORACLES[name])
