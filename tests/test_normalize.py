@@ -198,3 +198,16 @@ def test_spellings_can_be_given(spark, tmp_path):
     finally:
         english.use_spellings(english.SPELLINGS)
     assert read() == ["gray jewellery color", "it is gray jewellery 5", "odde thing"]
+
+
+ENDINGS = [("Version 3. th of", "version 3 of"), ("No. 247 29-St. that", "no 247 29 that"), ("73.104-nd was", "73 104 was"), ("on 1 s and 5 s", "on ones and 5s"), ("20th 1960s 3rdly", "20 1960s 3 rdly")]
+
+
+@pytest.mark.parametrize("text,expected", ENDINGS)
+def test_english_endings_behind_marks_belong_to_their_digits(text, expected):
+    import duckdb
+
+    from textgauge.plans.twins import english_sql
+
+    assert normalize.normalize("en", text) == expected
+    assert duckdb.execute(f"SELECT {english_sql('t')} FROM (SELECT ? AS t)", [text]).fetchone()[0] == expected
