@@ -211,3 +211,7 @@ def test_english_endings_behind_marks_belong_to_their_digits(text, expected):
 
     assert normalize.normalize("en", text) == expected
     assert duckdb.execute(f"SELECT {english_sql('t')} FROM (SELECT ? AS t)", [text]).fetchone()[0] == expected
+
+
+def test_words_are_counted_after_endings_join_their_digits():
+    assert [len(normalize.tokenize("en", text)) for text, _ in ENDINGS] == [len(expected.split(" ")) for _, expected in ENDINGS]
