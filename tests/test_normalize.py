@@ -215,3 +215,8 @@ def test_english_endings_behind_marks_belong_to_their_digits(text, expected):
 
 def test_words_are_counted_after_endings_join_their_digits():
     assert [len(normalize.tokenize("en", text)) for text, _ in ENDINGS] == [len(expected.split(" ")) for _, expected in ENDINGS]
+
+
+def test_orders_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "ORDERS_EACH", 100)
+    assert catalog.QUERIES["normalize_pt"](spark, SMALL).rdd.getNumPartitions() >= 15

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -158,6 +159,15 @@ def normalize(lang: str, text: str, strip: bool = False) -> str:
     return rule(text, strip) if lang in BY_CHARACTER else rule(text)
 
 
+#: Characters of a text up to which a worker remembers its normal form, and how many it remembers: some 150 MB.
+SHORT, REMEMBERED = 128, 1 << 18
+
+
+@functools.lru_cache(REMEMBERED)
+def _remembered(settings: str, lang: str, text: str, strip: bool) -> str:
+    return normalize(lang, text, strip)
+
+
 _TWO, _THREE = Iterator[tuple[pa.Array, pa.Array]], Iterator[tuple[pa.Array, pa.Array, pa.Array]]
 
 
@@ -211,41 +221,48 @@ def can_tokenize(lang: str) -> bool:
 
 
 def _with_table(f: Callable, hint: type) -> Callable:
-    """`f` for a column, with what the driver has for simplified characters and for words set in the worker first."""
+    """`f` for a column, with what the driver has for simplified characters and for words set in the worker first; `f` is told a name for these settings."""
+    name = uuid.uuid4().hex
     set_here = (converter().over(simplified_table()), simplify, dict(dictionaries), None if english.spellings is english.SPELLINGS else english.spellings)
 
     def run(batches):
         use(*set_here)
-        yield from f(batches)
+        yield from f(batches, name)
 
     run.__annotations__ = {"batches": hint, "return": Iterator[pa.Array]}
     return run
 
 
-def _normalized(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _known(settings: str, lang: str, text: str, strip: bool) -> str:
+    """As normalize; short texts, which come again and again, are normalized once as long as a worker remembers them."""
+    return _remembered(settings, lang, text, strip and lang in BY_CHARACTER) if len(text) <= SHORT else normalize(lang, text, strip)
+
+
+def _normalized(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]], settings: str) -> Iterator[pa.Array]:
     for langs, texts, strips in batches:
         rows = zip(langs.to_pylist(), texts.to_pylist(), strips.to_pylist(), strict=True)
-        yield pa.array([None if x is None or lang not in NORMALIZERS else normalize(lang, x, bool(s)) for lang, x, s in rows], pa.string())
+        yield pa.array([None if x is None or lang not in NORMALIZERS else _known(settings, lang, x, bool(s)) for lang, x, s in rows], pa.string())
 
 
-def _tokenized(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _tokenized(batches: Iterator[tuple[pa.Array, pa.Array]], settings: str) -> Iterator[pa.Array]:
     for langs, texts in batches:
-        yield pa.array([None if x is None or lang not in NORMALIZERS or not can_tokenize(lang) else tokenize(lang, x) for lang, x in zip(langs.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.string()))
+        yield pa.array([None if x is None or lang not in NORMALIZERS or not can_tokenize(lang) else _word_cutter(lang)(_known(settings, lang, x, False)) for lang, x in zip(langs.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
-def forms(lang: str, text: str, strip: bool) -> dict:
+def forms(lang: str, text: str, strip: bool, form: Callable[[str, str, bool], str] = normalize) -> dict:
     """chars and words of a text, normalized once where words are cut from the same form; words are None where a language has none to count."""
     if lang not in NORMALIZERS:
         raise ValueError(f"no rules for the language {lang!r}")
-    plain = normalize(lang, text)
-    chars = normalize(lang, text, True) if strip and lang in BY_CHARACTER else plain
+    plain = form(lang, text, False)
+    chars = form(lang, text, True) if strip and lang in BY_CHARACTER else plain
     return {"chars": chars, "words": _word_cutter(lang)(plain) if can_tokenize(lang) else None}
 
 
-def _forms(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _forms(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]], settings: str) -> Iterator[pa.Array]:
+    form = functools.partial(_known, settings)
     kind = pa.struct([("chars", pa.string()), ("words", pa.list_(pa.string()))])
     for langs, texts, strips in batches:
-        yield pa.array([None if x is None else forms(lang, x, bool(s)) for lang, x, s in zip(langs.to_pylist(), texts.to_pylist(), strips.to_pylist(), strict=True)], kind)
+        yield pa.array([None if x is None else forms(lang, x, bool(s), form) for lang, x, s in zip(langs.to_pylist(), texts.to_pylist(), strips.to_pylist(), strict=True)], kind)
 
 
 def normal_forms(lang: Column, text: Column, strip: Column | bool = False) -> Column:

@@ -197,10 +197,14 @@ def _order_number():
     return F.when(F.col("o_orderkey") % 9 == 0, F.col("o_orderkey") % 121).otherwise(F.floor("o_totalprice") % 100_000).cast("int")
 
 
+#: Orders of a task of the number grammars: some seconds to a minute, by how many of their texts a worker has met before.
+ORDERS_EACH = 500_000
+
+
 def _normalize(lang, spark, sf):
     before, after = _AROUND[lang][0].split("{}")
     text = F.concat(F.lit(before), spelled(lang, _order_number()), F.lit(after))
-    rows = spread(table(spark, sf, "orders")).select("o_orderkey", text.alias("t"))
+    rows = spread(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ORDERS_EACH).select("o_orderkey", text.alias("t"))
     return rows.select("o_orderkey", normalized(F.lit(lang), F.col("t"), F.col("o_orderkey") % 2 == 1).alias("output"))
 
 

@@ -36,10 +36,15 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` dealt over the cores where it comes in fewer splits than there are; a table of many splits, such as any large one, stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` dealt over the cores where it comes in fewer splits than there are; a table of many splits, such as any large one, stays as it is.
+
+    `rows`: so many at most to a task, for tables of narrow rows, whose splits hold millions of them.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        wanted = max(wanted, -(-df.count() // rows))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def scratch(spark: SparkSession) -> str:
