@@ -220,3 +220,15 @@ def test_words_are_counted_after_endings_join_their_digits():
 def test_orders_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(catalog, "ORDERS_EACH", 100)
     assert catalog.QUERIES["normalize_pt"](spark, SMALL).rdd.getNumPartitions() >= 15
+
+
+def test_repeated_texts_are_normalized_once(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(normalize, "normalize", lambda lang, text, strip=False: asked.append((lang, text, strip)) or text.upper())
+    rows = [("th", "a", True), ("th", "a", False), ("fr", "a", True), ("fr", "a", False), ("fr", "b" * 129, False)] * 2
+    columns = tuple(pa.array(c) for c in zip(*rows, strict=True))
+    out = [x for part in normalize._normalized(iter([columns, columns]), "these settings") for x in part.to_pylist()]
+    assert out == [text.upper() for _, text, _ in rows * 2]
+    assert sorted(x for x in asked if len(x[1]) == 1) == [("fr", "a", False), ("th", "a", False), ("th", "a", True)] and len(asked) == 7
