@@ -232,3 +232,10 @@ def test_repeated_texts_are_normalized_once(monkeypatch):
     out = [x for part in normalize._normalized(iter([columns, columns]), "these settings") for x in part.to_pylist()]
     assert out == [text.upper() for _, text, _ in rows * 2]
     assert sorted(x for x in asked if len(x[1]) == 1) == [("fr", "a", False), ("th", "a", False), ("th", "a", True)] and len(asked) == 7
+
+
+def test_remembered_forms_belong_to_their_settings(monkeypatch):
+    monkeypatch.setattr(normalize, "simplify", lambda text: text.replace("頁", "1"))
+    assert normalize._known("one", "zh", "頁", False) == "1"
+    monkeypatch.setattr(normalize, "simplify", lambda text: text.replace("頁", "2"))
+    assert normalize._known("two", "zh", "頁", False) == "2" and normalize._known("two", "fr", "la page dix", True) == "la page 10"
