@@ -3,8 +3,8 @@
 The published method resamples a cell by index, with the stated generator and seed, in the order of
 its utterance ids; engines of one (track, language) share their resamples. The index stream is drawn in segments (`stream`), so that no
 task holds a cell and none draws for all resamples: utterances are numbered by sorted ranges, dealt into blocks of
-`BLOCK`, and each block meets each segment of its stream in a task of its own, which adds up what the segment's
-indexes choose from the block. Sums by resample are combined by grouping. They equal those of one draw bit for bit, as
+`BLOCK`, one array for each member, and each block meets each segment of its stream in a task of its own, which counts how often each
+resample chooses an utterance and multiplies these counts by the values of all members at once. Sums by resample are combined by grouping. They equal those of one draw bit for bit, as
 sums of whole numbers do not depend on their order.
 """
 
@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textgauge.operators import stream
-from textgauge.plans.session import materialized
+from textgauge.plans.session import dealt, materialized
 
 RESAMPLES = 10_000
 #: The published seed and interval. Fixed values.
 SEED = 20_260_704
 INTERVAL = (2.5, 97.5)
-#: Utterances of a block, for each member of a frame: some 10 MB as a task holds them.
-BLOCK = 1 << 17
+#: Utterances of a block, for each member of a frame: some 12 MB as a task holds them.
+BLOCK = 1 << 18
+#: Cells of a frame, which share the drawing; bounds what a task holds.
+MEMBERS = 16
 #: Segments up to which their table is broadcast (some 50 bytes each).
 MAX_SENT = 1_000_000
 #: Numbers drawn at once by the functions over lists; bounds memory.
@@ -126,7 +128,7 @@ def _segment_table(sizes: DataFrame, n: int, seed: int, numbers) -> DataFrame:
 
     several = materialized(sizes.withColumn("segments", how_many("size")).withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1))))
     # only what follows another segment must know how much that one gives
-    counted = several.where("segment < segments - 1").repartition("size", "segment").withColumn("kept", kept("size", "segment"))
+    counted = dealt(several.where("segment < segments - 1"), "size", "segment").withColumn("kept", kept("size", "segment"))
     table = counted.union(several.where("segment = segments - 1").withColumn("kept", F.lit(0).cast("long")))
     before = F.sum("kept").over(Window.partitionBy("size").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     return table.select("size", "segment", "segments", F.coalesce(before, F.lit(0)).alias("start"))
@@ -140,40 +142,38 @@ def resampled_sums(rows: DataFrame, n: int = RESAMPLES, seed: int = SEED, block:
     tell of the same resample add up; there are some for each segment, and where sums over blocks were added already, one.
     """
     numbered, most = _numbered(rows)
-    dealt = numbered.select("frame", "member", "size", "pos", F.expr(f"pos div {block}").alias("block"), "e", "r")
+    values = F.struct("pos", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("e", "r")))
+    blocks = numbered.groupBy("frame", "member", "size", F.expr(f"pos div {block}").alias("block")).agg(F.array_sort(F.collect_list(values)).alias("x"))
+    blocks = blocks.select("frame", "member", "size", "block", F.col("x.pos")[0].alias("low"), F.col("x.e").alias("e"), F.col("x.r").alias("r"))
     if most and stream.segments(n * most, most, numbers(most)) == 1:  # then smaller frames have one segment, too
-        met = dealt.selectExpr("*", "0L AS segment", "1L AS segments", "0L AS start")
+        met = blocks.selectExpr("*", "0L AS segment", "1L AS segments", "0L AS start")
     else:
         units = materialized(_segment_table(numbered.select("size").distinct(), n, seed, numbers))
-        met = dealt.join(F.broadcast(units) if units.count() <= MAX_SENT else units, "size")
+        met = blocks.join(F.broadcast(units) if units.count() <= MAX_SENT else units, "size")
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         size, segment, segments, start = (int(pdf[c].iloc[0]) for c in ("size", "segment", "segments", "start"))
-        low, wide = int(pdf["pos"].min()), int(pdf["pos"].max()) - int(pdf["pos"].min()) + 1
-        members = [(name, *(part.sort_values("pos")[c].to_numpy(np.float64) for c in ("e", "r"))) for name, part in pdf.groupby("member", sort=True)]
-        begin = start // size
-        sums = np.zeros((len(members), 2, n - begin))
+        pdf = pdf.sort_values("member")
+        low, members = int(pdf["low"].iloc[0]), list(pdf["member"])
+        table = np.stack([x for each in zip(pdf["e"], pdf["r"], strict=True) for x in each], axis=1)
+        wide, begin = len(table), start // size
+        sums = np.zeros((n - begin, 2 * len(members)))
         for idx in stream.draw(seed, size, segment, numbers(size), segment == segments - 1, n * size - start):
             if len(idx):
-                no = np.arange(start, start + len(idx)) // size - begin
-                first = np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))
-                inside = None
+                first, last = start // size, (start + len(idx) - 1) // size
+                ends = np.concatenate(([start], np.arange(first + 1, last + 1) * size, [start + len(idx)]))
+                row = np.repeat(np.arange(last - first + 1) * wide, np.diff(ends))
                 if wide < size:
-                    idx = idx - low
-                    inside = (idx >= 0) & (idx < wide)
-                    idx = np.where(inside, idx, 0)
-                for i, (_, *columns) in enumerate(members):
-                    for j, column in enumerate(columns):
-                        chosen = column[idx] if inside is None else column[idx] * inside
-                        sums[i, j, no[first]] += np.add.reduceat(chosen, first)
-                start += len(idx)
+                    inside = (idx >= low) & (idx < low + wide)
+                    idx, row = idx[inside] - low, row[inside]
+                counts = np.bincount(row + idx, minlength=(last - first + 1) * wide).reshape(-1, wide)
+                sums[first - begin : last - begin + 1] += counts.astype(np.float64) @ table
+                start = int(ends[-1])
         end = -(-start // size) - begin
-        return pd.DataFrame([[key[0], name, begin, sums[i, 0, :end], sums[i, 1, :end]] for i, (name, *_) in enumerate(members) if end > 0], columns=["frame", "member", "begin", "e", "r"])
+        return pd.DataFrame([[key[0], name, begin, sums[:end, 2 * i], sums[:end, 2 * i + 1]] for i, name in enumerate(members) if end > 0], columns=["frame", "member", "begin", "e", "r"])
 
     # rows are few and drawing is long: partitions by number, which are not merged for want of bytes
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    drawn = met.repartition(tasks, "frame", "block", "segment").groupBy("frame", "block", "segment").applyInPandas(draw, "frame string, member string, begin long, e array<double>, r array<double>")
+    drawn = dealt(met, "frame", "block", "segment").groupBy("frame", "block", "segment").applyInPandas(draw, "frame string, member string, begin long, e array<double>, r array<double>")
     if most <= block:
         return drawn
     # as many rows as there are blocks tell of a resample: they are added before anything is gathered
@@ -220,60 +220,76 @@ def cell_intervals(rows: DataFrame, keys: list[str], errors: str = "errors", len
     """keys, lo and hi for every cell of per-utterance rows. Rows of one utterance id are taken by their errors and lengths. No rows, no cells."""
     each = rows.select(*keys, _frame(keys).alias("frame"), F.lit("").alias("member"), F.col(order).alias("o"), F.struct(F.col(errors).cast("double"), F.col(lengths).cast("double")).alias("k"), F.col(errors).alias("e"), F.col(lengths).alias("r"))
     each = materialized(each)  # it is read three times, and what made it may be long
-    cells = each.select(*keys, "frame").distinct()
-    made = _vectors(resampled_sums(each.drop(*keys), n, seed), n).select("frame", _interval("rates").alias("i"))
-    return cells.join(made, "frame").select(*keys, "i.lo", "i.hi")
+    # cells of as many rows have the same resamples: some of them make up a frame, so that these are drawn once for all
+    cells = each.groupBy(*keys, "frame").agg(F.count("*").alias("size")).withColumn("no", F.row_number().over(Window.partitionBy("size").orderBy("frame")))
+    cells = materialized(cells.select(*keys, F.col("frame").alias("member"), F.concat_ws("/", "size", F.floor((F.col("no") - 1) / MEMBERS)).alias("frame")))
+    each = each.drop(*keys, "member").withColumnRenamed("frame", "member").join(cells.select("member", "frame"), "member")
+    made = _vectors(resampled_sums(each, n, seed), n).select("member", _interval("rates").alias("i"))
+    return cells.join(made, "member").select(*keys, "i.lo", "i.hi")
 
 
 def _standing(rows: DataFrame) -> DataFrame:
-    """(group, engine, rate, n, h): the rate of each engine over all its rows, and a digest of its utterances that does not depend on their order."""
+    """(group, engine, rate): the rate of each engine over all its rows."""
     e, r = F.sum("e"), F.sum("r")
     rate = F.when(r != 0, e / F.when(r != 0, r)).otherwise(F.when(e > 0, 1.0).otherwise(0.0))
-    one, other = F.xxhash64("o"), F.conv(F.substring(F.md5(F.coalesce(F.col("o").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10)
-    digest = F.struct(F.count("*"), *(F.sum(h.cast("decimal(38,0)")) for h in (one, other)))
-    return rows.groupBy("group", "engine").agg(rate.cast("double").alias("rate"), digest.alias("h"))
+    return rows.groupBy("group", "engine").agg(rate.cast("double").alias("rate"))
+
+
+def _pairs(standing: DataFrame) -> DataFrame:
+    """(group, worse, better) of every two engines of a group."""
+    one, two = (standing.select("group", F.col("engine").alias(name), F.col("rate").alias(f"{name}_rate")) for name in ("worse", "better"))
+    return one.join(two, "group").where("struct(worse_rate, worse) > struct(better_rate, better)").select("group", "worse", "better")
 
 
 def _compared(rows: DataFrame, by: list[str], engine: str, errors: str, lengths: str, order: str, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(group, engine, rate, h) of every engine, and (group, worse, better, lo, hi) of every two engines that have utterances in common."""
+    """(group, engine, rate) of every engine, and (group, worse, better, lo, hi) of every two engines that have utterances in common.
+
+    Pairs that have the same utterances in common make up a frame, so that these are laid out and resampled once for all of them.
+    Which ones they are is told by a digest that does not depend on their order, added up over the sets of engines that utterances have.
+    """
     each = rows.select(_frame(by).alias("group"), F.col(engine).alias("engine"), F.col(order).alias("o"), F.col(errors).alias("e"), F.col(lengths).alias("r"))
     each = materialized(each.withColumn("k", F.row_number().over(Window.partitionBy("group", "engine", "o").orderBy("e", "r"))))
     standing = materialized(_standing(each))
-    even = standing.groupBy("group").agg((F.count_distinct("h") == 1).alias("even"))
-    shared = each.join(even.where("even"), "group").select(F.to_json(F.struct("group")).alias("frame"), F.col("engine").alias("member"), "o", "k", "e", "r")
-    places = standing.select(F.to_json(F.struct("group")).alias("frame"), F.col("engine").alias("member"), "rate", "group")
-    if not even.where("not even").isEmpty():
-        one, two = (standing.select("group", F.col("engine").alias(name), F.col("rate").alias(f"{name}_rate")) for name in ("worse", "better"))
-        apart = one.join(two, "group").where("struct(worse_rate, worse) > struct(better_rate, better)").join(even.where("not even"), "group").select("group", "worse", "better")
-        a = each.select("group", F.col("engine").alias("worse"), "o", "k", F.struct(F.col("engine").alias("member"), "e", "r").alias("one"))
-        b = each.select(F.col("group").alias("g"), F.col("engine").alias("better2"), F.col("o").alias("o2"), F.col("k").alias("k2"), F.struct(F.col("engine").alias("member"), "e", "r").alias("two"))
-        both = apart.join(a, ["group", "worse"]).join(b, (F.col("group") == F.col("g")) & (F.col("better") == F.col("better2")) & F.col("o").eqNullSafe(F.col("o2")) & (F.col("k") == F.col("k2")))
-        frame = F.to_json(F.struct("group", "worse", "better")).alias("frame")
-        shared = shared.union(both.select(frame, F.explode(F.array("one", "two")).alias("v"), "o", "k").select("frame", "v.member", "o", "k", "v.e", "v.r"))
-        sides = apart.select(frame, "group", F.explode(F.array("worse", "better")).alias("member")).join(standing.select("group", F.col("engine").alias("member"), "rate"), ["group", "member"])
-        places = places.union(sides.select("frame", "member", "rate", "group"))
+    utterances = each.groupBy("group", "o", "k").agg(F.array_sort(F.collect_list(F.struct("engine", "e", "r"))).alias("v"))
+    utterances = materialized(utterances.withColumn("has", F.col("v.engine")))
+    name = F.concat_ws("/", F.coalesce(F.col("o").cast("string"), F.lit("")), "k")
+    digests = [F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64("o", "k"), F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10))]
+    sets = materialized(utterances.groupBy("group", "has").agg(F.count("*").alias("c"), *(d.alias(f"h{i}") for i, d in enumerate(digests))))
+    both = F.array_contains("has", F.col("worse")) & F.array_contains("has", F.col("better"))
+    pairs = _pairs(standing).join(sets, "group").where(both).groupBy("group", "worse", "better").agg(*(F.sum(c).alias(c) for c in ("c", "h0", "h1")))
+    pairs = materialized(pairs.select("group", "worse", "better", F.md5(F.to_json(F.struct("group", "c", "h0", "h1")).cast("binary")).alias("frame")))
+    sides = pairs.select("frame", "group", F.explode(F.array("worse", "better")).alias("member")).distinct()
+    frames = pairs.groupBy("frame", "group").agg(F.min(F.struct("worse", "better")).alias("p")).select("frame", "group", "p.worse", "p.better")
+    frames = frames.join(sides.groupBy("frame").agg(F.collect_set("member").alias("members")), "frame")
+    # which of an utterance's engines go into a frame is found once for a set, by their places in it
+    inside = frames.join(sets, "group").where(both).withColumn("at", F.filter(F.sequence(F.lit(1), F.size("has")), lambda i: F.array_contains(F.col("members"), F.element_at("has", i))))
+    inside = materialized(inside.select("group", "has", "frame", "at"))
+    met = utterances.join(F.broadcast(inside) if inside.count() <= MAX_SENT // 10 else inside, ["group", "has"])
+    met = met.select("frame", "o", "k", F.explode(F.transform("at", lambda i: F.element_at("v", i))).alias("v"))
+    shared = met.select("frame", F.col("v.engine").alias("member"), "o", "k", "v.e", "v.r")
+    places = sides.join(standing.select("group", F.col("engine").alias("member"), "rate"), ["group", "member"])
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rate", "member"])
         found = [(group, x, r) for group, x, r in zip(pdf["group"], pdf["member"], pdf["rates"], strict=True)]
-        out = [[group, worse, better, *_bounds(x - y)] for i, (group, worse, x) in enumerate(found) for _, better, y in found[:i]]
-        return pd.DataFrame(out, columns=["group", "worse", "better", "lo", "hi"])
+        out = [[key[0], group, worse, better, *_bounds(x - y)] for i, (group, worse, x) in enumerate(found) for _, better, y in found[:i]]
+        return pd.DataFrame(out, columns=["frame", "group", "worse", "better", "lo", "hi"])
 
     # a task holds the vectors of a frame's engines, n numbers each, and no utterances
     vectors = _vectors(resampled_sums(shared, n, seed), n).join(places, ["frame", "member"])
-    return standing, vectors.groupBy("frame").applyInPandas(compare, "group string, worse string, better string, lo double, hi double")
+    made = vectors.groupBy("frame").applyInPandas(compare, "frame string, group string, worse string, better string, lo double, hi double")
+    # two engines of a frame may have more in common than what the frame is of
+    return standing, made.join(pairs, ["frame", "group", "worse", "better"], "left_semi").drop("frame")
 
 
 def paired_intervals(rows: DataFrame, by: list[str], engine: str = "engine", errors: str = "errors", lengths: str = "ref_len", order: str = "utt_id", n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """by, worse, better, lo, hi: the interval of the rate difference of every two engines; null where they have no utterance in common.
 
-    Engines of a group that all have the same utterances share their resamples. Elsewhere each two are resampled over
-    what they have in common; a repeated utterance meets as many of its repeats as the other engine has. Engines are
+    Each two are resampled over what they have in common, all that have the same in common at once; a repeated utterance meets as many of its repeats as the other engine has. Engines are
     ranked by their rate over all their own rows, then by name.
     """
     standing, found = _compared(rows, by, engine, errors, lengths, order, n, seed)
-    one, two = (standing.select("group", F.col("engine").alias(name), F.col("rate").alias(f"{name}_rate")) for name in ("worse", "better"))
-    pairs = one.join(two, "group").where("struct(worse_rate, worse) > struct(better_rate, better)").select("group", "worse", "better")
+    pairs = _pairs(standing)
     groups = rows.select(*by).distinct().withColumn("group", _frame(by))
     return groups.join(pairs.join(found, ["group", "worse", "better"], "left"), "group").select(*by, "worse", "better", "lo", "hi")
 

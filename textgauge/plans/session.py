@@ -47,6 +47,12 @@ def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt evenly, or by keys, over as many tasks as a shuffle has, or there are cores: for rows that are few bytes and much work, as tasks of a given number are not merged for want of bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share; one is made here only where it is unset, and only on a single machine."""
     sc = spark.sparkContext
