@@ -9,6 +9,7 @@ from textgauge.functions.normalize import BY_CHARACTER, normal_forms
 from textgauge.operators import aggregates as A
 from textgauge.operators import checks, stats
 from textgauge.operators.align import char_errors, edit_split, word_errors
+from textgauge.plans.session import dealt
 
 #: List prices in USD per audio hour; engines that are not listed have none. Fixed values.
 PRICES = {"elevenlabs": 0.22, "openai": 0.36, "whisper1": 0.36, "google_stt_v2": 0.96, "deepgram": 0.258, "mai_transcribe": 0.36, "mistral_voxtral": 0.18}
@@ -36,7 +37,8 @@ def score_utterances(records: DataFrame, literal: bool = False) -> DataFrame:
     ).withColumn("digest", F.unhex(F.sha2("ref", 256)))
     refs = rows.select("lang", "digest", "ref").dropDuplicates(["lang", "digest"]).select("lang", "digest", normal_forms(F.col("lang"), F.col("ref"), strip).alias("r"))
     hyps = rows.drop("ref").withColumn("h", normal_forms(F.col("lang"), F.col("hyp"), strip))
-    both = hyps.join(refs, ["lang", "digest"])
+    # a frequent reference, or few bytes that take long to compare, are no reason for few tasks
+    both = dealt(hyps.join(refs, ["lang", "digest"]))
     return both.select(
         "engine", "track", "lang", "utt_id", "params", "timestamp_utc", "rtf", A.is_empty(F.col("hyp")).alias("empty"),
         char_errors(F.col("r.chars"), F.col("h.chars")).alias("cer_errors"), F.char_length("r.chars").alias("cer_len"),
@@ -69,9 +71,11 @@ def cell_table(utterances: DataFrame, pairing: str = "strict", n: int = stats.RE
     rows = checks.paired(utterances, pairing)
     keys = list(A.CELL)
     cells = figures(rows)
-    for kind, (e, r) in (("cer", _CER), ("wer", _WER)):
-        ci = stats.cell_intervals(rows.where(F.col(r).isNotNull()), keys, e, r, n=n, seed=seed)
-        cells = cells.join(ci.withColumnsRenamed({"lo": f"{kind}_ci95_lo", "hi": f"{kind}_ci95_hi"}), keys, "left")
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(e).cast("long").alias("e"), F.col(r).cast("long").alias("r")) for kind, (e, r) in (("cer", _CER), ("wer", _WER))))
+    each = rows.select(*keys, "utt_id", F.explode(kinds).alias("x")).select(*keys, "utt_id", "x.*").where("r is not null")
+    ci = stats.cell_intervals(each, [*keys, "kind"], "e", "r", n=n, seed=seed)
+    bounds = [F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_ci95_{c}") for kind in ("cer", "wer") for c in ("lo", "hi")]
+    cells = cells.join(ci.groupBy(*keys).agg(*bounds), keys, "left")
     main = rows.withColumns({"errors": A.headline(F.col("lang"), F.col("cer_errors"), F.col("wer_errors")), "ref_len": A.headline(F.col("lang"), F.col("cer_len"), F.col("wer_len"))})
     groups = stats.tie_group_table(main, ["track", "lang"], n=n, seed=seed)
     return priced(cells).join(groups, ["track", "lang"]).join(A.tiers(groups), ["track", "lang", "engine"])
