@@ -384,3 +384,12 @@ def test_stream_of_corrections(spark, tmp_path):
     second = run()
     assert second["u2"] == (0, False, "2026-07-06T10:00:00Z") and second["u1"] == first["u1"] and second["again"][1]
     assert sorted(r.sign for r in log) == [-1, 1, 1, 1, 1]
+
+
+def test_texts_of_one_archive_are_compared_by_many_tasks(spark):
+    row = [("e", "a", "en", "u", "two words", "two", 1.0, 1.0, "2026-07-05T00:00:00Z", "{}", None)]
+    kind = "engine_key string, track string, lang_key string, file_utt_id string, ref_text_raw string, text string, latency_sec double, duration_sec double, timestamp_utc string, params string, file_time timestamp"
+    rows = spark.createDataFrame(row, kind).coalesce(1)
+    assert incremental.contributions(rows).rdd.getNumPartitions() >= 4
+    plan = incremental.running_rates(rows, literal=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition " in plan

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from textgauge.functions.normalize import BY_CHARACTER, normal_forms
 from textgauge.operators import aggregates as A
 from textgauge.operators.align import char_errors, word_errors
+from textgauge.plans.session import dealt
 from textgauge.sources.records import register
 
 
@@ -33,7 +34,7 @@ def running_rates(records: DataFrame, watermark: str = "72 hours", literal: bool
     the watermark are left out.
     """
     ts = F.try_to_timestamp("timestamp_utc")
-    rows = records.withColumn("ts", F.coalesce(ts, F.col("file_time")) if "file_time" in records.columns else ts).withWatermark("ts", watermark)
+    rows = dealt(records).withColumn("ts", F.coalesce(ts, F.col("file_time")) if "file_time" in records.columns else ts).withWatermark("ts", watermark)
     ref, hyp = F.coalesce("ref_text_raw", F.lit("")), F.coalesce("text", F.lit(""))
     if not literal:
         strip = F.col("lang_key").isin(*BY_CHARACTER)
@@ -88,7 +89,8 @@ def contributions(records: DataFrame, literal: bool = False) -> DataFrame:
     """engine, track, lang, utt_id, version and what each record contributes; the version is the time its file was written, then its own timestamp."""
     strip = F.lit(False) if literal else F.col("lang_key").isin(*BY_CHARACTER)
     lang = F.col("lang_key")
-    rows = records.select(
+    # an archive is one split, and its texts take longer to compare than to read
+    rows = dealt(records).select(
         F.col("engine_key").alias("engine"), "track", lang.alias("lang"), F.col("file_utt_id").alias("utt_id"),
         F.concat_ws(" ", F.date_format(F.to_utc_timestamp("file_time", F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.coalesce("timestamp_utc", F.lit(""))).alias("version"),
         normal_forms(lang, F.coalesce("ref_text_raw", F.lit("")), strip).alias("r"), normal_forms(lang, F.coalesce("text", F.lit("")), strip).alias("h"),
