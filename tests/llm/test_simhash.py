@@ -234,3 +234,16 @@ def test_similar_documents_are_linked_through_blocks_of_their_fingerprints(spark
     close = {i for i in range(30) if ((prints[2 * i] ^ prints[2 * i + 1]) & (1 << 64) - 1).bit_count() <= 2}
     assert 5 <= len(close) < 30
     assert components_of(spark, rows) == {k: k - 1 if k % 2 and k // 2 in close else k for k, _ in rows}
+
+
+def test_shingles_of_wanted_texts_are_made_once(spark, monkeypatch):
+    seen, written = [], simhash.written
+
+    def noted(df, label):
+        if label == "sets":
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    components_of(spark, [(i, prose(40, i % 5)) for i in range(20)])
+    assert seen and all(plan.count("ArrowEvalPython [_keyed_sets") == plan.count("ArrowEvalPython [may_hold") == 1 for plan in seen)

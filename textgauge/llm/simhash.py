@@ -489,8 +489,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         own = wanted.columns
         wanted = wanted.join(nodes.select("node", "low", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "node")
         wanted = written(wanted, "wanted")
-        some = named.where(text_udf(_may_hold(_slots(wanted)), "boolean")(F.xxhash64("id")))
-        made = some.join(wanted, some.id == F.col("low")).select(*own, "__k1", "__k2", text_udf(_keyed_sets, "struct<k1:bigint,k2:bigint,s:array<bigint>>")(F.col("t")).alias("f"))
+        # nondeterministic, as conditions on what a deterministic function gives make Spark run it once more on either side of the join
+        may_hold = text_udf(_may_hold(_slots(wanted)), "boolean").asNondeterministic()
+        keyed = text_udf(_keyed_sets, "struct<k1:bigint,k2:bigint,s:array<bigint>>").asNondeterministic()
+        some = named.where(may_hold(F.xxhash64("id")))
+        made = some.join(wanted, some.id == F.col("low")).select(*own, "__k1", "__k2", keyed(F.col("t")).alias("f"))
         made = made.where("f.k1 = __k1 and f.k2 = __k2").select(*own, F.size("f.s").alias("n"), "f.s")
         return written(made.dropDuplicates(["node"]) if repeated else made, "sets")  # rows may repeat an id and its text
 
