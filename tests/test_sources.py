@@ -3,6 +3,7 @@ import json
 import tarfile
 import uuid
 import wave
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -393,3 +394,26 @@ def test_texts_of_one_archive_are_compared_by_many_tasks(spark):
     assert incremental.contributions(rows).rdd.getNumPartitions() >= 4
     plan = incremental.running_rates(rows, literal=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition " in plan
+
+
+def test_corrections_in_any_order_are_netted_by_built_in_state(spark, tmp_path):
+    kind = "engine_key string, track string, lang_key string, file_utt_id string, ref_text_raw string, text string, latency_sec double, duration_sec double, timestamp_utc string, params string, file_time timestamp"
+    log = []
+
+    def feed(*rows):
+        made = [("e", "a", "de", None, "eins zwei drei", text, 1.0, None, "2026-07-05T00:00:00Z", None, datetime(2026, 7, day)) for day, text in rows]
+        spark.createDataFrame(made, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changed = incremental.changes(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+        assert "TransformWithState" not in changed._jdf.queryExecution().analyzed().toString()
+        got = []
+        with settings(spark, spark__sql__streaming__stateStore__providerClass=incremental.STATE_STORE):
+            changed.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda batch, _: got.extend(batch.collect())).start().awaitTermination()
+        log.extend(got)
+        now = [r.empty for r in incremental.current(spark.createDataFrame(log, changed.schema)).collect()]
+        return sorted((r.sign, r.empty) for r in got), now
+
+    assert feed((2, ""), (3, "eins zwei drei")) == ([(1, False)], [False])
+    assert feed((1, "")) == ([], [False])  # an older one that comes late
+    assert feed((4, "eins zwei drei")) == ([], [False])  # newer and the same
+    assert feed((6, ""), (5, "eins")) == ([(-1, False), (1, True)], [True])
+    assert feed((7, "eins zwei drei")) == ([(-1, True), (1, False)], [False])

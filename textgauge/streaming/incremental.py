@@ -7,12 +7,8 @@ so that no state and no task grows with a cell; `current` nets the log, and the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from textgauge.functions.normalize import BY_CHARACTER, normal_forms
 from textgauge.operators import aggregates as A
@@ -46,45 +42,12 @@ def running_rates(records: DataFrame, watermark: str = "72 hours", literal: bool
 
 
 #: What an utterance contributes to its cell.
-_GIVEN = "cer_errors long, cer_len long, wer_errors long, wer_len long, empty boolean, rtf double, params string, timestamp_utc string"
-_GIVEN_NAMES = [c.split()[0] for c in _GIVEN.split(", ")]
+_GIVEN_NAMES = ["cer_errors", "cer_len", "wer_errors", "wer_len", "empty", "rtf", "params", "timestamp_utc"]
 _KEYS = ["engine", "track", "lang", "utt_id"]
 #: The state store that keeps state by key on disk; what runs `changes` must have it in its session (spark.sql.streaming.stateStore.providerClass).
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _plain(x):
-    return None if pd.isna(x) else x.item() if hasattr(x, "item") else x
-
-
-class _Latest(StatefulProcessor):
-    """Keeps an utterance's newest contribution; tells what leaves and what comes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", f"version string, {_GIVEN}")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for pdf in rows:
-            for r in pdf[["version", *_GIVEN_NAMES]].itertuples(index=False):
-                row = tuple(map(_plain, r))
-                if newest is None or repr(row) > repr(newest):
-                    newest = row
-        before = self.last.get() if self.last.exists() else None
-        if newest is None or (before is not None and repr(tuple(before)) >= repr(newest)):
-            return
-        self.last.update(newest)
-        if before is not None and tuple(before)[1:] == newest[1:]:
-            return
-        out = [(*key, -1, *tuple(before)[1:])] if before is not None else []
-        out.append((*key, 1, *newest[1:]))
-        table = pd.DataFrame(out, columns=[*_KEYS, "sign", *_GIVEN_NAMES], dtype=object)
-        yield table
-
-    def close(self) -> None:
-        pass
-
-
 def contributions(records: DataFrame, literal: bool = False) -> DataFrame:
     """engine, track, lang, utt_id, version and what each record contributes; the version is the time its file was written, then its own timestamp."""
     strip = F.lit(False) if literal else F.col("lang_key").isin(*BY_CHARACTER)
@@ -107,9 +70,20 @@ def changes(records: DataFrame, literal: bool = False) -> DataFrame:
     """The log of a stream of records: keys, sign (1 comes, -1 leaves) and contribution, a row or two for each utterance that a batch changes.
 
     Of several records of an utterance the newest counts, in whatever order and batches they arrive. Null keys are keys.
+    The state of an utterance is what its records contributed, each with the time of the batch that brought it; so the newest before this
+    batch is known beside the newest now, by built-in aggregation. No state or task grows with a cell, but an utterance's state grows
+    with its own records.
     """
-    kind = "engine string, track string, lang string, utt_id string, sign int, " + _GIVEN
-    return contributions(records, literal).groupBy(*_KEYS).transformWithStateInPandas(_Latest(), kind, "update", "none")
+    # one time for a whole batch, and the same one where it is run again
+    seen = contributions(records, literal).withColumn("batch", F.current_timestamp())
+    told = seen.groupBy(*_KEYS).agg(F.collect_set(F.struct("batch", F.struct("version", *_GIVEN_NAMES).alias("v"))).alias("all"), F.current_timestamp().alias("now"))
+    earlier = F.filter("all", lambda x: x["batch"] != F.col("now"))
+    newest = told.select(*_KEYS, F.array_max(F.transform("all", lambda x: x["v"])).alias("after"), F.array_max(F.transform(earlier, lambda x: x["v"])).alias("before"))
+    given = {side: F.struct(*(F.col(f"{side}.{c}").alias(c) for c in _GIVEN_NAMES)) for side in ("after", "before")}
+    changed = newest.where(F.col("before").isNull() | (given["after"] != given["before"]))
+    comes, leaves = (F.struct(F.lit(sign).alias("sign"), given[side].alias("v")) for sign, side in ((1, "after"), (-1, "before")))
+    rows = changed.select(*_KEYS, F.explode(F.when(F.col("before").isNull(), F.array(comes)).otherwise(F.array(leaves, comes))).alias("x"))
+    return rows.select(*_KEYS, "x.sign", "x.v.*")
 
 
 def current(log: DataFrame) -> DataFrame:
