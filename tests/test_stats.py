@@ -156,3 +156,14 @@ def test_cells_of_one_size_share_their_resamples(spark, monkeypatch):
     got = stats.cell_intervals(spark.createDataFrame(rows, "engine string, utt_id long, errors int, ref_len int"), ["engine"], n=100)
     assert {r.engine: (r.lo, r.hi) for r in got.collect()} == {k: stats.bootstrap_ci([e for x, _, e, _ in rows if x == k], [10] * sum(x == k for x, *_ in rows), 100) for k in {x for x, *_ in rows}}
     assert sorted(sum(f == frame for f, _ in seen[0]) for frame in {f for f, _ in seen[0]}) == [1, 2, 16]
+
+
+def test_blocks_are_as_large_as_the_members_of_a_frame_leave_room_for(spark, monkeypatch):
+    assert stats.block_rows(4) == stats.BLOCK * stats.MEMBERS // 4 and stats.block_rows(stats.MEMBERS) == stats.block_rows(100) == stats.BLOCK
+    monkeypatch.setattr(stats, "BLOCK", 8)
+    monkeypatch.setattr(stats, "MEMBERS", 8)
+    rows = spark.range(60).selectExpr("'f' AS frame", "cast(id % 2 AS string) AS member", "id div 2 AS o", "0 AS k", "id % 7 AS e", "10 + id % 5 AS r")
+    whole, parts = (stats.resampled_sums(rows, 50, block=block) for block in (None, 8))  # 32 rows of two members, or 8
+    assert "explode" not in whole._jdf.queryExecution().analyzed().toString() and "explode" in parts._jdf.queryExecution().analyzed().toString()
+    one, other = ({r.member: r.rates for r in stats._vectors(x, 50).collect()} for x in (whole, parts))
+    assert one == other and len(one["0"]) == 50

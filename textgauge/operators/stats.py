@@ -25,7 +25,7 @@ RESAMPLES = 10_000
 #: The published seed and interval. Fixed values.
 SEED = 20_260_704
 INTERVAL = (2.5, 97.5)
-#: Utterances of a block, for each member of a frame: some 12 MB as a task holds them.
+#: Utterances of a block, for each member of a frame of MEMBERS or more: some 12 MB as a task holds them. A frame of fewer has as much larger blocks.
 BLOCK = 1 << 18
 #: Cells of a frame, which share the drawing; bounds what a task holds.
 MEMBERS = 16
@@ -97,8 +97,8 @@ def tie_groups(engines: dict[str, tuple[list, list]], n: int = RESAMPLES, seed:
 # --- frames: sets of utterances that are resampled alike; the members of a frame have the same ones
 
 
-def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """`rows` (frame, member, o, k, e, r) with pos, counted from 0 in the order of o and k, and size, the number of the member's rows; and the greatest size.
+def _numbered(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """`rows` (frame, member, o, k, e, r) with pos, counted from 0 in the order of o and k, and size, the number of the member's rows; the greatest size, and the most members of a frame.
 
     The whole table is sorted in ranges; a row's place in its range comes with it, and the counts of the ranges
     before are added. Neither the sort nor the count brings a frame into one task.
@@ -109,8 +109,8 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     ranges = laid.groupBy("frame", "member", "range").agg(F.min("at").alias("first"), F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = materialized(ranges.select("frame", "member", "range", (before - F.col("first")).alias("shift"), F.sum("c").over(whole).alias("size")))
-    most = ranges.agg(F.max("size")).first()[0] or 0
-    return laid.join(ranges, ["frame", "member", "range"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "shift", "range"), most
+    most, members = ranges.groupBy("frame").agg(F.max("size").alias("size"), F.count_distinct("member").alias("n")).agg(F.max("size"), F.max("n")).first()
+    return laid.join(ranges, ["frame", "member", "range"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "shift", "range"), most or 0, members or 0
 
 
 def _segment_table(sizes: DataFrame, n: int, seed: int, numbers) -> DataFrame:
@@ -134,14 +134,20 @@ def _segment_table(sizes: DataFrame, n: int, seed: int, numbers) -> DataFrame:
     return table.select("size", "segment", "segments", F.coalesce(before, F.lit(0)).alias("start"))
 
 
-def resampled_sums(rows: DataFrame, n: int = RESAMPLES, seed: int = SEED, block: int = BLOCK, numbers=stream.segment_numbers) -> DataFrame:
+def block_rows(members: int) -> int:
+    """Utterances of a block for frames of up to so many members. Every block draws the whole stream, so there should be no more blocks than memory asks for."""
+    return max(BLOCK, BLOCK * MEMBERS // max(1, members))
+
+
+def resampled_sums(rows: DataFrame, n: int = RESAMPLES, seed: int = SEED, block: int | None = None, numbers=stream.segment_numbers) -> DataFrame:
     """(frame, member, begin, e, r): sums over the resamples from `begin` on, for rows of frame, member, o (order), k (order of repeats), e (errors) and r (lengths).
 
-    All members of a frame must have as many rows. What a task holds is bounded by `block` rows for each member.
+    All members of a frame must have as many rows. What a task holds is bounded by `block` rows for each member, `block_rows` of the largest frame if None.
     `numbers` tells how many numbers of the generator a segment has for a frame of a size. Rows of one frame and member that
     tell of the same resample add up; there are some for each segment, and where sums over blocks were added already, one.
     """
-    numbered, most = _numbered(rows)
+    numbered, most, members = _numbered(rows)
+    block = block or block_rows(members)
     values = F.struct("pos", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("e", "r")))
     blocks = numbered.groupBy("frame", "member", "size", F.expr(f"pos div {block}").alias("block")).agg(F.array_sort(F.collect_list(values)).alias("x"))
     blocks = blocks.select("frame", "member", "size", "block", F.col("x.pos")[0].alias("low"), F.col("x.e").alias("e"), F.col("x.r").alias("r"))
