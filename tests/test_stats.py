@@ -167,3 +167,20 @@ def test_blocks_are_as_large_as_the_members_of_a_frame_leave_room_for(spark, mon
     assert "explode" not in whole._jdf.queryExecution().analyzed().toString() and "explode" in parts._jdf.queryExecution().analyzed().toString()
     one, other = ({r.member: r.rates for r in stats._vectors(x, 50).collect()} for x in (whole, parts))
     assert one == other and len(one["0"]) == 50
+
+
+@pytest.mark.parametrize("size", [3, 1000, 3_000_000_019])
+def test_segments_are_counted_without_their_indexes(monkeypatch, size):
+    monkeypatch.setattr(stream, "_IN_CACHE", 37)
+    want = len(stream._kept(stream._generator(5, 600), 200, size))
+    monkeypatch.delattr(stream, "_kept")
+    assert stream.count_kept(5, size, 3, 200) == want
+
+
+@pytest.mark.parametrize(("low", "wide"), [(0, 30), (0, 10), (10, 13), (23, 7)])
+def test_choices_are_counted_at_once_or_resample_by_resample(monkeypatch, low, wide):
+    idx, ends = np.random.default_rng(6).integers(0, 30, 100), [0, 8, 38, 68, 98, 100]
+    want = [[float((idx[a:b] == x).sum()) for x in range(low, low + wide)] for a, b in zip(ends, ends[1:])]
+    for long in (10, 1000):
+        monkeypatch.setattr(stats, "_LONG", long)
+        assert stats._counts(idx, np.array(ends), low, wide, 30).tolist() == want

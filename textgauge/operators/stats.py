@@ -33,6 +33,8 @@ MEMBERS = 16
 MAX_SENT = 1_000_000
 #: Numbers drawn at once by the functions over lists; bounds memory.
 _AT_ONCE = 8_000_000
+#: From so many utterances on the choices of a resample are counted by themselves.
+_LONG = 1 << 12
 
 
 def _rates(errors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -51,6 +53,20 @@ def _index_sums(columns: list[np.ndarray], n: int, seed: int) -> list[np.ndarray
     return out
 
 
+def _counts(idx: np.ndarray, ends: np.ndarray, low: int, wide: int, size: int) -> np.ndarray:
+    """For the parts of `idx` between `ends`, how often each chooses the `wide` utterances of `size` from `low` on. Long parts are counted one by one, so that the counts stay in a core's cache."""
+    n, whole = len(ends) - 1, wide == size
+    if size < _LONG:
+        row = np.repeat(np.arange(n) * wide - low, np.diff(ends))
+        chosen = row + idx if whole else (row + idx)[(idx >= low) & (idx < low + wide)]
+        return np.bincount(chosen, minlength=n * wide).reshape(-1, wide).astype(np.float64)
+    out = np.empty((n, wide))
+    for counts, a, b in zip(out, ends[:-1], ends[1:], strict=True):
+        chosen = idx[a:b] if whole else idx[a:b] - low
+        counts[:] = np.bincount(chosen if whole else chosen[chosen.view(np.uint64) < wide], minlength=wide)
+    return out
+
+
 def _bounds(stat: np.ndarray) -> tuple[float, float]:
     lo, hi = np.percentile(stat, INTERVAL)
     return float(lo), float(hi)
@@ -168,12 +184,7 @@ def resampled_sums(rows: DataFrame, n: int = RESAMPLES, seed: int = SEED, block:
             if len(idx):
                 first, last = start // size, (start + len(idx) - 1) // size
                 ends = np.concatenate(([start], np.arange(first + 1, last + 1) * size, [start + len(idx)]))
-                row = np.repeat(np.arange(last - first + 1) * wide, np.diff(ends))
-                if wide < size:
-                    inside = (idx >= low) & (idx < low + wide)
-                    idx, row = idx[inside] - low, row[inside]
-                counts = np.bincount(row + idx, minlength=(last - first + 1) * wide).reshape(-1, wide)
-                sums[first - begin : last - begin + 1] += counts.astype(np.float64) @ table
+                sums[first - begin : last - begin + 1] += _counts(idx, ends - start, low, wide, size) @ table
                 start = int(ends[-1])
         end = -(-start // size) - begin
         return pd.DataFrame([[key[0], name, begin, sums[:end, 2 * i], sums[:end, 2 * i + 1]] for i, name in enumerate(members) if end > 0], columns=["frame", "member", "begin", "e", "r"])

@@ -14,7 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Numbers of the generator handled at once; bounds memory.
-_AT_ONCE = 1 << 19
+_AT_ONCE = 1 << 20
+#: Of these, numbers that are made, multiplied and sifted while they are in a core's cache.
+_IN_CACHE = 1 << 15
 #: A segment holds this many numbers at least, and so many for each utterance, so that sending utterances to segments costs less than drawing.
 LEAST_NUMBERS, NUMBERS_EACH = 1 << 23, 128
 
@@ -42,20 +44,34 @@ def _generator(seed: int, start: int) -> np.random.PCG64:
     return np.random.PCG64(seed).advance(start)
 
 
+def _halves(bits: np.random.PCG64, numbers: int) -> Iterator[np.ndarray]:
+    """The 32-bit halves of the next `numbers` of the generator, in parts."""
+    for at in range(0, numbers, _IN_CACHE):
+        yield bits.random_raw(min(_IN_CACHE, numbers - at)).astype("<u8", copy=False).view("<u4")
+
+
+def _good(halves: np.ndarray, size: int) -> np.ndarray:
+    """Which halves give an index. Products of 32-bit numbers are what remains modulo 2^32."""
+    return halves * np.uint32(size) >= np.uint32(rejected(size))
+
+
 def _kept(bits: np.random.PCG64, numbers: int, size: int) -> np.ndarray:
     """Indexes from the next `numbers` of the generator."""
-    product = bits.random_raw(numbers).astype("<u8", copy=False).view("<u4").astype(np.uint64) * np.uint64(size)
-    out = (product >> np.uint64(32)).view(np.int64)
-    low = rejected(size)
-    return out[(product & np.uint64(0xFFFFFFFF)) >= np.uint64(low)] if low else out
+    out, n, all_good = np.empty(2 * numbers, np.int64), 0, not rejected(size)
+    for halves in _halves(bits, numbers):
+        found = np.multiply(halves, np.uint64(size), dtype=np.uint64) >> np.uint64(32)
+        if not all_good:
+            found = found[_good(halves, size)]
+        out[n : n + len(found)] = found
+        n += len(found)
+    return out[:n]
 
 
 def count_kept(seed: int, size: int, segment: int, numbers: int) -> int:
-    """How many indexes a segment gives."""
+    """How many indexes a segment gives; none of them is made."""
     if not rejected(size):
         return 2 * numbers
-    bits = _generator(seed, segment * numbers)
-    return sum(len(_kept(bits, min(_AT_ONCE, numbers - at), size)) for at in range(0, numbers, _AT_ONCE))
+    return sum(int(np.count_nonzero(_good(halves, size))) for halves in _halves(_generator(seed, segment * numbers), numbers))
 
 
 def draw(seed: int, size: int, segment: int, numbers: int, last: bool, left: int) -> Iterator[np.ndarray]:
